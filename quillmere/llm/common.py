@@ -12,6 +12,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 #: A word: a run of characters that are neither blanks nor \t \n \v \f \r.
 WORD = r"[^\x20\x09-\x0D]+"
 #: The characters that separate words, as a literal set for translate().
@@ -65,6 +67,7 @@ def release(spark: SparkSession) -> None:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

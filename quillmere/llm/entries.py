@@ -4,6 +4,13 @@ from __future__ import annotations
 
 from .mixing import op2_source_mix
 from .quality import op8_quality_rules
+from .secrets import op9_secret_scan
+from .spm import op1_sentencepiece
+from .topk import OP4_SQL, op4_top_k
+from .toxicity import op7_toxicity
 
-QUERIES = {f.__name__: f for f in (op2_source_mix, op8_quality_rules)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_sentencepiece, op2_source_mix, op4_top_k, op7_toxicity, op8_quality_rules, op9_secret_scan)
+}
+ORACLE_SQL: dict[str, str] = {"op4_top_k": OP4_SQL}
