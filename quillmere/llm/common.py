@@ -60,6 +60,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def drop(df: DataFrame) -> None:
+    """Deletes a table that materialize() made and nothing reads any more."""
+    for spark, path in [x for x in _MADE if any(x[1] in f for f in df.inputFiles()[:1])]:
+        _delete(spark, path)
+        _MADE.remove((spark, path))
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark's cleaner drop the shuffle files of plans that are no longer reachable."""
     gc.collect()

@@ -2,15 +2,28 @@
 
 from __future__ import annotations
 
+from .lz_dedup import op10_lz_dedup
 from .mixing import op2_source_mix
+from .ngram_join import op3_ngram_join
 from .quality import op8_quality_rules
 from .secrets import op9_secret_scan
 from .spm import op1_sentencepiece
+from .suffix_dedup import op6_suffix_dedup
 from .topk import OP4_SQL, op4_top_k
 from .toxicity import op7_toxicity
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_sentencepiece, op2_source_mix, op4_top_k, op7_toxicity, op8_quality_rules, op9_secret_scan)
+    for f in (
+        op1_sentencepiece,
+        op2_source_mix,
+        op3_ngram_join,
+        op4_top_k,
+        op6_suffix_dedup,
+        op7_toxicity,
+        op8_quality_rules,
+        op9_secret_scan,
+        op10_lz_dedup,
+    )
 }
 ORACLE_SQL: dict[str, str] = {"op4_top_k": OP4_SQL}

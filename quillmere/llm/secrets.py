@@ -11,6 +11,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -27,7 +28,9 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex")
 
 #: Tokens that are scored: a run of credential characters with a digit and a letter.
-TOKEN = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
+TOKEN = re.compile(r"(?<![A-Za-z0-9+/_.=-])(?=[A-Za-z+/_.=-]*[0-9])[A-Za-z0-9+/_.=-]{16,}")
+#: Every match of ASSIGN holds one of these in lower case.
+WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 ORDINARY = re.compile(r"[A-Za-z0-9+/_.=-]+")
 
 Span = tuple[str, int, int]
@@ -36,20 +39,22 @@ Span = tuple[str, int, int]
 def base_spans(text: str) -> list[Span]:
     """Spans of the base patterns by start, then kind as listed; offsets in code points, ends exclusive. Maximal runs
     make the length limits of access and hex part of their patterns; a short assign match is dropped but used up."""
-    found = [("assign", m.start(), m.end()) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 6]
+    low = text.lower()
+    named = ASSIGN.finditer(text) if any(w in low for w in WORDS) else ()
+    found = [("assign", m.start(), m.end()) for m in named if m.end(2) - m.start(2) >= 6]
     found += [("access", m.start(), m.end()) for m in ACCESS.finditer(text)]
     found += [("hex", m.start(), m.end()) for m in HEX.finditer(text)]
     return sorted(found, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
 def labelled(text: str) -> Iterator[tuple[str, str]]:
-    """(kind, credential) of a text, and ("", token) for its other tokens of 6 or more characters."""
+    """(kind, credential) of a text, and ("", token) for one in 32, by hash, of its other tokens of 6 or more characters."""
     spans = base_spans(text)
     for kind, start, end in spans:
         yield kind, ASSIGN.match(text, start)[2] if kind == "assign" else text[start:end]
     taken = [(s, e) for _, s, e in spans]
     for m in ORDINARY.finditer(text):
-        if m.end() - m.start() >= 6 and not any(s < m.end() and m.start() < e for s, e in taken):
+        if m.end() - m.start() >= 6 and zlib.crc32(m[0].encode()) % 32 == 0 and not any(s < m.end() and m.start() < e for s, e in taken):
             yield "", m[0]
 
 
@@ -167,7 +172,7 @@ class Model:
         return (max(a.bits(s) for a in self.automata.values()) - plain) / len(s)
 
 
-def train(docs: DataFrame, sample_docs: int = 20_000, per_kind: int = 800) -> Model:
+def train(docs: DataFrame, sample_docs: int = 8_000, per_kind: int = 800) -> Model:
     """A model from the credentials in about sample_docs documents, chosen by hash of doc_id, and of those the per_kind
     values of each kind that come first by hash: both bounds are parameters. Without credentials nothing scores."""
     share = max(1, math.ceil(docs.count() / sample_docs))
@@ -179,8 +184,7 @@ def train(docs: DataFrame, sample_docs: int = 20_000, per_kind: int = 800) -> Mo
             for text in batch["text"].fillna(""):
                 for kind, s in labelled(text):
                     key = hashlib.md5(s.encode()).hexdigest()
-                    if kind or key < "08":
-                        best[kind][key] = s
+                    best[kind][key] = s
             for kind in best:
                 if len(best[kind]) > 4 * per_kind:
                     best[kind] = dict(sorted(best[kind].items())[:per_kind])

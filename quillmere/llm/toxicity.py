@@ -10,6 +10,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,9 +26,28 @@ BITS = 20
 TOXIC = 0.3
 
 
-def terms(text: str | None) -> set[int]:
-    """Hashed terms of a whole text: lower-cased runs of word characters."""
-    return {zlib.crc32(w.encode()) & ((1 << BITS) - 1) for w in set(TERM.findall((text or "").lower()))}
+def word_terms(word: str) -> tuple[int, ...]:
+    """Hashed terms of a lower-cased word: itself and its beginnings of 4 to 8 characters, so that inflected forms share
+    terms."""
+    return tuple(zlib.crc32(t.encode()) & ((1 << BITS) - 1) for t in (word, *("^" + word[:n] for n in range(4, min(8, len(word)) + 1))))
+
+
+def again(term: int, times: int) -> int:
+    """The hashed term for a term that stands in a text so many times or more (2 and 3 are told apart)."""
+    return (term * 2654435761 + times * 40503) & ((1 << BITS) - 1)
+
+
+def with_counts(counts: Counter) -> list[int]:
+    return sorted({t for t in counts} | {again(t, k) for t, n in counts.items() for k in (2, 3) if n >= k})
+
+
+def terms(text: str | None) -> list[int]:
+    """Hashed terms of a whole text: of its lower-cased runs of word characters."""
+    counts: Counter = Counter()
+    for w, n in Counter(TERM.findall((text or "").lower())).items():
+        for t in word_terms(w):
+            counts[t] += n
+    return with_counts(counts)
 
 
 class Machine:
@@ -97,7 +117,7 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int = 10_000) -> Machin
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "found": [sorted(terms(t)) for t in batch["text"]], "toxic": batch["toxic"]})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "found": [terms(t) for t in batch["text"]], "toxic": batch["toxic"]})
 
     got = rows.mapInPandas(work, "doc_id long, found array<int>, toxic int").orderBy("doc_id", "found", "toxic").toPandas()
     return fit([(list(f), int(t > 0)) for f, t in zip(got["found"], got["toxic"], strict=True)])
@@ -108,21 +128,26 @@ def score(docs: DataFrame, machine: Machine) -> DataFrame:
     cached_most = 400_000
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        memo: dict[str, int] = {}
+        memo: dict[str, tuple[int, ...]] = {}
         row = machine.row
+        # terms that matter: chosen themselves, or with a chosen term for several times
+        useful = row >= 0
+        every = np.arange(1 << BITS, dtype=np.int64)
+        for k in (2, 3):
+            useful |= row[(every * 2654435761 + k * 40503) & ((1 << BITS) - 1)] >= 0
 
         def find(text: str | None) -> float:
-            ids = set()
-            for w in set(TERM.findall((text or "").lower())):
-                r = memo.get(w)
-                if r is None:
+            counts: Counter = Counter()
+            for w in TERM.findall((text or "").lower()):
+                ids = memo.get(w)
+                if ids is None:
                     if len(memo) > cached_most:
                         memo.clear()
-                    k = zlib.crc32(w.encode()) & ((1 << BITS) - 1)
-                    r = memo[w] = k if row[k] >= 0 else -1
-                if r >= 0:
-                    ids.add(r)
-            return machine.score(np.fromiter(sorted(ids), np.int64, len(ids)))
+                    ids = memo[w] = tuple(t for t in word_terms(w) if useful[t])
+                for t in ids:
+                    counts[t] += 1
+            ids = [t for t in with_counts(counts) if row[t] >= 0]
+            return machine.score(np.array(ids, np.int64))
 
         for batch in batches:
             yield batch.assign(score=[find(t) for t in batch["text"]])
