@@ -24,6 +24,8 @@ from .common import U64, mix64, table
 BLANK = "▁"
 #: Stands for a blank sign of the text itself, which becomes bytes; no valid text holds a lone surrogate.
 LITERAL = "\ud800"
+#: Fills rows of ids up.
+NONE = np.iinfo(np.int64).min
 PART = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
 #: The merge-dropout of the query.
 RATE, SEED, DRAWS = 0.1, 13, 4
@@ -68,21 +70,28 @@ class Encoder:
     def __init__(self, path: str, rate: float = RATE, seed: int = SEED, draws: int = DRAWS, cached: int = 500_000):
         self.v, self.rate, self.seed, self.draws, self.cached = Vocabulary(path), rate, seed, draws, cached
         self.memo: list[dict[str, bytes]] = [{} for _ in range(draws)]
+        self.older: list[dict[str, bytes]] = [{} for _ in range(draws)]
+        self.chars: dict[str, int] = {}
         self.limit = U64(min(int(rate * 2.0**64), 2**64 - 1))
 
-    def start(self, part: str) -> list[int]:
-        """Ids of a part's characters. A character outside the vocabulary is given as -1 - code point: it merges with
-        nothing and becomes bytes."""
-        ids = self.v.ids
-        return [ids.get(c, -1 - ord(BLANK if c == LITERAL else c)) for c in part]
-
-    def merge(self, parts: list[list[int]], draw: np.ndarray) -> list[list[int]]:
-        """Agenda merging of parts of the same order of length, all at once."""
-        v, n = self.v, len(parts)
-        width = max(map(len, parts))
-        ids = np.full((n, width + 1), np.iinfo(np.int64).min, np.int64)
-        for i, p in enumerate(parts):
-            ids[i, : len(p)] = p
+    def start(self, parts: list[str]) -> np.ndarray:
+        """Ids of the characters of parts, a part a row, filled up with the least long. A character outside the
+        vocabulary is given as -1 - code point: it merges with nothing and becomes bytes."""
+        chars = self.chars
+        text = "".join(parts)
+        codes = [chars.get(c) for c in text]
+        if None in codes:
+            for i, c in enumerate(text):
+                if codes[i] is None:
+                    codes[i] = chars[c] = self.v.ids.get(c, -1 - ord(BLANK if c == LITERAL else c))
+        n = np.fromiter(map(len, parts), np.int64, len(parts))
+        out = np.full((len(parts), int(n.max()) + 1), NONE, np.int64)
+        out[np.arange(out.shape[1]) < n[:, None]] = codes
+        return out
+
+    def merge(self, ids: np.ndarray, draw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Agenda merging of the rows of ids, all at once: the ids left, and where they stand."""
+        v, n, width = self.v, len(ids), ids.shape[1] - 1
         far = np.iinfo(np.int64).max
         nxt = np.tile(np.arange(1, width + 2), (n, 1))
         prv = np.tile(np.arange(-1, width), (n, 1))
@@ -127,17 +136,20 @@ class Encoder:
             new = v.join(ids[g, b], piece[has])
             cand[g, b] = new
             order[g, b] = np.where(new >= 0, v.place[new] * (width + 1) + b, far)
-        none = np.iinfo(np.int64).min
-        return [[x for x in row[keep].tolist() if x != none] for row, keep in zip(ids, alive, strict=True)]
-
-    def finish(self, ids: list[int]) -> bytes:
-        out = []
-        for i in ids:
-            if i >= 0:
-                out.append(i)
-            else:
-                out += [self.v.byte[x] for x in chr(-1 - i).encode("utf-8", "surrogatepass")]
-        return np.array(out, np.int32).tobytes()
+        return ids, alive & (ids != NONE)
+
+    def finish(self, ids: np.ndarray, there: np.ndarray) -> list[bytes]:
+        """int32 ids of each row as bytes; characters outside the vocabulary become their byte pieces."""
+        flat, n = ids[there], there.sum(1)
+        odd = np.flatnonzero((there & (ids < 0)).any(1))
+        data, ends = flat.astype(np.int32).tobytes(), np.concatenate([[0], 4 * np.cumsum(n)]).tolist()
+        out = [data[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+        for r in odd.tolist():
+            some: list[int] = []
+            for i in ids[r][there[r]].tolist():
+                some += [i] if i >= 0 else [self.v.byte[x] for x in chr(-1 - i).encode("utf-8", "surrogatepass")]
+            out[r] = np.array(some, np.int32).tobytes()
+        return out
 
     def learn(self, wanted: set[tuple[int, str]]) -> None:
         """Puts the segmentations of (draw, part) into the memo, parts of like length together."""
@@ -149,15 +161,15 @@ class Encoder:
             some.sort()
             for k in range(0, len(some), step):
                 chunk = some[k : k + step]
-                got = self.merge([self.start(p) for _, p in chunk], np.array([d for d, _ in chunk]))
+                got = self.finish(*self.merge(self.start([p for _, p in chunk]), np.array([d for d, _ in chunk])))
                 for (d, p), ids in zip(chunk, got, strict=True):
-                    self.memo[d][p] = self.finish(ids)
+                    self.memo[d][p] = ids
 
     def encode(self, texts: list[str | None], keys: list[int]) -> list[bytes]:
         """int32 ids of each text as bytes; keys choose the draws. Null and empty texts give none."""
         split, draws, wanted = [], [], set()
-        if sum(map(len, self.memo)) > self.cached:
-            self.memo = [{} for _ in range(self.draws)]
+        if sum(map(len, self.memo)) > self.cached // 2:  # frequent parts come back from the older half
+            self.older, self.memo = self.memo, [{} for _ in range(self.draws)]
         for text, key in zip(texts, keys, strict=True):
             parts = [] if not text else PART.findall(BLANK + text.replace(BLANK, LITERAL).replace(" ", BLANK))
             if self.draws > 1 and self.rate > 0:
@@ -166,8 +178,16 @@ class Encoder:
                 d = [0] * len(parts)
             split.append(parts)
             draws.append(d)
-            wanted.update(x for x in zip(d, parts, strict=True) if x[1] not in self.memo[x[0]])
-        self.learn(wanted)
+            wanted.update(zip(d, parts, strict=True))
+        fresh = set()
+        for d, p in wanted:
+            if p not in self.memo[d]:
+                ids = self.older[d].get(p)
+                if ids is None:
+                    fresh.add((d, p))
+                else:
+                    self.memo[d][p] = ids
+        self.learn(fresh)
         memo = self.memo
         return [b"".join([memo[a][p] for a, p in zip(d, parts, strict=True)]) for d, parts in zip(draws, split, strict=True)]
 
