@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .licenses import op5_license_scan
 from .lz_dedup import op10_lz_dedup
 from .mixing import op2_source_mix
 from .ngram_join import op3_ngram_join
@@ -19,6 +20,7 @@ QUERIES = {
         op2_source_mix,
         op3_ngram_join,
         op4_top_k,
+        op5_license_scan,
         op6_suffix_dedup,
         op7_toxicity,
         op8_quality_rules,
