@@ -5,7 +5,7 @@
    documents: their size does not grow with the corpus, and any order shared by all sets keeps the filter exact.
 3. Two sets that link share a shingle in their prefixes. Postings of prefix shingles are joined on the shingle; length
    and positional filters drop pairs, and what is left is verified once, after a suffix filter, on the whole sets.
-4. Pairs are asked for in rounds. First each shingle's nodes meet one leader; nodes that are then known to be connected
+4. Pairs are asked for in two rounds. First each shingle's nodes meet one leader; nodes that are then known to be connected
    need no more pairs between them. At last every pair of nodes of different components that shares a prefix shingle
    and passes the filters is verified. No group is expanded into all its pairs, and no link between components is lost.
 5. Components come from alternating large-star and small-star steps over tables in the shared folder.
@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, materialize, mix64, table
+from .common import U64, drop, materialize, mix64, table
 
 WORDS, PERCENT = 5, 75
 SLOTS_BITS, SLICES = 20, 64
@@ -76,14 +76,14 @@ def _profile(docs: DataFrame, n: int) -> DataFrame:
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts = np.zeros(1 << SLOTS_BITS, np.uint32)
         for batch in batches:
-            nodes, sizes = [], []
+            nodes, sizes, slots = [], [], []
             for text in batch["text"]:
                 s = shingle_set(text, n)
                 nodes.append(node_of(s))
                 sizes.append(len(s))
-                counts += np.bincount((s >> U64(64 - SLOTS_BITS)).astype(np.int64), minlength=1 << SLOTS_BITS).astype(np.uint32) if len(s) > 50_000 else 0
-                if len(s) <= 50_000:
-                    np.add.at(counts, (s >> U64(64 - SLOTS_BITS)).astype(np.int64), 1)
+                slots.append((s >> U64(64 - SLOTS_BITS)).astype(np.int32))
+            if slots:
+                counts += np.bincount(np.concatenate(slots), minlength=1 << SLOTS_BITS).astype(np.uint32)
             yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "node": nodes, "size": sizes, "slice": -1, "counts": None})
         parts = [p.tobytes() for p in np.split(counts, SLICES)]
         yield pd.DataFrame({"doc_id": pd.array([None] * SLICES, "Int64"), "node": 0, "size": 0, "slice": range(SLICES), "counts": parts})
@@ -221,12 +221,13 @@ def join(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
     posts = prefixes.select("node", "size", F.posexplode("tokens").alias("pos", "token"))
     shared = prefixes.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n")).filter("n > 1").select("token")
     posts = materialize(posts.join(shared, "token").select("token", "node", "size", "pos"), "postings")
-    marked, sets, links, asked = posts.withColumn("comp", F.col("node")), None, None, None
-    for leaders in ("rare", "other", None):
+    drop(prefixes)
+    marked, links, asked = posts.withColumn("comp", F.col("node")), None, None
+    for leaders in (True, False):
         p = marked.alias("p")
         if leaders:
-            # one leader a shingle: by another hash in the second round, so that nodes meet another one
-            by = F.xxhash64(F.col("node"), F.lit(leaders)) if leaders == "other" else F.xxhash64(F.col("size"), F.col("node"))
+            # one leader a shingle: the node with the fewest rarer shingles, so the one least changed in a group of copies
+            by = F.struct(F.col("pos"), F.xxhash64("node"))
             q = marked.groupBy("token").agg(F.min_by(F.struct("node", "size", "pos", "comp"), by).alias("q")).select("token", "q.*").alias("q")
             where = (F.col("p.comp") != F.col("q.comp")) & _close("p", "q", percent)
         else:
@@ -241,12 +242,16 @@ def join(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
             pairs = pairs.join(asked, ["a", "b"], "left_anti")
         pairs = materialize(pairs, "pairs")
         asked = pairs if asked is None else asked.union(pairs)
-        fresh = materialize(_verify(pairs, _sets_of(docs, owners, pairs, n), percent), "links")
+        sets = _sets_of(docs, owners, pairs, n)
+        fresh = materialize(_verify(pairs, sets, percent), "links")
+        drop(sets)
         links = fresh if links is None else links.union(fresh)
         if leaders or fresh.head(1):
             found = materialize(components(links), "components")
         if leaders:
             marked = materialize(_relabel(marked, found), "marked")
+            drop(posts)
+    drop(marked)
     nodes = names.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
     nodes = nodes.withColumn("root", F.when(F.col("size") == 0, F.lit(None)).otherwise(F.col("root")))
     firsts = nodes.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("first"))
@@ -267,7 +272,8 @@ def _sets_of(docs: DataFrame, owners: DataFrame, pairs: DataFrame, n: int) -> Da
             same = [node_of(s) == k for s, k in zip(sets, batch["node"], strict=True)]  # another text may have this doc_id
             yield pd.DataFrame({"node": batch["node"], "set": [s.tobytes() for s in sets]})[same]
 
-    return materialize(rows.mapInPandas(work, "node long, set binary").dropDuplicates(["node"]), "sets")
+    # repeated rows give a set twice, which only repeats a link
+    return materialize(rows.mapInPandas(work, "node long, set binary"), "sets")
 
 
 def op3_ngram_join(spark, sf_dir: str) -> DataFrame:
