@@ -10,10 +10,15 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _SHIPPED: set[str] = set()
+#: Rows of an Arrow batch: texts can be long, and a worker holds a batch and what is made of it.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
 
 
 def ship(spark: SparkSession) -> None:
     """Sends the package to the workers once for each application, unless PYTHONPATH already leads to it."""
+    for name, most in BATCH.items():  # only where the defaults stand
+        if spark.conf.get(name, None) in (None, "10000"):
+            spark.conf.set(name, most)
     home = Path(__file__).resolve().parent
     if str(home.parent) in os.environ.get("PYTHONPATH", "").split(os.pathsep) or spark.sparkContext.applicationId in _SHIPPED:
         return
