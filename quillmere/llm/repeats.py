@@ -109,9 +109,11 @@ def find(docs: DataFrame, codes: Callable[[str], np.ndarray], length: int, width
                 yield pd.DataFrame({n: np.concatenate(c) for n, c in zip(("core", "context", "key", "at"), cols, strict=True)})
 
     parsed = materialize(docs.mapInPandas(parse, "core long, context long, key long, at long"), f"{name}-phrases")
-    cores = parsed.groupBy("core").agg(F.count("*").alias("n")).filter("n > 1").select("core")
+    # written before it is joined: the shuffle of the count is gone by then, and a core that many rows share can be split
+    cores = materialize(parsed.groupBy("core").agg(F.count("*").alias("n")).filter("n > 1").select("core"), f"{name}-cores")
     again = materialize(parsed.join(cores, "core"), f"{name}-again")
     drop(parsed)
+    drop(cores)
     # the dictionary: each context once
     book = again.groupBy("core", "context").agg(F.count("*").alias("n"), F.min(F.struct("key", "at")).alias("one"))
     book = materialize(book, f"{name}-book")
@@ -130,7 +132,9 @@ def find(docs: DataFrame, codes: Callable[[str], np.ndarray], length: int, width
                 h = Rolling(codes(text)).hash(starts, starts + length)
                 yield pd.DataFrame({"window": h.view(np.int64), "key": key, "start": starts, "sure": np.repeat(sure, n)})
 
-    texts = docs.select("key", "text").join(ends, "key").mapInPandas(windows, "window long, key long, start long, sure boolean")
+    # one text of each key: copies would only list the same windows again
+    single = docs.select("key", "text").dropDuplicates(["key"])
+    texts = single.join(ends, "key").mapInPandas(windows, "window long, key long, start long, sure boolean")
     single = materialize(texts, f"{name}-windows")
     place = F.xxhash64("key", "start")
     twice = single.groupBy("window").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).filter("lo <> hi").select("window")
