@@ -7,9 +7,12 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+OFFSETS = T.ArrayType(T.StructType([T.StructField("s", T.IntegerType()), T.StructField("e", T.IntegerType())]))
 
-@F.pandas_udf("array<struct<s:int,e:int>>")
+
+@F.pandas_udf(OFFSETS)
 def token_offsets(text: pd.Series) -> pd.Series:
     """White-space tokens of a text as structs (s, e). Columns can only build these by appending to a growing array."""
     return text.map(lambda t: None if t is None else [{"s": m.start(), "e": m.end()} for m in re.finditer(r"\S+", t)])
