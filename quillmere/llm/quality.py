@@ -61,6 +61,8 @@ def failed(rule: Rule) -> Column:
     return reduce(Column.__or__, tests)
 
 
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_repeat_words", "n_stop_words", "n_lines", "n_dup_lines", "n_capital_words")
+
 #: Up to so many different repeated windows are looked up one by one; more are found by sorting.
 FEW = 64
 
@@ -127,7 +129,11 @@ def counts(df: DataFrame, text: str = "text") -> DataFrame:
             "n_capital_words": (F.size(F.split(t, r"[A-Z]{4,}", -1)) - 1).cast("long"),
         }
     )
-    return df.drop("__words", "__hashes", "__sorted", "__twice", "__starts", "__lines")
+    # a filter on a count would be pushed into the projections above, and word lists would be made anew for each word;
+    # an explode of one struct stops it
+    kept = [c for c in df.columns if c not in COUNTS and not c.startswith("__")]
+    df = df.select(*kept, F.explode(F.array(F.struct(*COUNTS))).alias("__counts"))
+    return df.select(*kept, *[F.col(f"__counts.{c}").alias(c) for c in COUNTS])
 
 
 def judge(df: DataFrame, text: str = "text", table: tuple[Rule, ...] = TABLE) -> DataFrame:
