@@ -7,7 +7,7 @@
    and positional filters drop pairs, and what is left is verified once, after a suffix filter, on the whole sets.
 4. Pairs are asked for in two rounds. First each shingle's nodes meet one leader; nodes that are then known to be connected
    need no more pairs between them. At last every pair of nodes of different components that shares a prefix shingle
-   and passes the filters is verified. No group is expanded into all its pairs, and no link between components is lost.
+   and passes the filters is verified, asked for at the rarest shingle that both have. No group is expanded into all its pairs, and no link between components is lost.
 5. Components come from alternating large-star and small-star steps over tables in the shared folder.
 
 64-bit hashes stand for shingles and sets: for n different shingles the chance of any collision is about n**2 / 2**65.
@@ -133,7 +133,8 @@ def _prefixes(docs: DataFrame, frequencies, n: int, percent: int) -> DataFrame:
                 rows.append((doc, node_of(s), len(s), s2[np.argsort(f, kind="stable")[:k]].view(np.int64)))
             yield pd.DataFrame(rows, columns=["doc_id", "node", "size", "tokens"])
 
-    return docs.select("doc_id", "text").mapInPandas(work, "doc_id long, node long, size int, tokens array<long>")
+    named = docs.filter("doc_id is not null").select("doc_id", "text")
+    return named.mapInPandas(work, "doc_id long, node long, size int, tokens array<long>")
 
 
 def hamming_bound(x: np.ndarray, y: np.ndarray, depth: int = 3) -> int:
@@ -234,9 +235,17 @@ def join(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
             # shingles whose nodes are not all in one component yet
             split = marked.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("token")
             rest = materialize(marked.join(split, "token"), "rest")
+            # a node's own shingles of these, rare first: a pair is asked for at the first one that both have
+            own = rest.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("s"))
+            own = materialize(own.select("node", F.transform("s", lambda x: x["token"]).alias("own")), "own")
+            rest = materialize(rest.join(own, "node"), "rest")
             p, q = rest.alias("p"), rest.alias("q")
-            where = (F.col("p.comp") != F.col("q.comp")) & (F.col("p.node") < F.col("q.node")) & _close("p", "q", percent)
-        pairs = p.join(q, "token").filter(where)
+            first = F.get(F.array_intersect("p.own", "q.own"), F.lit(0)) == F.col("p.token")
+            left = F.least(F.col("p.size") - F.col("p.pos"), F.col("q.size") - F.col("q.pos"))
+            near = left * (100 + percent) >= percent * (F.col("p.size") + F.col("q.size"))
+            where = (F.col("p.comp") != F.col("q.comp")) & (F.col("p.node") < F.col("q.node")) & _close("p", "q", percent) & near & first
+        on = F.col("p.token") == F.col("q.token")
+        pairs = p.join(q, on & where)
         pairs = pairs.select(F.least("p.node", "q.node").alias("a"), F.greatest("p.node", "q.node").alias("b")).distinct()
         if asked is not None:
             pairs = pairs.join(asked, ["a", "b"], "left_anti")
