@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from .licenses import op5_license_scan
-from .lz_dedup import op10_lz_dedup
+from .lz_dedup import OP10_SQL, op10_lz_dedup
 from .mixing import op2_source_mix
-from .ngram_join import op3_ngram_join
-from .quality import op8_quality_rules
+from .ngram_join import OP3_SQL, op3_ngram_join
+from .quality import OP8_SQL, op8_quality_rules
 from .secrets import op9_secret_scan
 from .spm import op1_sentencepiece
 from .suffix_dedup import op6_suffix_dedup
@@ -28,4 +28,9 @@ QUERIES = {
         op10_lz_dedup,
     )
 }
-ORACLE_SQL: dict[str, str] = {"op4_top_k": OP4_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op3_ngram_join": OP3_SQL,
+    "op4_top_k": OP4_SQL,
+    "op8_quality_rules": OP8_SQL,
+    "op10_lz_dedup": OP10_SQL,
+}

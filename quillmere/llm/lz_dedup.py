@@ -52,4 +52,16 @@ def lz_dedup(docs: DataFrame, length: int = LENGTH, width: int = WIDTH, gram: in
 
 
 def op10_lz_dedup(spark, sf_dir: str) -> DataFrame:
-    return lz_dedup(table(spark, sf_dir, "documents")).drop("kept")
+    return lz_dedup(table(spark, sf_dir, "documents")).drop("kept", "n_factors")
+
+
+OP10_SQL = """
+WITH w AS (SELECT doc_id, [x FOR x IN string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+') IF x <> ''] AS ws FROM documents),
+win AS (SELECT doc_id, i, array_to_string(list_slice(ws, i, i + 34), ' ') AS g FROM w, unnest(range(1, len(ws) - 33)) u(i)),
+again AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY g) AS c FROM win) WHERE c > 1),
+gone AS (SELECT DISTINCT doc_id, p FROM again, unnest(range(i, i + 35)) v(p)),
+word AS (SELECT doc_id, p, ws[p] AS x FROM w, unnest(range(1, len(ws) + 1)) v(p)),
+kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY p) AS t FROM word ANTI JOIN gone USING (doc_id, p) GROUP BY 1)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(g.n, 0) AS n_removed, sha256(coalesce(kept.t, '')) AS kept_sha256
+FROM w LEFT JOIN (SELECT doc_id, count(*) AS n FROM gone GROUP BY 1) g USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""

@@ -148,5 +148,30 @@ def op8_quality_rules(spark, sf_dir: str) -> DataFrame:
     from .common import table as load
 
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
-    cols = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "broken_rules"]
+    cols = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
     return judge(docs).select(*cols)
+
+
+def _sql(table: tuple[Rule, ...]) -> str:
+    tests = []
+    for r in table:
+        part, whole = (r.part, "1") if r.whole is None else (f"100 * {r.part}", r.whole)
+        tests += [f"{part} < {r.least} * {whole}"] if r.least is not None else []
+        tests += [f"{part} > {r.most} * {whole}"] if r.most is not None else []
+    return " OR ".join(tests)
+
+
+OP8_SQL = f"""
+WITH w AS (SELECT doc_id, t, [x FOR x IN string_split_regex(t, '[\\x20\\x09-\\x0D]+') IF x <> ''] AS ws,
+           [x FOR x IN string_split(t, chr(10)) IF NOT regexp_full_match(x, '[\\x20\\x09-\\x0D]*')] AS ls
+           FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)),
+three AS (SELECT doc_id, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS g FROM w, unnest(range(1, len(ws) - 1)) u(i)),
+again AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS c FROM three) WHERE c > 1),
+cover AS (SELECT doc_id, count(DISTINCT p) AS n FROM again, unnest([i, i + 1, i + 2]) v(p) GROUP BY 1),
+c AS (SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
+      CAST(length(t) - length(translate(t, '{SYMBOLS}', '')) AS BIGINT) AS n_symbols, CAST(len(ls) AS BIGINT) AS n_lines,
+      CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words,
+      len([x FOR x IN ws IF x IN ({', '.join(f"'{x}'" for x in STOP_WORDS)})]) AS n_stop_words, len(regexp_extract_all(t, '[A-Z]{{4,}}')) AS n_capital_words
+      FROM w LEFT JOIN cover USING (doc_id))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, {_sql(BASE)} AS base_failed, NOT ({_sql(BASE)}) AND NOT ({_sql(TABLE)}) AS kept FROM c
+"""
