@@ -628,3 +628,54 @@ def step_count(spark, sf_dir):
 @query("SELECT DISTINCT p_brand AS topic FROM part")
 def distinct_topics(spark, sf_dir):
     return I.bank(spark, sf_dir).select("topic").distinct()
+
+
+# ---- joins and small arithmetic
+
+
+@query(f"WITH {I.SQUAD} SELECT id FROM squad WHERE answer = ''")
+def join_status_ids(spark, sf_dir):
+    """Examples without an aligned window."""
+    a = aligned(spark, sf_dir)
+    return a.select("id").distinct().join(a.filter("status = 'aligned'").select("id"), "id", "left_anti")
+
+
+@query(f"WITH {I.LOGITS}, {_CAND} SELECT id, round(sum(x) / max(t), 6) AS total, count(*) AS n FROM (SELECT id, x, sum(x) OVER (PARTITION BY id) AS t FROM (SELECT id, exp(score - max(score) OVER (PARTITION BY id)) AS x FROM cand)) GROUP BY id")
+def softmax(spark, sf_dir):
+    c = Wi.candidates(I.logits(spark, sf_dir), 5, 8)
+    return c.withColumn("p", Wi.softmax(c, "score", ["id"])).groupBy("id").agg(F.round(F.sum("p"), 6).alias("total"), F.count("*").alias("n"))
+
+
+@query(f"WITH {I.SQUAD}, {_ISSUES} SELECT severity, code, count(*) AS n FROM issues GROUP BY ROLLUP (severity, code)")
+def code_rollup(spark, sf_dir):
+    i = Q.validate_dataset(A.adapt("squad", I.squad(spark, sf_dir)))
+    return i.rollup("severity", "code").agg(F.count("*").alias("n")).select("severity", "code", "n")
+
+
+@query("SELECT doc_id, n_chars >= 500 AS fits FROM documents")
+def validate_span(spark, sf_dir):
+    return docs(spark, sf_dir).select("doc_id", X.span_is_valid(F.col("text"), F.lit(0), F.lit(500)).alias("fits"))
+
+
+@query("SELECT source, count(*) / 900.0 AS seconds FROM documents GROUP BY source")
+def tokenize_secs(spark, sf_dir):
+    """Planned seconds of tokenizing at 900 records a second."""
+    return docs(spark, sf_dir).groupBy("source").agg((F.count("*") / 900).alias("seconds"))
+
+
+@query("SELECT lang, source FROM documents WHERE lang = 'en' INTERSECT SELECT 'en', source FROM documents WHERE lang = 'fr'")
+def leak_intersect(spark, sf_dir):
+    d = docs(spark, sf_dir)
+    other = d.filter("lang = 'fr'").select(F.lit("en").alias("lang"), "source")
+    return d.filter("lang = 'en'").select("lang", "source").intersect(other)
+
+
+@query("SELECT conv_id, turn FROM conversations EXCEPT SELECT conv_id, turn FROM conversations WHERE role = 'assistant'")
+def unaligned_except(spark, sf_dir):
+    c = I.table(spark, sf_dir, "conversations")
+    return c.select("conv_id", "turn").subtract(c.filter("role = 'assistant'").select("conv_id", "turn"))
+
+
+@query(f"SELECT source, count(*) AS n_rows, count(DISTINCT {CTX}) AS n_groups FROM documents GROUP BY source")
+def group_key(spark, sf_dir):
+    return docs(spark, sf_dir).groupBy("source").agg(F.count("*").alias("n_rows"), F.count_distinct(X.effective_group_key(F.lit(None).cast("string"), F.col("text"))).alias("n_groups"))
