@@ -25,10 +25,16 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of linked ones: that with the least doc_id. Rows without a doc_id stay; of rows with
     one doc_id and one text, one stays."""
-    groups = ngram_join.join(docs.select("doc_id", "text"))
-    first = groups.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    named = docs.filter("doc_id is not null").join(first, "doc_id").dropDuplicates(["doc_id", "text"])
-    return named.select(*COLUMNS).union(docs.filter("doc_id is null").select(*COLUMNS))
+    groups = materialize(ngram_join.join(docs.select("doc_id", "text")), "groups")
+    ids = groups.filter("doc_id is not null").groupBy("doc_id")
+    ids = materialize(ids.agg(F.bool_or(F.col("doc_id") == F.col("component_id")).alias("first"), F.count("*").alias("n")), "ids")
+    gone = ids.filter("not first").select("doc_id")
+    # few ids are broadcast, so that texts stay where they are; more are joined by shuffle
+    kept = docs.select(*COLUMNS).join(F.broadcast(gone) if gone.count() <= ngram_join.BROADCAST_ROWS else gone, "doc_id", "left_anti")
+    if ids.filter("n > 1").head(1):
+        once = kept.filter("doc_id is not null").dropDuplicates(["doc_id", "text"])
+        kept = once.union(kept.filter("doc_id is null"))
+    return kept.select(*COLUMNS)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
