@@ -50,14 +50,13 @@ atexit.register(_delete_all)
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """df written as a Parquet table in the shared folder and read again: lineage ends there, and a lost executor costs
-    nothing that was computed before. Shuffle files of what led to it are released."""
+    nothing that was computed before. Shuffle files of tables made before it are released."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    release(spark)  # before, not after: the caller still holds df then, but no longer what it wrote before
     df.write.parquet(path)
     _MADE.append((spark, path))
-    out = spark.read.schema(df.schema).parquet(path)
-    release(spark)
-    return out
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def drop(df: DataFrame) -> None:
