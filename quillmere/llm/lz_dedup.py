@@ -16,8 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from .common import table
-from .ngram_join import _word_hashes
-from .repeats import clean, covered, runs
+from .repeats import clean, covered, runs, word_codes
 
 #: Fixed value of the contract; neighbours of a trigger and words of its gram (3 * WIDTH + GRAM <= LENGTH + 2).
 LENGTH, WIDTH, GRAM = 35, 11, 4
@@ -28,8 +27,8 @@ def words(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").split()
 
 
-def word_codes(text: str) -> np.ndarray:
-    return _word_hashes(words(text))
+def text_codes(text: str) -> np.ndarray:
+    return word_codes(text.encode("utf-8", "surrogatepass"))
 
 
 def lz_dedup(docs: DataFrame, length: int = LENGTH, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
@@ -48,7 +47,7 @@ def lz_dedup(docs: DataFrame, length: int = LENGTH, width: int = WIDTH, gram: in
             yield pd.concat([batch[["doc_id"]], rest], axis=1)
 
     schema = "doc_id long, n_words long, n_removed long, n_factors long, kept_sha256 string, kept string"
-    return clean(docs, work, schema, word_codes, length, width, gram, "lz")
+    return clean(docs, work, schema, text_codes, length, width, gram, "lz")
 
 
 def op10_lz_dedup(spark, sf_dir: str) -> DataFrame:

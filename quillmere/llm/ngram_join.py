@@ -7,7 +7,7 @@
    and positional filters drop pairs, and what is left is verified once, after a suffix filter, on the whole sets.
 4. Pairs are asked for in two rounds. First each shingle's nodes meet one leader; nodes that are then known to be connected
    need no more pairs between them. At last every pair of nodes of different components that shares a prefix shingle
-   and passes the filters is verified, asked for at the rarest shingle that both have. No group is expanded into all its pairs, and no link between components is lost.
+   and passes the filters is verified, asked for at the first of neighbouring shingles that both have. No group is expanded into all its pairs, and no link between components is lost.
 5. Components come from alternating large-star and small-star steps over tables in the shared folder.
 
 64-bit hashes stand for shingles and sets: for n different shingles the chance of any collision is about n**2 / 2**65.
@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import U64, drop, materialize, mix64, table
+from .repeats import word_codes
 
 WORDS, PERCENT = 5, 75
 SLOTS_BITS, SLICES = 20, 64
@@ -30,33 +31,16 @@ SLOTS_BITS, SLICES = 20, 64
 BROADCAST_ROWS = 250_000
 
 _MULTIPLIERS = mix64(np.arange(1, 65, dtype=U64)) | U64(1)
-_WORD_HASHES: dict[bytes, int] = {}
-
-
-def _word_hashes(words: list[bytes]) -> np.ndarray:
-    import xxhash
-
-    memo = _WORD_HASHES
-    if len(memo) > 400_000:
-        memo.clear()
-    out = [memo.get(w) for w in words]
-    if None in out:
-        digest = xxhash.xxh64_intdigest
-        for i, h in enumerate(out):
-            if h is None:
-                out[i] = memo[words[i]] = digest(words[i])
-    return np.array(out, U64)
 
 
 def shingle_set(text: str | None, n: int = WORDS) -> np.ndarray:
     """Sorted hashes of the distinct n-word shingles of a text, A-Z lower-cased. Fewer words are one shingle, none are
     none; null is none."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
+    h = word_codes((text or "").encode("utf-8", "surrogatepass").lower())
+    if not len(h):
         return np.zeros(0, U64)
-    h = _word_hashes(words)
-    k = min(n, len(words))
-    m = len(words) - k + 1
+    k = min(n, len(h))
+    m = len(h) - k + 1
     total = np.zeros(m, U64)
     for i in range(k):
         total += h[i : i + m] * _MULTIPLIERS[i]
@@ -234,22 +218,26 @@ def join(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
         else:
             # shingles whose nodes are not all in one component yet
             split = marked.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("token")
-            rest = materialize(marked.join(split, "token"), "rest")
-            # a node's own shingles of these, rare first: a pair is asked for at the first one that both have
-            own = rest.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("s"))
-            own = materialize(own.select("node", F.transform("s", lambda x: x["token"]).alias("own")), "own")
-            rest = materialize(rest.join(own, "node"), "rest")
+            rest = marked.join(split, "token").groupBy("node", "size", "comp").agg(F.array_sort(F.collect_set(F.struct("pos", "token"))).alias("s"))
+            # with each the two that come before it in its node: a pair that has one of them in common is asked for there
+            before = lambda x, i: F.struct(x["pos"], x["token"], F.get("s", i - 1)["token"].alias("b1"), F.get("s", i - 2)["token"].alias("b2"))
+            rest = materialize(rest.select("node", "size", "comp", F.inline(F.transform("s", before)).alias("pos", "token", "b1", "b2")), "rest")
+            drop(marked)
             p, q = rest.alias("p"), rest.alias("q")
-            first = F.get(F.array_intersect("p.own", "q.own"), F.lit(0)) == F.col("p.token")
+            asked_before = [F.col(f"p.{x}") == F.col(f"q.{y}") for x in ("b1", "b2") for y in ("b1", "b2")]
+            asked_before = F.coalesce(asked_before[0] | asked_before[1] | asked_before[2] | asked_before[3], F.lit(False))
+            # what a pair can share from its first common shingle on
             left = F.least(F.col("p.size") - F.col("p.pos"), F.col("q.size") - F.col("q.pos"))
             near = left * (100 + percent) >= percent * (F.col("p.size") + F.col("q.size"))
-            where = (F.col("p.comp") != F.col("q.comp")) & (F.col("p.node") < F.col("q.node")) & _close("p", "q", percent) & near & first
+            where = (F.col("p.comp") != F.col("q.comp")) & (F.col("p.node") < F.col("q.node")) & _close("p", "q", percent) & near & ~asked_before
         on = F.col("p.token") == F.col("q.token")
         pairs = p.join(q, on & where)
         pairs = pairs.select(F.least("p.node", "q.node").alias("a"), F.greatest("p.node", "q.node").alias("b")).distinct()
         if asked is not None:
             pairs = pairs.join(asked, ["a", "b"], "left_anti")
         pairs = materialize(pairs, "pairs")
+        if not leaders:
+            drop(rest)
         asked = pairs if asked is None else asked.union(pairs)
         sets = _sets_of(docs, owners, pairs, n)
         fresh = materialize(_verify(pairs, sets, percent), "links")
@@ -260,7 +248,6 @@ def join(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
         if leaders:
             marked = materialize(_relabel(marked, found), "marked")
             drop(posts)
-    drop(marked)
     nodes = names.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
     nodes = nodes.withColumn("root", F.when(F.col("size") == 0, F.lit(None)).otherwise(F.col("root")))
     firsts = nodes.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("first"))

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, drop, materialize, mix64
+from .common import BLANKS, U64, drop, materialize, mix64
 
 _B = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_B, -1, 2**64)
@@ -55,6 +55,17 @@ class Rolling:
         return mix64((self.sums[length:] - self.sums[:n]) * self.down[:n] + U64(length))
 
 
+_BYTE_CODES = mix64(np.arange(1, 257, dtype=U64))
+_BLANK = np.isin(np.arange(256), list(BLANKS.encode()))
+
+
+def word_codes(data: bytes) -> np.ndarray:
+    """Hashes of the words of UTF-8 text, in order."""
+    b = np.frombuffer(data, np.uint8)
+    edges = np.flatnonzero(np.diff(~_BLANK[b], prepend=False, append=False))
+    return Rolling(_BYTE_CODES[b]).hash(edges[::2], edges[1::2])
+
+
 def _sliding(x: np.ndarray, width: int, f: Callable) -> np.ndarray:
     """f over every width neighbours."""
     done = 1
