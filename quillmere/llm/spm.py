@@ -67,7 +67,7 @@ class Vocabulary:
 
 
 class Encoder:
-    def __init__(self, path: str, rate: float = RATE, seed: int = SEED, draws: int = DRAWS, cached: int = 500_000):
+    def __init__(self, path: str, rate: float = RATE, seed: int = SEED, draws: int = DRAWS, cached: int = 1_200_000):
         self.v, self.rate, self.seed, self.draws, self.cached = Vocabulary(path), rate, seed, draws, cached
         self.memo: list[dict[str, bytes]] = [{} for _ in range(draws)]
         self.older: list[dict[str, bytes]] = [{} for _ in range(draws)]
@@ -167,29 +167,34 @@ class Encoder:
 
     def encode(self, texts: list[str | None], keys: list[int]) -> list[bytes]:
         """int32 ids of each text as bytes; keys choose the draws. Null and empty texts give none."""
-        split, draws, wanted = [], [], set()
+        out, left, wanted = [], [], set()
         if sum(map(len, self.memo)) > self.cached // 2:  # frequent parts come back from the older half
             self.older, self.memo = self.memo, [{} for _ in range(self.draws)]
+        memo = self.memo
         for text, key in zip(texts, keys, strict=True):
             parts = [] if not text else PART.findall(BLANK + text.replace(BLANK, LITERAL).replace(" ", BLANK))
             if self.draws > 1 and self.rate > 0:
                 d = (mix64(np.arange(len(parts), dtype=U64) + mix64(np.array([key & (2**64 - 1)], U64))) % U64(self.draws)).tolist()
             else:
                 d = [0] * len(parts)
-            split.append(parts)
-            draws.append(d)
-            wanted.update(zip(d, parts, strict=True))
+            got = [memo[a].get(p) for a, p in zip(d, parts, strict=True)]
+            if None in got:
+                wanted.update([(a, p) for a, p, g in zip(d, parts, got, strict=True) if g is None])
+                left.append((len(out), d, parts))
+                out.append(b"")
+            else:
+                out.append(b"".join(got))
         fresh = set()
         for d, p in wanted:
-            if p not in self.memo[d]:
-                ids = self.older[d].get(p)
-                if ids is None:
-                    fresh.add((d, p))
-                else:
-                    self.memo[d][p] = ids
+            ids = self.older[d].get(p)
+            if ids is None:
+                fresh.add((d, p))
+            else:
+                memo[d][p] = ids
         self.learn(fresh)
-        memo = self.memo
-        return [b"".join([memo[a][p] for a, p in zip(d, parts, strict=True)]) for d, parts in zip(draws, split, strict=True)]
+        for i, d, parts in left:
+            out[i] = b"".join([memo[a][p] for a, p in zip(d, parts, strict=True)])
+        return out
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids: the leading blank that encoding adds goes."""
