@@ -4,6 +4,8 @@ Every document is factored against an index of the whole corpus, which is held i
 35-word window the index has at another place, a factor is extended greedily for as long as the next window is there
 too; phrases whose whole context is indexed are taken in one step, and at the boundaries of factors the single windows
 are looked up. Factors reach from 35 words upwards; shorter matches are literals and stay.
+This is not the parsing in its strict form: repeated windows are marked by `repeats.find`, and runs of marks are the
+factors, whose windows may stand at different places of the index.
 """
 
 from __future__ import annotations

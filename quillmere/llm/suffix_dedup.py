@@ -4,7 +4,7 @@ Rolling-hash triggers cut every text into phrases. The dictionary holds each phr
 corpus is taken from the dictionary's suffixes combined with the parse: phrases fall together by core and context, and
 only the suffixes of dictionary entries that share a core and differ are put in order one by one. The order used is
 that of 64-bit hashes of 200-byte prefixes, in which equal prefixes are neighbours like in a suffix array; their
-alphabetical order is not needed to find repeats, and is not computed.
+alphabetical order is not needed to find repeats, and is not computed; no suffix array is built.
 """
 
 from __future__ import annotations
