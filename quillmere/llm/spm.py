@@ -3,16 +3,19 @@
 The vocabulary file is a BPE model with byte fallback; its path is a parameter. A text is cut before every run of blanks
 (no piece holds a blank after another character, which is checked), and each part is merged from an agenda ordered by
 piece score, then position. With dropout each candidate merge, when it is taken from the agenda, is skipped if the keyed
-hash of (seed, draw, piece, position) falls below the rate. The draw of a part comes from the keyed hash of its document
-and its number in it, so the same word is segmented in several ways in one corpus, and every rerun gives the same ids.
+hash of (seed, draw, piece, position) falls below the rate. The draw is a 64-bit hash of the document's id and the part's
+number in it, so every occurrence of a word is skipped on its own, and every rerun gives the same ids.
 
-Many parts are merged at once, step by step, on arrays: each step takes every part's best candidate.
+Many parts are merged at once, step by step, on arrays: each step takes every part's best candidate. What a part becomes
+depends only on which of its candidates are skipped. So parts of usual length are kept as trees: a node holds the
+candidates that come up, and the ids, if no more are skipped; its child k those after its candidate k is skipped, too. An
+occurrence walks down by its own hashes, and only nodes not seen before are merged.
 """
 
 from __future__ import annotations
 
 import re
-import zlib
+from collections import defaultdict, deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +31,9 @@ LITERAL = "\ud800"
 NONE = np.iinfo(np.int64).min
 PART = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
 #: The merge-dropout of the query.
-RATE, SEED, DRAWS = 0.1, 13, 4
+RATE, SEED = 0.1, 13
+#: Parts of more characters are merged each time: hardly any comes up twice with the same skips.
+LONG = 24
 
 
 class Vocabulary:
@@ -66,13 +71,48 @@ class Vocabulary:
         return np.where((a >= 0) & (b >= 0) & (self.keys[at] == key), self.merged[at], -1)
 
 
+class Rows:
+    """Rows of numbers of unequal length, one after the other in one array that grows."""
+
+    def __init__(self, dtype: type):
+        self.flat, self.at, self.n = np.empty(1024, dtype), np.zeros(1025, np.int64), 0
+
+    def add(self, flat: np.ndarray, lengths: np.ndarray) -> None:
+        n, end = self.n + len(lengths), int(self.at[self.n])
+        if end + len(flat) > len(self.flat):
+            self.flat = np.concatenate([self.flat[:end], np.empty(end + 2 * len(flat), self.flat.dtype)])
+        if n >= len(self.at):
+            self.at = np.concatenate([self.at[: self.n + 1], np.empty(self.n + 2 * len(lengths), np.int64)])
+        self.flat[end : end + len(flat)] = flat
+        self.at[self.n + 1 : n + 1] = end + np.cumsum(lengths)
+        self.n = n
+
+    def take(self, rows: np.ndarray, skip: np.ndarray | int = 0) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of rows, without the first so many of each, and how many each has."""
+        first = self.at[rows] + skip
+        n = self.at[rows + 1] - first
+        ends = np.cumsum(n)
+        return self.flat[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(first - ends + n, n)], n
+
+
 class Encoder:
-    def __init__(self, path: str, rate: float = RATE, seed: int = SEED, draws: int = DRAWS, cached: int = 1_200_000):
+    def __init__(self, path: str, rate: float = RATE, seed: int = SEED, draws: int | None = None, cached: int = 800_000):
+        """draws: None for a draw of its own for each part of each document, or how many draws there are."""
         self.v, self.rate, self.seed, self.draws, self.cached = Vocabulary(path), rate, seed, draws, cached
-        self.memo: list[dict[str, bytes]] = [{} for _ in range(draws)]
-        self.older: list[dict[str, bytes]] = [{} for _ in range(draws)]
+        self.memo: dict[int, dict[str, bytes]] = defaultdict(dict)
         self.chars: dict[str, int] = {}
         self.limit = U64(min(int(rate * 2.0**64), 2**64 - 1))
+        self.salt = mix64(np.array([seed], U64))
+        self.clear()
+
+    def clear(self) -> None:
+        """Empties the trees."""
+        self.roots: dict[str, int] = {}
+        self.children: dict[int, int] = {}
+        self.parts: list[str] = []
+        self.skips: list[tuple[int, ...]] = []
+        #: Of each node: what its candidates add to the key of the hash, and its ids.
+        self.taken, self.ids = Rows(U64), Rows(np.int32)
 
     def start(self, parts: list[str]) -> np.ndarray:
         """Ids of the characters of parts, a part a row, filled up with the least long. A character outside the
@@ -89,8 +129,9 @@ class Encoder:
         out[np.arange(out.shape[1]) < n[:, None]] = codes
         return out
 
-    def merge(self, ids: np.ndarray, draw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Agenda merging of the rows of ids, all at once: the ids left, and where they stand."""
+    def merge(self, ids: np.ndarray, draw: np.ndarray | None, given: np.ndarray | None = None, seen: list | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Agenda merging of the rows of ids, all at once: the ids left, and where they stand. Skips follow the draws, or
+        are given: for each row, by the number of the candidate. seen gets the candidates: rows, what they add to keys."""
         v, n, width = self.v, len(ids), ids.shape[1] - 1
         far = np.iinfo(np.int64).max
         nxt = np.tile(np.arange(1, width + 2), (n, 1))
@@ -101,7 +142,9 @@ class Encoder:
         # the agenda's order: place of the merged piece, then position
         order = np.where(cand >= 0, v.place[cand] * (width + 1) + np.arange(width + 1), far)
         rows = np.arange(n)
+        step = -1
         while len(rows):
+            step += 1
             sub = order[rows]
             at = sub.argmin(1)
             live = sub[np.arange(len(rows)), at] != far
@@ -110,8 +153,13 @@ class Encoder:
                 break
             piece = cand[rows, at]
             if self.rate > 0:
-                key = draw[rows].astype(U64) * U64(0x9E3779B97F4A7C15) + piece.astype(U64) * U64(0xC2B2AE3D27D4EB4F) + at.astype(U64) * U64(0x165667B19E3779F9)
-                skip = mix64(key + mix64(np.array([self.seed], U64))) < self.limit
+                own = piece.astype(U64) * U64(0xC2B2AE3D27D4EB4F) + at.astype(U64) * U64(0x165667B19E3779F9)
+                if seen is not None:
+                    seen.append((rows, own))
+                if given is not None:
+                    skip = given[rows, step] if step < given.shape[1] else np.zeros(len(rows), bool)
+                else:
+                    skip = mix64(draw[rows].astype(U64) * U64(0x9E3779B97F4A7C15) + own + self.salt) < self.limit
                 order[rows[skip], at[skip]] = far
                 go, pos, piece = rows[~skip], at[~skip], piece[~skip]
             else:
@@ -161,39 +209,95 @@ class Encoder:
             some.sort()
             for k in range(0, len(some), step):
                 chunk = some[k : k + step]
-                got = self.finish(*self.merge(self.start([p for _, p in chunk]), np.array([d for d, _ in chunk])))
+                got = self.finish(*self.merge(self.start([p for _, p in chunk]), np.array([d for d, _ in chunk], U64)))
                 for (d, p), ids in zip(chunk, got, strict=True):
                     self.memo[d][p] = ids
 
+    def grow(self, wanted: list[tuple[str, tuple[int, ...]]]) -> list[int]:
+        """New nodes for parts and the numbers of their skipped candidates, in the order given."""
+        made = [0] * len(wanted)
+        by: dict[int, list[int]] = {}
+        for i, (p, _) in enumerate(wanted):
+            by.setdefault(len(p), []).append(i)
+        for width, all_ in by.items():
+            step = max(1, 400_000 // width)
+            for k in range(0, len(all_), step):
+                some = all_[k : k + step]
+                given = np.zeros((len(some), max((s[-1] for i in some if (s := wanted[i][1])), default=-1) + 1), bool)
+                for r, i in enumerate(some):
+                    given[r, list(wanted[i][1])] = True
+                seen: list[tuple[np.ndarray, np.ndarray]] = []
+                got = self.finish(*self.merge(self.start([wanted[i][0] for i in some]), None, given, seen))
+                of = np.concatenate([r for r, _ in seen]) if seen else np.zeros(0, np.int64)
+                own = np.concatenate([o for _, o in seen])[np.argsort(of, kind="stable")] if seen else np.zeros(0, U64)
+                for r, i in enumerate(some):
+                    made[i] = self.ids.n + r
+                    self.parts.append(wanted[i][0])
+                    self.skips.append(wanted[i][1])
+                self.taken.add(own, np.bincount(of, minlength=len(some)))
+                self.ids.add(np.frombuffer(b"".join(got), np.int32), np.array([len(g) // 4 for g in got], np.int64))
+        return made
+
+    def walk(self, node: np.ndarray, draw: np.ndarray) -> np.ndarray:
+        """The nodes where occurrences with these draws end that start at these."""
+        node, at = node.copy(), np.arange(len(node))
+        begin = np.zeros(len(node), np.int64)  # candidates that were looked at in the parent
+        key = draw * U64(0x9E3779B97F4A7C15) + self.salt
+        while len(at):
+            own, n = self.taken.take(node[at], begin[at])
+            hit = np.flatnonzero(mix64(own + np.repeat(key[at], n)) < self.limit)
+            row = np.repeat(np.arange(len(at)), n)[hit]
+            row, first = np.unique(row, return_index=True)
+            place = hit[first] - (np.cumsum(n) - n)[row]
+            at = at[row]
+            place += begin[at]
+            to = (node[at] * 128 + place).tolist()  # a part of LONG characters has fewer than 128 candidates in turn
+            new = list(dict.fromkeys(t for t in to if t not in self.children))
+            self.children.update(zip(new, self.grow([(self.parts[t >> 7], (*self.skips[t >> 7], t & 127)) for t in new]), strict=True))
+            node[at] = [self.children[t] for t in to]
+            begin[at] = place + 1
+        return node
+
     def encode(self, texts: list[str | None], keys: list[int]) -> list[bytes]:
-        """int32 ids of each text as bytes; keys choose the draws. Null and empty texts give none."""
-        out, left, wanted = [], [], set()
-        if sum(map(len, self.memo)) > self.cached // 2:  # frequent parts come back from the older half
-            self.older, self.memo = self.memo, [{} for _ in range(self.draws)]
-        memo = self.memo
-        for text, key in zip(texts, keys, strict=True):
-            parts = [] if not text else PART.findall(BLANK + text.replace(BLANK, LITERAL).replace(" ", BLANK))
-            if self.draws > 1 and self.rate > 0:
-                d = (mix64(np.arange(len(parts), dtype=U64) + mix64(np.array([key & (2**64 - 1)], U64))) % U64(self.draws)).tolist()
-            else:
-                d = [0] * len(parts)
-            got = [memo[a].get(p) for a, p in zip(d, parts, strict=True)]
-            if None in got:
-                wanted.update([(a, p) for a, p, g in zip(d, parts, got, strict=True) if g is None])
-                left.append((len(out), d, parts))
-                out.append(b"")
-            else:
-                out.append(b"".join(got))
-        fresh = set()
-        for d, p in wanted:
-            ids = self.older[d].get(p)
-            if ids is None:
-                fresh.add((d, p))
-            else:
-                memo[d][p] = ids
-        self.learn(fresh)
-        for i, d, parts in left:
-            out[i] = b"".join([memo[a][p] for a, p in zip(d, parts, strict=True)])
+        """int32 ids of each text as bytes; the draw of a part is the hash of its text's key and its number. Null and empty
+        texts give none."""
+        if len(self.parts) > self.cached:
+            self.clear()
+        parts: list[str] = []
+        ends = [0]
+        for text in texts:
+            parts += PART.findall(BLANK + text.replace(BLANK, LITERAL).replace(" ", BLANK)) if text else []
+            ends.append(len(parts))
+        n = np.diff(ends)
+        number = np.arange(len(parts)) - np.repeat(np.array(ends[:-1], np.int64), n)
+        draw = mix64(number.astype(U64) + np.repeat(mix64(np.array([k & (2**64 - 1) for k in keys], U64)), n))
+        if self.draws is not None:
+            draw %= U64(self.draws)
+        roots = self.roots
+        node = [roots.get(p, -1) for p in parts]
+        if -1 in node:
+            new = list(dict.fromkeys(p for p, r in zip(parts, node, strict=True) if r < 0 and len(p) <= LONG))
+            roots.update(zip(new, self.grow([(p, ()) for p in new]), strict=True))
+            node = [roots.get(p, -1) for p in parts]
+        node = np.array(node, np.int64)
+        short = np.flatnonzero(node >= 0)
+        last = self.walk(node[short], draw[short]) if self.rate > 0 else node[short]
+        flat, lengths = self.ids.take(last)
+        data = flat.tobytes()
+        upto = np.zeros(len(parts) + 1, np.int64)
+        upto[short + 1] = 4 * lengths
+        upto = np.cumsum(upto)
+        long = deque(np.flatnonzero(node < 0).tolist())
+        self.learn({(int(draw[i]), parts[i]) for i in long})
+        out = []
+        for a, b in zip(ends, ends[1:], strict=False):
+            piece, at = [], a
+            while long and long[0] < b:
+                i = long.popleft()
+                piece += [data[upto[at] : upto[i]], self.memo[int(draw[i])][parts[i]]]
+                at = i + 1
+            out.append(b"".join([*piece, data[upto[at] : upto[b]]]))
+        self.memo.clear()
         return out
 
     def decode(self, ids: list[int]) -> str:
@@ -206,9 +310,9 @@ class Encoder:
 _ENCODERS: dict[tuple, Encoder] = {}
 
 
-def encode_documents(docs: DataFrame, path: str, rate: float = RATE, seed: int = SEED, draws: int = DRAWS) -> DataFrame:
+def encode_documents(docs: DataFrame, path: str, rate: float = RATE, seed: int = SEED, draws: int | None = None) -> DataFrame:
     """doc_id, text -> doc_id, n_tokens, token_ids and round_trip: whether decoding the ids gives the text again (a null
-    text counts as empty). Repeated rows get the same ids: the key is the hash of doc_id (null: 0). Whole texts of any
+    text counts as empty). Repeated rows get the same ids: the key is doc_id (null: 2**63). Whole texts of any
     length; no rows are added or lost."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,7 +324,7 @@ def encode_documents(docs: DataFrame, path: str, rate: float = RATE, seed: int =
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
                 ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-                got = enc.encode(texts, [0 if i is None else zlib.crc32(str(i).encode()) + 1 for i in ids])
+                got = enc.encode(texts, [1 << 63 if i is None else i for i in ids])
                 flat = np.frombuffer(b"".join(got), np.int32)
                 n = np.array([len(g) // 4 for g in got], np.int64)
                 ends = np.concatenate([[0], n.cumsum()])
