@@ -120,9 +120,10 @@ def require_answers(df: DataFrame, answers: str = "answers.text") -> DataFrame:
 def audit_dataset(df: DataFrame, key: str, limit: float = 0.01) -> DataFrame:
     """Findings about a split dataset (split, source, key, n_tokens, truncated): finding, detail."""
     leaks = df.groupBy(key).agg(F.count_distinct("split").alias("n")).filter("n > 1").select(F.lit("leakage").alias("finding"), F.col(key).cast("string").alias("detail"))
-    train = df.filter("split = 'train'").select("source").distinct()
-    cells = df.filter("split <> 'train'").select("split").distinct().crossJoin(F.broadcast(train.limit(10_000)))  # splits are three at most
-    missing = cells.join(df.select("split", "source").distinct(), ["split", "source"], "left_anti")
+    # the splits are three at most, so each source's set and the list of all are small
+    every = df.filter("split <> 'train'").agg(F.collect_set("split").alias("every"))
+    stands = df.groupBy("source").agg(F.collect_set("split").alias("has")).filter(F.array_contains("has", "train"))
+    missing = stands.crossJoin(F.broadcast(every)).select("source", F.explode(F.array_except("every", "has")).alias("split"))  # one row
     missing = missing.select(F.lit("source_missing").alias("finding"), F.concat_ws("/", "split", "source").alias("detail"))
     empty = df.filter("n_tokens = 0").groupBy().agg(F.count("*").alias("n")).filter("n > 0").select(F.lit("zero_tokens").alias("finding"), F.col("n").cast("string").alias("detail"))
     cut = df.groupBy("split").agg(F.avg(F.col("truncated").cast("double")).alias("r")).filter(F.col("r") > limit)

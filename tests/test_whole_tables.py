@@ -3,6 +3,9 @@
 import math
 import random
 
+from pyspark.sql import functions as F
+
+from quillmere.operators import quality as Q
 from quillmere.plans.queries import QUERIES
 
 
@@ -28,3 +31,14 @@ def test_candidates_of_all_vectors(spark, tmp_path):
     assert all(want[r["id"], r["window"], r["start"], r["end"]] == max(x for k, x in want.items() if k[0] == r["id"]) for r in spans)
     totals = {r["id"]: (r["total"], r["n"]) for r in QUERIES["softmax"](spark, str(tmp_path)).collect()}
     assert totals == {i: (1.0, sum(k[0] == i for k in want)) for i in rows}
+
+
+def test_audit_finds_every_missing_source(spark):
+    n = 10_500
+    df = spark.range(n).select(F.lit("train").alias("split"), F.concat(F.lit("s"), "id").alias("source"), F.col("id").alias("k"), F.lit(3).alias("n_tokens"), F.lit(False).alias("truncated"))
+    more = df.filter("k % 2 = 0").withColumn("split", F.lit("test")).withColumn("k", F.col("k") + n)
+    none = spark.createDataFrame([("validation", "other", -1, 3, False), ("train", None, -2, 3, False)], "split string, source string, k long, n_tokens int, truncated boolean")
+    got = Q.audit_dataset(df.union(more).union(none), "k").collect()
+    want = {f"test/s{i}" for i in range(1, n, 2)} | {f"validation/s{i}" for i in range(n)} | {"test", "validation"}  # no source counts as one
+    assert {r["finding"] for r in got} == {"source_missing"} and len(got) == len(want)
+    assert {r["detail"] for r in got} == want
