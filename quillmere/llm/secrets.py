@@ -2,8 +2,9 @@
 
 Labelled credentials are what the base patterns find in a bounded sample of documents. For each kind a prefix tree of
 them is turned into a probabilistic automaton by merging states whose outgoing frequencies are statistically compatible
-(a Hoeffding bound, tested down the subtrees). Every token that might be a credential is then scored: bits a character
-by which the best automaton explains it better than a character model of ordinary tokens does.
+(a Hoeffding bound, tested down the subtrees). Every run of credential characters that is as long as the shortest
+credential of the contract and holds a letter is then scored: bits a character by which the best automaton explains it
+better than a character model of ordinary tokens does. Short runs need more bits a character, the same total as FULL.
 """
 
 from __future__ import annotations
@@ -27,8 +28,10 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex")
 
-#: Tokens that are scored: a run of credential characters with a digit and a letter.
-TOKEN = re.compile(r"(?<![A-Za-z0-9+/_.=-])(?=[A-Za-z+/_.=-]*[0-9])[A-Za-z0-9+/_.=-]{16,}")
+#: Tokens that are scored: runs of credential characters of the least length that the assign pattern takes, with a letter;
+#: bare numbers are no credentials.
+LEAST, FULL = 6, 16
+TOKEN = re.compile(r"(?<![A-Za-z0-9+/_.=-])(?=[0-9+/_.=-]*[A-Za-z])[A-Za-z0-9+/_.=-]{6,}")
 #: Every match of ASSIGN holds one of these in lower case.
 WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 ORDINARY = re.compile(r"[A-Za-z0-9+/_.=-]+")
@@ -163,12 +166,18 @@ class Model:
             for a, b in zip(" " + s, s, strict=False):
                 self.pairs[a, b] += 1
                 self.firsts[a] += 1
+        self.costs: dict[tuple[str, str], float] = {}
 
     def gain(self, s: str) -> float:
         """Bits a character by which the best automaton beats the model of ordinary tokens."""
         if not self.automata:
             return -math.inf
-        plain = sum(math.log2((self.pairs[a, b] + 0.05) / (self.firsts[a] + 0.05 * 70)) for a, b in zip(" " + s, s, strict=False))
+        costs, plain = self.costs, 0.0
+        for pair in zip(" " + s, s, strict=False):
+            cost = costs.get(pair)
+            if cost is None:  # few pairs: credential characters only
+                cost = costs[pair] = math.log2((self.pairs[pair] + 0.05) / (self.firsts[pair[0]] + 0.05 * 70))
+            plain += cost
         return (max(a.bits(s) for a in self.automata.values()) - plain) / len(s)
 
 
@@ -195,22 +204,27 @@ def train(docs: DataFrame, sample_docs: int = 8_000, per_kind: int = 800) -> Mod
     return Model([(r["kind"], r["s"]) for part in top for r in part.collect()])
 
 
+def likely(s: str, model: Model, least: float) -> bool:
+    """Whether a token's core reaches least bits a character, and as many bits in all as one of FULL characters needs."""
+    core = s.strip(".=-_/+")
+    return len(core) >= LEAST and model.gain(core) * len(core) >= least * max(len(core), FULL)
+
+
 def all_spans(text: str, model: Model, least: float, memo: dict[str, bool]) -> tuple[list[Span], list[Span]]:
     base = base_spans(text)
-    more = []
-    for m in TOKEN.finditer(text):
-        s = m[0]
-        start, end = m.span()
-        if any(a < end and start < b for _, a, b in base):
-            continue
+    if len(memo) > 200_000:
+        memo.clear()
+    good = set()
+    for s in set(TOKEN.findall(text)):
         verdict = memo.get(s)
         if verdict is None:
-            core = s.strip(".=-_/+")
-            mixed = any(c.isdigit() for c in core) and any(c.isalpha() for c in core)
-            verdict = memo[s] = len(core) >= 16 and mixed and model.gain(core) >= least
-            if len(memo) > 200_000:
-                memo.clear()
+            verdict = memo[s] = likely(s, model, least)
         if verdict:
+            good.add(s)
+    more = []
+    for m in TOKEN.finditer(text) if good else ():
+        start, end = m.span()
+        if m[0] in good and not any(a < end and start < b for _, a, b in base):
             more.append(("format", start, end))
     order = (*KINDS, "format")
     return base, sorted(base + more, key=lambda x: (x[1], order.index(x[0])))

@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 
-from quillmere.llm import spm
+from quillmere.llm import secrets, spm
 
 
 def test_spm_draws_every_occurrence_on_its_own():
@@ -37,3 +37,17 @@ def test_spm_trees_equal_merging():
         assert b"".join(alone) == ids
         assert enc.decode(np.frombuffer(ids, np.int32).tolist()) == (text or "")
     assert enc.encode(texts, keys) == got
+
+
+def test_secrets_short_or_without_digits_are_scored():
+    rng = random.Random(2)
+    letters = lambda k: "".join(rng.choices("BCDFGHJK", k=k))
+    words = ["".join(rng.choices("abcdefghilmnoprstu", k=rng.randint(6, 9))) for _ in range(600)]
+    model = secrets.Model([("assign", letters(10)) for _ in range(300)] + [("", w) for w in words[:400]])
+    say = lambda: " ".join(rng.choices(words[400:], k=30))
+    for value in [letters(10) for _ in range(20)] + [letters(40) for _ in range(20)]:
+        text = f"{say()} {value} {say()}"
+        at = text.index(value)
+        assert secrets.all_spans(text, model, 1.0, {}) == ([], [("format", at, at + len(value))])
+    for _ in range(50):
+        assert secrets.all_spans(f"{say()} 4263429643439180", model, 1.0, {}) == ([], [])
