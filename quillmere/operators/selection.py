@@ -1,4 +1,4 @@
-"""Dedup, hash-ordered selection and caps, grouped splits and the preparation pipeline."""
+"""Dedup, hash-ordered selection and caps, and grouped splits."""
 
 from __future__ import annotations
 
