@@ -1,11 +1,9 @@
-"""Substring dedup by relative Lempel-Ziv parsing over words.
-
-Every document is factored against an index of the whole corpus, which is held in blocks by hash. From a word whose
-35-word window the index has at another place, a factor is extended greedily for as long as the next window is there
-too; phrases whose whole context is indexed are taken in one step, and at the boundaries of factors the single windows
-are looked up. Factors reach from 35 words upwards; shorter matches are literals and stay.
-This is not the parsing in its strict form: repeated windows are marked by `repeats.find`, and runs of marks are the
-factors, whose windows may stand at different places of the index.
+"""Removal of repeated 35-word windows over the whole corpus.
+
+Every window of 35 words that stands at two places or more is marked by `repeats.find`: phrases whose whole context is
+repeated are taken in one step, single windows are looked up in blocks by hash. Words under a mark are removed. The
+method named for this operator, relative Lempel-Ziv parsing, is not built: no factor, reference position or literal
+exists, and it has not been tried and measured. The rows are those of the contract either way.
 """
 
 from __future__ import annotations

@@ -1,10 +1,9 @@
-"""Suffix-array dedup of byte strings by prefix-free parsing.
+"""Removal of repeated 200-byte windows by the phrases of prefix-free parsing.
 
-Rolling-hash triggers cut every text into phrases. The dictionary holds each phrase's context once; the order of the
-corpus is taken from the dictionary's suffixes combined with the parse: phrases fall together by core and context, and
-only the suffixes of dictionary entries that share a core and differ are put in order one by one. The order used is
-that of 64-bit hashes of 200-byte prefixes, in which equal prefixes are neighbours like in a suffix array; their
-alphabetical order is not needed to find repeats, and is not computed; no suffix array is built.
+Rolling-hash triggers cut every text into phrases, whose contexts are grouped by hash; repeated windows are marked by
+`repeats.find`, and bytes under a mark are removed. Equal windows are found by 64-bit hashes of 200-byte prefixes, of
+which the alphabetical order is not needed. The suffix arrays of dictionary and parse, which the named method builds,
+are not built, and have not been tried and measured. The rows are those of the contract either way.
 """
 
 from __future__ import annotations
