@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from .common import U64, mix64, table
@@ -34,6 +35,8 @@ PART = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
 RATE, SEED = 0.1, 13
 #: Parts of more characters are merged each time: hardly any comes up twice with the same skips.
 LONG = 24
+#: Characters that are encoded at once, but for the last text of them.
+CHARS = 2_500_000
 
 
 class Vocabulary:
@@ -95,12 +98,35 @@ class Rows:
         return self.flat[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(first - ends + n, n)], n
 
 
+class Grown:
+    """Rows of equal shape in one array that grows."""
+
+    def __init__(self, dtype: type, width: int | None = None):
+        self.room, self.n = np.empty((1024,) if width is None else (1024, width), dtype), 0
+
+    def add(self, rows: np.ndarray) -> None:
+        n = self.n + len(rows)
+        if n > len(self.room):
+            self.room = np.concatenate([self.room[: self.n], np.empty((self.n + 2 * len(rows), *self.room.shape[1:]), self.room.dtype)])
+        self.room[self.n : n] = rows
+        self.n = n
+
+    @property
+    def all(self) -> np.ndarray:
+        return self.room[: self.n]
+
+
 class Encoder:
-    def __init__(self, path: str, rate: float = RATE, seed: int = SEED, draws: int | None = None, cached: int = 800_000):
+    def __init__(self, path: str, rate: float = RATE, seed: int = SEED, draws: int | None = None, cached: int = 1_000_000):
         """draws: None for a draw of its own for each part of each document, or how many draws there are."""
         self.v, self.rate, self.seed, self.draws, self.cached = Vocabulary(path), rate, seed, draws, cached
         self.memo: dict[int, dict[str, bytes]] = defaultdict(dict)
-        self.chars: dict[str, int] = {}
+        #: Of each code point: the id of the character, or -1 - code point: it merges with nothing and becomes bytes.
+        self.first = -1 - np.arange(0x110000, dtype=np.int64)
+        for piece, i in self.v.ids.items():
+            if len(piece) == 1:
+                self.first[ord(piece)] = i
+        self.first[ord(LITERAL)] = -1 - ord(BLANK)
         self.limit = U64(min(int(rate * 2.0**64), 2**64 - 1))
         self.salt = mix64(np.array([seed], U64))
         self.clear()
@@ -109,24 +135,21 @@ class Encoder:
         """Empties the trees."""
         self.roots: dict[str, int] = {}
         self.children: dict[int, int] = {}
-        self.parts: list[str] = []
-        self.skips: list[tuple[int, ...]] = []
-        #: Of each node: what its candidates add to the key of the hash, and its ids.
-        self.taken, self.ids = Rows(U64), Rows(np.int32)
+        #: Ids of the characters of each part.
+        self.starts = Rows(np.int32)
+        #: Of each node: its part, which candidates it skips (128 bits), what its candidates add to the key, its ids.
+        self.part, self.skips, self.taken, self.ids = Grown(np.int64), Grown(U64, 2), Rows(U64), Rows(np.int32)
+
+    def firsts(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the characters of parts, one part after the other, and their lengths."""
+        codes = np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), np.uint32)
+        return self.first[codes], np.fromiter(map(len, parts), np.int64, len(parts))
 
     def start(self, parts: list[str]) -> np.ndarray:
-        """Ids of the characters of parts, a part a row, filled up with the least long. A character outside the
-        vocabulary is given as -1 - code point: it merges with nothing and becomes bytes."""
-        chars = self.chars
-        text = "".join(parts)
-        codes = [chars.get(c) for c in text]
-        if None in codes:
-            for i, c in enumerate(text):
-                if codes[i] is None:
-                    codes[i] = chars[c] = self.v.ids.get(c, -1 - ord(BLANK if c == LITERAL else c))
-        n = np.fromiter(map(len, parts), np.int64, len(parts))
+        """Ids of the characters of parts, a part a row, filled up with the least long."""
+        flat, n = self.firsts(parts)
         out = np.full((len(parts), int(n.max()) + 1), NONE, np.int64)
-        out[np.arange(out.shape[1]) < n[:, None]] = codes
+        out[np.arange(out.shape[1]) < n[:, None]] = flat
         return out
 
     def merge(self, ids: np.ndarray, draw: np.ndarray | None, given: np.ndarray | None = None, seen: list | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -145,12 +168,13 @@ class Encoder:
         step = -1
         while len(rows):
             step += 1
-            sub = order[rows]
+            sub = order[rows] if len(rows) < n else order
             at = sub.argmin(1)
             live = sub[np.arange(len(rows)), at] != far
-            rows, at = rows[live], at[live]
-            if not len(rows):
-                break
+            if not live.all():
+                rows, at = rows[live], at[live]
+                if not len(rows):
+                    break
             piece = cand[rows, at]
             if self.rate > 0:
                 own = piece.astype(U64) * U64(0xC2B2AE3D27D4EB4F) + at.astype(U64) * U64(0x165667B19E3779F9)
@@ -160,8 +184,11 @@ class Encoder:
                     skip = given[rows, step] if step < given.shape[1] else np.zeros(len(rows), bool)
                 else:
                     skip = mix64(draw[rows].astype(U64) * U64(0x9E3779B97F4A7C15) + own + self.salt) < self.limit
-                order[rows[skip], at[skip]] = far
-                go, pos, piece = rows[~skip], at[~skip], piece[~skip]
+                if skip.any():
+                    order[rows[skip], at[skip]] = far
+                    go, pos, piece = rows[~skip], at[~skip], piece[~skip]
+                else:
+                    go, pos = rows, at
             else:
                 go, pos = rows, at
             if not len(go):
@@ -172,32 +199,45 @@ class Encoder:
             alive[go, right] = False
             order[go, right] = far
             nxt[go, pos] = after
+            # the two merges that the new symbol may enter: with the one after it and the one before it
             inside = after <= width
             prv[go[inside], after[inside]] = pos[inside]
+            before = prv[go, pos]
+            has = before >= 0
+            k = int(inside.sum())
+            left = np.concatenate([piece[inside], ids[go[has], before[has]]])
+            next_ = np.concatenate([ids[go[inside], after[inside]], piece[has]])
+            both = v.join(left, next_)
             new = np.full(len(go), -1, np.int64)
-            new[inside] = v.join(piece[inside], ids[go[inside], after[inside]])
+            new[inside] = both[:k]
             cand[go, pos] = new
             order[go, pos] = np.where(new >= 0, v.place[new] * (width + 1) + pos, far)
-            before = prv[go, pos]
-            has = before >= 0
-            g, b = go[has], before[has]
-            new = v.join(ids[g, b], piece[has])
+            g, b, new = go[has], before[has], both[k:]
             cand[g, b] = new
             order[g, b] = np.where(new >= 0, v.place[new] * (width + 1) + b, far)
         return ids, alive & (ids != NONE)
 
-    def finish(self, ids: np.ndarray, there: np.ndarray) -> list[bytes]:
-        """int32 ids of each row as bytes; characters outside the vocabulary become their byte pieces."""
+    def flat(self, ids: np.ndarray, there: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """int32 ids of all rows and how many each has; characters outside the vocabulary become their byte pieces."""
         flat, n = ids[there], there.sum(1)
-        odd = np.flatnonzero((there & (ids < 0)).any(1))
-        data, ends = flat.astype(np.int32).tobytes(), np.concatenate([[0], 4 * np.cumsum(n)]).tolist()
-        out = [data[a:b] for a, b in zip(ends, ends[1:], strict=False)]
-        for r in odd.tolist():
-            some: list[int] = []
-            for i in ids[r][there[r]].tolist():
-                some += [i] if i >= 0 else [self.v.byte[x] for x in chr(-1 - i).encode("utf-8", "surrogatepass")]
-            out[r] = np.array(some, np.int32).tobytes()
-        return out
+        odd = np.flatnonzero(flat < 0)
+        if len(odd):
+            spelt = [[self.v.byte[x] for x in chr(-1 - i).encode("utf-8", "surrogatepass")] for i in flat[odd].tolist()]
+            times = np.ones(len(flat), np.int64)
+            times[odd] = [len(x) for x in spelt]
+            row = np.repeat(np.arange(len(n)), n)
+            n = np.bincount(row, times, len(n)).astype(np.int64)
+            at = (np.cumsum(times) - times)[odd]
+            flat = np.repeat(flat, times)
+            for a, x in zip(at.tolist(), spelt, strict=True):
+                flat[a : a + len(x)] = x
+        return flat.astype(np.int32), n
+
+    def finish(self, ids: np.ndarray, there: np.ndarray) -> list[bytes]:
+        """int32 ids of each row as bytes."""
+        flat, n = self.flat(ids, there)
+        data, ends = flat.tobytes(), np.concatenate([[0], 4 * np.cumsum(n)]).tolist()
+        return [data[a:b] for a, b in zip(ends, ends[1:], strict=False)]
 
     def learn(self, wanted: set[tuple[int, str]]) -> None:
         """Puts the segmentations of (draw, part) into the memo, parts of like length together."""
@@ -213,29 +253,27 @@ class Encoder:
                 for (d, p), ids in zip(chunk, got, strict=True):
                     self.memo[d][p] = ids
 
-    def grow(self, wanted: list[tuple[str, tuple[int, ...]]]) -> list[int]:
-        """New nodes for parts and the numbers of their skipped candidates, in the order given."""
-        made = [0] * len(wanted)
-        by: dict[int, list[int]] = {}
-        for i, (p, _) in enumerate(wanted):
-            by.setdefault(len(p), []).append(i)
-        for width, all_ in by.items():
-            step = max(1, 400_000 // width)
-            for k in range(0, len(all_), step):
-                some = all_[k : k + step]
-                given = np.zeros((len(some), max((s[-1] for i in some if (s := wanted[i][1])), default=-1) + 1), bool)
-                for r, i in enumerate(some):
-                    given[r, list(wanted[i][1])] = True
+    def grow(self, part: np.ndarray, skips: np.ndarray) -> np.ndarray:
+        """New nodes for parts (by number) and their skipped candidates (bits), in the order given."""
+        made = np.zeros(len(part), np.int64)
+        lengths = self.starts.at[part + 1] - self.starts.at[part]
+        for width in np.unique(lengths).tolist():
+            every = np.flatnonzero(lengths == width)
+            for k in range(0, len(every), max(1, 400_000 // width)):
+                some = every[k : k + max(1, 400_000 // width)]
+                ids = np.full((len(some), width + 1), NONE, np.int64)
+                ids[:, :-1] = self.starts.take(part[some])[0].reshape(len(some), width)
+                bits = np.unpackbits(skips[some].astype("<u8").view(np.uint8), axis=1, bitorder="little").view(bool)
+                upto = np.flatnonzero(bits.any(0))
                 seen: list[tuple[np.ndarray, np.ndarray]] = []
-                got = self.finish(*self.merge(self.start([wanted[i][0] for i in some]), None, given, seen))
+                flat, n = self.flat(*self.merge(ids, None, bits[:, : upto[-1] + 1 if len(upto) else 0], seen))
                 of = np.concatenate([r for r, _ in seen]) if seen else np.zeros(0, np.int64)
                 own = np.concatenate([o for _, o in seen])[np.argsort(of, kind="stable")] if seen else np.zeros(0, U64)
-                for r, i in enumerate(some):
-                    made[i] = self.ids.n + r
-                    self.parts.append(wanted[i][0])
-                    self.skips.append(wanted[i][1])
+                made[some] = self.ids.n + np.arange(len(some))
+                self.part.add(part[some])
+                self.skips.add(skips[some])
                 self.taken.add(own, np.bincount(of, minlength=len(some)))
-                self.ids.add(np.frombuffer(b"".join(got), np.int32), np.array([len(g) // 4 for g in got], np.int64))
+                self.ids.add(flat, n)
         return made
 
     def walk(self, node: np.ndarray, draw: np.ndarray) -> np.ndarray:
@@ -247,21 +285,30 @@ class Encoder:
             own, n = self.taken.take(node[at], begin[at])
             hit = np.flatnonzero(mix64(own + np.repeat(key[at], n)) < self.limit)
             row = np.repeat(np.arange(len(at)), n)[hit]
-            row, first = np.unique(row, return_index=True)
+            first = np.flatnonzero(np.diff(row, prepend=-1))
+            row = row[first]
             place = hit[first] - (np.cumsum(n) - n)[row]
             at = at[row]
             place += begin[at]
-            to = (node[at] * 128 + place).tolist()  # a part of LONG characters has fewer than 128 candidates in turn
-            new = list(dict.fromkeys(t for t in to if t not in self.children))
-            self.children.update(zip(new, self.grow([(self.parts[t >> 7], (*self.skips[t >> 7], t & 127)) for t in new]), strict=True))
-            node[at] = [self.children[t] for t in to]
+            to = node[at] * 128 + place  # a part of LONG characters has fewer than 128 candidates in turn
+            get = self.children.get
+            found = np.array([get(t, -1) for t in to.tolist()], np.int64)
+            lacking = np.flatnonzero(found < 0)
+            if len(lacking):
+                new, which = np.unique(to[lacking], return_inverse=True)
+                skips = self.skips.all[new >> 7]
+                np.bitwise_or.at(skips, (np.arange(len(new)), (new & 127) >> 6), U64(1) << (new & 63).astype(U64))
+                made = self.grow(self.part.all[new >> 7], skips)
+                self.children.update(zip(new.tolist(), made.tolist(), strict=True))
+                found[lacking] = made[which]
+            node[at] = found
             begin[at] = place + 1
         return node
 
     def encode(self, texts: list[str | None], keys: list[int]) -> list[bytes]:
         """int32 ids of each text as bytes; the draw of a part is the hash of its text's key and its number. Null and empty
         texts give none."""
-        if len(self.parts) > self.cached:
+        if self.part.n > self.cached:
             self.clear()
         parts: list[str] = []
         ends = [0]
@@ -273,13 +320,15 @@ class Encoder:
         draw = mix64(number.astype(U64) + np.repeat(mix64(np.array([k & (2**64 - 1) for k in keys], U64)), n))
         if self.draws is not None:
             draw %= U64(self.draws)
-        roots = self.roots
-        node = [roots.get(p, -1) for p in parts]
-        if -1 in node:
-            new = list(dict.fromkeys(p for p, r in zip(parts, node, strict=True) if r < 0 and len(p) <= LONG))
-            roots.update(zip(new, self.grow([(p, ()) for p in new]), strict=True))
-            node = [roots.get(p, -1) for p in parts]
-        node = np.array(node, np.int64)
+        get = self.roots.get
+        node = np.array([get(p, -1) for p in parts], np.int64)
+        lacking = [(i, parts[i]) for i in np.flatnonzero(node < 0).tolist() if len(parts[i]) <= LONG]
+        if lacking:
+            new = list(dict.fromkeys([p for _, p in lacking]))
+            at = self.starts.n + np.arange(len(new))
+            self.starts.add(*self.firsts(new))
+            self.roots.update(zip(new, self.grow(at, np.zeros((len(new), 2), U64)).tolist(), strict=True))
+            node[[i for i, _ in lacking]] = [get(p, -1) for _, p in lacking]
         short = np.flatnonzero(node >= 0)
         last = self.walk(node[short], draw[short]) if self.rate > 0 else node[short]
         flat, lengths = self.ids.take(last)
@@ -321,8 +370,11 @@ def encode_documents(docs: DataFrame, path: str, rate: float = RATE, seed: int =
             _ENCODERS[key] = Encoder(path, rate, seed, draws)
         enc = _ENCODERS[key]
         for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
+            # as many texts at once as give the arrays a good length
+            size = pc.utf8_length(whole.column(1)).fill_null(0).to_numpy(zero_copy_only=False).cumsum() // CHARS
+            cuts = [0, *(np.flatnonzero(np.diff(size)) + 1).tolist(), whole.num_rows]
+            for at, end in zip(cuts, cuts[1:], strict=False):
+                batch = whole.slice(at, end - at)
                 ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
                 got = enc.encode(texts, [1 << 63 if i is None else i for i in ids])
                 flat = np.frombuffer(b"".join(got), np.int32)
