@@ -1,27 +1,12 @@
-"""Finding every window of L symbols that stands at two places or more of a corpus, without listing all windows.
-
-A text is cut at triggers: a gram of w symbols whose rolling hash is least among some W neighbouring ones. Whether a
-place is a trigger depends on its surroundings only, so two equal windows hold the same triggers inside. A phrase is the
-run of window starts that share their first inner trigger; at most W starts. With 3W + w <= L + 2 that trigger, and the
-L - W symbols around it (its core), lie in every window of the phrase. So a window can repeat only if its phrase's core
-does; and if a phrase's whole context (all its windows) repeats, all its windows do. Left are phrases whose core
-repeats and whose context does not, which are those at the ends of repeats: for them, and for one of each other context
-of the same core, single windows are compared.
-
-Cores, contexts and windows are compared by 64-bit rolling hashes. All groupings are counted with partial aggregation
-and joined back, so a key that holds a third of all rows is no larger than others after the first step.
-"""
+"""Rolling hashes of symbol sequences, and triggers: places that are chosen by what stands around them."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .common import BLANKS, U64, drop, materialize, mix64
+from .common import BLANKS, U64, mix64
 
 _B = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_B, -1, 2**64)
@@ -50,9 +35,13 @@ class Rolling:
     def hash(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         return mix64((self.sums[ends] - self.sums[starts]) * self.down[starts] + (ends - starts).astype(U64))
 
-    def all(self, length: int) -> np.ndarray:
+    def raw(self, length: int) -> np.ndarray:
+        """Of every run of a length, a hash whose upper bits are good."""
         n = len(self.sums) - length
-        return mix64((self.sums[length:] - self.sums[:n]) * self.down[:n] + U64(length))
+        return (self.sums[length:] - self.sums[:n]) * self.down[:n]
+
+    def all(self, length: int) -> np.ndarray:
+        return mix64(self.raw(length) + U64(length))
 
 
 _BYTE_CODES = mix64(np.arange(1, 257, dtype=U64))
@@ -99,89 +88,11 @@ def phrases(codes: np.ndarray, length: int, width: int, gram: int):
     return core, context, first, last
 
 
-def find(docs: DataFrame, codes: Callable[[str], np.ndarray], length: int, width: int, gram: int, name: str) -> DataFrame:
-    """docs with text and a hash key of it (long) -> (key, marks): for texts that hold repeated windows, their starts as
-    longs first * 4096 + (last - first). Windows are compared between different texts and inside one; copies of whole
-    texts may be counted once (see the caller)."""
-
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: set[int] = set()
-        for batch in batches:
-            cols: list[list] = [[], [], [], []]
-            for key, text in zip(batch["key"], batch["text"], strict=True):
-                if key in seen:
-                    continue
-                if len(seen) < 500_000:
-                    seen.add(key)
-                core, context, first, last = phrases(codes(text), length, width, gram)
-                for c, x in zip(cols, (core.view(np.int64), context.view(np.int64), np.full(len(core), key), first * 4096 + (last - first)), strict=True):
-                    c.append(x)
-            if cols[0]:
-                yield pd.DataFrame({n: np.concatenate(c) for n, c in zip(("core", "context", "key", "at"), cols, strict=True)})
-
-    parsed = materialize(docs.mapInPandas(parse, "core long, context long, key long, at long"), f"{name}-phrases")
-    # written before it is joined: the shuffle of the count is gone by then, and a core that many rows share can be split
-    cores = materialize(parsed.groupBy("core").agg(F.count("*").alias("n")).filter("n > 1").select("core"), f"{name}-cores")
-    again = materialize(parsed.join(cores, "core"), f"{name}-again")
-    drop(parsed)
-    drop(cores)
-    # the dictionary: each context once
-    book = again.groupBy("core", "context").agg(F.count("*").alias("n"), F.min(F.struct("key", "at")).alias("one"))
-    book = materialize(book, f"{name}-book")
-    whole = again.join(book.filter("n > 1").select("core", "context"), ["core", "context"]).select("key", "at")
-    split = book.groupBy("core").agg(F.count("*").alias("contexts")).filter("contexts > 1").select("core")
-    ends = book.join(split, "core").select("one.key", F.struct(F.col("one.at").alias("at"), (F.col("n") > 1).alias("sure")).alias("end"))
-    ends = materialize(ends.groupBy("key").agg(F.collect_list("end").alias("ends")), f"{name}-ends")
-
-    def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for key, text, some in zip(batch["key"], batch["text"], batch["ends"], strict=True):
-                at = np.array([e["at"] for e in some], np.int64)
-                sure = np.array([e["sure"] for e in some], bool)
-                first, n = at // 4096, at % 4096 + 1
-                starts = np.repeat(first - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-                h = Rolling(codes(text)).hash(starts, starts + length)
-                yield pd.DataFrame({"window": h.view(np.int64), "key": key, "start": starts, "sure": np.repeat(sure, n)})
-
-    # one text of each key: copies would only list the same windows again
-    single = docs.select("key", "text").dropDuplicates(["key"])
-    texts = single.join(ends, "key").mapInPandas(windows, "window long, key long, start long, sure boolean")
-    single = materialize(texts, f"{name}-windows")
-    place = F.xxhash64("key", "start")
-    twice = single.groupBy("window").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).filter("lo <> hi").select("window")
-    loose = single.filter("not sure").join(twice, "window").select("key", (F.col("start") * 4096).alias("at"))
-    marks = materialize(whole.union(loose).groupBy("key").agg(F.collect_set("at").alias("marks")), f"{name}-marks")
-    for t in (again, book, ends, single):
-        drop(t)
-    return marks
-
-
-def covered(n: int, marks, copied: bool, length: int) -> np.ndarray:
-    """Which of n symbols lie in a repeated window. Starts that follow one another grow into one run greedily."""
-    if n < length:
-        return np.zeros(n, bool)
-    if copied:
-        return np.ones(n, bool)
-    change = np.zeros(n + 1, np.int32)
-    if marks is not None and len(marks):
-        at = np.asarray(marks, np.int64)
-        first, last = at // 4096, at // 4096 + at % 4096
-        np.add.at(change, first, 1)
-        np.add.at(change, last + length, -1)
-    return np.cumsum(change[:-1]) > 0
-
-
 def runs(mask: np.ndarray) -> int:
     return int((mask[1:] & ~mask[:-1]).sum() + mask[:1].sum()) if len(mask) else 0
 
 
-def clean(docs: DataFrame, work: Callable, schema: str, codes: Callable, length: int, width: int, gram: int, name: str) -> DataFrame:
-    """doc_id, text -> what work makes of batches with doc_id, text, marks and copied (another row has the same text)."""
-    rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = rows.withColumn("key", F.xxhash64("text"))
-    marks = find(rows.select("key", "text"), codes, length, width, gram, name)
-    copies = rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key", F.lit(True).alias("copied"))
-    copies = copies.join(marks, "key", "full") if marks is not None else copies
-    facts = materialize(copies.select("key", "marks", F.coalesce("copied", F.lit(False)).alias("copied")), f"{name}-facts")
-    drop(marks)
-    return rows.join(facts, "key", "left").select("doc_id", "text", "marks", F.coalesce("copied", F.lit(False)).alias("copied")).mapInPandas(work, schema)
+def pieces(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The numbers of runs [start, start + length), one run after the other."""
+    ends = np.cumsum(lengths)
+    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts - ends + lengths, lengths)
