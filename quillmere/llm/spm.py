@@ -64,14 +64,38 @@ class Vocabulary:
                 a, b = self.ids.get(p[:k]), self.ids.get(p[k:])
                 if a is not None and b is not None:
                     pairs[a * self.size + b] = i
-        self.keys = np.array(sorted(pairs), np.int64)
-        self.merged = np.array([pairs[k] for k in self.keys.tolist()], np.int64)
+        # a hash table with open addressing, at most a quarter full; each round places those that find their slot free
+        self.shift = U64(64 - max(10, (4 * len(pairs)).bit_length()))
+        self.keys = np.full(1 << (64 - int(self.shift)), -1, np.int64)
+        self.merged = np.full(len(self.keys), -1, np.int64)
+        keys = np.fromiter(pairs, np.int64, len(pairs))
+        ids, slot = np.fromiter(pairs.values(), np.int64, len(pairs)), self._slot(keys)
+        while len(keys):
+            free = self.keys[slot] == -1
+            self.keys[slot[free]] = keys[free]
+            here = self.keys[slot] == keys
+            self.merged[slot[here]] = ids[here]
+            keys, ids, slot = keys[~here], ids[~here], (slot[~here] + 1) & (len(self.keys) - 1)
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return ((key.astype(U64) * U64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
 
     def join(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The piece that two pieces merge to, or -1; negative operands never merge."""
-        key = a * self.size + b
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where((a >= 0) & (b >= 0) & (self.keys[at] == key), self.merged[at], -1)
+        if a.ndim > 1:
+            return self.join(a.ravel(), b.ravel()).reshape(a.shape)
+        key = np.where((a >= 0) & (b >= 0), a * self.size + b, -1)
+        slot = self._slot(key)
+        there = self.keys[slot]
+        out = np.where(there == key, self.merged[slot], -1)
+        more = np.flatnonzero((there != key) & (there != -1) & (key != -1))
+        while len(more):
+            at = slot[more] = (slot[more] + 1) & (len(self.keys) - 1)
+            there = self.keys[at]
+            hit = there == key[more]
+            out[more[hit]] = self.merged[at[hit]]
+            more = more[~hit & (there != -1)]
+        return np.where(key == -1, -1, out)
 
 
 class Rows:
@@ -134,11 +158,12 @@ class Encoder:
     def clear(self) -> None:
         """Empties the trees."""
         self.roots: dict[str, int] = {}
-        self.children: dict[int, int] = {}
         #: Ids of the characters of each part.
         self.starts = Rows(np.int32)
         #: Of each node: its part, which candidates it skips (128 bits), what its candidates add to the key, its ids.
         self.part, self.skips, self.taken, self.ids = Grown(np.int64), Grown(U64, 2), Rows(U64), Rows(np.int32)
+        #: Beside each number of taken: the node where that candidate is skipped, or -1.
+        self.child = np.full(0, -1, np.int32)
 
     def firsts(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the characters of parts, one part after the other, and their lengths."""
@@ -274,6 +299,8 @@ class Encoder:
                 self.skips.add(skips[some])
                 self.taken.add(own, np.bincount(of, minlength=len(some)))
                 self.ids.add(flat, n)
+                if len(self.child) < len(self.taken.flat):
+                    self.child = np.concatenate([self.child, np.full(len(self.taken.flat) - len(self.child), -1, np.int32)])
         return made
 
     def walk(self, node: np.ndarray, draw: np.ndarray) -> np.ndarray:
@@ -290,16 +317,16 @@ class Encoder:
             place = hit[first] - (np.cumsum(n) - n)[row]
             at = at[row]
             place += begin[at]
-            to = node[at] * 128 + place  # a part of LONG characters has fewer than 128 candidates in turn
-            get = self.children.get
-            found = np.array([get(t, -1) for t in to.tolist()], np.int64)
+            slot = self.taken.at[node[at]] + place
+            found = self.child[slot].astype(np.int64)
             lacking = np.flatnonzero(found < 0)
             if len(lacking):
-                new, which = np.unique(to[lacking], return_inverse=True)
-                skips = self.skips.all[new >> 7]
-                np.bitwise_or.at(skips, (np.arange(len(new)), (new & 127) >> 6), U64(1) << (new & 63).astype(U64))
-                made = self.grow(self.part.all[new >> 7], skips)
-                self.children.update(zip(new.tolist(), made.tolist(), strict=True))
+                new, one, which = np.unique(slot[lacking], return_index=True, return_inverse=True)
+                parent, skipped = node[at[lacking[one]]], place[lacking[one]]
+                skips = self.skips.all[parent]  # a part of LONG characters has fewer than 128 candidates in turn
+                np.bitwise_or.at(skips, (np.arange(len(new)), skipped >> 6), U64(1) << (skipped & 63).astype(U64))
+                made = self.grow(self.part.all[parent], skips)
+                self.child[new] = made
                 found[lacking] = made[which]
             node[at] = found
             begin[at] = place + 1
