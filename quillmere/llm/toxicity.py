@@ -2,7 +2,7 @@
 
 The machine's score adds a weight for each term of a text and, for each pair of its terms, the product of their vectors:
 an insult together with a mention of a group can count for more than both alone. It is trained on a bounded sample of
-labelled documents; terms whose presence is unrelated to the label there keep weight and vector zero.
+labelled documents, on all their terms at once; penalties bring terms that explain nothing, alone or in pairs, to zero.
 """
 
 from __future__ import annotations
@@ -14,10 +14,12 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..session import ship
 from .common import table
 
 TERM = re.compile(r"\w+")
@@ -37,7 +39,7 @@ def again(term: int, times: int) -> int:
     return (term * 2654435761 + times * 40503) & ((1 << BITS) - 1)
 
 
-def with_counts(counts: Counter) -> list[int]:
+def with_counts(counts: dict[int, int]) -> list[int]:
     return sorted({t for t in counts} | {again(t, k) for t, n in counts.items() for k in (2, 3) if n >= k})
 
 
@@ -51,7 +53,7 @@ def terms(text: str | None) -> list[int]:
 
 
 class Machine:
-    """A second-order factorization machine over chosen hashed terms."""
+    """A second-order factorization machine: of hashed terms that carry anything, weights and vectors."""
 
     def __init__(self, chosen: np.ndarray, bias: float, weights: np.ndarray, vectors: np.ndarray):
         self.row = np.full(1 << BITS, -1, np.int32)
@@ -66,69 +68,145 @@ class Machine:
         return float(1 / (1 + math.exp(-max(-30.0, min(30.0, z)))))
 
 
-def fit(rows: list[tuple[np.ndarray, int]], n_terms: int = 512, rank: int = 8, steps: int = 300, rate: float = 0.05, l2: float = 1e-3) -> Machine:
-    """Full-batch Adam on the log loss. Terms are chosen by the size of their z statistic against the label."""
+class Table:
+    """Which texts hold which terms, in both directions, for sums over the terms of a text and over the texts of a term."""
+
+    def __init__(self, texts: list[np.ndarray], n_terms: int):
+        self.flat = np.concatenate([*texts, np.zeros(0, np.int64)]).astype(np.int32)
+        self.row = np.repeat(np.arange(len(texts), dtype=np.int32), [len(t) for t in texts])
+        self.n_texts, self.n_terms = len(texts), n_terms
+        self._index()
+
+    def _index(self) -> None:
+        self.texts, self.text_at = np.unique(self.row, return_index=True)
+        by = np.argsort(self.flat, kind="stable")
+        self.by_term = self.row[by]
+        self.terms, self.term_at = np.unique(self.flat[by], return_index=True)
+
+    def keep(self, terms: np.ndarray) -> None:
+        """Leaves out other terms (a mask)."""
+        some = terms[self.flat]
+        self.flat, self.row = self.flat[some], self.row[some]
+        self._index()
+
+    @staticmethod
+    def _sums(x: np.ndarray, which: np.ndarray, heads: np.ndarray) -> np.ndarray:
+        # a column at a time: the numbers gathered at once are as many as there are terms in all texts
+        cols = [np.add.reduceat(np.ascontiguousarray(c)[which], heads) for c in x.reshape(len(x), -1).T]
+        return np.stack(cols, 1).reshape(len(heads), *x.shape[1:])
+
+    def over_terms(self, x: np.ndarray) -> np.ndarray:
+        out = np.zeros((self.n_texts, *x.shape[1:]), x.dtype)
+        if len(self.flat):
+            out[self.texts] = self._sums(x, self.flat, self.text_at)
+        return out
+
+    def over_texts(self, x: np.ndarray) -> np.ndarray:
+        out = np.zeros((self.n_terms, *x.shape[1:]), x.dtype)
+        if len(self.flat):
+            out[self.terms] = self._sums(x, self.by_term, self.term_at)
+        return out
+
+
+class Adam:
+    """Steps along a gradient, then towards zero by limit: rows as wholes, numbers of a vector one by one."""
+
+    def __init__(self, like: np.ndarray, rate: float, limit: float):
+        self.first, self.second, self.t = np.zeros_like(like), np.zeros(len(like), like.dtype), 0
+        self.rate, self.limit = rate, limit
+
+    def step(self, x: np.ndarray, grad: np.ndarray) -> np.ndarray:
+        self.t += 1
+        size = grad**2 if grad.ndim == 1 else (grad**2).mean(1)
+        self.first = 0.9 * self.first + 0.1 * grad
+        self.second = 0.999 * self.second + 0.001 * size
+        step = self.rate / (np.sqrt(self.second / (1 - 0.999**self.t)) + 1e-4)
+        if x.ndim == 1:
+            x = x - step * self.first / (1 - 0.9**self.t)
+            return np.sign(x) * np.maximum(np.abs(x) - step * self.limit, 0)
+        x = x - step[:, None] * self.first / (1 - 0.9**self.t)
+        return x * np.maximum(1 - step * self.limit / np.maximum(np.sqrt((x * x).sum(1)), 1e-12), 0)[:, None]
+
+
+def fit(rows: list[tuple[np.ndarray, int]], rank: int = 6, steps: int = 150, rate: float = 0.05, limit: float = 5e-4, pull: float = 3e-4, least_rows: int = 3, start: float = 0.1) -> Machine:
+    """Log loss over all texts at once. First the weights of all hashed terms are fitted, then weights and vectors together.
+
+    No term is chosen by its own relation to the label, as two terms can matter together that do not matter alone: all
+    take part in both fits, but for those in fewer than least_rows texts. Weights are held small by an absolute penalty
+    (limit), vectors by one on their lengths (pull), so that terms that explain nothing end at zero and are left out."""
     rng = np.random.default_rng(7)
-    y = np.array([label for _, label in rows], float)
+    y = np.array([label for _, label in rows], np.float32)
     if not len(rows) or y.min() == y.max():
         mean = float(y.mean()) if len(rows) else 0.0
         return Machine(np.array([], int), -30.0 if mean < 0.5 else 30.0, np.zeros(0), np.zeros((0, rank)))
-    pos, all_ = np.zeros(1 << BITS), np.zeros(1 << BITS)
-    for found, label in rows:
-        all_[found] += 1
-        if label:
-            pos[found] += 1
-    share = y.mean()
-    seen = np.flatnonzero(all_ >= 3)
-    z = (pos[seen] - all_[seen] * share) / np.sqrt(all_[seen] * share * (1 - share) + 1)
-    chosen = np.sort(seen[np.argsort(-np.abs(z), kind="stable")[:n_terms]])
-    chosen = chosen[np.abs(z)[np.searchsorted(seen, chosen)] >= 3]
+    seen = np.zeros(1 << BITS, np.int32)
+    for found, _ in rows:
+        seen[found] += 1
+    every = np.flatnonzero(seen >= least_rows)
     at = np.full(1 << BITS, -1, np.int32)
-    at[chosen] = np.arange(len(chosen))
-    x = np.zeros((len(rows), len(chosen)), np.float32)
-    for i, (found, _) in enumerate(rows):
-        k = at[found]
-        x[i, k[k >= 0]] = 1
-    params = [np.array([math.log(share / (1 - share))]), np.zeros(len(chosen)), rng.normal(0, 0.05, (len(chosen), rank))]
-    first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
-    for t in range(1, steps + 1):
-        b, w, v = params
-        s = x @ v
-        logit = b[0] + x @ w + 0.5 * ((s**2).sum(1) - x @ (v**2).sum(1))
-        g = (1 / (1 + np.exp(-np.clip(logit, -30, 30))) - y) / len(y)
-        xg = x.T @ g
-        grads = [np.array([g.sum()]), xg + l2 * w / len(chosen), x.T @ (g[:, None] * s) - v * xg[:, None] + l2 * v / len(chosen)]
-        for i, grad in enumerate(grads):
-            first[i] = 0.9 * first[i] + 0.1 * grad
-            second[i] = 0.999 * second[i] + 0.001 * grad**2
-            params[i] = params[i] - rate * (first[i] / (1 - 0.9**t)) / (np.sqrt(second[i] / (1 - 0.999**t)) + 1e-8)
-    return Machine(chosen, float(params[0][0]), params[1], params[2])
+    at[every] = np.arange(len(every))
+    data = Table([(k := at[found])[k >= 0] for found, _ in rows], len(every))
+    bias, w = math.log(y.mean() / (1 - y.mean())), np.zeros(len(every), np.float32)
+
+    def error(z: np.ndarray) -> np.ndarray:
+        return ((1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / len(y)).astype(np.float32)
+
+    adam = Adam(w, rate, limit)
+    for _ in range(steps):
+        g = error(bias + data.over_terms(w))
+        w = adam.step(w, data.over_texts(g))
+        bias -= 5 * float(g.sum())
+    # so that the pairs of a usual text's terms add about start to its score before anything is learnt
+    spread = math.sqrt(start * math.sqrt(2 / rank) / max(1.0, len(data.flat) / len(rows)))
+    v = rng.normal(0, spread, (len(every), rank)).astype(np.float32)
+    adams = Adam(w, rate, limit), Adam(v, rate, pull)
+    for _ in range(steps):
+        sums = data.over_terms(v)
+        linear = data.over_terms(np.stack([w, (v * v).sum(1)], 1))
+        g = error(bias + linear[:, 0] + 0.5 * ((sums * sums).sum(1) - linear[:, 1]))
+        grad = data.over_texts(np.concatenate([g[:, None], g[:, None] * sums], 1))
+        w, v = adams[0].step(w, grad[:, 0]), adams[1].step(v, grad[:, 1:] - grad[:, :1] * v)
+        bias -= 5 * float(g.sum())
+        live = (w != 0) | v.any(1)
+        if 2 * live.sum() < len(data.terms):  # a term at zero seldom comes back: the work shrinks with those left
+            data.keep(live)
+    kept = np.flatnonzero((w != 0) | v.any(1))
+    return Machine(every[kept], float(bias), w[kept].astype(np.float64), v[kept].astype(np.float64))
 
 
 def train(docs: DataFrame, labels: DataFrame, most_rows: int = 10_000) -> Machine:
     """A machine from about most_rows labelled documents outside the held-out part, chosen by hash of doc_id; the bound
     is a parameter, and so is what is broadcast. A repeated label counts as toxic if any is; null labels and labels of
     absent documents are left out."""
+    ship(docs.sparkSession)
     known = labels.filter("toxic is not null and doc_id is not null").filter(F.crc32(F.col("doc_id").cast("string")) % 4 != 2)
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     share = max(1, math.ceil(labels.count() * 0.75 / most_rows))
     known = known.filter(F.pmod(F.xxhash64(F.lit("toxic"), F.col("doc_id")), F.lit(share)) == 0)
-    rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("doc_id", "text", "toxic")
+    rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("doc_id", "text", F.col("toxic").cast("int").alias("toxic"))
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "found": [np.array(terms(t), np.int32).tobytes() for t in batch["text"]], "toxic": batch["toxic"]})
+            found = pa.array([np.array(terms(t), np.int32).tobytes() for t in batch.column(1).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), found, batch.column(2)], names=["doc_id", "found", "toxic"])
 
-    # terms come as packed 32-bit numbers: some 5 KB a row, and most_rows rows
-    got = rows.mapInPandas(work, "doc_id long, found binary, toxic int").orderBy("doc_id", "found", "toxic").select("found", "toxic").collect()
-    return fit([(np.frombuffer(r["found"], np.int32), int(r["toxic"] > 0)) for r in got])
+    # terms come as packed 32-bit numbers: some 5 KB a row, and most_rows rows. Put in order here: a sort before
+    # collecting would run the terms twice
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    got = sorted(tuple(r) for r in rows.mapInArrow(work, f"doc_id {kind}, found binary, toxic int").collect())
+    return fit([(np.frombuffer(found, np.int32), int(toxic > 0)) for _, found, toxic in got])
 
 
 def score(docs: DataFrame, machine: Machine) -> DataFrame:
-    """docs with score, in their order of columns; an empty or null text gets the score of no terms."""
+    """docs with score, in their order of columns; a column score of docs is replaced. An empty or null text gets the score
+    of no terms. Whole texts of any length are read; repeated rows get the same score; an empty table gives an empty one.
+    The other columns pass through unread."""
+    ship(docs.sparkSession)
     cached_most = 400_000
+    base = docs.drop("score")
+    text_at = base.columns.index("text")
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict[str, tuple[int, ...]] = {}
         row = machine.row
         # terms that matter: chosen themselves, or with a chosen term for several times
@@ -138,27 +216,27 @@ def score(docs: DataFrame, machine: Machine) -> DataFrame:
             useful |= row[(every * 2654435761 + k * 40503) & ((1 << BITS) - 1)] >= 0
 
         def find(text: str | None) -> float:
-            counts: Counter = Counter()
-            for w in TERM.findall((text or "").lower()):
+            counts: dict[int, int] = {}
+            for w, n in Counter(TERM.findall((text or "").lower())).items():
                 ids = memo.get(w)
                 if ids is None:
                     if len(memo) > cached_most:
                         memo.clear()
                     ids = memo[w] = tuple(t for t in word_terms(w) if useful[t])
                 for t in ids:
-                    counts[t] += 1
-            ids = [t for t in with_counts(counts) if row[t] >= 0]
-            return machine.score(np.array(ids, np.int64))
+                    counts[t] = counts.get(t, 0) + n
+            return machine.score(np.array([t for t in with_counts(counts) if row[t] >= 0], np.int64))
 
         for batch in batches:
-            yield batch.assign(score=[find(t) for t in batch["text"]])
+            scores = pa.array([find(t) for t in batch.column(text_at).to_pylist()], pa.float64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, scores], names=[*batch.schema.names, "score"])
 
-    base = docs.drop("score")
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields)
-    return base.mapInPandas(work, f"{ddl}, score double")
+    return base.mapInArrow(work, T.StructType([*base.schema.fields, T.StructField("score", T.DoubleType())]))
 
 
 def op7_toxicity(spark, sf_dir: str) -> DataFrame:
+    """The contract's columns for every row of documents. Trained outside the held-out quarter; a null doc_id is not held
+    out and has no label. Nulls, ties and empty tables as train() and score() state."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = score(docs, train(docs, table(spark, sf_dir, "labels")))
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
