@@ -23,6 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship
 from .common import U64, drop, materialize, mix64, table
 from .repeats import word_codes
 
@@ -56,7 +57,7 @@ def node_of(s: np.ndarray) -> int:
 
 
 def _profile(docs: DataFrame, n: int) -> DataFrame:
-    """Rows (doc_id, node, size) for documents, and (slice, counts) for the slots of each partition."""
+    """Rows (ref, named, node, size) for documents, and (slice, counts) for the slots of each partition."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts = np.zeros(1 << SLOTS_BITS, np.uint32)
@@ -69,11 +70,11 @@ def _profile(docs: DataFrame, n: int) -> DataFrame:
                 slots.append((s >> U64(64 - SLOTS_BITS)).astype(np.int32))
             if slots:
                 counts += np.bincount(np.concatenate(slots), minlength=1 << SLOTS_BITS).astype(np.uint32)
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "node": nodes, "size": sizes, "slice": -1, "counts": None})
+            yield pd.DataFrame({"ref": batch["ref"], "named": batch["named"], "node": nodes, "size": sizes, "slice": -1, "counts": None})
         parts = [p.tobytes() for p in np.split(counts, SLICES)]
-        yield pd.DataFrame({"doc_id": pd.array([None] * SLICES, "Int64"), "node": 0, "size": 0, "slice": range(SLICES), "counts": parts})
+        yield pd.DataFrame({"ref": 0, "named": False, "node": 0, "size": 0, "slice": range(SLICES), "counts": parts})
 
-    return docs.select("doc_id", "text").mapInPandas(work, "doc_id long, node long, size int, slice int, counts binary")
+    return docs.mapInPandas(work, "ref long, named boolean, node long, size int, slice int, counts binary")
 
 
 def _frequencies(profile: DataFrame) -> np.ndarray:
@@ -98,13 +99,13 @@ def prefix_length(size, percent: int):
 
 
 def _prefixes(docs: DataFrame, frequencies, n: int, percent: int) -> DataFrame:
-    """(doc_id, node, size, tokens): each document's prefix in rare-first order."""
+    """(ref, named, node, size, tokens): each document's prefix in rare-first order."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         freq = frequencies.value
         for batch in batches:
             rows = []
-            for doc, text in zip(batch["doc_id"], batch["text"], strict=True):
+            for ref, named, text in zip(batch["ref"], batch["named"], batch["text"], strict=True):
                 s = shingle_set(text, n)
                 if not len(s):
                     continue
@@ -115,11 +116,16 @@ def _prefixes(docs: DataFrame, frequencies, n: int, percent: int) -> DataFrame:
                     s2, f = s[some], f[some]
                 else:
                     s2 = s
-                rows.append((doc, node_of(s), len(s), s2[np.argsort(f, kind="stable")[:k]].view(np.int64)))
-            yield pd.DataFrame(rows, columns=["doc_id", "node", "size", "tokens"])
+                rows.append((ref, named, node_of(s), len(s), s2[np.argsort(f, kind="stable")[:k]].view(np.int64)))
+            yield pd.DataFrame(rows, columns=["ref", "named", "node", "size", "tokens"])
 
-    named = docs.filter("doc_id is not null").select("doc_id", "text")
-    return named.mapInPandas(work, "doc_id long, node long, size int, tokens array<long>")
+    return docs.mapInPandas(work, "ref long, named boolean, node long, size int, tokens array<long>")
+
+
+def _owners(names: DataFrame) -> DataFrame:
+    """(node, ref, named): one document of each node, one with an id if there is any."""
+    best = F.min(F.struct((~F.col("named")).alias("bare"), "ref"))
+    return names.filter("size > 0").groupBy("node").agg(best.alias("o")).select("node", "o.ref", (~F.col("o.bare")).alias("named"))
 
 
 def hamming_bound(x: np.ndarray, y: np.ndarray, depth: int = 3) -> int:
@@ -205,16 +211,23 @@ def _relabel(marked: DataFrame, found: DataFrame) -> DataFrame:
 def join(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, text -> doc_id, n_shingles, component_id; a row for each row.
 
-    Texts without words (null, empty, blanks) link with nothing: their component is their own doc_id. A null doc_id
-    stands for no document in a component's least id; where nothing else is there it stays null. Repeated rows and
-    repeated doc_ids are nodes like others."""
+    Texts without words (null, empty, blanks) link with nothing: their component is their own doc_id. A row without a
+    doc_id links like others, also where it alone connects two others; only a component's least id disregards it, and
+    where no row has an id it is null. Repeated rows and repeated doc_ids are rows like others. Texts of any length are
+    taken whole, one at a time in memory. An empty table gives an empty one; other columns of docs are left out."""
     spark = docs.sparkSession
+    ship(spark)
+    # a row is found again by its doc_id or, without one, by its text's hash; neither is null, so Python gets it exactly
+    named = F.col("doc_id").isNotNull()
+    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")).alias("ref"), named.alias("named"), F.col("text").cast("string").alias("text"))
     profile = materialize(_profile(docs, n), "profile")
-    names = profile.filter("slice < 0").select("doc_id", "node", "size")
+    names = profile.filter("slice < 0").select("ref", "named", "node", "size")
     frequencies = spark.sparkContext.broadcast(_frequencies(profile))
-    owners = names.filter("size > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    owners = _owners(names)
     prefixes = _prefixes(docs, frequencies, n, percent)
-    prefixes = materialize(prefixes.join(owners, ["node", "doc_id"]).select("node", "size", "tokens"), "prefixes")
+    prefixes = prefixes.join(owners, ["node", "ref", "named"]).select("node", "size", "tokens", "named")
+    # rows without an id may repeat a text; with one they may repeat a row
+    prefixes = materialize(prefixes.groupBy("node").agg(F.first("size").alias("size"), F.first("tokens").alias("tokens")), "prefixes")
     posts = prefixes.select("node", "size", F.posexplode("tokens").alias("pos", "token"))
     # shingles of two nodes, one of which has it where it can be the first in common with a set as large as its own: of
     # two sets that link, the smaller has their first common shingle there
@@ -264,11 +277,14 @@ def join(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
         if leaders:
             marked = materialize(_relabel(marked, found), "marked")
             drop(posts)
-    nodes = names.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    nodes = nodes.withColumn("root", F.when(F.col("size") == 0, F.lit(None)).otherwise(F.col("root")))
-    firsts = nodes.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("first"))
-    out = nodes.join(firsts, "root", "left")
-    return out.select("doc_id", F.col("size").cast("long").alias("n_shingles"), F.coalesce("first", "doc_id").alias("component_id"))
+    # written, so that a component of many rows can be split where its least id is joined to them
+    nodes = names.join(found, "node", "left").withColumn("root", F.when(F.col("size") > 0, F.coalesce("root", "node")))
+    nodes = materialize(nodes.select("ref", "named", "size", "root"), "roots")
+    firsts = nodes.filter("root is not null").groupBy("root").agg(F.min(F.when(F.col("named"), F.col("ref"))).alias("first"))
+    out = nodes.join(materialize(firsts, "firsts"), "root", "left")
+    doc = F.when(F.col("named"), F.col("ref"))
+    component = F.when(F.col("root").isNull(), doc).otherwise(F.col("first"))
+    return out.select(doc.alias("doc_id"), F.col("size").cast("long").alias("n_shingles"), component.alias("component_id"))
 
 
 def _sets_of(docs: DataFrame, owners: DataFrame, pairs: DataFrame, n: int) -> DataFrame:
@@ -276,7 +292,7 @@ def _sets_of(docs: DataFrame, owners: DataFrame, pairs: DataFrame, n: int) -> Da
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
     wanted = materialize(wanted.join(owners, "node"), "wanted")
     few = wanted.count() <= BROADCAST_ROWS
-    rows = docs.select("doc_id", "text").join(F.broadcast(wanted) if few else wanted, "doc_id")
+    rows = docs.join(F.broadcast(wanted) if few else wanted, ["ref", "named"])
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
