@@ -13,14 +13,14 @@
    this is the order of the corpus itself, in which equal windows are neighbours: a window that has 200 bytes in common
    with a neighbour repeats. Neighbours at the ends of two partitions are compared on the driver (two rows a partition).
 
-Hashes of 64 bits stand for cores, contexts, texts and the comparison of neighbours. Every grouping is counted with
-partial aggregates and joined back by a side with distinct keys, so a key that holds a third of all rows can be split.
+Hashes of 64 bits stand for cores, contexts, texts and the comparison of neighbours. Pruning, too, compares neighbours of a
+sorted order cut into ranges, so a core or context that holds a third of all rows goes over many partitions.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +35,8 @@ from .repeats import Rolling, pieces, runs
 LENGTH = 200
 #: Bytes of a trigger, mean distance of triggers, places of a segment before and after the second pruning.
 GRAM, MEAN, SPAN, FINE = 16, 28, 64, 8
+#: Texts and segments, at most, by which the sizes of partitions are chosen; no result depends on them.
+SAMPLED_TEXTS, SAMPLE = 2_000, 20_000
 #: A phrase of the dictionary is cut here: no window reaches further.
 MOST = LENGTH + GRAM
 _CODES = mix64(np.arange(1, 257, dtype=U64))
@@ -104,22 +106,21 @@ def _texts(batch: pa.RecordBatch, column: int) -> list[bytes]:
     return [x or b"" for x in batch.column(column).cast(pa.binary()).to_pylist()]
 
 
-def _segments(docs: DataFrame) -> DataFrame:
-    """key, text -> core, context, key, place; copies of a text in one task give their segments once."""
+_SEGMENT = "core long, context long, key long, place long"
 
-    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for batch in batches:
-            found: list[tuple] = []
-            for key, data in zip(batch.column(0).to_pylist(), _texts(batch, 1), strict=True):
-                if key not in seen:
-                    if len(seen) < 200_000:  # more copies would be found again, which changes nothing
-                        seen.add(key)
-                    found.append((*Text(data).segments(), key))
-            if found:
-                yield _joined(found)
 
-    return docs.select("key", "text").mapInArrow(parse, "core long, context long, key long, place long")
+def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """key, text -> core, context, key, place; copies of a text in one task give their segments once."""
+    seen: set[int] = set()
+    for batch in batches:
+        found: list[tuple] = []
+        for key, data in zip(batch.column(0).to_pylist(), _texts(batch, 1), strict=True):
+            if key not in seen:
+                if len(seen) < 200_000:  # more copies would be found again, which changes nothing
+                    seen.add(key)
+                found.append((*Text(data).segments(), key))
+        if found:
+            yield _joined(found)
 
 
 def _joined(found: list[tuple]) -> pa.RecordBatch:
@@ -129,28 +130,82 @@ def _joined(found: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, names=["core", "context", "key", "place"])
 
 
-def _prune(segments: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
-    """Segments -> (key, place) of those whose context stands twice, and (key, place) of one place of each context
-    that shares its core with another: windows there may repeat though not all do."""
-    cores = materialize(segments.groupBy("core").agg(F.count("*").alias("n")).filter("n > 1").select("core"), f"{name}-cores")
-    again = materialize(segments.join(cores, "core"), f"{name}-again")
-    drop(cores)
-    book = again.groupBy("core", "context").agg(F.count("*").alias("n"), F.min(F.struct("key", "place")).alias("one"))
-    book = materialize(book, f"{name}-book")
-    whole = again.join(book.filter("n > 1").select("core", "context"), ["core", "context"]).select("key", "place")
-    whole = materialize(whole, f"{name}-whole")
-    drop(again)
-    split = materialize(book.groupBy("core").agg(F.count("*").alias("n")).filter("n > 1").select("core"), f"{name}-split")
-    ends = materialize(book.join(split, "core").select("one.key", "one.place"), f"{name}-ends")
-    drop(book)
-    drop(split)
-    return whole, ends
+def _between(bounds: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """How many of the sorted bounds (columns core, context, key) each row is behind, compared column by column."""
+    lo, hi = (np.searchsorted(bounds[:, 0], rows[:, 0], side) for side in ("left", "right"))
+    if bounds.shape[1] == 1:
+        return hi
+    out = lo.copy()
+    on = np.flatnonzero(hi > lo)  # rows with the value of a bound: few, or many of one value
+    for value in np.unique(rows[on, 0]).tolist():
+        some = on[rows[on, 0] == value]
+        first, last = lo[some[0]], hi[some[0]]
+        out[some] = first + _between(bounds[first:last, 1:], rows[some, 1:])
+    return out
+
+
+def _prune(rows: DataFrame, parse: Callable, sample: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """The segments that parse makes of rows -> (key, place) of those whose context stands twice, and (key, place) of one or two places of each context
+    that shares its core with another: windows there may repeat though not all do.
+
+    The rows are sorted by core, context, key and place, so that all of this shows between neighbours. Partitions are
+    ranges of that order, cut by a sample of at most SAMPLE rows, which decides nothing but their sizes: a core or context
+    with many rows goes over several. Where two partitions meet, the driver looks at two rows."""
+    spark = rows.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    drawn = np.array([tuple(r) for r in sample.select("core", "context", "key").limit(SAMPLE).collect()], np.int64).reshape(-1, 3)
+    drawn = drawn[np.lexsort(drawn.T[::-1])]
+    bounds = drawn[np.linspace(0, len(drawn), n + 1).astype(int)[1:-1]] if len(drawn) >= n else np.zeros((0, 3), np.int64)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in parse(batches):
+            values = np.stack([batch.column(i).to_numpy() for i in range(3)], 1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(_between(bounds, values).astype(np.int32))], names=[*batch.schema.names, "part"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows with what is known of them: 1, context stands twice; 2, beside another context of its core; first and
+        last rows of the partition also for the driver, with the partition's number."""
+        part, last, names = TaskContext.get().partitionId(), None, ["core", "context", "key", "place", "kind", "part"]
+
+        def tell(cols: list, which: np.ndarray, kind: int, side: int) -> pa.RecordBatch:
+            more = (pa.array(np.full(len(which), x, np.int64)) for x in (kind, side))
+            return pa.RecordBatch.from_arrays([*(pa.array(c[which]) for c in cols), *more], names=names)
+
+        for batch in batches:
+            cols = [batch.column(i).to_numpy() for i in range(4)]
+            if not len(cols[0]):
+                continue
+            if last is None:
+                yield tell(cols, np.zeros(1, int), 0, 2 * part)
+            else:  # the last row may be told twice, here and with its own batch
+                cols = [np.concatenate([a, b]) for a, b in zip(last, cols, strict=True)]
+            core = cols[0][1:] == cols[0][:-1]
+            same = core & (cols[1][1:] == cols[1][:-1])
+            for kind, pairs in ((1, same), (2, core & ~same)):
+                hit = np.flatnonzero(pairs)
+                yield tell(cols, np.union1d(hit, hit + 1), kind, -1)
+            last = [c[-1:] for c in cols]
+        if last is not None:
+            yield tell(last, np.zeros(1, int), 0, 2 * part + 1)
+
+    by = ["core", "context", "key", "place"]
+    dealt = rows.mapInArrow(deal, f"{_SEGMENT}, part int").repartitionById(n, "part").select(*by).sortWithinPartitions(*by)
+    found = materialize(dealt.mapInArrow(compare, f"{_SEGMENT}, kind long, part long"), name)
+    borders = [tuple(r) for r in found.filter("kind = 0").orderBy("part").collect()]
+    more = []
+    for a, b in zip(borders[1::2], borders[2::2], strict=False):
+        if a[0] == b[0]:
+            more += [(*x[:4], 1 if a[1] == b[1] else 2) for x in (a, b)]
+    known = found.filter("kind > 0").select(*by, "kind")
+    if more:
+        known = known.union(spark.createDataFrame(more, f"{_SEGMENT}, kind long"))
+    return known.filter("kind = 1").select("key", "place"), known.filter("kind = 2").select("key", "place")
 
 
 def _with_texts(docs: DataFrame, ends: DataFrame) -> DataFrame:
     """key, places and text, one text of each key."""
-    places = ends.groupBy("key").agg(F.collect_list("place").alias("places"))
-    return docs.select("key", "text").join(places, "key").groupBy("key").agg(F.first("places").alias("places"), F.first("text").alias("text"))
+    places = ends.groupBy("key").agg(F.collect_set("place").alias("places"))
+    return docs.groupBy("key").agg(F.first("text").alias("text")).join(places, "key").select("key", "places", "text")
 
 
 def _finer(docs: DataFrame, ends: DataFrame) -> DataFrame:
@@ -159,7 +214,7 @@ def _finer(docs: DataFrame, ends: DataFrame) -> DataFrame:
             keys, at = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             yield _joined([(*Text(data).finer(np.sort(np.array(p, np.int64))), k) for k, p, data in zip(keys, at, _texts(batch, 2), strict=True)])
 
-    return _with_texts(docs, ends).mapInArrow(cut, "core long, context long, key long, place long")
+    return _with_texts(docs, ends).mapInArrow(cut, _SEGMENT)
 
 
 _KINDS = {"kind": pa.int32(), "data": pa.binary(), "rest": pa.int64(), "window": pa.int64(), "key": pa.int64(), "start": pa.int64(), "phrases": pa.list_(pa.int64())}
@@ -295,11 +350,14 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
     empty one; other columns of docs are left out. doc_id passes through unread, null or not."""
     rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("key", F.xxhash64("text"))
-    whole, ends = _prune(_segments(rows), "suffix-1")
-    fine, rest = _prune(_finer(rows, ends), "suffix-2")
-    drop(ends)
+    texts = rows.select("key", "text")
+    drawn = max(1, rows.count() // SAMPLED_TEXTS)
+    some = texts.filter(F.pmod(F.xxhash64("key"), F.lit(drawn)) == 0).mapInArrow(_parsed, _SEGMENT)
+    whole, ends = _prune(texts, _parsed, some.filter(F.rand(1) < 0.1), "suffix-1")
+    finer = materialize(_finer(rows, ends), "suffix-finer")
+    fine, rest = _prune(finer, iter, finer.filter(F.pmod(F.xxhash64("key", "place"), F.lit(max(1, finer.count() // SAMPLE))) == 0), "suffix-2")
+    drop(finer)
     listed = materialize(_listed(rows, rest), "suffix-listed")
-    drop(rest)
     ordered = _order(listed)
     drop(listed)
     loose = _neighbours(ordered)
