@@ -1,25 +1,29 @@
 """Secret scans: base patterns, and probabilistic automata inferred from labelled credentials.
 
-Labelled credentials are what the base patterns find in a bounded sample of documents. For each kind a prefix tree of
-them is turned into a probabilistic automaton by merging states whose outgoing frequencies are statistically compatible
-(a Hoeffding bound, tested down the subtrees). Every run of credential characters that is as long as the shortest
-credential of the contract and holds a letter is then scored: bits a character by which the best automaton explains it
-better than a character model of ordinary tokens does. Short runs need more bits a character, the same total as FULL.
+Labelled credentials are what the base patterns find in a bounded sample of documents, and specimens of published token
+formats, drawn at random from the shapes in FORMATS. For each kind a prefix tree of them is turned into a probabilistic
+automaton by merging states whose outgoing frequencies are statistically compatible (a Hoeffding bound, tested down the
+whole subtrees). Every run of credential characters that is as long as the shortest credential of the contract and holds
+a letter is then scored: bits a character by which the best automaton explains it better than a character model of
+ordinary tokens does, between 16 bits in all for short runs and 32 for long ones.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
+import random
 import re
+import string
 import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import ship
 from .common import table
 
 #: Fixed values of the contract.
@@ -30,7 +34,9 @@ KINDS = ("assign", "access", "hex")
 
 #: Tokens that are scored: runs of credential characters of the least length that the assign pattern takes, with a letter;
 #: bare numbers are no credentials.
-LEAST, FULL = 6, 16
+LEAST, FULL, LONG = 6, 16, 32
+#: Bits at most that a character of ordinary tokens costs: capitals, digits and points may stand in them.
+RARE = 8
 TOKEN = re.compile(r"(?<![A-Za-z0-9+/_.=-])(?=[0-9+/_.=-]*[A-Za-z])[A-Za-z0-9+/_.=-]{6,}")
 #: Every match of ASSIGN holds one of these in lower case.
 WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
@@ -38,6 +44,29 @@ ORDINARY = re.compile(r"[A-Za-z0-9+/_.=-]+")
 
 Span = tuple[str, int, int]
 
+_DIGITS, _HEX = string.digits, string.digits + "abcdef"
+_ALNUM = string.ascii_letters + string.digits
+_URL = _ALNUM + "-_"
+#: Shapes of published token formats, as literal beginnings and (alphabet, length) in turn.
+FORMATS: dict[str, list[tuple]] = {
+    "github": ["ghp_", (_ALNUM, 36)],
+    "gitlab": ["glpat-", (_URL, 20)],
+    "google": ["AIza", (_URL, 35)],
+    "huggingface": ["hf_", (string.ascii_letters, 34)],
+    "npm": ["npm_", (_ALNUM, 36)],
+    "sendgrid": ["SG.", (_URL, 22), ".", (_URL, 43)],
+    "slack": ["xoxb-", (_DIGITS, 12), "-", (_DIGITS, 12), "-", (_ALNUM, 24)],
+    "stripe": ["sk_live_", (_ALNUM, 24)],
+    "twilio": ["SK", (_HEX, 32)],
+    "jwt": ["eyJ", (_URL, 33), ".eyJ", (_URL, 60), ".", (_URL, 43)],
+}
+
+
+def specimens(kind: str, n: int, seed: int) -> list[str]:
+    """n random tokens of a published format."""
+    rng = random.Random(f"{kind} {seed}")
+    return ["".join(x if isinstance(x, str) else "".join(rng.choices(x[0], k=x[1])) for x in FORMATS[kind]) for _ in range(n)]
+
 
 def base_spans(text: str) -> list[Span]:
     """Spans of the base patterns by start, then kind as listed; offsets in code points, ends exclusive. Maximal runs
@@ -84,17 +113,19 @@ class Automaton:
         self.limit = math.sqrt(0.5 * math.log(2 / alpha))
         self._infer()
         self.log: dict[int, dict[str, tuple[float, int]]] = {}
+        self.end: dict[int, float] = {}
         for q in self.kept:
             n = self.passed[q] + 1.0
+            self.end[q] = max(-10.0, math.log2((self.ended[q] + 0.01) / n))
             self.log[q] = {c: (math.log2(k / n), self.next[q][c]) for c, k in self.arcs[q].items()}
 
     def _differ(self, f1: int, n1: int, f2: int, n2: int) -> bool:
         return abs(f1 / n1 - f2 / n2) > (n1**-0.5 + n2**-0.5) * self.limit
 
     def _compatible(self, a: int, b: int) -> bool:
-        stack = [(a, b, 0)]
+        stack = [(a, b)]  # below b everything is still a tree, so this ends
         while stack:
-            p, q, depth = stack.pop()
+            p, q = stack.pop()
             if p == q:
                 continue
             n, m = self.passed[p], self.passed[q]
@@ -105,8 +136,8 @@ class Automaton:
             for c in self.arcs[p].keys() | self.arcs[q].keys():
                 if self._differ(self.arcs[p][c], n, self.arcs[q][c], m):
                     return False
-                if depth < 8 and c in self.next[p] and c in self.next[q]:
-                    stack.append((self.next[p][c], self.next[q][c], depth + 1))
+                if c in self.next[p] and c in self.next[q]:
+                    stack.append((self.next[p][c], self.next[q][c]))
         return True
 
     def _fold(self, a: int, b: int) -> None:
@@ -139,8 +170,9 @@ class Automaton:
             else:
                 self.kept.append(t)
 
-    def bits(self, s: str) -> float:
-        """log2 likelihood of s; a character that a state has not seen costs 10 bits and stays there."""
+    def bits(self, s: str, least: float = -math.inf) -> float:
+        """log2 likelihood of s, its end included; what a state has not seen costs 10 bits and stays there. -inf as soon as
+        it falls below least."""
         at, total = 0, 0.0
         for c in s:
             step = self.log[at].get(c)
@@ -149,7 +181,9 @@ class Automaton:
                 at = step[1]
             else:
                 total -= 10
-        return total
+            if total < least:
+                return -math.inf
+        return total + self.end[at]
 
 
 class Model:
@@ -159,7 +193,7 @@ class Model:
         by = defaultdict(list)
         for kind, s in rows:
             by[kind].append(s)
-        self.automata = {k: Automaton(by[k]) for k in KINDS if by[k]}
+        self.automata = {k: Automaton(by[k]) for k in sorted(by) if k}
         self.pairs: Counter = Counter()
         self.firsts: Counter = Counter()
         for s in by[""]:
@@ -168,46 +202,56 @@ class Model:
                 self.firsts[a] += 1
         self.costs: dict[tuple[str, str], float] = {}
 
-    def gain(self, s: str) -> float:
-        """Bits a character by which the best automaton beats the model of ordinary tokens."""
-        if not self.automata:
-            return -math.inf
-        costs, plain = self.costs, 0.0
+    def plain(self, s: str) -> float:
+        """Bits by which ordinary tokens explain s."""
+        costs, total = self.costs, 0.0
         for pair in zip(" " + s, s, strict=False):
             cost = costs.get(pair)
             if cost is None:  # few pairs: credential characters only
-                cost = costs[pair] = math.log2((self.pairs[pair] + 0.05) / (self.firsts[pair[0]] + 0.05 * 70))
-            plain += cost
-        return (max(a.bits(s) for a in self.automata.values()) - plain) / len(s)
+                cost = costs[pair] = max(-RARE, math.log2((self.pairs[pair] + 0.05) / (self.firsts[pair[0]] + 0.05 * 70)))
+            total += cost
+        return total
+
+    def gain(self, s: str, least: float = -math.inf) -> float:
+        """Bits by which the best automaton beats the model of ordinary tokens; -inf if that is less than least."""
+        plain = self.plain(s)
+        return max((a.bits(s, plain + least) for a in self.automata.values()), default=-math.inf) - plain
 
 
-def train(docs: DataFrame, sample_docs: int = 8_000, per_kind: int = 800) -> Model:
+def train(docs: DataFrame, sample_docs: int = 8_000, per_kind: int = 800, per_format: int = 300) -> Model:
     """A model from the credentials in about sample_docs documents, chosen by hash of doc_id, and of those the per_kind
-    values of each kind that come first by hash: both bounds are parameters. Without credentials nothing scores."""
+    values of each kind that come first by hash, with per_format specimens of each published format: the bounds are
+    parameters. Null and empty texts hold no credentials; without any the formats alone are learnt."""
+    spark = docs.sparkSession
+    ship(spark)
     share = max(1, math.ceil(docs.count() / sample_docs))
     some = docs.filter(F.pmod(F.xxhash64(F.lit("secrets"), F.col("doc_id")), F.lit(share)) == 0).select("text")
 
-    def pick(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: dict[str, dict[str, str]] = defaultdict(dict)
         for batch in batches:
-            for text in batch["text"].fillna(""):
-                for kind, s in labelled(text):
-                    key = hashlib.md5(s.encode()).hexdigest()
-                    best[kind][key] = s
+            for text in batch.column(0).to_pylist():
+                for kind, s in labelled(text or ""):
+                    best[kind][hashlib.md5(s.encode()).hexdigest()] = s
             for kind in best:
                 if len(best[kind]) > 4 * per_kind:
                     best[kind] = dict(sorted(best[kind].items())[:per_kind])
-        yield pd.DataFrame([(k, h, s) for k in best for h, s in sorted(best[k].items())[:per_kind]], columns=["kind", "h", "s"])
+        rows = [(k, h, s) for k in best for h, s in sorted(best[k].items())[:per_kind]]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(3)], names=["kind", "h", "s"])
 
-    rows = some.mapInPandas(pick, "kind string, h string, s string").distinct()
-    top = [rows.filter(F.col("kind") == k).orderBy("h", "s").limit(per_kind) for k in ("", *KINDS)]
-    return Model([(r["kind"], r["s"]) for part in top for r in part.collect()])
+    # ranked where they are first, so a kind's rows meet in one task only as per_kind rows of each
+    rank = F.row_number().over(Window.partitionBy("kind").orderBy("h"))
+    top = some.mapInArrow(pick, "kind string, h string, s string").distinct().withColumn("rank", rank).filter(F.col("rank") <= per_kind)
+    rows = sorted((r["kind"], r["h"], r["s"]) for r in top.collect())
+    return Model([(k, s) for k, _, s in rows] + [(k, s) for k in FORMATS for s in specimens(k, per_format, 0)])
 
 
 def likely(s: str, model: Model, least: float) -> bool:
-    """Whether a token's core reaches least bits a character, and as many bits in all as one of FULL characters needs."""
+    """Whether a token's core reaches least bits a character; short ones need as many in all as one of FULL characters, long
+    ones no more than one of LONG: 2**32 to one is evidence enough."""
     core = s.strip(".=-_/+")
-    return len(core) >= LEAST and model.gain(core) * len(core) >= least * max(len(core), FULL)
+    need = least * min(max(len(core), FULL), LONG)
+    return len(core) >= LEAST and model.gain(core, need) >= need
 
 
 def all_spans(text: str, model: Model, least: float, memo: dict[str, bool]) -> tuple[list[Span], list[Span]]:
@@ -235,44 +279,55 @@ def say(spans: list[Span]) -> str:
 
 
 def scan(docs: DataFrame, model: Model, least: float = 1.0) -> DataFrame:
-    """doc_id, text -> doc_id, counts of base kinds, base_sha256, spans. A null text is empty; a row for each row."""
+    """doc_id, text -> doc_id, counts of base kinds, base_sha256, spans; a row for each row, repeated rows alike.
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    A null or empty text has no spans. Texts of any length are read whole. An empty table gives an empty one; other
+    columns are left out. doc_id passes through unread, null or not."""
+    ship(docs.sparkSession)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict[str, bool] = {}
         for batch in batches:
             out = []
-            for text in batch["text"].fillna(""):
-                base, every = all_spans(text, model, least, memo)
+            for text in batch.column(1).to_pylist():
+                base, every = all_spans(text or "", model, least, memo)
                 n = Counter(k for k, _, _ in base)
                 out.append((*(n[k] for k in KINDS), hashlib.sha256(say(base).encode()).hexdigest(), say(every)))
-            rest = pd.DataFrame(out, columns=["n_assign", "n_access", "n_hex", "base_sha256", "spans"], index=batch.index)
-            yield pd.concat([batch[["doc_id"]], rest], axis=1)
+            cols = [pa.array([r[i] for r in out], pa.int64() if i < 3 else pa.string()) for i in range(5)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *cols], names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
 
-    return docs.select("doc_id", "text").mapInPandas(work, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(work, f"doc_id {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
 
 
-def redact(docs: DataFrame, model: Model, mark: str = "[SECRET]", least: float = 1.0) -> DataFrame:
-    """docs with every found span of text replaced by mark; overlapping spans are replaced as one."""
+def redacted(text: str, spans: list[Span], mark: str) -> str:
+    """text with spans (by start) replaced by mark; spans that overlap are replaced as one."""
+    out, done = [], 0
+    for _, s, e in spans:
+        if s >= done:
+            out += [text[done:s], mark]
+        done = max(done, e)
+    return "".join([*out, text[done:]])
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        memo: dict[str, bool] = {}
 
-        def clean(text: str | None) -> str | None:
-            if not text:
-                return text
-            out, done = [], 0
-            for _, s, e in all_spans(text, model, least, memo)[1]:
-                if s >= done:
-                    out += [text[done:s], mark]
-                done = max(done, e)
-            return "".join([*out, text[done:]])
+def redact(docs: DataFrame, model: Model, mark: str = "[SECRET]", least: float = 1.0) -> DataFrame:
+    """docs with every found span of text replaced by mark; overlapping spans are replaced as one. Null texts stay null and
+    empty ones empty; all other columns pass through unread."""
+    ship(docs.sparkSession)
+    at = docs.columns.index("text")
 
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo: dict[str, bool] = {}
         for batch in batches:
-            yield batch.assign(text=batch["text"].map(clean, na_action="ignore"))
+            clean = [t and redacted(t, all_spans(t, model, least, memo)[1], mark) for t in batch.column(at).to_pylist()]
+            cols = list(batch.columns)
+            cols[at] = pa.array(clean, pa.string())
+            yield pa.RecordBatch.from_arrays(cols, names=batch.schema.names)
 
-    return docs.mapInPandas(work, docs.schema)
+    return docs.mapInArrow(work, docs.schema)
 
 
 def op9_secret_scan(spark, sf_dir: str) -> DataFrame:
+    """The contract's columns for every row of documents; nulls, ties and empty tables as scan() states."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return scan(docs, train(docs))
