@@ -1,10 +1,14 @@
 """Exact top-k by integer inner product, with block-at-a-time pruning.
 
-Vectors stand in segments of document ranges, each cut into blocks. A block keeps the greatest and least value of each
-component (term); for a query, the sum over components of the better product bounds every score in the block. A task
-holds one segment and one group of queries, takes each query's blocks by falling bound, scores through the block's
-forward index (its vectors) and stops a query when the next bound is below its kth score. A few rows a query and
-segment are left for the last ranking.
+Vectors are dealt into segments. In a segment documents are numbered by their strongest component, so that vectors that
+point alike stand together, and cut into blocks: ranges of that numbering. A block keeps the greatest and least value of
+each component (term); for a query, the sum over components of the better product bounds every score in the block. A
+cell holds one segment and one group of queries: each query takes its blocks by falling bound, scores through the block's
+forward index (its vectors) and stops when the next bound is below its kth score. Every query starts with a kth score from
+a probe, a bounded sample of the vectors themselves, so weak segments are left at once and give no rows.
+
+The probe only sets the starting bound, which is a true one: results do not depend on it. Segments and groups are large
+(SEGMENT, QUERIES), so a vector is copied once for each QUERIES queries and a query once for each SEGMENT vectors.
 """
 
 from __future__ import annotations
@@ -12,63 +16,77 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import ship
 from .common import table
 
-SEGMENT, BLOCK, QUERIES = 4096, 256, 512
+SEGMENT, BLOCK, QUERIES, PROBE = 16_384, 128, 4_096, 4_096
+#: No score yet.
+NONE = np.iinfo(np.int64).min
 
 
-def _top(scores: np.ndarray, ranks: np.ndarray, k: int) -> np.ndarray:
-    """Positions of the k best: higher scores, then lower ranks."""
-    if len(scores) > k:
-        kth = np.partition(scores, len(scores) - k)[len(scores) - k]
-        some = np.flatnonzero(scores >= kth)
-    else:
-        some = np.arange(len(scores))
-    return some[np.lexsort((ranks[some], -scores[some]))][:k]
-
-
-def _wide(rows: list, dim: int) -> np.ndarray:
-    out = np.zeros((len(rows), dim), np.int64)
-    for i, r in enumerate(rows):
-        out[i, : len(r)] = r
-    return out
-
-
-def search_segment(ids: np.ndarray, docs: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int, block: int = BLOCK):
-    """(query, vec_id, score) rows: the k best of the segment for each query, and the number of scores computed."""
-    order = np.argsort(ids, kind="stable")
-    # vectors that point alike stand together, so that a block's bounds are tight
-    tight = np.lexsort((ids, np.argmax(docs, 1))) if docs.shape[1] else order
-    ids, docs = ids[tight], docs[tight]
+def _search(ids: np.ndarray, docs: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int, block: int, floors: np.ndarray):
+    """For each query its k best rows of the segment with scores of at least its floor: query, vec_id and score, best
+    first, and the number of scores computed."""
+    strong = np.argmax(np.abs(docs), 1) if docs.shape[1] else np.zeros(len(ids), int)
+    sign = np.take_along_axis(docs, strong[:, None], 1)[:, 0] >= 0 if docs.shape[1] else strong
+    order = np.lexsort((ids, sign, strong))
+    ids, docs = ids[order], docs[order]
     starts = np.arange(0, len(ids), block)
     highs = np.array([docs[s : s + block].max(0) for s in starts])
     lows = np.array([docs[s : s + block].min(0) for s in starts])
+    # a score and, at equal scores, the rank of the vec_id in one number: the higher, the better
+    n = len(ids)
+    largest = float(np.abs(docs).max(initial=0)) * float(np.abs(queries).max(initial=0)) * docs.shape[1]
+    if (largest + 1) * n >= 2**62:
+        raise OverflowError("scores of this size do not fit 64 bits")
+    tie = np.empty(n, np.int64)
+    tie[np.lexsort((np.arange(n), ids))] = n - 1 - np.arange(n)
+    d, q = (docs.astype(np.float64), queries.astype(np.float64)) if largest < 2**53 else (docs, queries)
     bounds = np.maximum(queries, 0) @ highs.T + np.minimum(queries, 0) @ lows.T
     turn = np.argsort(-bounds, 1, kind="stable")
-    exact = docs.size == 0 or float(np.abs(docs).max()) * float(np.abs(queries).max(initial=0)) * docs.shape[1] < 2**53
-    d, q = (docs.astype(np.float64), queries.astype(np.float64)) if exact else (docs, queries)
-    best: list = [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(query_ids)
+    best = np.full((len(query_ids), k), NONE, np.int64)
+    least = np.where(floors == NONE, NONE, floors * n)  # a row's number must reach this
     active, scored = np.arange(len(query_ids)), 0
     for r in range(len(starts)):
-        going = [i for i in active if len(best[i][0]) < k or bounds[i, turn[i, r]] >= best[i][0][-1]]
-        active = np.array(going, int)
+        # each active query takes its next block, as long as that can hold anything better
+        active = active[bounds[active, turn[active, r]] * n + n - 1 >= least[active]]
         if not len(active):
             break
-        for b in np.unique(turn[active, r]):
-            who = active[turn[active, r] == b]
+        now = turn[active, r]
+        for b in np.unique(now):
+            who = active[now == b]
             some = slice(starts[b], starts[b] + block)
-            scores = (q[who] @ d[some].T).astype(np.int64)
-            scored += scores.size
-            for i, row in zip(who, scores, strict=True):
-                own = ids[some] != query_ids[i]
-                s, v = np.concatenate([best[i][0], row[own]]), np.concatenate([best[i][1], ids[some][own]])
-                t = _top(s, v, k)
-                best[i] = (s[t], v[t])
-    return [(query_ids[i], v, s) for i in range(len(query_ids)) for s, v in zip(*best[i], strict=True)], scored
+            rows = (q[who] @ d[some].T).astype(np.int64) * n + tie[some]
+            scored += rows.size
+            rows[(ids[some] == query_ids[who][:, None]) | (rows < least[who][:, None])] = NONE
+            every = np.concatenate([best[who], rows], 1)
+            best[who] = np.partition(every, every.shape[1] - k, 1)[:, -k:]
+            least[who] = np.maximum(least[who], best[who].min(1))
+    best = -np.sort(-best, 1)
+    at, rank = np.nonzero(best != NONE)
+    value = best[at, rank]
+    place = np.empty(n, np.int64)
+    place[n - 1 - tie] = np.arange(n)
+    return query_ids[at], ids[place[n - 1 - value % n]], value // n, scored
+
+
+def search_segment(ids: np.ndarray, docs: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int, block: int = BLOCK):
+    """(query, vec_id, score) rows: the k best of the segment for each query, and the number of scores computed."""
+    *rows, scored = _search(ids, docs, query_ids, queries, k, block, np.full(len(query_ids), NONE))
+    return list(zip(*(r.tolist() for r in rows), strict=True)), scored
+
+
+def _wide(lists: pa.ListArray, dim: int) -> np.ndarray:
+    """Lists of numbers as rows, shorter ones ending in zeros."""
+    ends = lists.offsets.to_numpy().astype(np.int64)
+    n = np.diff(ends)
+    out = np.zeros((len(lists), dim), np.int64)
+    out[np.arange(dim) < n[:, None]] = lists.values.to_numpy(zero_copy_only=False)[ends[0] : ends[-1]]
+    return out
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
@@ -76,31 +94,57 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
     smaller vec_id.
 
     Rows with a null vec_id, a null vector or null components take no part. Shorter vectors count as ending in zeros. A
-    repeated vec_id is found as often as it stands there and never by its own query; a repeated query is answered once."""
+    repeated vec_id is found as often as it stands there and never by its own query; a repeated query is answered once, by
+    the least of its vectors. Other columns are left out; an empty table gives an empty one."""
+    spark = vectors.sparkSession
+    ship(spark)
     vectors = vectors.select("vec_id", "v").filter("vec_id is not null and v is not null and not exists(v, x -> x is null)")
     stats = vectors.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("dim"), F.sum(is_query.cast("int")).alias("q")).first()
     n, dim, n_queries = stats["n"], stats["dim"] or 0, stats["q"] or 0
-    segments, groups = max(1, -(-n // SEGMENT)), max(1, -(-n_queries // QUERIES))
-    spread = lambda seed, m: F.pmod(F.xxhash64(F.lit(seed), F.col("vec_id")), F.lit(m)).cast("int")
-    packed = F.collect_list(F.struct("vec_id", "v"))
-    segs = vectors.groupBy(spread("segment", segments).alias("segment")).agg(packed.alias("docs"))
-    quers = vectors.filter(is_query).dropDuplicates(["vec_id"]).groupBy(spread("group", groups).alias("g")).agg(packed.alias("queries"))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    segments = max(1, -(-n // SEGMENT), min(tasks, n // 1024))  # more and smaller ones where there are tasks for them
+    groups = max(1, -(-n_queries // QUERIES))
+    spread = lambda seed, m: F.pmod(F.xxhash64(F.lit(seed), F.col("vec_id"), F.col("v")), F.lit(m)).cast("int")
+    probe = vectors.filter(spread("probe", max(1, n // PROBE)) == 0).limit(2 * PROBE).collect()
+    probe_ids = np.array([r["vec_id"] for r in probe], np.int64)
+    probe_vectors = np.zeros((len(probe), dim), np.int64)
+    for i, r in enumerate(probe):
+        probe_vectors[i, : len(r["v"])] = r["v"]
+
+    def floor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = batch.column(0).to_numpy()
+            out = np.full(len(own), NONE, np.int64)
+            if len(probe_ids) > k and len(own):
+                scores = _wide(batch.column(1), dim) @ probe_vectors.T
+                scores[own[:, None] == probe_ids] = NONE
+                out = np.partition(scores, len(probe_ids) - k, 1)[:, len(probe_ids) - k]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], names=["vec_id", "v", "floor"])
+
+    quers = vectors.filter(is_query).groupBy("vec_id").agg(F.min("v").alias("v")).mapInArrow(floor, "vec_id long, v array<long>, floor long")
+    quers = quers.groupBy(F.pmod(F.xxhash64("vec_id"), F.lit(groups)).cast("int").alias("g"))
+    quers = quers.agg(F.collect_list(F.struct("vec_id", "v", "floor")).alias("queries"))
+    # by row, so that a row that stands a million times fills no segment
+    dealt = vectors.withColumn("segment", F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), F.lit(segments)).cast("int"))
+    segs = dealt.groupBy("segment").agg(F.collect_list(F.struct("vec_id", "v")).alias("docs"))
     # each segment meets each group of queries: the stated query set against all rows, in blocks
-    pairs = segs.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).join(quers, "g")
+    cells = segs.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).join(quers, "g").select("docs", "queries")
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for docs, queries in zip(batch["docs"], batch["queries"], strict=True):
-                ids, qids = (np.array([r["vec_id"] for r in x], np.int64) for x in (docs, queries))
-                rows, _ = search_segment(ids, _wide([r["v"] for r in docs], dim), qids, _wide([r["v"] for r in queries], dim), k)
-                yield pd.DataFrame(rows, columns=["query_id", "vec_id", "score"])
+            for i in range(batch.num_rows):
+                docs, queries = (c.slice(i, 1).flatten() for c in batch.columns)
+                ids, wide = docs.field("vec_id").to_numpy(), _wide(docs.field("v"), dim)
+                found = _search(ids, wide, queries.field("vec_id").to_numpy(), _wide(queries.field("v"), dim), k, BLOCK, queries.field("floor").to_numpy())
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in found[:3]], names=["query_id", "vec_id", "score"])
 
-    found = pairs.select("docs", "queries").repartition(segments * groups).mapInPandas(work, "query_id long, vec_id long, score long")
+    found = cells.repartition(max(1, min(segments * groups, 8 * tasks))).mapInArrow(work, "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op4_top_k(spark, sf_dir: str) -> DataFrame:
+    """The contract's columns; vectors with null or non-finite components take no part, the rest as top_k() states."""
     e = table(spark, sf_dir, "embeddings")
     x = F.transform("embedding", lambda c: c.cast("double"))
     fine = "embedding is not null and not exists(embedding, x -> x is null or isnan(x) or abs(x) = double('infinity'))"
