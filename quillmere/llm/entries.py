@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .licenses import op5_license_scan
+from .licenses import OP5_SQL, op5_license_scan
 from .lz_dedup import OP10_SQL, op10_lz_dedup
 from .mixing import op2_source_mix
 from .ngram_join import OP3_SQL, op3_ngram_join
@@ -31,6 +31,7 @@ QUERIES = {
 ORACLE_SQL: dict[str, str] = {
     "op3_ngram_join": OP3_SQL,
     "op4_top_k": OP4_SQL,
+    "op5_license_scan": OP5_SQL,
     "op8_quality_rules": OP8_SQL,
     "op10_lz_dedup": OP10_SQL,
 }
