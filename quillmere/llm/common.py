@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import contextlib
 import gc
+import re
 import tempfile
 import uuid
 
@@ -25,9 +26,12 @@ _MADE: list[tuple[SparkSession, str]] = []
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; where it is unset (tests), a temporary one that is set here."""
+    """The shared folder of spark.checkpoint.dir; where it is unset and Spark runs in one process (tests), a temporary one
+    that is set here. On a cluster an unset folder is an error: executors would not see the driver's."""
     place = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not place:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         place = "file://" + tempfile.mkdtemp(prefix="quillmere-")
         spark.sparkContext.setCheckpointDir(place)
     return place.rstrip("/")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from .licenses import OP5_SQL, op5_license_scan
 from .lz_dedup import OP10_SQL, op10_lz_dedup
-from .mixing import op2_source_mix
+from .mixing import OP2_SQL, op2_source_mix
 from .ngram_join import OP3_SQL, op3_ngram_join
 from .quality import OP8_SQL, op8_quality_rules
 from .secrets import op9_secret_scan
@@ -29,6 +29,7 @@ QUERIES = {
     )
 }
 ORACLE_SQL: dict[str, str] = {
+    "op2_source_mix": OP2_SQL,
     "op3_ngram_join": OP3_SQL,
     "op4_top_k": OP4_SQL,
     "op5_license_scan": OP5_SQL,

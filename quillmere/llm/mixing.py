@@ -52,8 +52,10 @@ def queue(sized: DataFrame, seed: str = "mix", weights: tuple[int, ...] = WEIGHT
     buckets = max(16, math.isqrt(stats["n"]))
     sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     aims = targets(sources, weights, share, passes)
-    u = F.xxhash64(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
-    rows = sized.withColumn("__u", u).withColumn("__b", F.pmod(F.col("__u"), F.lit(buckets)))
+    u = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
+    # buckets are ranges of the keyed digest's first 32 bits
+    bucket = F.floor(F.conv(F.substring("__u", 1, 8), 16, 10).cast("long") * buckets / 2**32).cast("long")
+    rows = sized.withColumn("__u", u).withColumn("__b", bucket)
     by_bucket = Window.partitionBy("source").orderBy("__b")
     sums = rows.groupBy("source", "__b").agg(F.sum("size").alias("__s"))
     sums = sums.withColumn("__before", F.sum("__s").over(by_bucket) - F.col("__s")).drop("__s")
@@ -102,6 +104,29 @@ def sizes(docs: DataFrame) -> DataFrame:
 
 
 def op2_source_mix(spark, sf_dir: str) -> DataFrame:
+    """The contract's columns for every row of documents; nulls, ties, repeated rows and empty tables as queue() and mix()
+    state."""
     sized = materialize(sizes(table(spark, sf_dir, "documents")), "mix-sizes")
     out = mix(sized)
     return out.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * F.col("passes_taken")).alias("taken"))
+
+
+OP2_SQL = f"""
+WITH d AS (SELECT doc_id, source, md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS u,
+  CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size FROM documents),
+s0 AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY 1),
+s1 AS (SELECT *, {PASSES} * source_size AS cap, CAST([{", ".join(map(str, WEIGHTS))}][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(WEIGHTS)} + 1 AS INTEGER)] AS DOUBLE) AS weight FROM s0),
+s2 AS (SELECT *, cap / weight AS r, CAST(sum(source_size) OVER () AS BIGINT) AS total FROM s1),
+s3 AS (SELECT *, total * {SHARE} / 100 - coalesce(CAST(sum(cap) OVER (ORDER BY r, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS BIGINT), 0) AS rest,
+  sum(weight) OVER (ORDER BY r, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS weights FROM s2),
+s4 AS (SELECT *, rest * weight >= cap * weights AS capped FROM s3),
+level AS (SELECT arg_min(rest / weights, struct_pack(r := r, n := source IS NULL, s := source)) AS level FROM s4 WHERE NOT capped),
+s5 AS (SELECT source, source_size, total, CASE WHEN capped THEN CAST(cap AS DOUBLE) ELSE weight * (SELECT level FROM level) END AS target FROM s4),
+q AS (SELECT d.*, source_size, target, total, CAST(sum(size) OVER (PARTITION BY d.source ORDER BY u, doc_id NULLS FIRST, size ROWS UNBOUNDED PRECEDING) AS BIGINT) AS c
+  FROM d JOIN s5 ON d.source IS NOT DISTINCT FROM s5.source),
+timed AS (SELECT *, (p * source_size + c) / target AS v FROM q, range({PASSES}) t(p) WHERE size > 0 AND target > 0),
+run AS (SELECT v, total, CAST(sum(size) OVER (ORDER BY v, source NULLS LAST, u, doc_id NULLS FIRST, size, p ROWS UNBOUNDED PRECEDING) AS BIGINT) AS upto FROM timed),
+cut AS (SELECT min(v) AS cut FROM run WHERE upto > total * {SHARE} // 100)
+SELECT doc_id, source, size, source_size, target, CASE WHEN size > 0 AND target > 0 THEN size * ({" + ".join(f"CASE WHEN cut IS NULL OR ({p} * source_size + c) / target < cut THEN 1 ELSE 0 END" for p in range(PASSES))}) ELSE 0 END AS taken
+FROM q, cut
+"""

@@ -305,6 +305,7 @@ def _sets_of(docs: DataFrame, owners: DataFrame, pairs: DataFrame, n: int) -> Da
 
 
 def op3_ngram_join(spark, sf_dir: str) -> DataFrame:
+    """The contract's columns for every row of documents; nulls, ties and empty tables as join() states."""
     return join(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 

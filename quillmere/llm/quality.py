@@ -63,6 +63,8 @@ def failed(rule: Rule) -> Column:
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_repeat_words", "n_stop_words", "n_lines", "n_dup_lines", "n_capital_words")
 
+#: Names of columns on the way; a caller's columns of these names are replaced and left out.
+OWN = ("__words", "__hashes", "__sorted", "__twice", "__starts", "__lines", "__counts")
 #: Up to so many different repeated windows are looked up one by one; more are found by sorting.
 FEW = 64
 
@@ -83,7 +85,9 @@ def counts(df: DataFrame, text: str = "text") -> DataFrame:
     """df with the counts the rules read.
 
     A null or blank text has no words and every count 0. Texts of any length are taken whole. Repeated rows are judged
-    one by one; other columns pass through unless they carry the name of a count, which replaces them."""
+    one by one; other columns pass through unless they carry the name of a count, which replaces them, or one in OWN. An
+    empty table gives an empty one."""
+    given = [c for c in df.columns if c not in OWN]
     t = F.coalesce(F.col(text), F.lit(""))
     words = F.col("__words")
     df = df.withColumn("__words", F.array_remove(F.split(t, BLANK_RUN, -1), ""))
@@ -131,7 +135,7 @@ def counts(df: DataFrame, text: str = "text") -> DataFrame:
     )
     # a filter on a count would be pushed into the projections above, and word lists would be made anew for each word;
     # an explode of one struct stops it
-    kept = [c for c in df.columns if c not in COUNTS and not c.startswith("__")]
+    kept = [c for c in given if c not in COUNTS]
     df = df.select(*kept, F.explode(F.array(F.struct(*COUNTS))).alias("__counts"))
     return df.select(*kept, *[F.col(f"__counts.{c}").alias(c) for c in COUNTS])
 
@@ -145,6 +149,7 @@ def judge(df: DataFrame, text: str = "text", table: tuple[Rule, ...] = TABLE) ->
 
 
 def op8_quality_rules(spark, sf_dir: str) -> DataFrame:
+    """The contract's columns for every row of documents; nulls, ties and empty tables as counts() states."""
     from .common import table as load
 
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")

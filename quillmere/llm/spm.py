@@ -23,6 +23,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
+from ..session import ship
 from .common import U64, mix64, table
 
 BLANK = "▁"
@@ -45,6 +46,8 @@ class Vocabulary:
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
         self.size = sp.get_piece_size()
+        if not any(sp.is_byte(i) for i in range(self.size)):
+            raise ValueError("this vocabulary has no bytes to fall back on, so texts would not decode")
         self.pieces = [sp.id_to_piece(i) for i in range(self.size)]
         if any(re.search(f"[^{BLANK}]{BLANK}", p) for p in self.pieces if len(p) > 1):
             raise ValueError("a piece of this vocabulary holds a blank after another character")
@@ -389,7 +392,10 @@ _ENCODERS: dict[tuple, Encoder] = {}
 def encode_documents(docs: DataFrame, path: str, rate: float = RATE, seed: int = SEED, draws: int | None = None) -> DataFrame:
     """doc_id, text -> doc_id, n_tokens, token_ids and round_trip: whether decoding the ids gives the text again (a null
     text counts as empty). Repeated rows get the same ids: the key is doc_id (null: 2**63). Whole texts of any
-    length; no rows are added or lost."""
+    length; no rows are added or lost; an empty table gives an empty one; other columns are left out. In memory are a
+    text and, of a run without blanks, some 100 bytes a character: a run of LONG characters and more is merged as one row
+    of arrays."""
+    ship(docs.sparkSession)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = (path, rate, seed, draws)
@@ -422,4 +428,5 @@ def default_path() -> str:
 
 
 def op1_sentencepiece(spark, sf_dir: str, path: str | None = None) -> DataFrame:
+    """Ids of every row of documents; nulls, ties and empty tables as encode_documents() states."""
     return encode_documents(table(spark, sf_dir, "documents"), path or default_path())
