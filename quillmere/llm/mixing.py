@@ -42,12 +42,13 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: int =
     return df.select("source", "source_size", "weight", "target")
 
 
-def queue(sized: DataFrame, seed: str = "mix", weights: tuple[int, ...] = WEIGHTS, share: int = SHARE, passes: int = PASSES) -> tuple[DataFrame, int]:
+def queue(sized: DataFrame, seed: str = "mix", weights: tuple[int, ...] = WEIGHTS, share: int = SHARE, passes: int = PASSES, ties: tuple[str, ...] = ()) -> tuple[DataFrame, int]:
     """Rows with source, doc_id and size -> the same rows with source_size, target and __c (cumulative words of the
     source), and the total budget in words.
 
     sized is read more than once: give a table. Null doc_ids and sources are values like others. Repeated rows each
-    stand in the queue. An empty table gives an empty one."""
+    stand in the queue; rows alike in doc_id and size come in any order unless columns in ties tell them apart. An empty
+    table gives an empty one."""
     stats = sized.agg(F.count("*").alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("total")).first()
     buckets = max(16, math.isqrt(stats["n"]))
     sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
@@ -64,17 +65,17 @@ def queue(sized: DataFrame, seed: str = "mix", weights: tuple[int, ...] = WEIGHT
         right = extra.select(*[F.col(k).alias(f"__k_{k}") for k in keys], *[c for c in extra.columns if c not in keys])
         on = [rows[k].eqNullSafe(right[f"__k_{k}"]) for k in keys]
         rows = rows.join(right, on).drop(*[f"__k_{k}" for k in keys])
-    inside = Window.partitionBy("source", "__b").orderBy("__u", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = Window.partitionBy("source", "__b").orderBy("__u", "doc_id", "size", *ties).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return rows.withColumn("__c", F.col("__before") + F.sum("size").over(inside)).drop("__before"), stats["total"] * share // 100
 
 
-def mix(sized: DataFrame, seed: str = "mix", weights: tuple[int, ...] = WEIGHTS, share: int = SHARE, passes: int = PASSES) -> DataFrame:
+def mix(sized: DataFrame, seed: str = "mix", weights: tuple[int, ...] = WEIGHTS, share: int = SHARE, passes: int = PASSES, ties: tuple[str, ...] = ()) -> DataFrame:
     """Rows with source, doc_id and size (a table) -> the same rows, with source_size, target and passes_taken: how
     often the mix takes the document (0 to passes). Documents without words are never taken.
 
     The cut: finish times fall into equal buckets; those before the one in which the budget is reached are taken whole,
     and inside that one documents are taken in order until the next would exceed the budget."""
-    rows, budget = queue(sized, seed, weights, share, passes)
+    rows, budget = queue(sized, seed, weights, share, passes, ties)
     rows = materialize(rows, "mix-queue")
     buckets = max(16, math.isqrt(max(1, rows.count())))
     # the finish time of pass p; at 1 every source has given its target. A source's last is at most passes * size / target
@@ -89,7 +90,7 @@ def mix(sized: DataFrame, seed: str = "mix", weights: tuple[int, ...] = WEIGHTS,
     edge = full.filter(F.col("__to") > budget).orderBy("__slot").select("__slot", (F.col("__to") - F.col("__s")).alias("__from")).limit(1).collect()
     if edge:
         at, start = edge[0]
-        order = Window.orderBy("__v", F.col("source").isNull(), "source", "__u", "doc_id", "size", "__p")
+        order = Window.orderBy("__v", F.col("source").isNull(), "source", "__u", "doc_id", "size", *ties, "__p")
         inside = timed.filter(slot(F.col("__v")) == at).withColumn("__sum", start + F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)))
         cut = inside.filter(F.col("__sum") > budget).orderBy("__sum").select("__v").limit(1).collect()[0][0]
         taken = sum((F.when(time(p) < cut, 1).otherwise(0) for p in range(passes)), F.lit(0))

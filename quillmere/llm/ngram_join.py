@@ -57,7 +57,7 @@ def node_of(s: np.ndarray) -> int:
 
 
 def _profile(docs: DataFrame, n: int) -> DataFrame:
-    """Rows (ref, named, node, size) for documents, and (slice, counts) for the slots of each partition."""
+    """Rows (ref, named, text_key, node, size) for documents, and (slice, counts) for the slots of each partition."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts = np.zeros(1 << SLOTS_BITS, np.uint32)
@@ -70,11 +70,11 @@ def _profile(docs: DataFrame, n: int) -> DataFrame:
                 slots.append((s >> U64(64 - SLOTS_BITS)).astype(np.int32))
             if slots:
                 counts += np.bincount(np.concatenate(slots), minlength=1 << SLOTS_BITS).astype(np.uint32)
-            yield pd.DataFrame({"ref": batch["ref"], "named": batch["named"], "node": nodes, "size": sizes, "slice": -1, "counts": None})
+            yield pd.DataFrame({"ref": batch["ref"], "named": batch["named"], "text_key": batch["text_key"], "node": nodes, "size": sizes, "slice": -1, "counts": None})
         parts = [p.tobytes() for p in np.split(counts, SLICES)]
-        yield pd.DataFrame({"ref": 0, "named": False, "node": 0, "size": 0, "slice": range(SLICES), "counts": parts})
+        yield pd.DataFrame({"ref": 0, "named": False, "text_key": 0, "node": 0, "size": 0, "slice": range(SLICES), "counts": parts})
 
-    return docs.mapInPandas(work, "ref long, named boolean, node long, size int, slice int, counts binary")
+    return docs.mapInPandas(work, "ref long, named boolean, text_key long, node long, size int, slice int, counts binary")
 
 
 def _frequencies(profile: DataFrame) -> np.ndarray:
@@ -208,20 +208,20 @@ def _relabel(marked: DataFrame, found: DataFrame) -> DataFrame:
     return marked.drop("comp").join(found.withColumnRenamed("root", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
 
 
-def join(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """doc_id, text -> doc_id, n_shingles, component_id; a row for each row.
+def _names() -> dict[str, Column]:
+    """A row is found again by its doc_id or, without one, by its text's hash; neither is null, so Python gets it exactly."""
+    key = F.xxhash64(F.col("text").cast("string"))
+    return {"ref": F.coalesce(F.col("doc_id").cast("long"), key), "named": F.col("doc_id").isNotNull(), "text_key": key}
 
-    Texts without words (null, empty, blanks) link with nothing: their component is their own doc_id. A row without a
-    doc_id links like others, also where it alone connects two others; only a component's least id disregards it, and
-    where no row has an id it is null. Repeated rows and repeated doc_ids are rows like others. Texts of any length are
-    taken whole, one at a time in memory. An empty table gives an empty one; other columns of docs are left out."""
+
+def groups(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """doc_id, text -> ref and named (doc_id, or without one the text's hash), text_key (its hash), size (of the set) and root
+    (a number of its component; null without words): a table with a row for each row."""
     spark = docs.sparkSession
     ship(spark)
-    # a row is found again by its doc_id or, without one, by its text's hash; neither is null, so Python gets it exactly
-    named = F.col("doc_id").isNotNull()
-    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")).alias("ref"), named.alias("named"), F.col("text").cast("string").alias("text"))
+    docs = docs.select(*[v.alias(k) for k, v in _names().items()], F.col("text").cast("string").alias("text"))
     profile = materialize(_profile(docs, n), "profile")
-    names = profile.filter("slice < 0").select("ref", "named", "node", "size")
+    names = profile.filter("slice < 0").select("ref", "named", "text_key", "node", "size")
     frequencies = spark.sparkContext.broadcast(_frequencies(profile))
     owners = _owners(names)
     prefixes = _prefixes(docs, frequencies, n, percent)
@@ -277,9 +277,19 @@ def join(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
         if leaders:
             marked = materialize(_relabel(marked, found), "marked")
             drop(posts)
-    # written, so that a component of many rows can be split where its least id is joined to them
+    # written, so that a component of many rows can be split where something is joined to its root
     nodes = names.join(found, "node", "left").withColumn("root", F.when(F.col("size") > 0, F.coalesce("root", "node")))
-    nodes = materialize(nodes.select("ref", "named", "size", "root"), "roots")
+    return materialize(nodes.select("ref", "named", "text_key", "size", "root"), "roots")
+
+
+def join(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """doc_id, text -> doc_id, n_shingles, component_id; a row for each row.
+
+    Texts without words (null, empty, blanks) link with nothing: their component is their own doc_id. A row without a
+    doc_id links like others, also where it alone connects two others; only a component's least id disregards it, and
+    where no row has an id it is null. Repeated rows and repeated doc_ids are rows like others. Texts of any length are
+    taken whole, one at a time in memory. An empty table gives an empty one; other columns of docs are left out."""
+    nodes = groups(docs, n, percent)
     firsts = nodes.filter("root is not null").groupBy("root").agg(F.min(F.when(F.col("named"), F.col("ref"))).alias("first"))
     out = nodes.join(materialize(firsts, "firsts"), "root", "left")
     doc = F.when(F.col("named"), F.col("ref"))
@@ -287,6 +297,30 @@ def join(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
     return out.select(doc.alias("doc_id"), F.col("size").cast("long").alias("n_shingles"), component.alias("component_id"))
 
 
+def one_of_each(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """docs without the rows that are linked to one that stays: of each component one row stays, that with the least doc_id
+    (of several the least hash of the text; rows without a doc_id come last). Texts without words all stay. Rows that are
+    alike in doc_id and text count as one, and one of them stays. All columns pass through."""
+    nodes = groups(docs, n, percent)
+    order = F.struct((~F.col("named")).alias("bare"), "ref", "text_key")
+    best = materialize(nodes.filter("root is not null").groupBy("root").agg(F.min(order).alias("best")), "best")
+    rows = nodes.filter("root is not null").join(best, "root").select("ref", "named", "text_key", (order != F.col("best")).alias("gone"))
+    known = materialize(rows.groupBy("ref", "named", "text_key").agg(F.max("gone").alias("gone"), F.count("*").alias("n")), "known")
+    drop(nodes)
+    gone = known.filter("gone").select("ref", "named", "text_key")
+    # few are broadcast, so that texts stay where they are; more are joined by shuffle
+    few = gone.count() <= BROADCAST_ROWS
+    keyed = docs.withColumns({f"__{k}": v for k, v in _names().items()})
+    on = [F.col(f"__{k}") == F.col(k) for k in ("ref", "named", "text_key")]
+    kept = keyed.join(F.broadcast(gone) if few else gone, on, "left_anti")
+    again = known.filter("not gone and n > 1").select("ref", "named", "text_key")
+    if again.head(1):
+        again = F.broadcast(again) if again.count() <= BROADCAST_ROWS else again
+        single = kept.join(again, on, "left_semi").dropDuplicates(["__ref", "__named", "__text_key"])
+        kept = kept.join(again, on, "left_anti").unionByName(single)
+    return kept.select(*docs.columns)
+
+
 def _sets_of(docs: DataFrame, owners: DataFrame, pairs: DataFrame, n: int) -> DataFrame:
     """(node, set) for the nodes of pairs, from the texts of one document of each."""
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
