@@ -23,18 +23,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked ones: that with the least doc_id. Rows without a doc_id stay; of rows with
-    one doc_id and one text, one stays."""
-    groups = materialize(ngram_join.join(docs.select("doc_id", "text")), "groups")
-    ids = groups.filter("doc_id is not null").groupBy("doc_id")
-    ids = materialize(ids.agg(F.bool_or(F.col("doc_id") == F.col("component_id")).alias("first"), F.count("*").alias("n")), "ids")
-    gone = ids.filter("not first").select("doc_id")
-    # few ids are broadcast, so that texts stay where they are; more are joined by shuffle
-    kept = docs.select(*COLUMNS).join(F.broadcast(gone) if gone.count() <= ngram_join.BROADCAST_ROWS else gone, "doc_id", "left_anti")
-    if ids.filter("n > 1").head(1):
-        once = kept.filter("doc_id is not null").dropDuplicates(["doc_id", "text"])
-        kept = once.union(kept.filter("doc_id is null"))
-    return kept.select(*COLUMNS)
+    """One document of each group of linked ones: that with the least doc_id, rows without a doc_id last. Texts without words
+    all stay; of rows with one doc_id and one text, one stays."""
+    return ngram_join.one_of_each(docs.select(*COLUMNS))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,15 +35,27 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the weighted mix takes them: not, once or twice."""
-    sized = materialize(mixing.sizes(docs), "mix-sizes")
-    taken = mixing.mix(sized).groupBy("doc_id", "source", "size").agg(F.sum("passes_taken").alias("passes"), F.count("*").alias("rows"))
-    taken = taken.filter("passes > 0").withColumnsRenamed({"doc_id": "d", "source": "s", "size": "z"})
-    rows = docs.select(*COLUMNS, mixing.n_words(F.col("text")).alias("z0"))
-    rows = rows.join(taken, rows.doc_id.eqNullSafe(taken.d) & rows.source.eqNullSafe(taken.s) & (rows.z0 == taken.z))
-    # rows that are alike in doc_id, source and size share their passes evenly, rounded up
-    times = F.ceil(F.col("passes") / F.col("rows")).cast("int")
-    return rows.withColumn("copy", F.explode(F.sequence(F.lit(1), times))).select(*COLUMNS)
+    """Documents as often as the weighted mix takes them: not, once or twice. Rows that are alike in doc_id, source and text
+    share their passes; what is left over is given to one of them, so the mix takes as many words as it says."""
+    docs = docs.select(*COLUMNS)
+    keyed = docs.withColumns({"__size": mixing.n_words(F.col("text")), "__text": F.xxhash64("text")})
+    sized = keyed.select("doc_id", "source", F.col("__size").alias("size"), F.col("__text").alias("text_key"))
+    taken = mixing.mix(materialize(sized, "mix-sizes"), ties=("text_key",)).groupBy("doc_id", "source", "size", "text_key")
+    taken = taken.agg(F.sum("passes_taken").alias("passes"), F.count("*").alias("rows")).filter("passes > 0")
+    taken = taken.select(F.col("doc_id").alias("d"), F.col("source").alias("s"), F.col("text_key").alias("k"), "passes", "rows")
+    taken = materialize(taken, "mix-taken")
+    match = lambda t: keyed.doc_id.eqNullSafe(t.d) & keyed.source.eqNullSafe(t.s) & (F.col("__text") == t.k)
+    times = F.floor(F.col("passes") / F.col("rows")).cast("int")
+    each = taken.filter(times > 0)
+    out = keyed.join(each, match(each)).withColumn("copy", F.explode(F.sequence(F.lit(1), times))).select(*COLUMNS)
+    over = taken.filter(F.col("passes") % F.col("rows") > 0)
+    if over.head(1):
+        # by the thousand, as a row that stands a million times leaves many over
+        one = keyed.join(over, match(over)).dropDuplicates(["d", "s", "k"]).withColumn("left", F.col("passes") % F.col("rows"))
+        part = one.withColumn("part", F.explode(F.sequence(F.lit(0), F.floor((F.col("left") - 1) / 1000)))).repartition("d", "s", "k", "part")
+        part = part.withColumn("copy", F.explode(F.sequence(F.lit(1), F.least(F.lit(1000), F.col("left") - 1000 * F.col("part")))))
+        out = out.unionByName(part.select(*COLUMNS))
+    return out
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
