@@ -20,11 +20,11 @@ from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
-from .common import table
+from .common import drop, materialize, table
 
 #: Fixed values of the contract.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -196,10 +196,12 @@ class Model:
         self.automata = {k: Automaton(by[k]) for k in sorted(by) if k}
         self.pairs: Counter = Counter()
         self.firsts: Counter = Counter()
+        self.chars: Counter = Counter()
         for s in by[""]:
             for a, b in zip(" " + s, s, strict=False):
                 self.pairs[a, b] += 1
                 self.firsts[a] += 1
+                self.chars[b] += 1
         self.costs: dict[tuple[str, str], float] = {}
 
     def plain(self, s: str) -> float:
@@ -208,7 +210,8 @@ class Model:
         for pair in zip(" " + s, s, strict=False):
             cost = costs.get(pair)
             if cost is None:  # few pairs: credential characters only
-                cost = costs[pair] = max(-RARE, math.log2((self.pairs[pair] + 0.05) / (self.firsts[pair[0]] + 0.05 * 70)))
+                alone = (self.chars[pair[1]] + 0.05) / (self.chars.total() + 0.05 * 70)
+                cost = costs[pair] = max(-RARE, math.log2((self.pairs[pair] + alone) / (self.firsts[pair[0]] + 1)))
             total += cost
         return total
 
@@ -239,10 +242,9 @@ def train(docs: DataFrame, sample_docs: int = 8_000, per_kind: int = 800, per_fo
         rows = [(k, h, s) for k in best for h, s in sorted(best[k].items())[:per_kind]]
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(3)], names=["kind", "h", "s"])
 
-    # ranked where they are first, so a kind's rows meet in one task only as per_kind rows of each
-    rank = F.row_number().over(Window.partitionBy("kind").orderBy("h"))
-    top = some.mapInArrow(pick, "kind string, h string, s string").distinct().withColumn("rank", rank).filter(F.col("rank") <= per_kind)
-    rows = sorted((r["kind"], r["h"], r["s"]) for r in top.collect())
+    found = materialize(some.mapInArrow(pick, "kind string, h string, s string").distinct(), "secrets-sample")
+    rows = [tuple(r) for k in ("", *KINDS) for r in found.filter(F.col("kind") == k).orderBy("h", "s").limit(per_kind).collect()]
+    drop(found)
     return Model([(k, s) for k, _, s in rows] + [(k, s) for k in FORMATS for s in specimens(k, per_format, 0)])
 
 
