@@ -68,20 +68,33 @@ class Machine:
         return float(1 / (1 + math.exp(-max(-30.0, min(30.0, z)))))
 
 
+def _heads(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The values of a sorted array, and where each begins."""
+    at = np.flatnonzero(x[1:] != x[:-1]) + 1
+    at = np.concatenate([[0], at]) if len(x) else at
+    return x[at], at
+
+
 class Table:
     """Which texts hold which terms, in both directions, for sums over the terms of a text and over the texts of a term."""
 
-    def __init__(self, texts: list[np.ndarray], n_terms: int):
-        self.flat = np.concatenate([*texts, np.zeros(0, np.int64)]).astype(np.int32)
-        self.row = np.repeat(np.arange(len(texts), dtype=np.int32), [len(t) for t in texts])
-        self.n_texts, self.n_terms = len(texts), n_terms
+    def __init__(self, flat: np.ndarray, lengths: np.ndarray, n_terms: int):
+        """flat: the terms (int32) of the texts, one text after the other."""
+        self.flat, self.n_texts, self.n_terms = flat, len(lengths), n_terms
+        self.row = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
         self._index()
 
     def _index(self) -> None:
-        self.texts, self.text_at = np.unique(self.row, return_index=True)
-        by = np.argsort(self.flat, kind="stable")
-        self.by_term = self.row[by]
-        self.terms, self.term_at = np.unique(self.flat[by], return_index=True)
+        self.texts, self.text_at = _heads(self.row)
+        # sorted in place, as one number a term and text: an order of indexes would take as much memory again
+        both = self.flat.astype(np.int64)
+        both *= self.n_texts + 1
+        both += self.row
+        both.sort()
+        self.by_term = np.empty(len(both), np.int32)
+        np.remainder(both, self.n_texts + 1, out=self.by_term, casting="unsafe")
+        both //= self.n_texts + 1
+        self.terms, self.term_at = _heads(both)
 
     def keep(self, terms: np.ndarray) -> None:
         """Leaves out other terms (a mask)."""
@@ -128,24 +141,34 @@ class Adam:
         return x * np.maximum(1 - step * self.limit / np.maximum(np.sqrt((x * x).sum(1)), 1e-12), 0)[:, None]
 
 
-def fit(rows: list[tuple[np.ndarray, int]], rank: int = 6, steps: int = 150, rate: float = 0.05, limit: float = 5e-4, pull: float = 3e-4, least_rows: int = 3, start: float = 0.1) -> Machine:
+def fit(rows: list[tuple[np.ndarray, int]], **options) -> Machine:
+    """fit_flat() for a list of terms and label of each text."""
+    flat = np.concatenate([*(found for found, _ in rows), np.zeros(0, np.int32)]).astype(np.int32)
+    return fit_flat(flat, np.array([len(found) for found, _ in rows], np.int64), np.array([label for _, label in rows], np.float32), **options)
+
+
+def fit_flat(
+    flat: np.ndarray, lengths: np.ndarray, y: np.ndarray, rank: int = 6, steps: int = 150, rate: float = 0.05, limit: float = 5e-4, pull: float = 3e-4, least_rows: int = 3, start: float = 0.1
+) -> Machine:
     """Log loss over all texts at once. First the weights of all hashed terms are fitted, then weights and vectors together.
 
     No term is chosen by its own relation to the label, as two terms can matter together that do not matter alone: all
     take part in both fits, but for those in fewer than least_rows texts. Weights are held small by an absolute penalty
     (limit), vectors by one on their lengths (pull), so that terms that explain nothing end at zero and are left out."""
     rng = np.random.default_rng(7)
-    y = np.array([label for _, label in rows], np.float32)
-    if not len(rows) or y.min() == y.max():
-        mean = float(y.mean()) if len(rows) else 0.0
+    if not len(y) or y.min() == y.max():
+        mean = float(y.mean()) if len(y) else 0.0
         return Machine(np.array([], int), -30.0 if mean < 0.5 else 30.0, np.zeros(0), np.zeros((0, rank)))
-    seen = np.zeros(1 << BITS, np.int32)
-    for found, _ in rows:
-        seen[found] += 1
-    every = np.flatnonzero(seen >= least_rows)
+    every = np.flatnonzero(np.bincount(flat, minlength=1 << BITS) >= least_rows)
     at = np.full(1 << BITS, -1, np.int32)
     at[every] = np.arange(len(every))
-    data = Table([(k := at[found])[k >= 0] for found, _ in rows], len(every))
+    flat = at[flat]
+    there = flat >= 0
+    ends = np.concatenate([[0], np.cumsum(there)])[np.concatenate([[0], np.cumsum(lengths)])]
+    flat = flat[there]
+    del there
+    data = Table(flat, np.diff(ends), len(every))
+    del flat
     bias, w = math.log(y.mean() / (1 - y.mean())), np.zeros(len(every), np.float32)
 
     def error(z: np.ndarray) -> np.ndarray:
@@ -157,7 +180,7 @@ def fit(rows: list[tuple[np.ndarray, int]], rank: int = 6, steps: int = 150, rat
         w = adam.step(w, data.over_texts(g))
         bias -= 5 * float(g.sum())
     # so that the pairs of a usual text's terms add about start to its score before anything is learnt
-    spread = math.sqrt(start * math.sqrt(2 / rank) / max(1.0, len(data.flat) / len(rows)))
+    spread = math.sqrt(start * math.sqrt(2 / rank) / max(1.0, len(data.flat) / len(y)))
     v = rng.normal(0, spread, (len(every), rank)).astype(np.float32)
     adams = Adam(w, rate, limit), Adam(v, rate, pull)
     for _ in range(steps):
@@ -193,8 +216,17 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int = 10_000) -> Machin
     # terms come as packed 32-bit numbers: some 5 KB a row, and most_rows rows. Put in order here: a sort before
     # collecting would run the terms twice
     kind = docs.schema["doc_id"].dataType.simpleString()
-    got = sorted(tuple(r) for r in rows.mapInArrow(work, f"doc_id {kind}, found binary, toxic int").collect())
-    return fit([(np.frombuffer(found, np.int32), int(toxic > 0)) for _, found, toxic in got])
+    got = rows.mapInArrow(work, f"doc_id {kind}, found binary, toxic int").toArrow().combine_chunks()
+    digest = [zlib.crc32(f) for f in got.column("found").to_pylist()]
+    order = np.lexsort((got.column("toxic").to_numpy(), digest, got.column("doc_id").to_numpy()))
+    got = got.take(pa.array(order))
+    packed = [np.frombuffer(f, np.int32) for f in got.column("found").to_pylist()]
+    y = (got.column("toxic").to_numpy() > 0).astype(np.float32)
+    del got
+    lengths = np.array([len(f) for f in packed], np.int64)
+    flat = np.concatenate([*packed, np.zeros(0, np.int32)])
+    del packed
+    return fit_flat(flat, lengths, y)
 
 
 def score(docs: DataFrame, machine: Machine) -> DataFrame:
