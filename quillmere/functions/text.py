@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: ASCII punctuation, spaces that are mapped to one, characters without width, the byte-order mark.
@@ -30,6 +30,25 @@ SYMBOLS = {
 }
 
 
+#: Marks between digits (the last one after them), and how they are read.
+BESIDE_DIGITS = {r"(?<=\d),(?=\d)": "", r"(?<=\d)\.(?=\d)": " point ", r"(?<=\d):(?=\d)": " ratio ", r"(?<=\d)!": " factorial "}
+
+
+def strip(t: Column) -> Column:
+    """Without white space at either end, Unicode spaces included."""
+    return F.regexp_replace(t, r"(?U)^\s+|\s+$", "")
+
+
+def is_blank(t: Column) -> Column:
+    """Null, empty or white space only."""
+    return t.isNull() | t.rlike(r"(?U)^\s*$")
+
+
+def fold(t: Column) -> Column:
+    """Stripped and in lower case, as values are compared that may differ in both."""
+    return F.lower(strip(t))
+
+
 def normalize_answer(t: Column) -> Column:
     """Lower case, no ASCII punctuation, no articles, single blanks."""
     t = F.translate(F.lower(t), PUNCTUATION, "")
@@ -37,23 +56,49 @@ def normalize_answer(t: Column) -> Column:
     return F.trim(F.regexp_replace(t, r"(?U)\s+", " "))
 
 
+def _run_starts(df: DataFrame, values: str) -> DataFrame:
+    marked = F.filter(F.transform(values, lambda x, i: F.when((i == 0) | (x != F.get(values, i - 1)), i)), lambda i: i.isNotNull())
+    return df.withColumn("__starts", marked)
+
+
+def counted(df: DataFrame, values: str, name: str) -> DataFrame:
+    """df with name: structs (n, term) of the values of a sorted array and how often they stand there. Linear, in the row."""
+    df = _run_starts(df, values)
+    length = lambda p, k: F.coalesce(F.get("__starts", k + 1), F.size(values)) - p
+    return df.withColumn(name, F.transform("__starts", lambda p, k: F.struct(length(p, k).alias("n"), F.get(values, p).alias("term")))).drop("__starts")
+
+
+def numbered_runs(df: DataFrame, values: str, name: str) -> DataFrame:
+    """df with name: the values of a sorted array of strings, each with its number among equal ones."""
+    df = counted(df, values, "__counted")
+    each = F.transform("__counted", lambda c: F.transform(F.sequence(F.lit(1), c["n"]), lambda k: F.concat(c["term"], F.lit("\u0000"), k.cast("string"))))
+    return df.withColumn(name, F.flatten(each)).drop("__counted")
+
+
 def answer_tokens(t: Column) -> Column:
     return F.filter(F.split(normalize_answer(t), " "), lambda x: x != "")
 
 
 def normalize_question(t: Column) -> Column:
     """normalize_answer, after symbols that carry meaning were put into words. Hyphens and slashes between letters join
-    words and vanish; points, commas, colons and exclamation marks count only next to digits."""
-    t = F.regexp_replace(F.lower(t), r"(?<=\p{L})-(?=\p{L})", "\u0001")
-    t = F.regexp_replace(t, r"(?<=\p{L})/(?=\p{L})", "\u0002")
+    words and vanish; points, commas, colons and exclamation marks count only next to digits (BESIDE_DIGITS)."""
+    kept = {"-": "\u0001", "/": "\u0002"}  # stand-ins while the symbols are put into words
+    t = reduce(lambda c, kv: F.regexp_replace(c, rf"(?<=\p{{L}}){kv[0]}(?=\p{{L}})", kv[1]), kept.items(), F.lower(t))
     t = F.regexp_replace(t, "_+", " blank ")
-    for pattern, word in ((r"(?<=\d),(?=\d)", ""), (r"(?<=\d)\.(?=\d)", " point "), (r"(?<=\d):(?=\d)", " ratio "), (r"(?<=\d)!", " factorial ")):
-        t = F.regexp_replace(t, pattern, word)
+    t = reduce(lambda c, kv: F.regexp_replace(c, kv[0], kv[1]), BESIDE_DIGITS.items(), t)
     for table in (OPERATORS, SYMBOLS):
         t = reduce(lambda c, kv: F.replace(c, F.lit(kv[0]), F.lit(f" {kv[1]} ")), table.items(), t)
     return normalize_answer(F.translate(t, "\u0001\u0002", "-/"))
 
 
+def question_key(kind: Column, text: Column, scenario: Column, parts: Column) -> Column:
+    """The fingerprint of a question; of a case, with its scenario and sub-questions (an array), as cases may share a
+    text."""
+    more = F.when(kind == "case", F.concat(F.array(F.coalesce(scenario, F.lit(""))), F.coalesce(parts, F.array().cast("array<string>")))).otherwise(F.array().cast("array<string>"))
+    every = F.filter(F.transform(F.concat(F.array(text), more), normalize_question), lambda p: p != "")
+    return F.concat(kind, F.lit(":"), F.array_join(every, " | "))
+
+
 def question_fingerprint(kind: Column, text: Column, *more: Column) -> Column:
     """type:normalized parts joined by ' | ', empty parts left out."""
     parts = F.filter(F.array(*[normalize_question(p) for p in (text, *more)]), lambda p: p != "")
@@ -64,6 +109,12 @@ def target_fingerprint(kind: Column, question: Column, answer: Column) -> Column
     return F.concat(kind, F.lit(":"), normalize_question(question), F.lit("|"), normalize_answer(answer))
 
 
+def example_fingerprint(context: Column, targets: Column) -> Column:
+    """The context's fingerprint and those of the targets (structs with question_type, question, answer), joined by '|'."""
+    each = F.transform(targets, lambda t: target_fingerprint(t["question_type"], t["question"], t["answer"]))
+    return F.array_join(F.concat(F.array(context_fingerprint(context)), each), "|")
+
+
 def strip_control(t: Column) -> Column:
     return F.regexp_replace(t, r"[\p{Cc}&&[^\n\t]]", "")
 
@@ -164,3 +215,27 @@ def norm_sql(x: str) -> str:
 def tokens_sql(x: str, marks: str | None = None) -> str:
     marks = marks or PUNCTUATION.replace("'", "''")
     return f"[w FOR w IN string_split_regex(translate(lower({x}), '{marks}', ''), '[\\s\\x{{00A0}}]+') IF w NOT IN ('', 'a', 'an', 'the')]"
+
+
+def norm_question_sql(x: str) -> str:
+    """normalize_question() in a dialect without look-behind: letters and digits around a mark are captured and put back,
+    twice, as one letter may stand between two marks."""
+    t = f"lower({x})"
+    for mark, kept in (("-", 1), ("/", 2)):
+        for _ in range(2):
+            t = f"regexp_replace({t}, '(\\p{{L}}){mark}(\\p{{L}})', '\\1' || chr({kept}) || '\\2', 'g')"
+    t = f"regexp_replace({t}, '_+', ' blank ', 'g')"
+    for mark, word in ((",", ""), ("[.]", " point "), (":", " ratio ")):
+        for _ in range(2):
+            t = f"regexp_replace({t}, '([0-9]){mark}([0-9])', '\\1{word}\\2', 'g')"
+    t = f"regexp_replace({t}, '([0-9])!', '\\1 factorial ', 'g')"
+    for table in (OPERATORS, SYMBOLS):
+        for sign, word in table.items():
+            t = f"replace({t}, '{sign}', ' {word} ')"
+    return norm_sql(f"translate({t}, chr(1) || chr(2), '-/')")
+
+
+def f1_sql(p: str, g: str) -> str:
+    """Token F1 of two lists of tokens."""
+    shared = f"coalesce(list_sum([least(len([y FOR y IN {p} IF y = x]), len([y FOR y IN {g} IF y = x])) FOR x IN list_distinct({p})]), 0)"
+    return f"CASE WHEN len({p}) = 0 OR len({g}) = 0 THEN CASE WHEN len({p}) = len({g}) THEN 1.0 ELSE 0.0 END ELSE 2.0 * {shared} / (len({p}) + len({g})) END"

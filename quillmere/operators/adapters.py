@@ -11,14 +11,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import derive_id
+from ..functions.text import derive_id, is_blank
 
 CANONICAL = ["id", "context", "targets", "source", "topic", "grounding", "group_key", "rejection_reason"]
-BLANK = "(?U)^\\s*$"
 
-
-def _blank(c: Column) -> Column:
-    return c.isNull() | c.rlike(BLANK)
+_blank = is_blank
 
 
 def target(kind: str, question: Column, answer: Column, difficulty: str, marks: int, options: Column | None = None, index: Column | None = None) -> Column:
@@ -92,6 +89,7 @@ def adapt_learningq(df: DataFrame) -> DataFrame:
                 "targets": F.array(target("long_answer", F.col("question"), F.col("answer"), "medium", 5)),
                 "id": derive_id(F.lit("learningq"), F.col("context"), F.col("question")),
                 "source": F.lit("learningq"),
+                "topic": F.col("topic") if "topic" in df.columns else F.lit(None).cast("string"),
                 "grounding": F.lit(None).cast("struct<char_start:int,char_end:int,excerpt:string>"),
                 "group_key": F.when(~_blank(F.col("doc_id")), F.concat(F.lit("doc:"), F.col("doc_id"))),
             }
@@ -176,3 +174,16 @@ def ingest_counts(adapted: DataFrame) -> DataFrame:
 def rejection_samples(adapted: DataFrame, most: int = 5) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("source").orderBy("id"))
     return adapted.filter("rejection_reason is not null").withColumn("rank", rank).filter(F.col("rank") <= most).select("source", "id", "rejection_reason")
+
+
+def primary(field: str, targets: str = "targets") -> Column:
+    """A field of an example's first target; null without targets."""
+    return F.get(targets, F.lit(0))[field]
+
+
+def blank_pairs(df: DataFrame) -> DataFrame:
+    """One row: n_pairs of question and answer in records with parallel lists, and n_blank, those adapt_qag leaves out."""
+    pairs = F.arrays_zip(F.col("questions").alias("q"), F.col("answers").alias("a"))
+    blank = F.size(F.filter(pairs, lambda p: _blank(p["q"]) | _blank(p["a"])))
+    fair = df.filter(F.size("questions") == F.size("answers"))
+    return fair.agg(F.coalesce(F.sum(F.size(pairs)), F.lit(0)).alias("n_pairs"), F.coalesce(F.sum(blank), F.lit(0)).alias("n_blank"))

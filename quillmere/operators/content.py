@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Iterator
 
@@ -9,9 +10,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import answer_tokens, chunk_id
+from ..functions.text import answer_tokens, chunk_id, counted, is_blank
+from ..scratch import written
+from ..session import ship
 
 TARGET, LEAST, MOST = 1200, 200, 2000
+#: So many pairs of query and term at most are broadcast.
+BROADCAST_TERMS = 200_000
 
 #: Where an over-long paragraph is cut, best first.
 CUTS = (r"(?<=[.!?])\s+", r"(?<=[;:])\s+", r"(?<=,)\s+", r"\s+")
@@ -28,36 +33,47 @@ STOPWORDS = (
 ).split()
 
 
+def _pieces(text: str, start: int, end: int, most: int) -> Iterator[tuple[int, int]]:
+    """A paragraph in pieces of at most most characters, cut at the last boundary of the best kind that a piece holds.
+    Boundaries of the paragraph are found once, by kind, and looked up by place."""
+    if end - start <= most:
+        yield start, end
+        return
+    bounds = [[m.end() for m in re.compile(p).finditer(text, start, end)] for p in CUTS]
+    while end - start > most:
+        stop = start + most
+        for places in bounds:
+            k = bisect.bisect_right(places, start + most) - 1
+            if k >= 0 and places[k] > start:
+                stop = places[k]
+                break
+        yield start, stop
+        start = stop
+        while start < end and text[start].isspace():
+            start += 1
+    if start < end:
+        yield start, end
+
+
 def spans_of(text: str, target: int = TARGET, least: int = LEAST, most: int = MOST) -> list[tuple[int, int]]:
     """Spans of the chunks of a text: paragraphs, cut where they exceed most, packed up to target (a chunk below least
     may grow up to most), the last one folded into the one before if it is short and fits."""
-    units: list[tuple[int, int]] = []
+    packed: list[list[int]] = []
     for m in re.finditer(r"\S(?:.*?\S)?(?=\s*(?:\n[ \t]*\n|\Z))", text, re.S):
-        at, end = m.span()
-        while end - at > most:
-            piece = text[at : at + most]
-            ends = next((e for e in ([c.end() for c in re.finditer(p, piece)] for p in CUTS) if e), [most])
-            stop = at + (ends[-1] or most)
-            units.append((at, stop))
-            rest = text[stop:end]
-            at = stop + len(rest) - len(rest.lstrip())
-        if at < end:
-            units.append((at, end))
-    packed: list[tuple[int, int]] = []
-    for s, e in units:
-        if packed:
-            first, last = packed[-1]
-            if e - first <= target or (last - first < least and e - first <= most):
-                packed[-1] = (first, e)
-                continue
-        packed.append((s, e))
+        for s, e in _pieces(text, *m.span(), most):
+            size, grown = (packed[-1][1] - packed[-1][0], e - packed[-1][0]) if packed else (0, 0)
+            if packed and (grown <= target or (size < least and grown <= most)):
+                packed[-1][1] = e
+            else:
+                packed.append([s, e])
     if len(packed) > 1 and packed[-1][1] - packed[-1][0] < least and packed[-1][1] - packed[-2][0] <= most:
-        packed[-2:] = [(packed[-2][0], packed[-1][1])]
-    return packed
+        packed[-2][1] = packed.pop()[1]
+    return [(s, e) for s, e in packed]
 
 
 def chunk_documents(docs: DataFrame, target: int = TARGET, least: int = LEAST, most: int = MOST) -> DataFrame:
     """document_id, text -> id, document_id, index, char_start, char_end, text. A null or blank text has no chunks."""
+    ship(docs.sparkSession)
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -83,26 +99,33 @@ def content_tokens(text: Column) -> Column:
     return F.filter(answer_tokens(text), lambda w: (F.length(w) >= 3) & ~w.isin(STOPWORDS))
 
 
-def _top(rows: DataFrame, id_: str, term: str, most: int, least: int) -> DataFrame:
-    counts = rows.groupBy(id_, term).agg(F.count("*").alias("n")).filter(F.col("n") >= least)
-    rank = F.row_number().over(Window.partitionBy(id_).orderBy(F.desc("n"), term))
-    return counts.withColumn("rank", rank).filter(F.col("rank") <= most)
+def _top(df: DataFrame, id_: str, terms: str, most: int, least: int) -> DataFrame:
+    """id, term, n, rank of the most frequent terms of an array; counted and ranked inside the row, without a shuffle."""
+    df = counted(df.withColumn("__s", F.array_sort(terms)), "__s", "__c")
+    ranked = F.array_sort(F.transform(F.filter("__c", lambda c: c["n"] >= least), lambda c: F.struct((-c["n"]).alias("n"), c["term"].alias("term"))))
+    best = df.select(id_, F.posexplode(F.slice(ranked, 1, most)).alias("r", "x"))
+    return best.select(id_, F.col("x.term").alias("term"), (-F.col("x.n")).cast("long").alias("n"), (F.col("r") + 1).alias("rank"))
 
 
 def topics(docs: DataFrame, id_: str = "id", most: int = 5) -> DataFrame:
-    """id, term, n, rank: the most frequent content words."""
-    return _top(docs.select(id_, F.explode(content_tokens(F.col("text"))).alias("term")), id_, "term", most, 1)
+    """id, term, n, rank: the most frequent content words of each row."""
+    return _top(docs.select(id_, content_tokens(F.col("text")).alias("__t")), id_, "__t", most, 1)
 
 
-def bigrams(docs: DataFrame, id_: str = "id") -> DataFrame:
-    df = docs.withColumn("__t", content_tokens(F.col("text")))
+def _pairs(docs: DataFrame, id_: str) -> DataFrame:
+    df = docs.select(id_, content_tokens(F.col("text")).alias("__t"))
     n = F.greatest(F.size("__t") - 1, F.lit(0))
-    return df.select(id_, F.explode(F.zip_with(F.slice("__t", 1, n), F.slice("__t", 2, n), lambda a, b: F.concat_ws(" ", a, b))).alias("term"))
+    return df.select(id_, F.zip_with(F.slice("__t", 1, n), F.slice("__t", 2, n), lambda a, b: F.concat_ws(" ", a, b)).alias("__t"))
+
+
+def bigrams(docs: DataFrame, id_: str = "id") -> DataFrame:
+    """id, term: every two neighbouring content words."""
+    return _pairs(docs, id_).select(id_, F.explode("__t").alias("term"))
 
 
 def concepts(docs: DataFrame, id_: str = "id", most: int = 3, least: int = 2) -> DataFrame:
     """id, term, n, rank: the most frequent pairs of neighbouring content words that stand twice or more."""
-    return _top(bigrams(docs, id_), id_, "term", most, least)
+    return _top(_pairs(docs, id_), id_, "__t", most, least)
 
 
 def label_chunks(chunks: DataFrame, id_: str = "id") -> DataFrame:
@@ -117,26 +140,67 @@ def label_chunks(chunks: DataFrame, id_: str = "id") -> DataFrame:
     ).drop("__e", "__t", "__c")
 
 
-def bm25(docs: DataFrame, query: list[str], most: int, id_: str = "id", k1: float = 1.5, b: float = 0.75, least: float = 0.0) -> DataFrame:
-    """id, score, rank (from 0): documents by BM25 for the query's distinct tokens; scores are rounded to six decimals
-    before ranking, ties go to the lesser id. Only the query's terms reach the shuffle."""
-    terms = sorted(set(query))
-    tokens = docs.select(id_, answer_tokens(F.col("text")).alias("t")).withColumn("dl", F.size("t"))
-    whole = tokens.agg(F.count("*").alias("nd"), F.avg("dl").alias("avg"))
-    tf = tokens.select(id_, "dl", F.explode(F.filter("t", lambda w: w.isin(terms))).alias("term")).groupBy(id_, "dl", "term").agg(F.count("*").alias("f"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    rows = tf.join(F.broadcast(df), "term").join(F.broadcast(whole))  # a row for each query term; one row
+def bm25_many(docs: DataFrame, queries: DataFrame, most: int, id_: str = "id", query: str = "query", k1: float = 1.5, b: float = 0.75, least: float = 0.0) -> DataFrame:
+    """docs (id, text) and queries (query, text) -> query, id, score, rank (from 0): for each query the best documents by
+    BM25 for its distinct tokens. Scores are rounded to six decimals before ranking, ties go to the lesser id.
+
+    One pass over the texts leaves, of each document, its length and the counts of terms that some query has; that table
+    is written, and its sums give the number of documents, their mean length and the terms' document counts. Query terms
+    are broadcast up to BROADCAST_TERMS, beyond that they are joined by shuffle."""
+    asked = queries.select(query, F.explode(F.array_distinct(answer_tokens(F.col("text")))).alias("term")).distinct()
+    asked = written(asked, "bm25-terms")
+    small = asked.count() <= BROADCAST_TERMS
+    hint = F.broadcast if small else (lambda x: x)
+    rows = docs.select(id_, F.array_sort(answer_tokens(F.col("text"))).alias("__t"))
+    rows = counted(rows.withColumn("dl", F.size("__t")), "__t", "__c").select(id_, "dl", "__c")
+    # every document also keeps a row of the empty term, which is no token, for their number and mean length
+    every = F.concat("__c", F.array(F.struct(F.lit(0).alias("n"), F.lit("").alias("term"))))
+    terms = rows.select(id_, "dl", F.explode(every).alias("c")).select(id_, "dl", F.col("c.term").alias("term"), F.col("c.n").alias("f"))
+    wanted = asked.select("term").distinct().union(docs.sparkSession.createDataFrame([("",)], "term string"))
+    hits = written(terms.join(hint(wanted), "term", "left_semi"), "bm25-hits")
+    whole = hits.filter("term = ''").agg(F.count("*").alias("nd"), F.avg("dl").alias("avg"))
+    frequency = hits.groupBy("term").agg(F.count("*").alias("df"))
+    pairs = hits.join(hint(asked.join(frequency, "term")), "term").crossJoin(F.broadcast(whole))  # one row
     idf = F.log1p((F.col("nd") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = F.col("f") * (k1 + 1) / (F.col("f") + k1 * (1 - b + b * F.col("dl") / F.col("avg")))
-    scored = rows.groupBy(id_).agg(F.round(F.sum(idf * weight), 6).alias("score")).filter(F.col("score") > least)
-    best = scored.orderBy(F.desc("score"), id_).limit(most)
-    return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), id_)) - 1)
+    scored = pairs.groupBy(query, id_).agg(F.round(F.sum(idf * weight), 6).alias("score")).filter(F.col("score") > least)
+    place = F.row_number().over(Window.partitionBy(query).orderBy(F.desc("score"), id_)) - 1
+    return scored.withColumn("rank", place).filter(F.col("rank") < most).select(query, id_, "score", "rank")
+
+
+def bm25(docs: DataFrame, query: str, most: int, id_: str = "id", **options) -> DataFrame:
+    """id, score, rank (from 0) for one query text."""
+    one = docs.sparkSession.createDataFrame([(0, query)], "query int, text string")
+    return bm25_many(docs, one, most, id_, **options).drop("query")
 
 
 def fetch_passages(ranked: DataFrame, chunks: DataFrame, id_: str = "id") -> DataFrame:
-    return ranked.join(chunks, id_)
+    """The chunks of a ranking as passages, in its order: rank, id, document_id, text, char_start, char_end, score."""
+    kept = [c for c in ("document_id", "text", "char_start", "char_end", "topics") if c in chunks.columns]
+    return ranked.join(chunks.select(id_, *kept), id_).select("rank", id_, *kept, "score").orderBy("rank")
+
+
+def direct_passages(chunks: DataFrame, id_: str = "id") -> DataFrame:
+    """Chunks as passages without a retrieval: no score, no rank."""
+    return chunks.select(id_, *[c for c in ("document_id", "text", "char_start", "char_end", "topics") if c in chunks.columns])
+
+
+def build_corpus(docs: DataFrame, target: int = TARGET, least: int = LEAST, most: int = MOST) -> DataFrame:
+    """Documents (document_id, text) -> labelled chunks: cut, then given topics and concepts."""
+    chunks = chunk_documents(docs, target, least, most)
+    none = F.array().cast("array<string>")
+    return label_chunks(chunks.withColumns({"topics": none, "concepts": none}))
 
 
 def traceable(grounding: Column) -> Column:
     """A non-blank source and a span that is there."""
-    return F.coalesce((F.trim(grounding["source_id"]) != "") & grounding["span"].isNotNull(), F.lit(False))
+    return ~is_blank(grounding["source_id"]) & grounding["span"].isNotNull()
+
+
+def reference_text(grounding: Column) -> Column:
+    """A grounding in words: source, chapter, section and span, what is missing left out."""
+    span = grounding["span"]
+    place = F.when(span.isNotNull(), F.concat(F.lit("chars "), span["char_start"].cast("string"), F.lit("-"), span["char_end"].cast("string")))
+    named = F.coalesce(F.when(~is_blank(grounding["source_title"]), grounding["source_title"]), grounding["source_id"])
+    parts = [named, grounding["chapter"], grounding["section"], place]
+    return F.concat_ws(", ", *[F.when(~is_blank(p), p) for p in parts])

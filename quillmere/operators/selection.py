@@ -4,19 +4,30 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import order_digest
+from ..functions.text import effective_group_key, order_digest
+from ..scratch import written
+from ..session import ship
 
 SPLITS = ("train", "validation", "test")
 
 
 def dedup(df: DataFrame, keys: list[str], order: list) -> DataFrame:
-    """One row of each key: the first in the given order."""
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    return df.withColumn("__rank", rank).filter("__rank = 1").drop("__rank")
+    """One row of each key: the first in the given order. Aggregated partially, so a hot key is no larger than others."""
+    rest = [c for c in df.columns if c not in keys]
+    one = F.min_by(F.struct(*rest), F.struct(*order)) if rest else F.lit(None)
+    out = df.groupBy(*keys).agg(one.alias("__one"))
+    return out.select(*[F.col(c) if c in keys else F.col("__one")[c].alias(c) for c in df.columns])
+
+
+def duplicates(df: DataFrame, key: str, id_: str = "id") -> DataFrame:
+    """Rows that dedup() by key with least id_ leaves out: key, id_."""
+    least = df.groupBy(key).agg(F.min(id_).alias("__least"), F.count("*").alias("__n")).filter("__n > 1").withColumnRenamed(key, "__key")
+    rows = df.join(least, F.col(key).eqNullSafe(F.col("__key")))
+    return rows.filter(F.col(id_) != F.col("__least")).select(key, id_)
 
 
 def duplicate_groups(df: DataFrame, key: str, id_: str = "id") -> DataFrame:
@@ -39,9 +50,18 @@ def cap_per_source(df: DataFrame, most: int, seed: int, source: str = "source",
 
 
 def order_hash(df: DataFrame, seed: int, by: list[str], id_: str = "id") -> DataFrame:
-    """df with position: the place of a row, from 0, in its group's seeded order."""
-    df = df.withColumn("__d", order_digest(seed, F.col(id_).cast("string")))
-    return df.withColumn("position", F.row_number().over(Window.partitionBy(*by).orderBy("__d", id_)) - 1).drop("__d")
+    """df with position: the place of a row, from 0, in its group's seeded order.
+
+    Numbered in two levels: how many rows stand in each of 4,096 digest ranges of a group, then places inside a range. So
+    no task sorts a whole group, however large."""
+    df = df.withColumn("__d", order_digest(seed, F.col(id_).cast("string"))).withColumn("__r", F.substring("__d", 1, 3))
+    sizes = df.groupBy(*by, "__r").agg(F.count("*").alias("__n"))
+    before = (F.sum("__n").over(Window.partitionBy(*by).orderBy("__r")) - F.col("__n")).alias("__before")
+    sizes = sizes.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(by)], F.col("__r").alias("__q"), before)
+    match = [F.col(c).eqNullSafe(F.col(f"__k{i}")) for i, c in enumerate(by)] + [F.col("__r") == F.col("__q")]
+    place = F.row_number().over(Window.partitionBy(*by, "__r").orderBy("__d", id_)) - 1
+    out = df.withColumn("__p", place).join(sizes, match)
+    return out.withColumn("position", (F.col("__before") + F.col("__p")).cast("int")).select(*[c for c in df.columns if c not in ("__d", "__r")], "position")
 
 
 def split_targets(n: int, ratios: tuple[float, ...] = (0.9, 0.05, 0.05)) -> list[int]:
@@ -55,30 +75,48 @@ def split_targets(n: int, ratios: tuple[float, ...] = (0.9, 0.05, 0.05)) -> list
     return out
 
 
+def grouping_key(by: str) -> Column:
+    """The key by which examples (id, context, group_key) stay together: example, topic or context. A key of their own goes
+    first; by topic, examples without one stay with their context, so that they do not become one huge group."""
+    if by == "example":
+        return F.concat(F.lit("id:"), F.col("id").cast("string"))
+    if by == "topic":
+        return F.coalesce(F.when(F.col("group_key") != "", F.col("group_key")), effective_group_key(F.col("group_key"), F.col("context")))
+    if by == "context":
+        return effective_group_key(F.col("group_key"), F.col("context"))
+    raise ValueError(f"groups are made by example, topic or context, not by {by!r}")
+
+
 def split_groups(df: DataFrame, key: str, seed: int, ratios: tuple[float, ...] = (0.9, 0.05, 0.05)) -> DataFrame:
     """df with split: whole groups, in the order of their seeded digests, go to the split that lacks the largest part of
-    its target (ties in order of the splits; none lacking: train). Groups, a row each, are folded in one task in
-    digest order: the rule looks at all choices before."""
-    groups = df.groupBy(key).agg(F.count("*").alias("n"))
-    total = df.count()
-    aims = split_targets(total, ratios)
+    its target (ties in order of the splits; none lacking: train). A null key is a group of its own.
 
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    The rule looks at all choices before, so it is a fold: of one digest and one count a group, streamed through one task
+    that keeps three numbers. All else, fingerprints and counts above all, is done once and in parallel."""
+    ship(df.sparkSession)
+    groups = df.groupBy(F.col(key).alias("__key")).agg(F.count("*").alias("n"))
+    digest = order_digest(seed, F.coalesce(F.col("__key").cast("string"), F.lit("")))
+    groups = written(groups.withColumn("__d", digest), "split-groups")
+    aims = split_targets(groups.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0], ratios)
+
+    def fold_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         have = [0] * len(aims)
         for batch in batches:
             out = []
-            for n in batch["n"]:
+            for n in batch.column(1).to_pylist():
                 lack = [(a - h) / a if a else 0.0 for a, h in zip(aims, have, strict=True)]
                 best = max(range(len(aims)), key=lambda i: (lack[i], -i))
                 if lack[best] <= 0:
                     best = 0
-                have[best] += int(n)
-                out.append(SPLITS[best])
-            yield pd.DataFrame({key: batch[key], "split": out})
-
-    digest = order_digest(seed, F.col(key))
-    ordered = groups.withColumn("__d", digest).repartition(1).sortWithinPartitions("__d", key).select(key, "n")
-    return df.join(ordered.mapInPandas(fold, f"`{key}` string, split string"), key)
+                have[best] += n
+                out.append(best)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.int32())], names=["__d", "place"])
+
+    # keys with one digest are one key
+    places = groups.select("__d", "n").repartition(1).sortWithinPartitions("__d").mapInArrow(fold_, "__d string, place int")
+    named = F.element_at(F.array(*map(F.lit, SPLITS)), F.col("place") + 1)
+    chosen = groups.join(places, "__d").select("__key", named.alias("split"))
+    return df.join(chosen, F.col(key).eqNullSafe(F.col("__key"))).select(*df.columns, "split")
 
 
 def leaked_keys(df: DataFrame, key: str, split: str = "split") -> DataFrame:

@@ -3,19 +3,35 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.text import tighten_span
+from ..session import ship
+from .metrics import corpus_scores, cross_check, example_scores
+
+WORD = re.compile(r"\S+")
 OFFSETS = T.ArrayType(T.StructType([T.StructField("s", T.IntegerType()), T.StructField("e", T.IntegerType())]))
 
 
-@F.pandas_udf(OFFSETS)
-def token_offsets(text: pd.Series) -> pd.Series:
+def offsets_of(texts: list[str | None]) -> pa.Array:
+    """White-space tokens of texts as lists of structs (s, e), built from flat numbers."""
+    found = [[m.span() for m in WORD.finditer(t)] if t is not None else [] for t in texts]
+    flat = np.array([x for f in found for x in f], np.int32).reshape(-1, 2)
+    ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
+    pairs = pa.StructArray.from_arrays([pa.array(flat[:, 0].copy()), pa.array(flat[:, 1].copy())], ["s", "e"])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs, mask=pa.array([t is None for t in texts]))
+
+
+@F.arrow_udf(OFFSETS)
+def token_offsets(text: pa.Array) -> pa.Array:
     """White-space tokens of a text as structs (s, e). Columns can only build these by appending to a growing array."""
-    return text.map(lambda t: None if t is None else [{"s": m.start(), "e": m.end()} for m in re.finditer(r"\S+", t)])
+    return offsets_of(text.to_pylist())
 
 
 def context_budget(max_length: int, specials: int, question_tokens: Column) -> Column:
@@ -83,10 +99,75 @@ def softmax(df: DataFrame, score: str, by: list[str]) -> Column:
 
 
 def decode(pairs: DataFrame, most: int = 10) -> DataFrame:
-    """The best spans of each example over all its windows: one softmax, then by rounded probability, window, start and
-    rank of the end."""
+    """The best spans of each example over all its windows: one softmax, then by probability, window, start and rank of the
+    end. Probabilities are rounded to nine decimals before they are ranked, so that equal sums rank alike everywhere."""
     top = F.max("score").over(Window.partitionBy("id"))
     pairs = pairs.withColumn("__e", F.exp(F.col("score") - top))
     pairs = pairs.withColumn("probability", F.round(F.col("__e") / F.sum("__e").over(Window.partitionBy("id")), 9))
     rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("probability"), "window", "start", "end_rank"))
     return pairs.withColumn("rank", rank).filter(F.col("rank") <= most).select("id", "rank", "window", "start", "end", "probability")
+
+
+def answers(examples: DataFrame, features: DataFrame, ranked: DataFrame) -> DataFrame:
+    """examples (id, context), features (id, window, offsets with a struct or null a position) and decode() -> a row for each
+    example: has_answer, answer, char_start, char_end, score, n_windows, and n_best, structs by rank. Texts are cut from
+    the context and tightened. An example without a span has has_answer false, an empty answer and score 0."""
+    spans = ranked.join(features.select("id", "window", "offsets"), ["id", "window"])
+    spans = spans.select("id", "rank", "window", "start", "end", "probability", F.get("offsets", F.col("start"))["s"].alias("cs"), F.get("offsets", F.col("end"))["e"].alias("ce"))
+    spans = spans.join(examples.select("id", "context"), "id")
+    tight = tighten_span(F.col("context"), F.col("cs"), F.col("ce"))
+    spans = spans.withColumn("__t", tight).withColumns({"char_start": F.col("__t.start"), "char_end": F.col("__t.end")})
+    text = F.substring("context", F.col("char_start") + 1, F.col("char_end") - F.col("char_start"))
+    one = F.struct("rank", text.alias("text"), "char_start", "char_end", F.col("probability").alias("score"), F.col("start").alias("token_start"), F.col("end").alias("token_end"), "window")
+    best = spans.groupBy("id").agg(F.array_sort(F.collect_list(one)).alias("n_best"))  # as many as decode() leaves
+    n = features.groupBy("id").agg(F.count("*").alias("n_windows"))
+    rows = examples.select("id").join(best, "id", "left").join(n, "id", "left")
+    first = F.get("n_best", F.lit(0))
+    return rows.select(
+        "id", F.col("n_best").isNotNull().alias("has_answer"), F.coalesce(first["text"], F.lit("")).alias("answer"), F.coalesce(first["char_start"], F.lit(0)).alias("char_start"),
+        F.coalesce(first["char_end"], F.lit(0)).alias("char_end"), F.coalesce(first["score"], F.lit(0.0)).alias("score"), F.coalesce("n_windows", F.lit(0)).alias("n_windows"),
+        F.coalesce("n_best", F.array().cast(best.schema["n_best"].dataType)).alias("n_best"),
+    )
+
+
+def unaligned(windows: DataFrame, id_: str = "id") -> DataFrame:
+    """Ids without an aligned window."""
+    return windows.groupBy(id_).agg(F.bool_or(F.col("status") == "aligned").alias("ok")).filter("not ok").select(id_)
+
+
+def evaluate(examples: DataFrame, features: DataFrame, logits: DataFrame, n_best: int = 20, max_length: int = 30, other: DataFrame | None = None) -> DataFrame:
+    """examples (id, context, golds), features (id, window, offsets), logits (see candidates()) -> one row: exact_match, f1,
+    total_examples, total_features, examples_without_answer; with other, a second scorer's row, also cross_check()."""
+    found = answers(examples, features, decode(candidates(logits, n_best, max_length)))
+    scores = corpus_scores(example_scores(found.select("id", F.col("answer").alias("prediction")), examples.select("id", "golds")))
+    facts = found.agg(F.count_if(~F.col("has_answer")).alias("examples_without_answer"), F.coalesce(F.sum("n_windows"), F.lit(0)).alias("total_features"))
+    out = scores.crossJoin(F.broadcast(facts))  # one row each
+    return out if other is None else cross_check(out, other)
+
+
+def collect_logits(features: DataFrame, forward: Callable[[dict[str, list]], tuple[list, list]], columns: list[str], batch: int = 32) -> DataFrame:
+    """features (id, window and the model's columns) -> id, window, start_logits, end_logits: forward is a model's pass over a
+    batch (lists by column), made once for each task's batches; no model is part of this library."""
+    ship(features.sparkSession)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, batch):
+                part = whole.slice(at, batch)
+                starts, ends = forward({c: part.column(i + 2).to_pylist() for i, c in enumerate(columns)})
+                lists = [pa.array(x, pa.list_(pa.float64())) for x in (starts, ends)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *lists], names=["id", "window", "start_logits", "end_logits"])
+
+    kind = features.schema["id"].dataType.simpleString()
+    rows = features.select("id", F.col("window").cast("int").alias("window"), *columns)
+    return rows.mapInArrow(work, f"id {kind}, window int, start_logits array<double>, end_logits array<double>")
+
+
+def long_logits(windows: DataFrame) -> DataFrame:
+    """id, window, start_logits, end_logits, context_mask -> the rows that candidates() reads: one a position. Arrays of
+    unequal length are an error at run time."""
+    n = F.size("start_logits")
+    same = (F.size("end_logits") == n) & (F.size("context_mask") == n)
+    pos = F.when(same, F.sequence(F.lit(0), n - 1)).otherwise(F.raise_error(F.lit("logits and mask differ in length")).cast("array<int>"))
+    df = windows.filter(n > 0).select("id", "window", "start_logits", "end_logits", "context_mask", F.explode(pos).alias("pos"))
+    return df.select("id", "window", "pos", F.get("start_logits", F.col("pos")).alias("start_logit"), F.get("end_logits", F.col("pos")).alias("end_logit"), (F.get("context_mask", F.col("pos")) == 1).alias("in_context"))

@@ -13,6 +13,7 @@ from ..operators import content as C
 from ..operators import metrics as M
 from ..operators import paper as P
 from ..operators import quality as Q
+from ..operators import runs as R
 from ..operators import selection as S
 from ..operators import stats as St
 from ..operators import windows as Wi
@@ -38,6 +39,8 @@ def docs(spark, sf_dir) -> DataFrame:
 
 NORM, TOK = X.norm_sql, X.tokens_sql
 CTX = f"substr(sha256({NORM('text')}), 1, 12)"
+#: The fingerprint of a question row as an example.
+EXAMPLE_FP = f"substr(sha256({NORM('context')}), 1, 12) || '|short_answer:' || {X.norm_question_sql('question')} || '|' || {NORM('answer')}"
 
 # ---- scalar functions
 
@@ -52,12 +55,12 @@ def answer_tokens(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", F.size(X.answer_tokens(F.col("text"))).cast("long").alias("n_tokens"))
 
 
-@query()
+@query(f"WITH {I.SQUAD} SELECT id, {X.norm_question_sql('question')} AS norm FROM squad")
 def normalize_question(spark, sf_dir):
     return I.squad(spark, sf_dir).select("id", X.normalize_question(F.col("question")).alias("norm"))
 
 
-@query()
+@query(f"WITH {I.BANK} SELECT id, question_type || ':' || array_to_string([x FOR x IN [{X.norm_question_sql('text')}, {X.norm_question_sql('answer')}] IF x <> ''], ' | ') AS fp FROM bank")
 def question_fp(spark, sf_dir):
     return I.bank(spark, sf_dir).select("id", X.question_fingerprint(F.col("question_type"), F.col("text"), F.col("answer")).alias("fp"))
 
@@ -170,19 +173,27 @@ def references(spark, sf_dir):
     return r.select(parts[0].cast("long").alias("conv_id"), parts[1].cast("long").alias("turn"), F.size("golds").cast("long").alias("n_golds"))
 
 
+_GEN = (
+    f"g AS (SELECT id, CAST(id % 3 AS VARCHAR) AS source, question_type, CAST(id % 5 <> 2 AS INTEGER) AS j, CAST(id % 5 IN (0, 1) AS INTEGER) AS s, {TOK('answer')} AS ra, {TOK('topic')} AS pa, id % 5 AS k FROM bank),"
+    f" h AS (SELECT *, CASE WHEN s = 0 THEN 0.0 WHEN k = 0 THEN 1.0 ELSE {X.f1_sql('pa', 'ra')} END AS f, CASE WHEN k = 0 OR (k = 1 AND pa = ra) THEN 1 ELSE 0 END AS em FROM g)"
+)
+_RATE = "round(CAST(sum({}) AS DOUBLE) / count(*), 6) AS {}"
+
+
 @query(
-    f"WITH {I.PAIRS}, {_F1}, s AS (SELECT CAST(split_part(id, '-', 2) AS INTEGER) % 3 AS source, length(id) % 2 AS kind, em, f1 FROM f1)"
-    " SELECT CASE WHEN grouping(source) = 0 THEN 'source' WHEN grouping(kind) = 0 THEN 'type' ELSE 'all' END AS scope, CAST(coalesce(source, kind, 0) AS BIGINT) AS value,"
-    " count(*) AS n, round(CAST(sum(em) AS DOUBLE) / count(*), 6) AS em, round(round(CAST(sum(f1) AS DOUBLE), 6) / count(*), 5) AS f1 FROM s GROUP BY GROUPING SETS ((), (source), (kind))"
+    f"WITH {I.BANK}, {_GEN} SELECT CASE WHEN grouping(source) = 0 THEN 'source' WHEN grouping(question_type) = 0 THEN 'type' ELSE 'all' END AS scope, coalesce(source, question_type) AS value, count(*) AS n, "
+    + ", ".join(_RATE.format(v, n) for v, n in (("j", "json_valid"), ("s", "schema_valid"), ("em", "answer_em"), ("f", "answer_f1"), ("s", "question_f1"), ("s", "marks_matches"), ("s", "difficulty_matches"), ("s", "question_type_matches")))
+    + ", 0.0 AS option_count_matches FROM h GROUP BY GROUPING SETS ((), (source), (question_type))"
 )
 def gen_scores(spark, sf_dir):
-    s = M.pair_scores(I.pairs(spark, sf_dir))
-    s = s.select((F.split("id", "-")[1].cast("int") % 3).alias("source"), (F.length("id") % 2).alias("kind"), "em", "f1")
-    s.createOrReplaceTempView("gen_scores_rows")
-    return spark.sql(
-        "SELECT CASE WHEN grouping(source) = 0 THEN 'source' WHEN grouping(kind) = 0 THEN 'type' ELSE 'all' END AS scope, CAST(coalesce(source, kind, 0) AS BIGINT) AS value,"
-        " count(*) AS n, round(sum(em) / count(*), 6) AS em, round(round(sum(f1), 6) / count(*), 5) AS f1 FROM gen_scores_rows GROUP BY GROUPING SETS ((), (source), (kind))"
-    )
+    """Parts as references; of five predictions one is right, one has another answer, three do not decode."""
+    b, k = I.bank(spark, sf_dir), F.col("id") % 5
+    none = F.array().cast("array<string>")
+    ref = F.struct("question_type", F.col("text").alias("question"), "answer", none.alias("options"), F.lit(None).cast("int").alias("correct_option_index"), "difficulty", "marks", F.lit(None).cast("string").alias("explanation"))
+    good = F.to_json(F.struct("question_type", F.col("text").alias("question"), F.when(k == 1, F.col("topic")).otherwise(F.col("answer")).alias("answer"), F.when(k == 4, "odd").otherwise(F.col("difficulty")).alias("difficulty"), "marks"))
+    said = F.when(k == 2, F.lit("no {json")).when(k == 3, F.concat(F.lit('{"other": 1, '), F.substring(good, 2, 10_000))).otherwise(good)
+    rows = b.select("id", (F.col("id") % 3).cast("string").alias("source"), said.alias("prediction"), ref.alias("reference"))
+    return M.generation_scores(M.generation_rows(rows))
 
 
 # ---- adapters
@@ -262,7 +273,7 @@ _ISSUES = (
     "SELECT id AS example_id, 'context_too_short' AS code, 'error' AS severity FROM ex WHERE length(context) < 64 AND trim(context) <> '' UNION ALL "
     "SELECT id, 'context_too_long', 'error' FROM ex WHERE length(context) > 8000 UNION ALL "
     "SELECT id, 'answer_not_in_context', 'warning' FROM ex WHERE NOT contains(lower(context), lower(trim(answer))) UNION ALL "
-    f"SELECT min(id), 'duplicate_content', 'warning' FROM ex GROUP BY {NORM('context')} HAVING count(*) > 1)"
+    f"SELECT min(id), 'duplicate_content', 'warning' FROM ex GROUP BY {EXAMPLE_FP} HAVING count(*) > 1)"
 )
 
 
@@ -331,7 +342,7 @@ def order_hash(spark, sf_dir):
 
 @query(f"SELECT source, count(*) AS n FROM (SELECT source FROM documents ORDER BY {_D}, doc_id LIMIT 64) GROUP BY source")
 def bench_subset(spark, sf_dir):
-    return S.select_hash(docs(spark, sf_dir).select("doc_id", "source"), 64, 7, "doc_id").groupBy("source").agg(F.count("*").alias("n"))
+    return R.bench_subset(docs(spark, sf_dir).select("doc_id", "source"), 64, 7, "doc_id").groupBy("source").agg(F.count("*").alias("n"))
 
 
 @query(
@@ -342,7 +353,15 @@ def dataset_fingerprint(spark, sf_dir):
     return S.dataset_fingerprint(docs(spark, sf_dir), F.col("text"))
 
 
-@query()
+@query(
+    f"WITH RECURSIVE d AS (SELECT doc_id, source, 'ctx:' || {CTX} AS k FROM documents), g AS (SELECT k, count(*) AS n, row_number() OVER (ORDER BY sha256('42' || chr(0) || k)) AS r FROM d GROUP BY k),"
+    " t AS (SELECT count(*) AS n, [floor(n * 0.9), floor(n * 0.05), floor(n * 0.05)] AS fl, [n * 0.9 - floor(n * 0.9), n * 0.05 - floor(n * 0.05), n * 0.05 - floor(n * 0.05)] AS fr FROM d),"
+    " o AS (SELECT n, fl, i, row_number() OVER (ORDER BY fr[i] DESC, i DESC) AS o FROM t, range(1, 4) x(i)),"
+    " a AS (SELECT list(fl[i] + CASE WHEN o <= n - list_sum(fl) THEN 1 ELSE 0 END ORDER BY i) AS aim FROM o),"
+    " f AS (SELECT CAST(0 AS BIGINT) AS r, [0.0, 0.0, 0.0]::DOUBLE[] AS have, 0 AS best UNION ALL SELECT r + 1, [h + CASE WHEN i = b THEN m ELSE 0 END FOR h, i IN have], b FROM ("
+    "  SELECT f.r, f.have, g.n AS m, CASE WHEN list_max(l) <= 0 THEN 1 ELSE list_position(l, list_max(l)) END AS b FROM f JOIN g ON g.r = f.r + 1, LATERAL (SELECT [CASE WHEN x > 0 THEN (x - f.have[i]) / x ELSE 0.0 END FOR x, i IN aim] AS l FROM a)))"
+    " SELECT doc_id, source, ['train', 'validation', 'test'][best] AS split FROM d JOIN g USING (k) JOIN f ON f.r = g.r"
+)
 def split_groups(spark, sf_dir):
     d = docs(spark, sf_dir).select("doc_id", "source", X.effective_group_key(F.lit(None).cast("string"), F.col("text")).alias("k"))
     return S.split_groups(d, "k", 42).select("doc_id", "source", "split")
@@ -355,7 +374,7 @@ def leaked_keys(spark, sf_dir):
 
 @query("SELECT lang, source, count(*) AS n FROM documents GROUP BY 1, 2")
 def source_breakdown(spark, sf_dir):
-    return docs(spark, sf_dir).groupBy("lang", "source").agg(F.count("*").alias("n"))
+    return St.source_breakdown(docs(spark, sf_dir), "lang", "source")
 
 
 # ---- statistics
@@ -398,8 +417,8 @@ def merge_summaries(spark, sf_dir):
 @query(f"SELECT doc_id, CAST(least(n, 64) AS BIGINT) AS prompt, CAST(greatest(0, n - least(n, 64)) AS BIGINT) AS completion, n > 512 AS truncated FROM (SELECT doc_id, {_W} AS n FROM documents)")
 def record_lengths(spark, sf_dir):
     n = F.col("n_tokens").cast("long")
-    prompt = F.least(n, F.lit(64))
-    return lengths(spark, sf_dir).select("doc_id", prompt.cast("long").alias("prompt"), F.greatest(F.lit(0), n - prompt).cast("long").alias("completion"), (n > 512).alias("truncated"))
+    r = St.record_lengths(lengths(spark, sf_dir), F.least(n, F.lit(64)), n, 512)
+    return r.select("doc_id", F.col("prompt_tokens").alias("prompt"), F.col("completion_tokens").alias("completion"), "truncated")
 
 
 @query(
@@ -411,19 +430,37 @@ def padded_tokens(spark, sf_dir):
 
 
 @query("SELECT 'lang' AS dimension, lang AS value, count(*) AS n FROM documents GROUP BY lang UNION ALL SELECT 'source', source, count(*) FROM documents GROUP BY source")
-def corpus_stats(spark, sf_dir):
+def counts_by(spark, sf_dir):
     return St.counts_by(docs(spark, sf_dir), "lang", "source")
 
 
+@query(
+    f"WITH {I.SQUAD}, ex AS (SELECT * FROM squad WHERE answer <> ''), r AS (SELECT title, count(*) AS n FROM ex GROUP BY 1) SELECT 'source' AS dimension, 'squad' AS value, count(*) AS n FROM ex UNION ALL SELECT 'question_type', 'short_answer', count(*) FROM ex"
+    " UNION ALL SELECT 'difficulty', 'easy', count(*) FROM ex UNION ALL (SELECT 'topic', title, n FROM r ORDER BY n DESC, title LIMIT 20)"
+)
+def corpus_stats(spark, sf_dir):
+    return St.corpus_statistics(A.adapt("squad", I.squad(spark, sf_dir)))[1]
+
+
+@query(
+    f"WITH {I.SQUAD}, ex AS (SELECT * FROM squad WHERE answer <> '') SELECT count(*) AS total_examples, count(*) AS total_targets, count(DISTINCT title) AS distinct_topics, count(DISTINCT title) AS distinct_group_keys,"
+    " count(*) FILTER (substr(context, answer_start + 1, length(answer)) = answer) AS grounded_examples, count(*) AS marks_total, CAST(min(length(context)) AS BIGINT) AS context_chars_min, round(avg(length(context)), 2) AS context_chars_mean,"
+    " CAST(max(length(question)) AS BIGINT) AS question_chars_max, round(avg(length(answer)), 2) AS answer_chars_mean, CAST(0 AS BIGINT) AS n_options_max FROM ex"
+)
+def corpus_totals(spark, sf_dir):
+    t = St.corpus_statistics(A.adapt("squad", I.squad(spark, sf_dir)))[0]
+    cols = ["total_examples", "total_targets", "distinct_topics", "distinct_group_keys", "grounded_examples", "marks_total", "context_chars_min", "context_chars_mean", "question_chars_max", "answer_chars_mean", "n_options_max"]
+    return _longs(t.select(*cols), "context_chars_min", "question_chars_max", "n_options_max", "marks_total")
+
+
 @query("SELECT event_type, user_id, n, rank FROM (SELECT event_type, user_id, count(*) AS n, CAST(row_number() OVER (PARTITION BY event_type ORDER BY count(*) DESC, user_id) AS INTEGER) AS rank FROM events GROUP BY 1, 2) WHERE rank <= 5")
 def ranked_counts(spark, sf_dir):
     return St.ranked_counts(I.table(spark, sf_dir, "events"), "user_id", 5, "event_type").select("event_type", "user_id", "n", "rank")
 
 
-@query(f"WITH {I.SQUAD} SELECT count(*) AS n, count(DISTINCT title) AS titles, CAST(min(length(context)) AS BIGINT) AS min_len, round(avg(length(context)), 2) AS mean_len, CAST(max(length(context)) AS BIGINT) AS max_len, CAST(sum(CASE WHEN answer <> '' THEN 1 ELSE 0 END) AS BIGINT) AS answers FROM squad")
+@query(f"WITH {I.SQUAD} SELECT count(*) AS num_examples, count(DISTINCT title) AS num_titles, CAST(min(length(context)) AS BIGINT) AS context_chars_min, round(avg(length(context)), 2) AS context_chars_mean, CAST(max(length(context)) AS BIGINT) AS context_chars_max, CAST(min(length(question)) AS BIGINT) AS question_chars_min, round(avg(length(question)), 2) AS question_chars_mean, CAST(max(length(question)) AS BIGINT) AS question_chars_max, CAST(min(length(answer)) AS BIGINT) AS answer_chars_min, round(avg(length(answer)), 2) AS answer_chars_mean, CAST(max(length(answer)) AS BIGINT) AS answer_chars_max, CAST(min(CASE WHEN answer <> '' THEN 1 ELSE 0 END) AS BIGINT) AS answers_min, round(avg(CASE WHEN answer <> '' THEN 1 ELSE 0 END), 2) AS answers_mean, CAST(max(CASE WHEN answer <> '' THEN 1 ELSE 0 END) AS BIGINT) AS answers_max FROM squad")
 def split_summary(spark, sf_dir):
-    s = I.squad(spark, sf_dir)
-    return s.agg(F.count("*").alias("n"), F.count_distinct("title").alias("titles"), F.min(F.length("context")).cast("long").alias("min_len"), F.round(F.avg(F.length("context")), 2).alias("mean_len"), F.max(F.length("context")).cast("long").alias("max_len"), F.sum(F.size("answers.text")).alias("answers"))
+    return St.split_summary(I.squad(spark, sf_dir))
 
 
 # ---- windows and decoding
@@ -444,16 +481,6 @@ def aligned(spark, sf_dir) -> DataFrame:
     return Wi.align(Wi.tile_windows(s, "n", "budget", 16))
 
 
-@query()
-def align_answer(spark, sf_dir):
-    return aligned(spark, sf_dir).select("id", "window", "status", "start_token", "end_token")
-
-
-@query()
-def alignment_report(spark, sf_dir):
-    return Wi.alignment_report(aligned(spark, sf_dir))
-
-
 _CAND = (
     "st AS (SELECT *, row_number() OVER (PARTITION BY id, \"window\" ORDER BY s DESC, pos) AS r FROM lg), en AS (SELECT *, row_number() OVER (PARTITION BY id, \"window\" ORDER BY e DESC, pos) AS r FROM lg),"
     " cand AS (SELECT st.id, st.\"window\", st.pos AS start, en.pos AS \"end\", CAST(st.r AS INTEGER) AS start_rank, CAST(en.r AS INTEGER) AS end_rank, st.s + en.e AS score FROM st JOIN en ON st.id = en.id AND st.\"window\" = en.\"window\""
@@ -477,9 +504,7 @@ def decode_spans(spark, sf_dir):
 
 @query("SELECT vec_id, k AS pos, rank FROM (SELECT vec_id, k, CAST(row_number() OVER (PARTITION BY vec_id ORDER BY embedding[k + 1] DESC, k) AS INTEGER) AS rank FROM embeddings, (SELECT CAST(range AS INTEGER) AS k FROM range(64))) WHERE rank <= 5")
 def top_k_idx(spark, sf_dir):
-    e = I.table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("pos", "v"))
-    rank = F.row_number().over(Window.partitionBy("vec_id").orderBy(F.desc("v"), "pos"))
-    return e.withColumn("rank", rank).filter("rank <= 5").select("vec_id", "pos", "rank")
+    return St.top_indices(I.table(spark, sf_dir, "embeddings"), "embedding", 5, "vec_id")
 
 
 # ---- content
@@ -490,10 +515,16 @@ def chunk_docs(spark, sf_dir):
     return C.chunk_documents(docs(spark, sf_dir).withColumnRenamed("doc_id", "document_id"))
 
 
-@query("SELECT CAST(NULL AS VARCHAR) AS id FROM documents WHERE false")
+@query("SELECT CAST(doc_id AS VARCHAR) || ':c' || CAST(k AS VARCHAR) AS id FROM documents, range(3) t(k) WHERE length(text) > 40 * k AND (doc_id + k) % 7 = 0")
 def verify_chunk(spark, sf_dir):
+    """Slices of documents, of which some are damaged, are held against their documents."""
     d = docs(spark, sf_dir).withColumnRenamed("doc_id", "document_id")
-    return C.verify_chunks(C.chunk_documents(d), d)
+    c = d.select("document_id", "text", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("k")).filter(F.length("text") > 40 * F.col("k"))
+    start, end = 40 * F.col("k"), F.least(40 * F.col("k") + 40, F.length("text"))
+    part = F.substring("text", start + 1, end - start)
+    damaged = F.when((F.col("document_id") + F.col("k")) % 7 == 0, F.concat(part, F.lit("#"))).otherwise(part)
+    c = c.select(F.concat(F.col("document_id").cast("string"), F.lit(":c"), F.col("k").cast("string")).alias("id"), F.col("document_id").cast("string").alias("document_id"), start.alias("char_start"), end.alias("char_end"), damaged.alias("text"))
+    return C.verify_chunks(c, d)
 
 
 _STOP = ", ".join(f"'{w}'" for w in ("a", "an", "the", "", *C.STOPWORDS))
@@ -519,14 +550,14 @@ def bigrams(spark, sf_dir):
 
 
 @query(
-    f"WITH q AS (SELECT DISTINCT unnest({TOK('text')}) AS term FROM benchmark WHERE item_id = 0), t AS (SELECT doc_id, {TOK('text')} AS t FROM documents), s AS (SELECT count(*) AS nd, avg(len(t)) AS a FROM t),"
-    " tf AS (SELECT doc_id, dl, term, count(*) AS f FROM (SELECT doc_id, len(t) AS dl, unnest(t) AS term FROM t) JOIN q USING (term) GROUP BY 1, 2, 3), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),"
-    " sc AS (SELECT doc_id, round(sum(ln(1 + (nd - df + 0.5) / (df + 0.5)) * f * 2.5 / (f + 1.5 * (0.25 + 0.75 * dl / a))), 6) AS score FROM tf JOIN df USING (term), s GROUP BY doc_id)"
-    " SELECT doc_id, score, CAST(row_number() OVER (ORDER BY score DESC, doc_id) - 1 AS INTEGER) AS rank FROM sc WHERE score > 0 ORDER BY score DESC, doc_id LIMIT 20"
+    f"WITH q AS (SELECT DISTINCT item_id, unnest({TOK('text')}) AS term FROM benchmark), t AS (SELECT doc_id, {TOK('text')} AS t FROM documents), s AS (SELECT count(*) AS nd, avg(len(t)) AS a FROM t),"
+    " tf AS (SELECT doc_id, dl, term, count(*) AS f FROM (SELECT doc_id, len(t) AS dl, unnest(t) AS term FROM t) WHERE term IN (SELECT term FROM q) GROUP BY 1, 2, 3), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),"
+    " sc AS (SELECT item_id, doc_id, round(sum(ln(1 + (nd - df + 0.5) / (df + 0.5)) * f * 2.5 / (f + 1.5 * (0.25 + 0.75 * dl / a))), 6) AS score FROM q JOIN tf USING (term) JOIN df USING (term), s GROUP BY 1, 2)"
+    " SELECT * FROM (SELECT item_id, doc_id, score, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) - 1 AS INTEGER) AS rank FROM sc WHERE score > 0) WHERE rank < 20"
 )
 def bm25(spark, sf_dir):
-    b = I.table(spark, sf_dir, "benchmark").filter("item_id = 0").select(X.answer_tokens(F.col("text")).alias("t")).first()
-    return C.bm25(docs(spark, sf_dir), list(b["t"]) if b else [], 20, "doc_id").select("doc_id", "score", "rank")
+    b = I.table(spark, sf_dir, "benchmark").select("item_id", "text")
+    return C.bm25_many(docs(spark, sf_dir), b, 20, "doc_id", "item_id")
 
 
 # ---- papers and prompts
@@ -569,7 +600,7 @@ def validate_paper(spark, sf_dir):
     return P.validate_paper(P.assemble(I.bank(spark, sf_dir), plan(spark)), plan(spark))
 
 
-@query()
+@query(f"WITH {I.BANK}, f AS (SELECT id, pos, row_number() OVER (PARTITION BY question_type, {X.norm_question_sql('text')} ORDER BY pos, id) AS r FROM bank) SELECT id, 'duplicate_content' AS code FROM f WHERE r > 1")
 def validate_questions(spark, sf_dir):
     return P.validate_questions(I.bank(spark, sf_dir))
 
@@ -578,7 +609,7 @@ TEMPLATE = "Write {target_count} question of type {question_type} on {topic}.\n{
 
 
 @query(
-    "SELECT doc_id, sha256('Write 1 question of type mcq on unspecified.' || chr(10) || text || chr(10) || 'Respond with a single JSON object and nothing else. No prose, no code fence, no commentary.' || chr(10) || 'Fields:' || chr(10) || '"
+    "SELECT doc_id, sha256('Write 1 question of type mcq on unspecified.' || chr(10) || text || chr(10) || 'Your whole answer is one JSON object, without any text around it. These are the fields:' || chr(10) || '"
     + "' || chr(10) || '".join(f'- "{k}": {v}' for k, v in P.FIELDS.items())
     + "') AS digest FROM documents"
 )
@@ -588,11 +619,13 @@ def render_prompt(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", F.sha2(P.render(TEMPLATE, values), 256).alias("digest"))
 
 
-@query("SELECT conv_id, turn, CASE WHEN trim(text) <> '' THEN 2 ELSE 1 END AS n_messages FROM conversations WHERE role = 'user'")
+@query(
+    "SELECT conv_id, turn, 'system=Answer.' || CASE WHEN trim(text) <> '' THEN '|user=' || text ELSE '' END || CASE WHEN turn % 3 = 0 THEN '|assistant=Yes.' ELSE '' END AS said FROM conversations WHERE role = 'user'"
+)
 def as_messages(spark, sf_dir):
     c = I.table(spark, sf_dir, "conversations").filter("role = 'user'")
-    m = P.as_messages(F.lit("Answer."), F.col("text"), F.lit(None).cast("string"))
-    return c.select("conv_id", "turn", F.size(m).alias("n_messages"))
+    m = P.as_messages(F.lit("Answer."), F.col("text"), F.when(F.col("turn") % 3 == 0, "Yes."))
+    return c.select("conv_id", "turn", F.array_join(F.transform(m, lambda x: F.concat(x["role"], F.lit("="), x["content"])), "|").alias("said"))
 
 
 @query("SELECT conv_id, turn, 'Answer.' || chr(10) || chr(10) || text || chr(10) || chr(10) || 'Yes.' AS text FROM conversations WHERE role = 'user'")
@@ -611,23 +644,33 @@ def strict_decode(spark, sf_dir):
 @query("SELECT lang, count(*) AS n FROM (SELECT lang FROM documents UNION ALL SELECT lang FROM documents WHERE n_chars > 1000) GROUP BY lang")
 def pool_sources(spark, sf_dir):
     d = docs(spark, sf_dir)
-    return d.unionByName(d.filter("n_chars > 1000"), allowMissingColumns=True).groupBy("lang").agg(F.count("*").alias("n"))
+    return St.pool({"b": d.filter("n_chars > 1000").drop("n_chars"), "a": d}).groupBy("lang").agg(F.count("*").alias("n"))
 
 
-@query("SELECT DISTINCT source, lang FROM documents WHERE lang = 'en' AND source NOT IN (SELECT source FROM documents WHERE lang = 'es' AND n_chars > 4000)")
+@query("WITH l AS (SELECT DISTINCT lang FROM documents WHERE lang <> 'en') SELECT lang, e.source FROM (SELECT DISTINCT source FROM documents WHERE lang = 'en' AND n_chars > 3000) e, l WHERE NOT EXISTS (SELECT 1 FROM documents d WHERE d.lang = l.lang AND d.source = e.source AND d.n_chars > 3000) AND lang IN (SELECT lang FROM documents WHERE n_chars > 3000)")
 def missing_sources(spark, sf_dir):
-    d = docs(spark, sf_dir)
-    return d.filter("lang = 'en'").select("source", "lang").join(d.filter("lang = 'es' and n_chars > 4000").select("source"), "source", "left_anti").distinct()
+    return St.missing_sources(docs(spark, sf_dir).filter("n_chars > 3000"), "lang", "source", "en")
 
 
-@query("SELECT o_orderkey, CAST(greatest(1, ceil(o_custkey / 8.0)) * 2 AS BIGINT) AS total_steps FROM orders")
+@query(
+    "WITH c AS (SELECT source AS name, count(*) AS examples FROM documents GROUP BY 1), p AS (SELECT * FROM (VALUES (1, 8, 2, 0.03, 4.1), (4, 2, 3, 0.0, NULL), (16, 4, 1, 0.5, 2.5)) v(batch, accumulation, epochs, warmup_ratio, sps)),"
+    " t AS (SELECT name, batch, epochs, warmup_ratio, sps, CAST(greatest(1, ceil(examples / (batch * accumulation))) * epochs AS BIGINT) AS total_steps FROM c, p)"
+    " SELECT name, batch, total_steps, CASE WHEN warmup_ratio > 0 THEN CAST(greatest(1, round_even(CAST(total_steps * warmup_ratio AS DOUBLE), 0)) AS BIGINT) ELSE 0 END AS warmup_steps, round(CAST(total_steps * sps AS DOUBLE), 1) AS seconds FROM t"
+)
 def step_count(spark, sf_dir):
-    return I.table(spark, sf_dir, "orders").select("o_orderkey", (F.greatest(F.lit(1), F.ceil(F.col("o_custkey") / 8)) * 2).cast("long").alias("total_steps"))
+    c = docs(spark, sf_dir).groupBy(F.col("source").alias("name")).agg(F.count("*").alias("examples"))
+    p = spark.createDataFrame([(1, 8, 2, 0.03, 4.1), (4, 2, 3, 0.0, None), (16, 4, 1, 0.5, 2.5)], "batch int, accumulation int, epochs int, warmup_ratio double, seconds_per_step double")
+    return R.step_plans(c, p).select("name", "batch", "total_steps", "warmup_steps", "seconds")
+
+
+@query("SELECT source AS name, count(*) AS examples, CAST(greatest(1, ceil(count(*) / 8)) * 2 AS BIGINT) AS total_steps, round(CAST(greatest(1, ceil(count(*) / 8)) * 2 * 5.29 AS DOUBLE), 1) AS seconds FROM documents GROUP BY 1")
+def project_run(spark, sf_dir):
+    return R.project_run(docs(spark, sf_dir).groupBy(F.col("source").alias("name")).agg(F.count("*").alias("examples")), 5.29)
 
 
 @query("SELECT DISTINCT p_brand AS topic FROM part")
 def distinct_topics(spark, sf_dir):
-    return I.bank(spark, sf_dir).select("topic").distinct()
+    return St.distinct_topics(I.bank(spark, sf_dir).select(F.array("topic").alias("topics")))
 
 
 # ---- joins and small arithmetic
@@ -636,14 +679,13 @@ def distinct_topics(spark, sf_dir):
 @query(f"WITH {I.SQUAD} SELECT id FROM squad WHERE answer = ''")
 def join_status_ids(spark, sf_dir):
     """Examples without an aligned window."""
-    a = aligned(spark, sf_dir)
-    return a.select("id").distinct().join(a.filter("status = 'aligned'").select("id"), "id", "left_anti")
+    return Wi.unaligned(aligned(spark, sf_dir))
 
 
-@query(f"WITH {I.LOGITS}, {_CAND} SELECT id, round(sum(x) / max(t), 6) AS total, count(*) AS n FROM (SELECT id, x, sum(x) OVER (PARTITION BY id) AS t FROM (SELECT id, exp(score - max(score) OVER (PARTITION BY id)) AS x FROM cand)) GROUP BY id")
+@query(f"WITH {I.LOGITS}, {_CAND} SELECT id, \"window\", start, \"end\", round(x / sum(x) OVER (PARTITION BY id), 9) AS p FROM (SELECT *, exp(score - max(score) OVER (PARTITION BY id)) AS x FROM cand)")
 def softmax(spark, sf_dir):
     c = Wi.candidates(I.logits(spark, sf_dir), 5, 8)
-    return c.withColumn("p", Wi.softmax(c, "score", ["id"])).groupBy("id").agg(F.round(F.sum("p"), 6).alias("total"), F.count("*").alias("n"))
+    return c.select("id", "window", "start", "end", F.round(Wi.softmax(c, "score", ["id"]), 9).alias("p"))
 
 
 @query(f"WITH {I.SQUAD}, {_ISSUES} SELECT severity, code, count(*) AS n FROM issues GROUP BY ROLLUP (severity, code)")
@@ -660,7 +702,7 @@ def validate_span(spark, sf_dir):
 @query("SELECT source, count(*) / 900.0 AS seconds FROM documents GROUP BY source")
 def tokenize_secs(spark, sf_dir):
     """Planned seconds of tokenizing at 900 records a second."""
-    return docs(spark, sf_dir).groupBy("source").agg((F.count("*") / 900).alias("seconds"))
+    return docs(spark, sf_dir).groupBy("source").agg(R.tokenize_seconds(F.count("*")).alias("seconds"))
 
 
 @query("SELECT lang, source FROM documents WHERE lang = 'en' INTERSECT SELECT 'en', source FROM documents WHERE lang = 'fr'")
@@ -678,4 +720,5 @@ def unaligned_except(spark, sf_dir):
 
 @query(f"SELECT source, count(*) AS n_rows, count(DISTINCT {CTX}) AS n_groups FROM documents GROUP BY source")
 def group_key(spark, sf_dir):
-    return docs(spark, sf_dir).groupBy("source").agg(F.count("*").alias("n_rows"), F.count_distinct(X.effective_group_key(F.lit(None).cast("string"), F.col("text"))).alias("n_groups"))
+    d = docs(spark, sf_dir).withColumns({"context": F.col("text"), "group_key": F.lit(None).cast("string"), "id": F.col("doc_id")})
+    return d.groupBy("source").agg(F.count("*").alias("n_rows"), F.count_distinct(S.grouping_key("context")).alias("n_groups"))

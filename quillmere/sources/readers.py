@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import warnings
 from pathlib import PurePosixPath
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +11,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import clean_text, collapse_inline, document_id
+from ..operators.metrics import example_scores
+from ..operators.quality import check_schema
+from ..operators.selection import select_hash
 
+#: Rows of the published splits.
+SQUAD_SIZES = {"train": 87_599, "validation": 10_570}
 TYPES = {".txt": "text", ".text": "text", ".md": "markdown", ".markdown": "markdown", ".mdown": "markdown", ".mkd": "markdown", ".pdf": "pdf", ".docx": "docx"}
 WRAPPERS = ("data", "records", "examples")
 
@@ -61,24 +68,30 @@ def read_text(spark: SparkSession, path: str) -> DataFrame:
     return df.select(document_id(F.col("filename"), F.col("text")).alias("id"), "filename", F.lit("text").alias("source_type"), F.lit(None).cast("string").alias("title"), "text")
 
 
-HEADING = r"(?m)^(#{1,6})[ \t]+(.*?)[ \t]*#*[ \t]*$"
-#: Marks of Markdown, in the order in which they go.
-MARKS = (
-    (r"(?m)^[ \t]*(?:```|~~~).*$", ""), (r"(?m)^[ \t]{0,3}(?:[-*_][ \t]*){3,}$", ""), (r"!\[([^\]]*)\]\([^)]*\)", "$1"),
-    (r"\[([^\]]+)\]\([^)]*\)", "$1"), (r"(?s)\*\*(.+?)\*\*", "$1"), (r"(?<!\*)\*([^*\n]+)\*(?!\*)", "$1"),
-    (r"`([^`\n]+)`", "$1"), (r"(?m)^[ \t]{0,3}>[ \t]?", ""), (HEADING, "$2"),
-)
+#: A heading: up to three blanks, one to six number signs, a blank; closing signs do not belong to its text.
+HEADING = r"(?m)^ {0,3}(#{1,6})(?:[ \t]+(.*?))??(?:[ \t]+#+)?[ \t]*$"
+#: What is taken out of Markdown, line marks first, and what stays of it.
+PLAIN = (
+    (r"(?m)^ {0,3}(?:`{3,}|~{3,})[^\n]*$", ""),  # fences; the code between them stays
+    (r"(?m)^ {0,3}([-*_])(?:[ \t]*\1){2,}[ \t]*$", ""),  # rules
+    (r"(?m)^ {0,3}(?:>[ \t]?)+", ""),  # quotes of any depth
+    (HEADING, "$2"),
+    (r"!?\[([^\]]*)\]\([^)\n]*\)", "$1"),  # images and links: their words
+    (r"(?s)\*{2}(?=\S)(.+?)(?<=\S)\*{2}", "$1"),  # strong
+    (r"(?<![*\w])\*(?=[^\s*])([^*\n]+?)(?<=\S)\*(?!\*)", "$1"),  # emphasis
+    (r"`+([^`\n]+)`+", "$1"),  # code in a line
+)
 
 
 def markdown(df: DataFrame, raw: str = "raw") -> DataFrame:
     """df with body, title (the first heading of level one, else the first) and headings (level, text)."""
     levels = F.regexp_extract_all(raw, F.lit(HEADING), F.lit(1))
     names = F.regexp_extract_all(raw, F.lit(HEADING), F.lit(2))
-    heads = F.zip_with(levels, names, lambda h, t: F.struct(F.length(h).alias("level"), collapse_inline(t).alias("text")))
+    heads = F.zip_with(levels, names, lambda h, t: F.struct(F.length(h).alias("level"), collapse_inline(F.coalesce(t, F.lit(""))).alias("text")))
     df = df.withColumn("headings", F.filter(heads, lambda h: h["text"] != ""))
     top = F.filter("headings", lambda h: h["level"] == 1)
     body = F.col(raw)
-    for pattern, kept in MARKS:
+    for pattern, kept in PLAIN:
         body = F.regexp_replace(body, pattern, kept)
     return df.withColumn("title", F.coalesce(F.get(top, F.lit(0))["text"], F.get("headings", F.lit(0))["text"])).withColumn("body", body)
 
@@ -92,20 +105,115 @@ def read_document(spark: SparkSession, path: str) -> DataFrame:
     return {"text": read_text, "markdown": read_markdown}[source_type(path)](spark, path)
 
 
+def read_squad(spark: SparkSession, path: str, split: str, cap: int | None = None, seed: int = 42) -> DataFrame:
+    """Question rows of a Parquet export: checked against the schema; a size other than SQUAD_SIZES says is warned about; at
+    most cap rows, those whose seeded digests come first."""
+    df = check_schema(spark.read.parquet(path), split)
+    n = df.count()
+    if split in SQUAD_SIZES and n != SQUAD_SIZES[split]:
+        warnings.warn(f"split {split} has {n} rows, not {SQUAD_SIZES[split]}", stacklevel=2)
+    return df if cap is None or cap >= n else select_hash(df, cap, seed)
+
+
+def read_squad_all(spark: SparkSession, paths: dict[str, str], cap: int | None = None, seed: int = 42) -> dict[str, DataFrame]:
+    """Every split by its name."""
+    return {split: read_squad(spark, path, split, cap, seed) for split, path in paths.items()}
+
+
+def plan_sources(requests: list[dict], catalogue: dict[str, dict]) -> list[dict]:
+    """Requests (source, path, export, limit) resolved against a catalogue (source -> defaults): each with how it is read
+    (file, export or missing) and what it lacks. No data is read. An unknown source is an error."""
+    out = []
+    for r in requests:
+        if r["source"] not in catalogue:
+            raise KeyError(f"no source {r['source']!r}; there are {', '.join(sorted(catalogue))}")
+        merged = {**catalogue[r["source"]], **{k: v for k, v in r.items() if v is not None}}
+        how = "file" if merged.get("path") else "export" if merged.get("export") else "missing"
+        out.append({**merged, "how": how, "needs": None if how != "missing" else "a path, or an export of the hub's table"})
+    return out
+
+
 def write_prepared(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").partitionBy("split").json(path)
 
 
 def read_prepared(spark: SparkSession, path: str, split: str, schema: str) -> tuple[DataFrame, DataFrame]:
-    """Rows of a split, and up to five lines that do not parse. A split without rows is an error."""
-    df = spark.read.schema(f"{schema}, _bad string").option("columnNameOfCorruptRecord", "_bad").json(f"{path}/split={split}").cache()
-    good = df.filter("_bad is null").drop("_bad")
+    """Rows of a split, and up to five lines that do not parse: file, line (from 1) and text. A split without rows is an
+    error."""
+    where = f"{path}/split={split}"
+    parsed = F.from_json("value", f"{schema}, _bad string", {"columnNameOfCorruptRecord": "_bad"})
+    rows = spark.read.text(where).filter("value <> ''").select(F.input_file_name().alias("file"), parsed.alias("p"))
+    good = rows.filter("p._bad is null").select("p.*").drop("_bad")
     if good.isEmpty():
         raise ValueError(f"split {split} is empty")
-    return good, df.filter("_bad is not null").select("_bad").limit(5)
+    # only files that hold a bad line are read whole, to number their lines
+    files = [r["file"] for r in rows.filter("p._bad is not null").select("file").distinct().orderBy("file").limit(5).collect()]
+    if not files:
+        return good, spark.createDataFrame([], "file string, line int, text string")
+    texts = spark.read.text(files, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\n")).alias("k", "value"))
+    bad = texts.filter("value <> ''").withColumn("p", parsed).filter("p._bad is not null")
+    return good, bad.select("file", (F.col("k") + 1).alias("line"), F.col("value").alias("text")).orderBy("file", "line").limit(5)
+
+
+def write_report(root: str, experiment: str, fingerprint: str, report: dict, splits: DataFrame, spark: SparkSession) -> str:
+    """Writes dataset.json and the splits into root/experiment-fingerprint, which it returns."""
+    place = f"{root.rstrip('/')}/{experiment}-{fingerprint}"
+    write_prepared(splits, place)
+    fs, at = _fs(spark, f"{place}/dataset.json")
+    out = fs.create(at, True)
+    try:
+        out.write(bytearray(json.dumps({"experiment": experiment, "fingerprint": fingerprint, **report}, sort_keys=True, indent=1).encode()))
+    finally:
+        out.close()
+    return place
+
+
+def _fs(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def discover(spark: SparkSession, root: str) -> list[dict]:
+    """Prepared datasets under root, the newest first: directory, experiment, fingerprint, splits, modified."""
+    fs, at = _fs(spark, root)
+    if not fs.exists(at):
+        return []
+    found = []
+    for entry in fs.listStatus(at):
+        name = entry.getPath().getName()
+        splits = sorted(x.getPath().getName()[6:] for x in fs.listStatus(entry.getPath()) if x.getPath().getName().startswith("split=")) if entry.isDirectory() else []
+        if splits:
+            experiment, _, fingerprint = name.rpartition("-")
+            found.append({"directory": entry.getPath().toString(), "experiment": experiment, "fingerprint": fingerprint, "splits": splits, "modified": entry.getModificationTime()})
+    return sorted(found, key=lambda f: (-f["modified"], f["directory"]))
+
+
+def resolve_prepared(spark: SparkSession, root: str, directory: str | None = None, fingerprint: str | None = None) -> dict:
+    """A prepared dataset: the named directory, else that with the fingerprint, else the newest, with a warning if there
+    are several."""
+    if directory is not None:
+        parent, _, name = directory.rstrip("/").rpartition("/")
+        hits = [f for f in discover(spark, parent) if f["directory"].rstrip("/").endswith("/" + name)]
+        if not hits:
+            raise ValueError(f"{directory} holds no splits")
+        return hits[0]
+    every = discover(spark, root)
+    hits = every if fingerprint is None else [f for f in every if f["fingerprint"] == fingerprint]
+    if not hits:
+        raise ValueError(f"nothing prepared under {root}" + (f" with fingerprint {fingerprint}" if fingerprint else ""))
+    if fingerprint is None and len(hits) > 1:
+        warnings.warn(f"{len(hits)} prepared datasets; {hits[0]['directory']} is the newest", stacklevel=2)
+    return hits[0]
+
+
+def prediction_dump(predictions: DataFrame, references: DataFrame) -> DataFrame:
+    """id, golds, prediction, em, f1 and the five best spans of each reference, also of those without a prediction, which
+    score nothing."""
+    df = references.select("id", "golds").join(predictions.select("id", F.coalesce("prediction", F.lit("")).alias("prediction"), "n_best"), "id", "left")
+    scored = example_scores(df.select("id", F.coalesce("prediction", F.lit("")).alias("prediction")), references)
+    return df.join(scored, "id").select("id", "golds", "prediction", "em", "f1", F.slice("n_best", 1, 5).alias("n_best"))
 
 
 def write_predictions(predictions: DataFrame, references: DataFrame, path: str, most: int | None = None) -> None:
-    """id, golds, prediction and the five best spans of each reference."""
-    df = references.join(predictions, "id").withColumn("n_best", F.slice("n_best", 1, 5))
+    df = prediction_dump(predictions, references)
     (df if most is None else df.orderBy("id").limit(most)).write.mode("overwrite").json(path)

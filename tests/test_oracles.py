@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from quillmere.plans.queries import QUERIES, SQL
+from quillmere.plans import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
 
