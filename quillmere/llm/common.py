@@ -2,17 +2,13 @@
 
 from __future__ import annotations
 
-import atexit
-import contextlib
 import gc
-import re
-import tempfile
-import uuid
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import drop, written  # noqa: F401  drop is used by the operators
 from ..session import ship
 
 #: A word: a run of characters that are neither blanks nor \t \n \v \f \r.
@@ -22,52 +18,12 @@ BLANKS = " \t\n\x0b\x0c\r"
 #: What stands between words.
 BLANK_RUN = r"[\x20\x09-\x0D]+"
 
-_MADE: list[tuple[SparkSession, str]] = []
-
-
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; where it is unset and Spark runs in one process (tests), a temporary one
-    that is set here. On a cluster an unset folder is an error: executors would not see the driver's."""
-    place = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not place:
-        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        place = "file://" + tempfile.mkdtemp(prefix="quillmere-")
-        spark.sparkContext.setCheckpointDir(place)
-    return place.rstrip("/")
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    with contextlib.suppress(Exception):
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-
-
-def _delete_all() -> None:
-    for spark, path in _MADE:
-        _delete(spark, path)
-    _MADE.clear()
-
-
-atexit.register(_delete_all)
-
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """df written as a Parquet table in the shared folder and read again: lineage ends there, and a lost executor costs
-    nothing that was computed before. Shuffle files of tables made before it are released."""
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    release(spark)  # before, not after: the caller still holds df then, but no longer what it wrote before
-    df.write.parquet(path)
-    _MADE.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop(df: DataFrame) -> None:
-    """Deletes a table that materialize() made and nothing reads any more."""
-    for spark, path in [x for x in _MADE if any(x[1] in f for f in df.inputFiles()[:1])]:
-        _delete(spark, path)
-        _MADE.remove((spark, path))
+    """written(), after shuffle files of tables made before it are released: the caller still holds df then, but no longer
+    what it wrote before."""
+    release(df.sparkSession)
+    return written(df, name)
 
 
 def release(spark: SparkSession) -> None:
