@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
-from .common import drop, materialize, table
+from .common import drop, materialize, table, tidy
 
 #: Fixed values of the contract.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -258,7 +258,7 @@ def likely(s: str, model: Model, least: float) -> bool:
 
 def all_spans(text: str, model: Model, least: float, memo: dict[str, bool]) -> tuple[list[Span], list[Span]]:
     base = base_spans(text)
-    if len(memo) > 200_000:
+    if len(memo) > 100_000:
         memo.clear()
     good = set()
     for s in set(TOKEN.findall(text)):
@@ -297,6 +297,8 @@ def scan(docs: DataFrame, model: Model, least: float = 1.0) -> DataFrame:
                 out.append((*(n[k] for k in KINDS), hashlib.sha256(say(base).encode()).hexdigest(), say(every)))
             cols = [pa.array([r[i] for r in out], pa.int64() if i < 3 else pa.string()) for i in range(5)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *cols], names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
+        memo.clear()
+        tidy()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(work, f"doc_id {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
@@ -325,6 +327,8 @@ def redact(docs: DataFrame, model: Model, mark: str = "[SECRET]", least: float =
             cols = list(batch.columns)
             cols[at] = pa.array(clean, pa.string())
             yield pa.RecordBatch.from_arrays(cols, names=batch.schema.names)
+        memo.clear()
+        tidy()
 
     return docs.mapInArrow(work, docs.schema)
 

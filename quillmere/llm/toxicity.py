@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import ship
-from .common import table
+from .common import table, tidy
 
 TERM = re.compile(r"\w+")
 BITS = 20
@@ -234,7 +234,7 @@ def score(docs: DataFrame, machine: Machine) -> DataFrame:
     of no terms. Whole texts of any length are read; repeated rows get the same score; an empty table gives an empty one.
     The other columns pass through unread."""
     ship(docs.sparkSession)
-    cached_most = 400_000
+    cached_most = 150_000
     base = docs.drop("score")
     text_at = base.columns.index("text")
 
@@ -262,6 +262,8 @@ def score(docs: DataFrame, machine: Machine) -> DataFrame:
         for batch in batches:
             scores = pa.array([find(t) for t in batch.column(text_at).to_pylist()], pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns, scores], names=[*batch.schema.names, "score"])
+        memo.clear()
+        tidy()
 
     return base.mapInArrow(work, T.StructType([*base.schema.fields, T.StructField("score", T.DoubleType())]))
 
