@@ -234,19 +234,24 @@ def groups(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame
     first = (F.col("size") - F.col("pos")) * (100 + percent) >= 2 * percent * F.col("size")
     counts = posts.groupBy("token").agg(F.sum(F.when(first, F.lit((1 << 32) + 1)).otherwise(F.lit(1))).alias("n"))
     shared = counts.filter((F.col("n") > 1 << 32) & (F.col("n") != (1 << 32) + 1)).select("token")
+    # what is counted by token is written before it is joined by token, so that a token of many nodes can be split there
+    shared = materialize(shared, "shared")
     posts = materialize(posts.join(shared, "token").select("token", "node", "size", "pos"), "postings")
     drop(prefixes)
+    drop(shared)
     marked, links, asked = posts.withColumn("comp", F.col("node")), None, None
     for leaders in (True, False):
         p = marked.alias("p")
         if leaders:
             # one leader a shingle: the node with the fewest rarer shingles, so the one least changed in a group of copies
             by = F.struct(F.col("pos"), F.xxhash64("node"))
-            q = marked.groupBy("token").agg(F.min_by(F.struct("node", "size", "pos", "comp"), by).alias("q")).select("token", "q.*").alias("q")
+            q = marked.groupBy("token").agg(F.min_by(F.struct("node", "size", "pos", "comp"), by).alias("q")).select("token", "q.*")
+            q = materialize(q, "leaders").alias("q")
             where = (F.col("p.comp") != F.col("q.comp")) & _close("p", "q", percent)
         else:
             # shingles whose nodes are not all in one component yet
             split = marked.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("token")
+            split = materialize(split, "split")
             rest = marked.join(split, "token").groupBy("node", "size", "comp").agg(F.array_sort(F.collect_set(F.struct("pos", "token"))).alias("s"))
             # with each the two that come before it in its node: a pair that has one of them in common is asked for there
             before = lambda x, i: F.struct(x["pos"], x["token"], F.get("s", i - 1)["token"].alias("b1"), F.get("s", i - 2)["token"].alias("b2"))
