@@ -140,6 +140,11 @@ def issue_counts(issues: DataFrame) -> DataFrame:
     return issues.groupBy("code", "severity").agg(F.count("*").alias("n"))
 
 
+def code_rollup(issues: DataFrame) -> DataFrame:
+    """severity, code, n: by both, by severity alone and in all (null stands for every value)."""
+    return issues.rollup("severity", "code").agg(F.count("*").alias("n")).select("severity", "code", "n")
+
+
 def drop_invalid(df: DataFrame, issues: DataFrame) -> DataFrame:
     """Examples without an error; warnings stay."""
     bad = issues.filter("severity = 'error'").select(F.col("example_id").alias("id")).distinct()

@@ -124,6 +124,12 @@ def leaked_keys(df: DataFrame, key: str, split: str = "split") -> DataFrame:
     return df.groupBy(key).agg(F.count_distinct(split).alias("n_splits")).filter("n_splits > 1")
 
 
+def shared_keys(df: DataFrame, key: str, split: str, one: str, other: str) -> DataFrame:
+    """Keys that stand in both of two splits."""
+    of = lambda name: df.filter(F.col(split) == name).select(key)
+    return of(one).intersect(of(other))
+
+
 def require_unique(df: DataFrame, id_: str = "id") -> DataFrame:
     """df; a repeated id is an error at run time."""
     n = F.count("*").over(Window.partitionBy(id_))

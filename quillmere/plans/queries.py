@@ -307,8 +307,24 @@ def config_filters(spark, sf_dir):
 
 @query("SELECT min(doc_id) AS doc_id, CAST(count(*) AS BIGINT) AS copies FROM documents GROUP BY " + CTX)
 def dedup_content(spark, sf_dir):
-    fp = X.context_fingerprint(F.col("text"))
-    return docs(spark, sf_dir).groupBy(fp.alias("fp")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")).drop("fp")
+    """The row that is kept of each content, and how many there are of it."""
+    d = docs(spark, sf_dir).select("doc_id", X.context_fingerprint(F.col("text")).alias("fp"))
+    n = d.groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
+    return n.select("doc_id", "copies")
+
+
+@query(f"WITH d AS (SELECT doc_id, row_number() OVER (PARTITION BY {CTX} ORDER BY doc_id) AS r FROM documents) SELECT doc_id FROM d WHERE r = 1")
+def dedup_rows(spark, sf_dir):
+    """Whole rows, one of each content: that with the least doc_id."""
+    d = docs(spark, sf_dir).withColumn("fp", X.context_fingerprint(F.col("text")))
+    return S.dedup(d, ["fp"], ["doc_id"]).select("doc_id")
+
+
+@query(f"WITH d AS (SELECT doc_id, row_number() OVER (PARTITION BY {CTX} ORDER BY doc_id) AS r FROM documents) SELECT doc_id FROM d WHERE r > 1")
+def dedup_dropped(spark, sf_dir):
+    """The rows that go."""
+    d = docs(spark, sf_dir).select("doc_id", X.context_fingerprint(F.col("text")).alias("fp"))
+    return S.duplicates(d, "fp", "doc_id").select("doc_id")
 
 
 @query("SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM documents) WHERE r = 1")
@@ -630,9 +646,42 @@ def as_messages(spark, sf_dir):
 
 @query("SELECT conv_id, turn, 'Answer.' || chr(10) || chr(10) || text || chr(10) || chr(10) || 'Yes.' AS text FROM conversations WHERE role = 'user'")
 def record_shape(spark, sf_dir):
+    return _shaped(spark, sf_dir, "text").select("conv_id", "turn", "text")
+
+
+def _shaped(spark, sf_dir, shape: str) -> DataFrame:
     c = I.table(spark, sf_dir, "conversations").filter("role = 'user'").select(F.concat_ws("-", "conv_id", "turn").alias("id"), F.lit("Answer.").alias("system"), F.col("text").alias("user"), F.lit("Yes.").alias("completion"))
     p = F.split("id", "-")
-    return P.record_shape(c, "text").select(p[0].cast("long").alias("conv_id"), p[1].cast("long").alias("turn"), "text")
+    return P.record_shape(c, shape).withColumns({"conv_id": p[0].cast("long"), "turn": p[1].cast("long")})
+
+
+@query("SELECT conv_id, turn, 'Answer.' || chr(10) || chr(10) || text AS prompt, 'Yes.' AS completion FROM conversations WHERE role = 'user'")
+def record_shape_pairs(spark, sf_dir):
+    return _shaped(spark, sf_dir, "prompt_completion").select("conv_id", "turn", "prompt", "completion")
+
+
+@query("SELECT conv_id, turn, 'system: Answer.' || CASE WHEN trim(text) <> '' THEN '|user: ' || text ELSE '' END AS prompt, 'assistant: Yes.' AS completion FROM conversations WHERE role = 'user'")
+def record_shape_chat(spark, sf_dir):
+    said = lambda c: F.array_join(F.transform(c, lambda m: F.concat(m["role"], F.lit(": "), m["content"])), "|")
+    return _shaped(spark, sf_dir, "conversational").select("conv_id", "turn", said("prompt").alias("prompt"), said("completion").alias("completion"))
+
+
+@query(f"WITH {I.SQUAD} SELECT id, CASE WHEN answer <> '' THEN answer ELSE '' END AS golds FROM squad")
+def gold_answers(spark, sf_dir):
+    return St.gold_answers(I.squad(spark, sf_dir)).select("id", F.array_join("golds", "|").alias("golds"))
+
+
+@query("WITH q AS (SELECT conv_id, count(*) FILTER (role = 'user') AS u, count(*) FILTER (role = 'assistant') AS a FROM conversations GROUP BY 1) SELECT CAST(coalesce(sum(u), 0) AS BIGINT) AS n_pairs, CAST(0 AS BIGINT) AS n_blank FROM q WHERE u = a")
+def blank_pairs(spark, sf_dir):
+    c = I.table(spark, sf_dir, "conversations")
+    own = lambda role: F.collect_list(F.when(F.col("role") == role, F.col("text")))  # noqa: E731  a conversation's turns
+    return A.blank_pairs(c.groupBy("conv_id").agg(own("user").alias("questions"), own("assistant").alias("answers")))
+
+
+@query(f"WITH {I.SQUAD}, ex AS (SELECT * FROM squad WHERE answer <> '') SELECT id, question, answer, 'short_answer' AS kind FROM ex")
+def row_projection(spark, sf_dir):
+    """The first target's fields of canonical examples."""
+    return A.adapt("squad", I.squad(spark, sf_dir)).select("id", A.primary("question").alias("question"), A.primary("answer").alias("answer"), A.primary("question_type").alias("kind"))
 
 
 @query("SELECT event_id, CASE WHEN json_type(props) <> 'OBJECT' THEN 'not_an_object' WHEN len(list_filter(json_keys(props), lambda k: k NOT IN ('k', 'v'))) > 0 THEN 'unknown_keys' WHEN len(json_keys(props)) < 1 THEN 'missing_keys' END AS problem FROM events")
@@ -690,8 +739,7 @@ def softmax(spark, sf_dir):
 
 @query(f"WITH {I.SQUAD}, {_ISSUES} SELECT severity, code, count(*) AS n FROM issues GROUP BY ROLLUP (severity, code)")
 def code_rollup(spark, sf_dir):
-    i = Q.validate_dataset(A.adapt("squad", I.squad(spark, sf_dir)))
-    return i.rollup("severity", "code").agg(F.count("*").alias("n")).select("severity", "code", "n")
+    return Q.code_rollup(Q.validate_dataset(A.adapt("squad", I.squad(spark, sf_dir))))
 
 
 @query("SELECT doc_id, n_chars >= 500 AS fits FROM documents")
@@ -705,11 +753,9 @@ def tokenize_secs(spark, sf_dir):
     return docs(spark, sf_dir).groupBy("source").agg(R.tokenize_seconds(F.count("*")).alias("seconds"))
 
 
-@query("SELECT lang, source FROM documents WHERE lang = 'en' INTERSECT SELECT 'en', source FROM documents WHERE lang = 'fr'")
+@query("SELECT source FROM documents WHERE lang = 'en' INTERSECT SELECT source FROM documents WHERE lang = 'fr'")
 def leak_intersect(spark, sf_dir):
-    d = docs(spark, sf_dir)
-    other = d.filter("lang = 'fr'").select(F.lit("en").alias("lang"), "source")
-    return d.filter("lang = 'en'").select("lang", "source").intersect(other)
+    return S.shared_keys(docs(spark, sf_dir), "source", "lang", "en", "fr")
 
 
 @query("SELECT conv_id, turn FROM conversations EXCEPT SELECT conv_id, turn FROM conversations WHERE role = 'assistant'")
