@@ -17,6 +17,7 @@ from __future__ import annotations
 import re
 from collections import defaultdict, deque
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +26,7 @@ from pyspark.sql import DataFrame
 
 from ..session import ship
 from .common import U64, mix64, table
+from .repeats import pieces
 
 BLANK = "▁"
 #: Stands for a blank sign of the text itself, which becomes bytes; no valid text holds a lone surrogate.
@@ -167,6 +169,40 @@ class Encoder:
         self.part, self.skips, self.taken, self.ids = Grown(np.int64), Grown(U64, 2), Rows(U64), Rows(np.int32)
         #: Beside each number of taken: the node where that candidate is skipped, or -1.
         self.child = np.full(0, -1, np.int32)
+        #: Of each node: the one it was reached from, and how often occurrences ended there.
+        self.parent, self.hits = Grown(np.int32), Grown(np.int64)
+
+    def forget(self) -> None:
+        """Leaves out the nodes where fewest occurrences ended, so that at most half are left, with all on the way to them.
+        What is left out is merged again when it comes up, to the same ids."""
+        hits, parent = self.hits.all, self.parent.all
+        least = 2
+        while True:
+            keep = hits >= least
+            while True:  # parents come before their children
+                up = parent[keep]
+                up = up[up >= 0]
+                if keep[up].all():
+                    break
+                keep[up] = True
+            if 2 * keep.sum() <= self.cached:
+                break
+            least *= 2
+        kept = np.flatnonzero(keep)
+        new = np.where(keep, np.cumsum(keep) - 1, -1).astype(np.int32)
+        parts, part = np.unique(self.part.all[kept], return_inverse=True)
+        roots, skips = {p: int(new[n]) for p, n in self.roots.items() if keep[n]}, self.skips.all[kept]
+        taken, ids, starts = self.taken.take(kept), self.ids.take(kept), self.starts.take(parts)
+        child = self.child[pieces(self.taken.at[kept], taken[1])]
+        child = np.where(child >= 0, new[child], -1)
+        parent, hits = np.where(parent[kept] >= 0, new[parent[kept]], -1), hits[kept] // 2
+        self.clear()
+        self.roots = roots
+        for rows, got in ((self.taken, taken), (self.ids, ids), (self.starts, starts)):
+            rows.add(*got)
+        for grown, got in ((self.part, part), (self.skips, skips), (self.parent, parent), (self.hits, hits)):
+            grown.add(got)
+        self.child = np.concatenate([child, np.full(len(self.taken.flat) - len(child), -1)]).astype(np.int32)
 
     def firsts(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the characters of parts, one part after the other, and their lengths."""
@@ -281,8 +317,8 @@ class Encoder:
                 for (d, p), ids in zip(chunk, got, strict=True):
                     self.memo[d][p] = ids
 
-    def grow(self, part: np.ndarray, skips: np.ndarray) -> np.ndarray:
-        """New nodes for parts (by number) and their skipped candidates (bits), in the order given."""
+    def grow(self, part: np.ndarray, skips: np.ndarray, parent: np.ndarray) -> np.ndarray:
+        """New nodes for parts (by number), their skipped candidates (bits) and parents (-1: none), in the order given."""
         made = np.zeros(len(part), np.int64)
         lengths = self.starts.at[part + 1] - self.starts.at[part]
         for width in np.unique(lengths).tolist():
@@ -300,6 +336,8 @@ class Encoder:
                 made[some] = self.ids.n + np.arange(len(some))
                 self.part.add(part[some])
                 self.skips.add(skips[some])
+                self.parent.add(parent[some])
+                self.hits.add(np.zeros(len(some), np.int64))
                 self.taken.add(own, np.bincount(of, minlength=len(some)))
                 self.ids.add(flat, n)
                 if len(self.child) < len(self.taken.flat):
@@ -328,7 +366,7 @@ class Encoder:
                 parent, skipped = node[at[lacking[one]]], place[lacking[one]]
                 skips = self.skips.all[parent]  # a part of LONG characters has fewer than 128 candidates in turn
                 np.bitwise_or.at(skips, (np.arange(len(new)), skipped >> 6), U64(1) << (skipped & 63).astype(U64))
-                made = self.grow(self.part.all[parent], skips)
+                made = self.grow(self.part.all[parent], skips, parent)
                 self.child[new] = made
                 found[lacking] = made[which]
             node[at] = found
@@ -339,7 +377,7 @@ class Encoder:
         """int32 ids of each text as bytes; the draw of a part is the hash of its text's key and its number. Null and empty
         texts give none."""
         if self.part.n > self.cached:
-            self.clear()
+            self.forget()
         parts: list[str] = []
         ends = [0]
         for text in texts:
@@ -351,16 +389,17 @@ class Encoder:
         if self.draws is not None:
             draw %= U64(self.draws)
         get = self.roots.get
-        node = np.array([get(p, -1) for p in parts], np.int64)
+        node = np.fromiter(map(get, parts, repeat(-1)), np.int64, len(parts))
         lacking = [(i, parts[i]) for i in np.flatnonzero(node < 0).tolist() if len(parts[i]) <= LONG]
         if lacking:
             new = list(dict.fromkeys([p for _, p in lacking]))
             at = self.starts.n + np.arange(len(new))
             self.starts.add(*self.firsts(new))
-            self.roots.update(zip(new, self.grow(at, np.zeros((len(new), 2), U64)).tolist(), strict=True))
+            self.roots.update(zip(new, self.grow(at, np.zeros((len(new), 2), U64), np.full(len(new), -1)).tolist(), strict=True))
             node[[i for i, _ in lacking]] = [get(p, -1) for _, p in lacking]
         short = np.flatnonzero(node >= 0)
         last = self.walk(node[short], draw[short]) if self.rate > 0 else node[short]
+        self.hits.all[:] += np.bincount(last, minlength=self.hits.n)
         flat, lengths = self.ids.take(last)
         data = flat.tobytes()
         upto = np.zeros(len(parts) + 1, np.int64)

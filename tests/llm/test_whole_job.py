@@ -51,3 +51,14 @@ def test_secrets_short_or_without_digits_are_scored():
         assert secrets.all_spans(text, model, 1.0, {}) == ([], [("format", at, at + len(value))])
     for _ in range(50):
         assert secrets.all_spans(f"{say()} 4263429643439180", model, 1.0, {}) == ([], [])
+
+
+def test_spm_forgetting_changes_nothing():
+    rng = random.Random(4)
+    words = ["".join(rng.choices("abcdefghilmnoprstu", k=rng.randint(2, 9))) for _ in range(400)]
+    texts = [" ".join(rng.choices(words, k=80)) for _ in range(60)]
+    big, small = spm.Encoder(spm.default_path(), rate=0.3, seed=5), spm.Encoder(spm.default_path(), rate=0.3, seed=5, cached=300)
+    for _ in range(2):
+        for k in range(0, 60, 5):
+            assert small.encode(texts[k : k + 5], range(k, k + 5)) == big.encode(texts[k : k + 5], range(k, k + 5))
+    assert big.part.n > 2000 and small.part.n < big.part.n
