@@ -183,7 +183,7 @@ _RATE = "round(CAST(sum({}) AS DOUBLE) / count(*), 6) AS {}"
 @query(
     f"WITH {I.BANK}, {_GEN} SELECT CASE WHEN grouping(source) = 0 THEN 'source' WHEN grouping(question_type) = 0 THEN 'type' ELSE 'all' END AS scope, coalesce(source, question_type) AS value, count(*) AS n, "
     + ", ".join(_RATE.format(v, n) for v, n in (("j", "json_valid"), ("s", "schema_valid"), ("em", "answer_em"), ("f", "answer_f1"), ("s", "question_f1"), ("s", "marks_matches"), ("s", "difficulty_matches"), ("s", "question_type_matches")))
-    + ", 0.0 AS option_count_matches FROM h GROUP BY GROUPING SETS ((), (source), (question_type))"
+    + ", CAST(0 AS DOUBLE) AS option_count_matches FROM h GROUP BY GROUPING SETS ((), (source), (question_type))"
 )
 def gen_scores(spark, sf_dir):
     """Parts as references; of five predictions one is right, one has another answer, three do not decode."""
