@@ -39,7 +39,7 @@ RATE, SEED = 0.1, 13
 #: Parts of more characters are merged each time: hardly any comes up twice with the same skips.
 LONG = 24
 #: Characters that are encoded at once, but for the last text of them.
-CHARS = 2_500_000
+CHARS = 2_000_000
 
 
 class Vocabulary:
@@ -146,7 +146,7 @@ class Grown:
 
 
 class Encoder:
-    def __init__(self, path: str, rate: float = RATE, seed: int = SEED, draws: int | None = None, cached: int = 1_000_000):
+    def __init__(self, path: str, rate: float = RATE, seed: int = SEED, draws: int | None = None, cached: int = 700_000):
         """draws: None for a draw of its own for each part of each document, or how many draws there are."""
         self.v, self.rate, self.seed, self.draws, self.cached = Vocabulary(path), rate, seed, draws, cached
         self.memo: dict[int, dict[str, bytes]] = defaultdict(dict)
@@ -344,20 +344,31 @@ class Encoder:
                     self.child = np.concatenate([self.child, np.full(len(self.taken.flat) - len(self.child), -1, np.int32)])
         return made
 
+    def skipped(self, node: np.ndarray, begin: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the occurrences skip a candidate from begin on, and the first that each skips. Some thousand occurrences
+        at once, as the numbers of all their candidates stand in memory."""
+        rows, places = [], []
+        for k in range(0, len(node), 40_000):
+            some = slice(k, k + 40_000)
+            own, n = self.taken.take(node[some], begin[some])
+            own += np.repeat(key[some], n)
+            hit = np.flatnonzero(mix64(own) < self.limit)
+            ends = np.cumsum(n)
+            row = np.searchsorted(ends, hit, "right")
+            first = np.flatnonzero(np.diff(row, prepend=-1))
+            row = row[first]
+            rows.append(row + k)
+            places.append(hit[first] - (ends - n)[row] + begin[some][row])
+        return np.concatenate(rows), np.concatenate(places)
+
     def walk(self, node: np.ndarray, draw: np.ndarray) -> np.ndarray:
         """The nodes where occurrences with these draws end that start at these."""
         node, at = node.copy(), np.arange(len(node))
         begin = np.zeros(len(node), np.int64)  # candidates that were looked at in the parent
         key = draw * U64(0x9E3779B97F4A7C15) + self.salt
         while len(at):
-            own, n = self.taken.take(node[at], begin[at])
-            hit = np.flatnonzero(mix64(own + np.repeat(key[at], n)) < self.limit)
-            row = np.repeat(np.arange(len(at)), n)[hit]
-            first = np.flatnonzero(np.diff(row, prepend=-1))
-            row = row[first]
-            place = hit[first] - (np.cumsum(n) - n)[row]
+            row, place = self.skipped(node[at], begin[at], key[at])
             at = at[row]
-            place += begin[at]
             slot = self.taken.at[node[at]] + place
             found = self.child[slot].astype(np.int64)
             lacking = np.flatnonzero(found < 0)
@@ -428,7 +439,7 @@ class Encoder:
 _ENCODERS: dict[tuple, Encoder] = {}
 
 
-def encode_documents(docs: DataFrame, path: str, rate: float = RATE, seed: int = SEED, draws: int | None = None) -> DataFrame:
+def encode_documents(docs: DataFrame, path: str, rate: float = RATE, seed: int = SEED, draws: int | None = None, chars: int = CHARS) -> DataFrame:
     """doc_id, text -> doc_id, n_tokens, token_ids and round_trip: whether decoding the ids gives the text again (a null
     text counts as empty). Repeated rows get the same ids: the key is doc_id (null: 2**63). Whole texts of any
     length; no rows are added or lost; an empty table gives an empty one; other columns are left out. In memory are a
@@ -443,7 +454,7 @@ def encode_documents(docs: DataFrame, path: str, rate: float = RATE, seed: int =
         enc = _ENCODERS[key]
         for whole in batches:
             # as many texts at once as give the arrays a good length
-            size = pc.utf8_length(whole.column(1)).fill_null(0).to_numpy(zero_copy_only=False).cumsum() // CHARS
+            size = pc.utf8_length(whole.column(1)).fill_null(0).to_numpy(zero_copy_only=False).cumsum() // chars
             cuts = [0, *(np.flatnonzero(np.diff(size)) + 1).tolist(), whole.num_rows]
             for at, end in zip(cuts, cuts[1:], strict=False):
                 batch = whole.slice(at, end - at)
