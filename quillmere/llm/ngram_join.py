@@ -223,6 +223,9 @@ def groups(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame
     profile = materialize(_profile(docs, n), "profile")
     names = profile.filter("slice < 0").select("ref", "named", "text_key", "node", "size")
     frequencies = spark.sparkContext.broadcast(_frequencies(profile))
+    # the counts of every partition are no longer needed
+    names = materialize(names, "names")
+    drop(profile)
     owners = _owners(names)
     prefixes = _prefixes(docs, frequencies, n, percent)
     prefixes = prefixes.join(owners, ["node", "ref", "named"]).select("node", "size", "tokens", "named")
