@@ -164,8 +164,9 @@ def bm25_many(docs: DataFrame, queries: DataFrame, most: int, id_: str = "id", q
     idf = F.log1p((F.col("nd") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = F.col("f") * (k1 + 1) / (F.col("f") + k1 * (1 - b + b * F.col("dl") / F.col("avg")))
     scored = pairs.groupBy(query, id_).agg(F.round(F.sum(idf * weight), 6).alias("score")).filter(F.col("score") > least)
-    place = F.row_number().over(Window.partitionBy(query).orderBy(F.desc("score"), id_)) - 1
-    return scored.withColumn("rank", place).filter(F.col("rank") < most).select(query, id_, "score", "rank")
+    place = F.row_number().over(Window.partitionBy(query).orderBy(F.desc("score"), id_))
+    # compared as it is, so that each task keeps its own best only
+    return scored.withColumn("__r", place).filter(F.col("__r") <= most).select(query, id_, "score", (F.col("__r") - 1).alias("rank"))
 
 
 def bm25(docs: DataFrame, query: str, most: int, id_: str = "id", **options) -> DataFrame:
