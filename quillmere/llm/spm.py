@@ -40,6 +40,8 @@ RATE, SEED = 0.1, 13
 LONG = 24
 #: Characters that are encoded at once, but for the last text of them.
 CHARS = 2_000_000
+#: Nodes that trees hold in a worker, some 200 bytes each.
+CACHED = 700_000
 
 
 class Vocabulary:
@@ -146,7 +148,7 @@ class Grown:
 
 
 class Encoder:
-    def __init__(self, path: str, rate: float = RATE, seed: int = SEED, draws: int | None = None, cached: int = 700_000):
+    def __init__(self, path: str, rate: float = RATE, seed: int = SEED, draws: int | None = None, cached: int = CACHED):
         """draws: None for a draw of its own for each part of each document, or how many draws there are."""
         self.v, self.rate, self.seed, self.draws, self.cached = Vocabulary(path), rate, seed, draws, cached
         self.memo: dict[int, dict[str, bytes]] = defaultdict(dict)
@@ -439,18 +441,18 @@ class Encoder:
 _ENCODERS: dict[tuple, Encoder] = {}
 
 
-def encode_documents(docs: DataFrame, path: str, rate: float = RATE, seed: int = SEED, draws: int | None = None, chars: int = CHARS) -> DataFrame:
+def encode_documents(docs: DataFrame, path: str, rate: float = RATE, seed: int = SEED, draws: int | None = None, chars: int = CHARS, cached: int = CACHED) -> DataFrame:
     """doc_id, text -> doc_id, n_tokens, token_ids and round_trip: whether decoding the ids gives the text again (a null
     text counts as empty). Repeated rows get the same ids: the key is doc_id (null: 2**63). Whole texts of any
-    length; no rows are added or lost; an empty table gives an empty one; other columns are left out. In memory are a
-    text and, of a run without blanks, some 100 bytes a character: a run of LONG characters and more is merged as one row
-    of arrays."""
+    length; no rows are added or lost; an empty table gives an empty one; other columns are left out. In memory are chars
+    characters of texts (at least one text) with some 100 bytes for each, as a run of LONG characters and more without a
+    blank is merged as one row of arrays, and cached nodes; neither number changes a result."""
     ship(docs.sparkSession)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = (path, rate, seed, draws)
+        key = (path, rate, seed, draws, cached)
         if key not in _ENCODERS:
-            _ENCODERS[key] = Encoder(path, rate, seed, draws)
+            _ENCODERS[key] = Encoder(path, rate, seed, draws, cached)
         enc = _ENCODERS[key]
         for whole in batches:
             # as many texts at once as give the arrays a good length
