@@ -60,7 +60,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document of the mix; fewer texts at once than alone, as executors hold the other stages' heap."""
-    return spm.encode_documents(docs, spm.default_path(), chars=1_000_000)
+    return spm.encode_documents(docs, spm.default_path(), chars=600_000, cached=250_000)
 
 
 STAGES = [
