@@ -39,9 +39,9 @@ RATE, SEED = 0.1, 13
 #: Parts of more characters are merged each time: hardly any comes up twice with the same skips.
 LONG = 24
 #: Characters that are encoded at once, but for the last text of them.
-CHARS = 2_000_000
+CHARS = 3_200_000
 #: Nodes that trees hold in a worker, some 200 bytes each.
-CACHED = 700_000
+CACHED = 900_000
 
 
 class Vocabulary:
