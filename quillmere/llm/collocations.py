@@ -9,12 +9,13 @@ left, the last j by going right (cuts), and a phrase lies inside exactly those o
 
 The corpus is cut into blocks of about BLOCK words. A block sends each of its different words and pairs once, with its count, and
 gets back the ids of those that are frequent; words that stand everywhere are therefore as many rows as there are blocks, and no
-task sees all places of anything. Only pairs of frequent phrases are ever counted: no phrase is more frequent than its parts.
+task sees all places of anything. The rows of a phrase meet once: summed up over their group, and only those of frequent phrases
+go on. Only pairs of frequent phrases are ever counted: no phrase is more frequent than its parts.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -28,7 +29,7 @@ from ..session import ship
 from .common import drop, materialize, table, tidy
 
 #: Words of a block; it is full when it holds as many, texts are not divided.
-BLOCK = 400_000
+BLOCK = 1_000_000
 LEAST, LONGEST, SUBSUMED, BEST = 10, 3, 50, 2_000
 #: Where texts are cut into pieces, and a sign for that between words.
 MARKS, CUT = r"[.,;:!?\n\x0b\x0c\r]", "\n"
@@ -96,29 +97,49 @@ def _blocks(docs: DataFrame, block: int) -> DataFrame:
     return rows.mapInArrow(work, "block long, code int, lang string, word string, n long, codes binary")
 
 
-PAIRS = pa.schema([("block", pa.int64()), ("code", pa.int32()), ("left", pa.int64()), ("right", pa.int64()), ("n", pa.int64()), ("codes", pa.binary())])
+#: A block as the sequence of its phrases of one length: 32-bit numbers, -1 where none starts, and the ids (64 bits) of the numbers.
+SEQUENCE = pa.schema([("block", pa.int64()), ("codes", pa.binary()), ("ids", pa.binary())])
 
 
-def _renamed(blocks: pa.Table, names: pa.Table) -> pa.Table:
-    """One block with the ids of its frequent phrases (code, id) -> its different pairs of neighbours as rows (code, left,
-    right, n), and the sequence of their codes, -1 where no such pair starts."""
+def pairs_of(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Neighbours in a sequence, neither of them -1: where they start, the different pairs as 64-bit keys, the number of the
+    pair at each place, and how often each stands."""
+    at = np.flatnonzero((codes[:-1] >= 0) & (codes[1:] >= 0))
+    keys, which, n = np.unique(codes[at].astype(np.int64) << 32 | codes[at + 1], return_inverse=True, return_counts=True)
+    return at, keys, which, n
+
+
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The different pairs of neighbours of each block by their ids, numbered by code, with their counts."""
+    for batch in batches:
+        for row in batch.to_pylist():
+            _, keys, _, n = pairs_of(np.frombuffer(row["codes"], np.int32))
+            ids = np.frombuffer(row["ids"], np.int64)
+            for s in range(0, len(keys), 100_000):
+                k = keys[s : s + 100_000]
+                columns = [np.full(len(k), row["block"]), np.arange(s, s + len(k), dtype=np.int32), ids[k >> 32], ids[k & 0xFFFFFFFF], n[s : s + 100_000]]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["block", "code", "left", "right", "n"])
+
+
+def _renamed(paired: bool) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """One block, and the ids of its frequent words or (paired) pairs (code, id) -> the block as the sequence of these."""
+    return lambda blocks, names: _sequence(blocks, names, paired)
+
+
+def _sequence(blocks: pa.Table, names: pa.Table, paired: bool) -> pa.Table:
     if not blocks.num_rows or not names.num_rows:
-        return PAIRS.empty_table()
+        return SEQUENCE.empty_table()
     codes = np.frombuffer(blocks["codes"][0].as_py(), np.int32)
-    ids = np.full(int(codes.max(initial=-1)) + 2, -1, np.int64)
-    ids[names["code"].to_numpy()] = names["id"].to_numpy()  # the last place stays -1 and stands for code -1
-    known = ids[codes] >= 0
-    at = np.flatnonzero(known[:-1] & known[1:])
-    keys, place, n = np.unique(codes[at].astype(np.int64) << 32 | codes[at + 1], return_inverse=True, return_counts=True)
-    if not len(keys):
-        return PAIRS.empty_table()
-    out = np.full(len(codes), -1, np.int32)
-    out[at] = place
-    block, m = blocks["block"][0].as_py(), len(keys)
-    rows = [np.full(m, block), np.arange(m, dtype=np.int32), ids[keys >> 32], ids[keys & 0xFFFFFFFF], n]
-    rows = pa.table([*map(pa.array, rows), pa.nulls(m, pa.binary())], schema=PAIRS)
-    whole = pa.table([pa.array([block], pa.int64()), *(pa.nulls(1, f.type) for f in list(PAIRS)[1:5]), pa.array([out.tobytes()], pa.binary())], schema=PAIRS)
-    return pa.concat_tables([rows, whole])
+    if paired:
+        at, keys, which, _ = pairs_of(codes)
+        codes, before = np.full(len(codes), -1, np.int32), len(keys)
+        codes[at] = which
+    else:
+        before = int(codes.max(initial=-1)) + 1
+    known = np.full(before + 1, -1, np.int32)  # the last place stands for code -1
+    known[names["code"].to_numpy()] = np.arange(names.num_rows, dtype=np.int32)
+    values = [[blocks["block"][0].as_py()], [known[codes].tobytes()], [names["id"].to_numpy().astype(np.int64).tobytes()]]
+    return pa.table([pa.array(v, f.type) for v, f in zip(values, SEQUENCE, strict=True)], schema=SEQUENCE)
 
 
 def phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
@@ -126,16 +147,18 @@ def phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, block:
     first and the last 1 .. k - 1 words stand), all phrases of 1 to longest words that stand least times or more, as
     tables written by level; sizes: lang, n (all words)."""
     ship(docs.sparkSession)
-    rows = materialize(_blocks(docs, block), "phrase-blocks")
-    sizes = rows.filter("word is not null").groupBy("lang").agg(F.sum("n").alias("n"))
-    levels, keys = [], ["lang", "word"]
+    blocks = materialize(_blocks(docs, block), "phrase-blocks")
+    words = blocks.filter("n is not null")
+    sizes = materialize(words.groupBy("lang").agg(F.sum("n").alias("n")), "phrase-sizes")
+    rows, keys, levels, sequences = words.select("block", "code", "lang", "word", "n"), ["lang", "word"], [], blocks.filter("codes is not null").select("block", "codes")
     for k in range(1, longest + 1):
-        # counts of a block meet those of others; a hot word or pair is one row a block
-        counts = rows.filter("n is not null").groupBy(*keys).agg(F.sum("n").alias("f")).filter(F.col("f") >= least)
-        named = materialize(counts.withColumn("id", F.monotonically_increasing_id()), f"phrase-names-{k}")
+        # a row a block and phrase, hot ones included; what is rare ends here
+        often = rows.withColumn("f", F.sum("n").over(Window.partitionBy(*keys))).filter(F.col("f") >= least).drop("n")
+        often = materialize(often, f"phrase-often-{k}")
+        named = materialize(often.groupBy(*keys).agg(F.max("f").alias("f")).withColumn("id", F.monotonically_increasing_id()), f"phrase-names-{k}")
         if k == 1:
-            none = F.array().cast("array<long>")
-            level = named.select("id", "lang", F.col("word").alias("phrase"), "f", F.lit(None).cast("long").alias("left"), F.lit(None).cast("long").alias("right"), none.alias("firsts"), none.alias("lasts"))
+            none, nothing = F.array().cast("array<long>"), F.lit(None).cast("long")
+            level = named.select("id", "lang", F.col("word").alias("phrase"), "f", nothing.alias("left"), nothing.alias("right"), none.alias("firsts"), none.alias("lasts"))
         else:
             parent = levels[-1]
             one = parent.select(F.col("id").alias("left"), "lang", F.col("phrase").alias("__l"), F.concat("firsts", F.array("f")).alias("firsts"))
@@ -143,13 +166,12 @@ def phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, block:
             level = named.join(one, "left").join(two, "right").withColumn("phrase", F.concat_ws(" ", "__l", "__r")).select("id", "lang", "phrase", "f", "left", "right", "firsts", "lasts")
         levels.append(materialize(level, f"phrases-{k}"))
         if k < longest:
-            ids = rows.filter("n is not null").select("block", "code", *keys).join(named, keys).select(F.col("block").alias("of"), "code", "id")
-            sequences = rows.filter("codes is not null").select("block", "codes")
-            step = sequences.groupBy("block").cogroup(ids.groupBy("of")).applyInArrow(_renamed, "block long, code int, left long, right long, n long, codes binary")
-            before, rows = rows, materialize(step, f"phrase-pairs-{k + 1}")
-            if k > 1:
-                drop(before)
-            keys = ["left", "right"]
+            ids = often.join(named.drop("f"), keys).select(F.col("block").alias("of"), "code", "id")
+            step = sequences.groupBy("block").cogroup(ids.groupBy("of")).applyInArrow(_renamed(paired=k > 1), "block long, codes binary, ids binary")
+            before, sequences = (sequences if k > 1 else blocks), materialize(step, f"phrase-sequences-{k}")
+            drop(before)
+            rows, keys = sequences.mapInArrow(_pairs, "block long, code int, left long, right long, n long"), ["left", "right"]
+        drop(often)
         drop(named)
     return reduce(DataFrame.unionByName, [level.withColumn("k", F.lit(i + 1)) for i, level in enumerate(levels)]), sizes
 
