@@ -78,18 +78,49 @@ def alignment_report(df: DataFrame, id_: str = "id") -> DataFrame:
     )
 
 
-def candidates(logits: DataFrame, n_best: int = 20, max_length: int = 30) -> DataFrame:
-    """(id, window, pos, start_logit, end_logit, in_context) -> (id, window, start, end, start_rank, end_rank, score).
-    The n_best starts and ends of a window are listed first (higher, then earlier); only then pairs that end before they
-    start, or are longer than max_length, or lie outside the context fall away."""
-    def best(value: str, name: str) -> DataFrame:
-        rank = F.row_number().over(Window.partitionBy("id", "window").orderBy(F.desc(value), "pos"))
-        return logits.withColumn("r", rank).filter(F.col("r") <= n_best).select("id", "window", F.col("pos").alias(name), F.col("r").alias(f"{name}_rank"), F.col(value).alias(f"{name}_score"), F.col("in_context").alias(f"{name}_in"))
+def _shortlist(values: str, n_best: int) -> Column:
+    """The n_best largest of an array as structs (pos, score, rank), best first, ties to the earlier place; null has none."""
+    every = F.filter(F.transform(values, lambda v, i: F.struct((-v).alias("k"), i.alias("pos"))), lambda x: x["k"].isNotNull())
+    best = F.slice(F.sort_array(every), 1, n_best)
+    return F.transform(best, lambda x, r: F.struct(x["pos"].alias("pos"), (-x["k"]).alias("score"), (r + 1).alias("rank")))
 
-    pairs = best("start_logit", "start").join(best("end_logit", "end"), ["id", "window"])
-    length = F.col("end") - F.col("start") + 1
-    pairs = pairs.filter(F.col("start_in") & F.col("end_in") & (length >= 1) & (length <= max_length))
-    return pairs.select("id", "window", "start", "end", "start_rank", "end_rank", (F.col("start_score") + F.col("end_score")).alias("score"))
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once however often it is named."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def window_candidates(n_best: int = 20, max_length: int = 30) -> Column:
+    """Of a row with start_logits, end_logits and context_mask, the candidate spans as an array of structs (start, end,
+    start_rank, end_rank, score). The n_best starts and ends are listed first; only then pairs that end before they start, or
+    are longer than max_length, or lie outside the context (mask other than 1) fall away. All in the row. Arrays of unequal
+    length are an error at run time."""
+    if n_best <= 0 or max_length <= 0:
+        raise ValueError("n_best and max_length must be positive")
+    n = F.size("start_logits")
+    same = (F.size("end_logits") == n) & (F.size("context_mask") == n)
+    inside = lambda listed: F.filter(listed, lambda x: F.get("context_mask", x["pos"]) == 1)
+    both = F.struct(inside(_shortlist("start_logits", n_best)).alias("s"), inside(_shortlist("end_logits", n_best)).alias("e"))
+
+    def pairs(b: Column) -> Column:
+        def of(s: Column) -> Column:
+            ends = F.filter(b["e"], lambda e: (e["pos"] >= s["pos"]) & (e["pos"] - s["pos"] < max_length))
+            return F.transform(ends, lambda e: F.struct(s["pos"].alias("start"), e["pos"].alias("end"), s["rank"].alias("start_rank"), e["rank"].alias("end_rank"), (s["score"] + e["score"]).alias("score")))
+
+        return F.flatten(F.transform(b["s"], of))
+
+    checked = F.when(same, both).otherwise(F.raise_error(F.lit("logits and mask differ in length")).cast(_BOTH))
+    return F.when(n > 0, let(checked, pairs))
+
+
+_ONE = T.ArrayType(T.StructType([T.StructField("pos", T.IntegerType()), T.StructField("score", T.DoubleType()), T.StructField("rank", T.IntegerType())]))
+_BOTH = T.StructType([T.StructField("s", _ONE), T.StructField("e", _ONE)])
+
+
+def candidates(windows: DataFrame, n_best: int = 20, max_length: int = 30) -> DataFrame:
+    """(id, window, start_logits, end_logits, context_mask) -> (id, window, start, end, start_rank, end_rank, score), see
+    window_candidates()."""
+    return windows.select("id", "window", F.inline(window_candidates(n_best, max_length)))
 
 
 def softmax(df: DataFrame, score: str, by: list[str]) -> Column:
@@ -98,14 +129,23 @@ def softmax(df: DataFrame, score: str, by: list[str]) -> Column:
     return e / F.sum(e).over(w)
 
 
-def decode(pairs: DataFrame, most: int = 10) -> DataFrame:
-    """The best spans of each example over all its windows: one softmax, then by probability, window, start and rank of the
-    end. Probabilities are rounded to nine decimals before they are ranked, so that equal sums rank alike everywhere."""
-    top = F.max("score").over(Window.partitionBy("id"))
-    pairs = pairs.withColumn("__e", F.exp(F.col("score") - top))
-    pairs = pairs.withColumn("probability", F.round(F.col("__e") / F.sum("__e").over(Window.partitionBy("id")), 9))
-    rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("probability"), "window", "start", "end_rank"))
-    return pairs.withColumn("rank", rank).filter(F.col("rank") <= most).select("id", "rank", "window", "start", "end", "probability")
+def decode(windows: DataFrame, n_best: int = 20, max_length: int = 30, most: int = 10) -> DataFrame:
+    """(id, window, start_logits, end_logits, context_mask) -> id, rank, window, start, end, probability: the best spans of each
+    example over all its windows: one softmax, then by score, window, start and rank of the end.
+
+    A window leaves its greatest score, the sum of its exponentials and its best spans; only these are pooled by example. An
+    example without a candidate has no row."""
+    own = windows.select("id", "window", window_candidates(n_best, max_length).alias("c")).filter("size(c) > 0")
+    # the array is made before it is looked at three times
+    one = let(F.col("c"), lambda c: let(F.array_max(F.transform(c, lambda x: x["score"])), lambda m: F.struct(m.alias("m"), c.alias("c"))))
+    best = lambda c: F.slice(F.sort_array(F.transform(c, lambda x: F.struct((-x["score"]).alias("k"), x["start"].alias("start"), x["end_rank"].alias("end_rank"), x["end"].alias("end")))), 1, most)
+    summary = let(one, lambda w: F.struct(F.col("window").alias("window"), w["m"].alias("m"), F.aggregate(w["c"], F.lit(0.0), lambda a, x: a + F.exp(x["score"] - w["m"])).alias("z"), best(w["c"]).alias("best")))
+    pooled = own.select("id", summary.alias("w")).groupBy("id").agg(F.sort_array(F.collect_list("w")).alias("w"))
+    top = F.array_max(F.transform("w", lambda x: x["m"]))
+    pooled = pooled.withColumn("__m", top).withColumn("__z", F.aggregate("w", F.lit(0.0), lambda a, x: a + x["z"] * F.exp(x["m"] - F.col("__m"))))
+    spans = F.flatten(F.transform("w", lambda x: F.transform(x["best"], lambda b: F.struct(b["k"].alias("k"), x["window"].alias("window"), b["start"].alias("start"), b["end_rank"].alias("end_rank"), b["end"].alias("end")))))
+    rows = pooled.select("id", "__m", "__z", F.posexplode(F.slice(F.sort_array(spans), 1, most)).alias("r", "x"))
+    return rows.select("id", (F.col("r") + 1).alias("rank"), "x.window", "x.start", "x.end", (F.exp(-F.col("x.k") - F.col("__m")) / F.col("__z")).alias("probability"))
 
 
 def answers(examples: DataFrame, features: DataFrame, ranked: DataFrame) -> DataFrame:
@@ -135,10 +175,10 @@ def unaligned(windows: DataFrame, id_: str = "id") -> DataFrame:
     return windows.groupBy(id_).agg(F.bool_or(F.col("status") == "aligned").alias("ok")).filter("not ok").select(id_)
 
 
-def evaluate(examples: DataFrame, features: DataFrame, logits: DataFrame, n_best: int = 20, max_length: int = 30, other: DataFrame | None = None) -> DataFrame:
-    """examples (id, context, golds), features (id, window, offsets), logits (see candidates()) -> one row: exact_match, f1,
-    total_examples, total_features, examples_without_answer; with other, a second scorer's row, also cross_check()."""
-    found = answers(examples, features, decode(candidates(logits, n_best, max_length)))
+def evaluate(examples: DataFrame, features: DataFrame, windows: DataFrame, n_best: int = 20, max_length: int = 30, other: DataFrame | None = None) -> DataFrame:
+    """examples (id, context, golds), features (id, window, offsets), windows with logits (see decode()) -> one row: exact_match,
+    f1, total_examples, total_features, examples_without_answer; with other, a second scorer's row, also cross_check()."""
+    found = answers(examples, features, decode(windows, n_best, max_length))
     scores = corpus_scores(example_scores(found.select("id", F.col("answer").alias("prediction")), examples.select("id", "golds")))
     facts = found.agg(F.count_if(~F.col("has_answer")).alias("examples_without_answer"), F.coalesce(F.sum("n_windows"), F.lit(0)).alias("total_features"))
     out = scores.crossJoin(F.broadcast(facts))  # one row each
@@ -161,13 +201,3 @@ def collect_logits(features: DataFrame, forward: Callable[[dict[str, list]], tup
     kind = features.schema["id"].dataType.simpleString()
     rows = features.select("id", F.col("window").cast("int").alias("window"), *columns)
     return rows.mapInArrow(work, f"id {kind}, window int, start_logits array<double>, end_logits array<double>")
-
-
-def long_logits(windows: DataFrame) -> DataFrame:
-    """id, window, start_logits, end_logits, context_mask -> the rows that candidates() reads: one a position. Arrays of
-    unequal length are an error at run time."""
-    n = F.size("start_logits")
-    same = (F.size("end_logits") == n) & (F.size("context_mask") == n)
-    pos = F.when(same, F.sequence(F.lit(0), n - 1)).otherwise(F.raise_error(F.lit("logits and mask differ in length")).cast("array<int>"))
-    df = windows.filter(n > 0).select("id", "window", "start_logits", "end_logits", "context_mask", F.explode(pos).alias("pos"))
-    return df.select("id", "window", "pos", F.get("start_logits", F.col("pos")).alias("start_logit"), F.get("end_logits", F.col("pos")).alias("end_logit"), (F.get("context_mask", F.col("pos")) == 1).alias("in_context"))

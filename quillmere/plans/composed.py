@@ -235,12 +235,12 @@ def vectors_as_answers(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
     place = lambda p: F.when(p >= 2, F.struct(at(p).cast("int").alias("s"), (at(p) + 3).cast("int").alias("e")))
     f = e.select("id", F.explode(F.array(F.lit(0), F.lit(1))).alias("window")).withColumn("offsets", F.transform(F.sequence(F.lit(0), F.lit(15)), place))
     # vectors that are divisible by 50 have no place in the context, and so no answer
-    return e, f, logits.withColumn("in_context", F.col("in_context") & (F.col("id") % 50 != 0))
+    return e, f, logits.withColumn("context_mask", F.transform("context_mask", lambda m: F.when(F.col("id") % 50 != 0, m).otherwise(0)))
 
 
 _DECODED = (
     f"{I.LOGITS.replace('k % 16 >= 2 AS inside', 'k % 16 >= 2 AND vec_id % 50 <> 0 AS inside')}, {_CAND}, p AS (SELECT *, round(exp(score - max(score) OVER (PARTITION BY id)), 12) AS x FROM cand), q AS (SELECT *, round(x / sum(x) OVER (PARTITION BY id), 9) AS probability FROM p),"
-    " r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY probability DESC, \"window\", start, end_rank) AS rank FROM q), b AS (SELECT id, (\"window\" * 14 + start - 2) AS f, (\"window\" * 14 + \"end\" - 2) AS l FROM r WHERE rank = 1),"
+    " r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, \"window\", start, end_rank) AS rank FROM q), b AS (SELECT id, (\"window\" * 14 + start - 2) AS f, (\"window\" * 14 + \"end\" - 2) AS l FROM r WHERE rank = 1),"
     " ans AS (SELECT vec_id AS id, b.id IS NOT NULL AS has_answer, coalesce(f * 4, 0) AS char_start, coalesce(l * 4 + 3, 0) AS char_end, coalesce(array_to_string(['t' || lpad(CAST(j AS VARCHAR), 2, '0') FOR j IN range(f, l + 1)], ' '), '') AS answer FROM embeddings LEFT JOIN b ON vec_id = b.id)"
 )
 
@@ -248,7 +248,7 @@ _DECODED = (
 @query(f"WITH {_DECODED} SELECT id, has_answer, CAST(char_start AS INTEGER) AS char_start, CAST(char_end AS INTEGER) AS char_end, answer FROM ans")
 def decode_answers(spark, sf_dir):
     e, f, g = vectors_as_answers(spark, sf_dir)
-    return Wi.answers(e, f, Wi.decode(Wi.candidates(g, 5, 8))).select("id", "has_answer", "char_start", "char_end", "answer")
+    return Wi.answers(e, f, Wi.decode(g, 5, 8)).select("id", "has_answer", "char_start", "char_end", "answer")
 
 
 _EVAL = (
@@ -276,7 +276,7 @@ def cross_check(spark, sf_dir):
 def sink_predictions(spark, sf_dir):
     """What is written about predictions, a row for each reference."""
     e, f, g = vectors_as_answers(spark, sf_dir)
-    found = Wi.answers(e, f, Wi.decode(Wi.candidates(g, 5, 8))).select("id", F.col("answer").alias("prediction"), "n_best")
+    found = Wi.answers(e, f, Wi.decode(g, 5, 8)).select("id", F.col("answer").alias("prediction"), "n_best")
     return Rd.prediction_dump(found, e).select("id", "prediction", F.round("em", 6).alias("em"), F.round("f1", 6).alias("f1"), F.size("n_best").cast("long").alias("n_spans"))
 
 

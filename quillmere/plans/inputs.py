@@ -96,14 +96,13 @@ bank AS (SELECT p_partkey AS id, ['mcq', 'short_answer', 'long_answer'][CAST(p_p
 
 def logits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Embeddings as logits of two windows of 16 positions: halves are starts and ends, values rounded to one decimal so
-    that ties occur."""
+    that ties occur. The first two positions of a window lie outside the context."""
     e = table(spark, sf_dir, "embeddings")
-    pos = F.explode(F.sequence(F.lit(0), F.lit(31)))
-    df = e.select("vec_id", F.transform("embedding", lambda x: F.round(x.cast("double"), 1)).alias("v"), pos.alias("k"))
-    return df.select(
-        F.col("vec_id").alias("id"), F.floor(F.col("k") / 16).cast("int").alias("window"), (F.col("k") % 16).alias("pos"),
-        F.get("v", F.col("k")).alias("start_logit"), F.get("v", F.col("k") + 32).alias("end_logit"), (F.col("k") % 16 >= 2).alias("in_context"),
-    )
+    v = F.transform("embedding", lambda x: F.round(x.cast("double"), 1))
+    df = e.select(F.col("vec_id").alias("id"), F.explode(F.array(F.lit(0), F.lit(1))).alias("window"), v.alias("v"))
+    part = lambda at: F.slice("v", F.col("window") * 16 + at, 16)
+    mask = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda p: (p >= 2).cast("int"))
+    return df.select("id", "window", part(1).alias("start_logits"), part(33).alias("end_logits"), mask.alias("context_mask"))
 
 
 LOGITS = """

@@ -511,11 +511,11 @@ def enumerate_candidates(spark, sf_dir):
 
 @query(
     f"WITH {I.LOGITS}, {_CAND}, p AS (SELECT *, round(exp(score - max(score) OVER (PARTITION BY id)), 12) AS x FROM cand), q AS (SELECT *, round(x / sum(x) OVER (PARTITION BY id), 9) AS probability FROM p),"
-    " r AS (SELECT *, CAST(row_number() OVER (PARTITION BY id ORDER BY probability DESC, \"window\", start, end_rank) AS INTEGER) AS rank FROM q)"
+    " r AS (SELECT *, CAST(row_number() OVER (PARTITION BY id ORDER BY score DESC, \"window\", start, end_rank) AS INTEGER) AS rank FROM q)"
     " SELECT id, rank, \"window\", start, \"end\", round(probability, 6) AS probability FROM r WHERE rank <= 10"
 )
 def decode_spans(spark, sf_dir):
-    return Wi.decode(Wi.candidates(I.logits(spark, sf_dir), 5, 8)).withColumn("probability", F.round("probability", 6))
+    return Wi.decode(I.logits(spark, sf_dir), 5, 8).withColumn("probability", F.round("probability", 6))
 
 
 @query("SELECT vec_id, k AS pos, rank FROM (SELECT vec_id, k, CAST(row_number() OVER (PARTITION BY vec_id ORDER BY embedding[k + 1] DESC, k) AS INTEGER) AS rank FROM embeddings, (SELECT CAST(range AS INTEGER) AS k FROM range(64))) WHERE rank <= 5")

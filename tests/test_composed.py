@@ -2,6 +2,8 @@
 
 import hashlib
 import json
+import math
+import random
 import re
 from collections import Counter, defaultdict
 from dataclasses import dataclass
@@ -151,13 +153,41 @@ def test_answers_without_spans(spark):
     e = spark.createDataFrame([(1, " one two ", ["two"]), (2, "x", ["x"]), (3, "", [])], "id int, context string, golds array<string>")
     f = spark.createDataFrame([(1, 0, [None, (0, 4), (4, 9)]), (2, 0, [None])], "id int, window int, offsets array<struct<s:int,e:int>>")
     w = spark.createDataFrame([(1, 0, [9.0, 1.0, 2.0], [9.0, 1.0, 3.0], [0, 1, 1]), (2, 0, [1.0], [1.0], [0])], "id int, window int, start_logits array<double>, end_logits array<double>, context_mask array<int>")
-    got = {r["id"]: r for r in Wi.answers(e, f, Wi.decode(Wi.candidates(Wi.long_logits(w), 3, 3))).collect()}
+    got = {r["id"]: r for r in Wi.answers(e, f, Wi.decode(w, 3, 3)).collect()}
     assert got[1]["answer"] == "two" and (got[1]["char_start"], got[1]["char_end"]) == (5, 8) and [s["text"] for s in got[1]["n_best"]] == ["two", "one two", "one"]
     assert (got[2]["has_answer"], got[2]["answer"], got[2]["n_windows"]) == (False, "", 1) and (got[3]["has_answer"], got[3]["n_windows"], got[3]["n_best"]) == (False, 0, [])
-    one = Wi.evaluate(e, f, Wi.long_logits(w), 3, 3).first()
+    one = Wi.evaluate(e, f, w, 3, 3).first()
     assert one["examples_without_answer"] == 2 and one["total_examples"] == 3 and round(one["exact_match"], 3) == 33.333
 
 
+def test_decoding_equals_a_plain_loop(spark):
+    rng = random.Random(11)
+    rows = [(i, w, [float(rng.randint(-6, 6)) / 2 for _ in range(n)], [float(rng.randint(-6, 6)) / 2 for _ in range(n)], [rng.choice((0, 1, 1)) for _ in range(n)]) for i in range(40) for w, n in enumerate(rng.choices((0, 1, 7, 60), k=rng.randint(1, 4)))]
+    kind = "id int, window int, start_logits array<double>, end_logits array<double>, context_mask array<int>"
+    df = spark.createDataFrame(rows, kind).repartition(3)
+    got = {}
+    for r in sorted(Wi.decode(df, 6, 9, 10).collect(), key=lambda r: (r["id"], r["rank"])):
+        got.setdefault(r["id"], []).append((r["window"], r["start"], r["end"], round(r["probability"], 12)))
+    want = {}
+    for i in range(40):
+        pool = []
+        for _, w, s, e, m in (r for r in rows if r[0] == i):
+            best = lambda x: sorted(range(len(x)), key=lambda p: (-x[p], p))[:6]
+            pool += [(s[a] + e[b], w, a, k, b) for a in best(s) for k, b in enumerate(best(e)) if m[a] == m[b] == 1 and 0 <= b - a < 9]
+        pool.sort(key=lambda x: (-x[0], *x[1:]))
+        z = sum(math.exp(x[0] - pool[0][0]) for x in pool) if pool else 0
+        if pool:
+            want[i] = [(w, a, b, round(math.exp(x - pool[0][0]) / z, 12)) for x, w, a, _, b in pool[:10]]
+    assert got == want
+    plan = df._sc._jvm.PythonSQLUtils.explainString(Wi.candidates(df, 6, 9)._jdf.queryExecution(), "simple")
+    assert "Exchange hash" not in plan and "Window" not in plan
+    with pytest.raises(Exception, match="differ in length"):
+        Wi.decode(spark.createDataFrame([(1, 0, [1.0], [1.0, 2.0], [1])], kind)).collect()
+    with pytest.raises(ValueError):
+        Wi.decode(df, 0)
+    assert Wi.decode(df.limit(0)).collect() == []
+
+
 def test_logits_from_a_model(spark):
     f = spark.createDataFrame([(i, 0, ["a"] * i) for i in range(1, 9)], "id int, window int, tokens array<string>")
     forward = lambda x: ([[float(k) for k in range(len(t))] for t in x["tokens"]], [[0.5] * len(t) for t in x["tokens"]])
