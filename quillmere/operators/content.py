@@ -1,26 +1,17 @@
-"""Documents: chunking, keyword labels, BM25 ranking."""
+"""Documents: checks and labels of chunks, BM25 ranking."""
 
 from __future__ import annotations
 
-import bisect
-import re
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import answer_tokens, chunk_id, counted, is_blank
+from ..functions.text import answer_tokens, counted, is_blank
 from ..scratch import written
-from ..session import ship
+from .chunking import LEAST, MOST, TARGET, chunk_documents
 
-TARGET, LEAST, MOST = 1200, 200, 2000
 #: So many pairs of query and term at most are broadcast.
 BROADCAST_TERMS = 200_000
 
-#: Where an over-long paragraph is cut, best first.
-CUTS = (r"(?<=[.!?])\s+", r"(?<=[;:])\s+", r"(?<=,)\s+", r"\s+")
-
 #: Words without topical weight.
 STOPWORDS = (
     "about above after again against all also am and any are as at be because been before being below between both but by "
@@ -33,61 +24,6 @@ STOPWORDS = (
 ).split()
 
 
-def _pieces(text: str, start: int, end: int, most: int) -> Iterator[tuple[int, int]]:
-    """A paragraph in pieces of at most most characters, cut at the last boundary of the best kind that a piece holds.
-    Boundaries of the paragraph are found once, by kind, and looked up by place."""
-    if end - start <= most:
-        yield start, end
-        return
-    bounds = [[m.end() for m in re.compile(p).finditer(text, start, end)] for p in CUTS]
-    while end - start > most:
-        stop = start + most
-        for places in bounds:
-            k = bisect.bisect_right(places, start + most) - 1
-            if k >= 0 and places[k] > start:
-                stop = places[k]
-                break
-        yield start, stop
-        start = stop
-        while start < end and text[start].isspace():
-            start += 1
-    if start < end:
-        yield start, end
-
-
-def spans_of(text: str, target: int = TARGET, least: int = LEAST, most: int = MOST) -> list[tuple[int, int]]:
-    """Spans of the chunks of a text: paragraphs, cut where they exceed most, packed up to target (a chunk below least
-    may grow up to most), the last one folded into the one before if it is short and fits."""
-    packed: list[list[int]] = []
-    for m in re.finditer(r"\S(?:.*?\S)?(?=\s*(?:\n[ \t]*\n|\Z))", text, re.S):
-        for s, e in _pieces(text, *m.span(), most):
-            size, grown = (packed[-1][1] - packed[-1][0], e - packed[-1][0]) if packed else (0, 0)
-            if packed and (grown <= target or (size < least and grown <= most)):
-                packed[-1][1] = e
-            else:
-                packed.append([s, e])
-    if len(packed) > 1 and packed[-1][1] - packed[-1][0] < least and packed[-1][1] - packed[-2][0] <= most:
-        packed[-2][1] = packed.pop()[1]
-    return [(s, e) for s, e in packed]
-
-
-def chunk_documents(docs: DataFrame, target: int = TARGET, least: int = LEAST, most: int = MOST) -> DataFrame:
-    """document_id, text -> id, document_id, index, char_start, char_end, text. A null or blank text has no chunks."""
-    ship(docs.sparkSession)
-
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = [
-                (d, i, s, e, t[s:e])
-                for d, t in zip(batch["document_id"], batch["text"].fillna(""), strict=True)
-                for i, (s, e) in enumerate(spans_of(t, target, least, most))
-            ]
-            yield pd.DataFrame(rows, columns=["document_id", "index", "char_start", "char_end", "text"])
-
-    rows = docs.select(F.col("document_id").cast("string"), "text").mapInPandas(work, "document_id string, index int, char_start int, char_end int, text string")
-    return rows.select(chunk_id(F.col("document_id"), F.col("index")).alias("id"), *rows.columns)
-
-
 def verify_chunks(chunks: DataFrame, docs: DataFrame) -> DataFrame:
     """Chunks whose text is not the slice of their document."""
     d = docs.select(F.col("document_id").cast("string"), F.col("text").alias("whole"))
@@ -99,11 +35,17 @@ def content_tokens(text: Column) -> Column:
     return F.filter(answer_tokens(text), lambda w: (F.length(w) >= 3) & ~w.isin(STOPWORDS))
 
 
+def _ranked(least: int, most: int) -> Column:
+    """Of the counts __c (see counted()), structs (n, term) of the most frequent terms, n negative."""
+    often = F.transform(F.filter("__c", lambda c: c["n"] >= least), lambda c: F.struct((-c["n"]).alias("n"), c["term"].alias("term")))
+    return F.slice(F.sort_array(often), 1, most)
+
+
 def _top(df: DataFrame, id_: str, terms: str, most: int, least: int) -> DataFrame:
-    """id, term, n, rank of the most frequent terms of an array; counted and ranked inside the row, without a shuffle."""
+    """id, term, n, rank of the most frequent terms of an array; counted and ranked inside the row, without a shuffle. The
+    array that is exploded must not be a column of its own: a filter on it would be pushed below all it is made of."""
     df = counted(df.withColumn("__s", F.array_sort(terms)), "__s", "__c")
-    ranked = F.array_sort(F.transform(F.filter("__c", lambda c: c["n"] >= least), lambda c: F.struct((-c["n"]).alias("n"), c["term"].alias("term"))))
-    best = df.select(id_, F.posexplode(F.slice(ranked, 1, most)).alias("r", "x"))
+    best = df.select(id_, F.posexplode(_ranked(least, most)).alias("r", "x"))
     return best.select(id_, F.col("x.term").alias("term"), (-F.col("x.n")).cast("long").alias("n"), (F.col("r") + 1).alias("rank"))
 
 
@@ -112,10 +54,14 @@ def topics(docs: DataFrame, id_: str = "id", most: int = 5) -> DataFrame:
     return _top(docs.select(id_, content_tokens(F.col("text")).alias("__t")), id_, "__t", most, 1)
 
 
+def _neighbours(tokens: str) -> Column:
+    n = F.greatest(F.size(tokens) - 1, F.lit(0))
+    return F.zip_with(F.slice(tokens, 1, n), F.slice(tokens, 2, n), lambda a, b: F.concat_ws(" ", a, b))
+
+
 def _pairs(docs: DataFrame, id_: str) -> DataFrame:
     df = docs.select(id_, content_tokens(F.col("text")).alias("__t"))
-    n = F.greatest(F.size("__t") - 1, F.lit(0))
-    return df.select(id_, F.zip_with(F.slice("__t", 1, n), F.slice("__t", 2, n), lambda a, b: F.concat_ws(" ", a, b)).alias("__t"))
+    return df.select(id_, _neighbours("__t").alias("__t"))
 
 
 def bigrams(docs: DataFrame, id_: str = "id") -> DataFrame:
@@ -129,15 +75,16 @@ def concepts(docs: DataFrame, id_: str = "id", most: int = 3, least: int = 2) ->
 
 
 def label_chunks(chunks: DataFrame, id_: str = "id") -> DataFrame:
-    """chunks with topics and concepts filled where both are empty."""
-    listed = lambda df, name: df.groupBy(id_).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "term"))), lambda x: x["term"]).alias(name))
-    bare = chunks.filter((F.size("topics") == 0) & (F.size("concepts") == 0))
-    df = chunks.join(listed(topics(bare, id_), "__t"), id_, "left").join(listed(concepts(bare, id_), "__c"), id_, "left")
-    empty = (F.size("topics") == 0) & (F.size("concepts") == 0)
+    """chunks with topics and concepts filled where both are empty, from their own text. All in the row: rows with one id do
+    not mix, and nothing is joined."""
     none = F.array().cast("array<string>")
-    return df.withColumn("__e", empty).withColumns(
-        {"topics": F.when(F.col("__e"), F.coalesce("__t", none)).otherwise(F.col("topics")), "concepts": F.when(F.col("__e"), F.coalesce("__c", none)).otherwise(F.col("concepts"))}
-    ).drop("__e", "__t", "__c")
+    empty = F.coalesce((F.size("topics") == 0) & (F.size("concepts") == 0), F.lit(False))
+    df = chunks.withColumn("__e", empty).withColumn("__t", F.when(F.col("__e"), content_tokens(F.col("text"))))
+    df = counted(df.withColumn("__s", F.array_sort("__t")), "__s", "__c").withColumn("__topics", _ranked(1, 5))
+    df = counted(df.withColumn("__s", F.array_sort(_neighbours("__t"))), "__s", "__c").withColumn("__concepts", _ranked(2, 3))
+    words = lambda c: F.coalesce(F.transform(c, lambda x: x["term"]), none)
+    labels = {"topics": F.when(F.col("__e"), words("__topics")).otherwise(F.col("topics")), "concepts": F.when(F.col("__e"), words("__concepts")).otherwise(F.col("concepts"))}
+    return df.withColumns(labels).select(*chunks.columns)
 
 
 def bm25_many(docs: DataFrame, queries: DataFrame, most: int, id_: str = "id", query: str = "query", k1: float = 1.5, b: float = 0.75, least: float = 0.0) -> DataFrame:

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,6 +14,8 @@ from ..scratch import written
 from ..session import ship
 
 SPLITS = ("train", "validation", "test")
+#: Groups that are worth a part of their own in the order of a split.
+GROUPS_A_PART = 1_000
 
 
 def dedup(df: DataFrame, keys: list[str], order: list) -> DataFrame:
@@ -87,38 +90,90 @@ def grouping_key(by: str) -> Column:
     raise ValueError(f"groups are made by example, topic or context, not by {by!r}")
 
 
+def fold_split(counts: Iterable[int], aims: list[int], have: list[int]) -> tuple[list[int], list[int]]:
+    """The split of each group in turn, by its number, and what the splits hold then: a group goes to the split that lacks
+    the largest part of its target (ties: the earlier split), to the first where none lacks anything."""
+    have, out = list(have), []
+    lack = [(a - h) / a if a else 0.0 for a, h in zip(aims, have, strict=True)]
+    for n in counts:
+        best = lack.index(most) if (most := max(lack)) > 0 else 0
+        have[best] += n
+        lack[best] = (aims[best] - have[best]) / aims[best] if aims[best] else 0.0
+        out.append(best)
+    return out, have
+
+
 def split_groups(df: DataFrame, key: str, seed: int, ratios: tuple[float, ...] = (0.9, 0.05, 0.05)) -> DataFrame:
     """df with split: whole groups, in the order of their seeded digests, go to the split that lacks the largest part of
     its target (ties in order of the splits; none lacking: train). A null key is a group of its own.
 
-    The rule looks at all choices before, so it is a fold: of one digest and one count a group, streamed through one task
-    that keeps three numbers. All else, fingerprints and counts above all, is done once and in parallel."""
-    ship(df.sparkSession)
+    The rule looks at all choices before, so it is a fold over the order. It runs in parallel all the same: digests are sorted by
+    range, every part folds from a guess of what the splits hold before it (their shares of the rows so far), and the end of
+    each part is the next one's start in another round, in which only parts whose start was wrong run again. Choices that
+    lack or have a little more soon are the same, so the second round or the third changes nothing; then every start is the
+    true end before it, and the places are those of the fold in one piece. A part keeps three numbers."""
+    spark = df.sparkSession
+    ship(spark)
     groups = df.groupBy(F.col(key).alias("__key")).agg(F.count("*").alias("n"))
     digest = order_digest(seed, F.coalesce(F.col("__key").cast("string"), F.lit("")))
     groups = written(groups.withColumn("__d", digest), "split-groups")
-    aims = split_targets(groups.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0], ratios)
-
-    def fold_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        have = [0] * len(aims)
+    n_groups, total = groups.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    aims = split_targets(total, ratios)
+    parts = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), n_groups // GROUPS_A_PART))
+    order = ["__d", F.asc_nulls_first("__key")]
+    ranged = written(groups.repartitionByRange(parts, *order).sortWithinPartitions(*order), "split-order")
+    placed = ranged.select("*", F.regexp_extract("_metadata.file_path", r"/part-(\d+)[^/]*$", 1).cast("int").alias("part"), F.col("_metadata.row_index").alias("row"))
+    in_turn = lambda rows: rows.repartitionById(parts, F.col("part")).sortWithinPartitions("part", "row")
+
+    def ends_of(starts: dict[int, list[int]]) -> dict[int, list[int]]:
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            have: dict[int, list[int]] = {}
+            for batch in batches:
+                for part, counts in _by_part(batch):
+                    have[part] = fold_split(counts, aims, have.get(part) or starts[part])[1]
+            yield pa.RecordBatch.from_pydict({"part": pa.array(list(have), pa.int32()), "have": pa.array(list(have.values()), pa.list_(pa.int64()))})
+
+        rows = placed.select("part", "row", "n").filter(F.col("part").isin(list(starts)))
+        return {r["part"]: r["have"] for r in in_turn(rows).mapInArrow(work, "part int, have array<long>").collect()}  # a row a part
+
+    before, starts = 0, {}
+    for r in sorted(placed.groupBy("part").agg(F.sum("n").alias("n")).collect()):  # a row a part
+        guess = [a * before // max(1, total) for a in aims]
+        starts[r["part"]] = [guess[0] + before - sum(guess), *guess[1:]]
+        before += r["n"]
+    ends, stale = {}, dict(starts)
+    while stale:
+        ends |= ends_of(stale)
+        numbers = sorted(starts)
+        true = dict(zip(numbers[1:], [ends[p] for p in numbers], strict=False))
+        stale = {p: have for p, have in true.items() if starts[p] != have}
+        starts |= stale
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        have: dict[int, list[int]] = {}
         for batch in batches:
             out = []
-            for n in batch.column(1).to_pylist():
-                lack = [(a - h) / a if a else 0.0 for a, h in zip(aims, have, strict=True)]
-                best = max(range(len(aims)), key=lambda i: (lack[i], -i))
-                if lack[best] <= 0:
-                    best = 0
-                have[best] += n
-                out.append(best)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.int32())], names=["__d", "place"])
-
-    # keys with one digest are one key
-    places = groups.select("__d", "n").repartition(1).sortWithinPartitions("__d").mapInArrow(fold_, "__d string, place int")
+            for part, counts in _by_part(batch):
+                places, have[part] = fold_split(counts, aims, have.get(part) or starts[part])
+                out += places
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.int32())], names=["__key", "place"])
+
+    kind = groups.schema["__key"].dataType.simpleString()
+    chosen = in_turn(placed.select("__key", "part", "row", "n")).select("__key", "part", "n").mapInArrow(choose, f"__key {kind}, place int")
     named = F.element_at(F.array(*map(F.lit, SPLITS)), F.col("place") + 1)
-    chosen = groups.join(places, "__d").select("__key", named.alias("split"))
+    chosen = chosen.select("__key", named.alias("split"))
     return df.join(chosen, F.col(key).eqNullSafe(F.col("__key"))).select(*df.columns, "split")
 
 
+def _by_part(batch: pa.RecordBatch) -> Iterator[tuple[int, list[int]]]:
+    """The counts of a batch, cut where the part changes."""
+    parts, counts = batch.column("part").to_numpy(), batch.column("n").to_pylist()
+    cuts = [0, *(np.flatnonzero(np.diff(parts)) + 1).tolist(), len(parts)]
+    for s, e in zip(cuts, cuts[1:], strict=False):
+        if s < e:
+            yield int(parts[s]), counts[s:e]
+
+
 def leaked_keys(df: DataFrame, key: str, split: str = "split") -> DataFrame:
     """Keys in two splits or more."""
     return df.groupBy(key).agg(F.count_distinct(split).alias("n_splits")).filter("n_splits > 1")

@@ -17,7 +17,7 @@ from ..operators import runs as R
 from ..operators import windows as Wi
 from ..sources import readers as Rd
 from . import inputs as I
-from .queries import _CAND, _CT, _ISSUES, _PAPER, CTX, EXAMPLE_FP, NORM, lengths, plan, query
+from .queries import _CAND, _CT, _ISSUES, _PAPER, CHUNKS, CTX, EXAMPLE_FP, NORM, lengths, plan, query
 
 # ---- quality
 
@@ -390,7 +390,13 @@ def label_chunks(spark, sf_dir):
     return C.label_chunks(d, "doc_id").select("doc_id", F.array_join("topics", ",").alias("topics"), F.array_join("concepts", ",").alias("concepts"))
 
 
-@query()
+_OF_CHUNKS = lambda sql: sql.replace("doc_id", "id").replace("FROM documents", "FROM named")
+
+
+@query(
+    f"WITH RECURSIVE {CHUNKS}, named AS (SELECT document_id || ':c' || lpad(CAST(\"index\" AS VARCHAR), 4, '0') AS id, * FROM chunks), {_OF_CHUNKS(_listed('t', _RANKED.format(_TERMS, '', 5)))}, {_OF_CHUNKS(_listed('c', _RANKED.format(_PAIRS, 'HAVING count(*) >= 2', 3)))}"
+    " SELECT id, document_id, char_start, char_end, coalesce(string_split(t, ','), []) AS topics, coalesce(string_split(c, ','), []) AS concepts FROM named LEFT JOIN t USING (id) LEFT JOIN c USING (id)"
+)
 def corpus_build(spark, sf_dir):
     return C.build_corpus(I.table(spark, sf_dir, "documents").withColumnRenamed("doc_id", "document_id")).select("id", "document_id", "char_start", "char_end", "topics", "concepts")
 

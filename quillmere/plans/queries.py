@@ -526,20 +526,41 @@ def top_k_idx(spark, sf_dir):
 # ---- content
 
 
-@query()
+_SP = r"[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+_CUT = " ".join(f"WHEN length(regexp_extract(left(rest, 2000), '^(?s:.*){sign}{_SP}+')) > 0 THEN length(regexp_extract(left(rest, 2000), '^(?s:.*){sign}{_SP}+'))" for sign in ("[.!?]", "[;:]", ",", ""))
+_TRIM = lambda x: f"regexp_replace({x}, '^{_SP}+', '')"
+
+#: Chunks by recursion: a unit a step of each paragraph, then a fold over the units of each document. Needs WITH RECURSIVE.
+CHUNKS = rf"""
+parts AS (SELECT doc_id, k, p[k] AS p, coalesce(length(g[k]), 0) AS gap FROM (SELECT doc_id, string_split_regex(text, '\n[ \t]*\n') AS p, regexp_extract_all(text, '\n[ \t]*\n') AS g FROM documents), unnest(range(1, len(p) + 1)) u(k)),
+placed AS (SELECT *, sum(length(p) + gap) OVER (PARTITION BY doc_id ORDER BY k) - length(p) - gap AS first FROM parts),
+units AS (
+  SELECT doc_id, k, 0 AS i, CAST(first + length(p) - length({_TRIM('p')}) AS BIGINT) AS pos, regexp_replace({_TRIM('p')}, '{_SP}+$', '') AS rest, CAST(NULL AS BIGINT) AS s, CAST(NULL AS BIGINT) AS e FROM placed
+  UNION ALL
+  SELECT doc_id, k, i + 1, pos + cut + length(substr(rest, cut + 1)) - length({_TRIM('substr(rest, cut + 1)')}), {_TRIM('substr(rest, cut + 1)')}, pos, pos + cut
+  FROM (SELECT *, CASE WHEN length(rest) <= 2000 THEN length(rest) {_CUT} ELSE 2000 END AS cut FROM units WHERE rest <> '')),
+numbered AS (SELECT doc_id, s, e, row_number() OVER (PARTITION BY doc_id ORDER BY s) AS u FROM units WHERE s IS NOT NULL),
+fold AS (
+  SELECT doc_id, u, s, e FROM numbered WHERE u = 1
+  UNION ALL
+  SELECT n.doc_id, n.u, CASE WHEN n.e - f.s <= 1200 OR (f.e - f.s < 200 AND n.e - f.s <= 2000) THEN f.s ELSE n.s END, n.e FROM fold f JOIN numbered n ON n.doc_id = f.doc_id AND n.u = f.u + 1),
+packed AS (SELECT doc_id, s, max(e) AS e, row_number() OVER (PARTITION BY doc_id ORDER BY s DESC) AS back FROM fold GROUP BY doc_id, s),
+tails AS (SELECT a.doc_id, a.s, b.s AS onto, a.e FROM packed a JOIN packed b ON a.doc_id = b.doc_id AND a.back = 1 AND b.back = 2 WHERE a.e - a.s < 200 AND a.e - b.s <= 2000),
+spans AS (SELECT p.doc_id, p.s, coalesce(t.e, p.e) AS e FROM packed p LEFT JOIN tails t ON t.doc_id = p.doc_id AND t.onto = p.s WHERE NOT EXISTS (SELECT 1 FROM tails x WHERE x.doc_id = p.doc_id AND x.s = p.s)),
+chunks AS (SELECT CAST(d.doc_id AS VARCHAR) AS document_id, CAST(row_number() OVER (PARTITION BY d.doc_id ORDER BY s) - 1 AS INTEGER) AS "index", CAST(s AS INTEGER) AS char_start, CAST(e AS INTEGER) AS char_end, substr(text, s + 1, e - s) AS text FROM spans JOIN documents d USING (doc_id))"""
+
+
+@query(f"WITH RECURSIVE {CHUNKS} SELECT document_id || ':c' || lpad(CAST(\"index\" AS VARCHAR), 4, '0') AS id, * FROM chunks")
 def chunk_docs(spark, sf_dir):
     return C.chunk_documents(docs(spark, sf_dir).withColumnRenamed("doc_id", "document_id"))
 
 
-@query("SELECT CAST(doc_id AS VARCHAR) || ':c' || CAST(k AS VARCHAR) AS id FROM documents, range(3) t(k) WHERE length(text) > 40 * k AND (doc_id + k) % 7 = 0")
+@query(f"WITH RECURSIVE {CHUNKS} SELECT document_id || ':c' || lpad(CAST(\"index\" AS VARCHAR), 4, '0') AS id FROM chunks WHERE (CAST(document_id AS BIGINT) + \"index\") % 7 = 0")
 def verify_chunk(spark, sf_dir):
-    """Slices of documents, of which some are damaged, are held against their documents."""
+    """The chunks of all texts, of which some are moved by a place or damaged, are held against their documents."""
     d = docs(spark, sf_dir).withColumnRenamed("doc_id", "document_id")
-    c = d.select("document_id", "text", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("k")).filter(F.length("text") > 40 * F.col("k"))
-    start, end = 40 * F.col("k"), F.least(40 * F.col("k") + 40, F.length("text"))
-    part = F.substring("text", start + 1, end - start)
-    damaged = F.when((F.col("document_id") + F.col("k")) % 7 == 0, F.concat(part, F.lit("#"))).otherwise(part)
-    c = c.select(F.concat(F.col("document_id").cast("string"), F.lit(":c"), F.col("k").cast("string")).alias("id"), F.col("document_id").cast("string").alias("document_id"), start.alias("char_start"), end.alias("char_end"), damaged.alias("text"))
+    hit = (F.col("document_id").cast("long") + F.col("index")) % 7 == 0
+    c = C.chunk_documents(d).withColumns({"text": F.when(hit & (F.col("index") % 2 == 0), F.concat("text", F.lit("#"))).otherwise(F.col("text")), "char_start": F.when(hit & (F.col("index") % 2 == 1), F.col("char_start") + 1).otherwise(F.col("char_start"))})
     return C.verify_chunks(c, d)
 
 

@@ -249,14 +249,6 @@ def test_statistics(spark):
     assert [r["c"] and [(x["n"], x["term"]) for x in r["c"]] for r in X.counted(words, "s", "c").collect()] == [[(1, "a"), (3, "b")], [], None]
 
 
-def test_chunks_cut_at_boundaries():
-    text = "First sentence here. " * 200 + "\n\n" + "short one.\n\n" + "word " * 900 + "\n\n" + "x" * 5000
-    spans = C.spans_of(text)
-    assert all(0 < e - s <= C.MOST and not text[s].isspace() for s, e in spans)
-    assert "".join(text[s:e] for s, e in spans).replace(" ", "").replace("\n", "") == text.replace(" ", "").replace("\n", "")
-    assert all(text[:e].rstrip().endswith(".") for s, e in spans if e < 4200)
-
-
 def test_runs():
     configs = {"base": {"model": {"size": 2, "name": "b"}, "seed": 1}, "big": {"extends": "base", "model": {"size": 9}}, "loop": {"extends": "loop"}, "odd": {"modle": 1}}
     known = {"model": {"size": 0, "name": "", "rate": 0.1}, "seed": 0}

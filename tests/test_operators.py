@@ -132,18 +132,6 @@ def test_alignment(spark):
     assert got[("b", 0)][0] == "no_answer" and got[("c", 0)][0] == "outside" and got[("c", 1)] == ("aligned", 3, 3)
 
 
-def test_chunks(spark):
-    text = "\n\n".join(["A sentence here. " * 30, "word " * 700, "x" * 4500, "tail."])
-    spans = C.spans_of(text)
-    assert all(0 < e - s <= C.MOST for s, e in spans) and spans == sorted(spans)
-    kept = "".join(text[s:e] for s, e in spans)
-    assert re.sub(r"\s", "", kept) == re.sub(r"\s", "", text)
-    df = spark.createDataFrame([("d", text), ("e", ""), ("f", None)], "document_id string, text string")
-    chunks = C.chunk_documents(df)
-    assert {r["document_id"] for r in chunks.collect()} == {"d"} and C.verify_chunks(chunks, df).count() == 0
-    assert C.spans_of("a\n\nb") == [(0, 4)]
-
-
 def test_labels_and_grounding(spark):
     df = spark.createDataFrame([(1, "cell wall cell wall nucleus", [], []), (2, "other", ["kept"], [])], "id int, text string, topics array<string>, concepts array<string>")
     got = {r["id"]: (r["topics"], r["concepts"]) for r in C.label_chunks(df).collect()}
