@@ -192,12 +192,38 @@ def require_unique(df: DataFrame, id_: str = "id") -> DataFrame:
     return df.withColumn("__n", n).filter(F.when(F.col("__n") > 1, wrong).otherwise(F.lit(1)) == 1).drop("__n")
 
 
+#: Lanes of a fingerprint's sums, each of 64 bits.
+LANES = [f"s{i}" for i in range(4)]
+
+
+def fingerprint_state(df: DataFrame, fp: Column) -> DataFrame:
+    """One row: n, and the sums s0 .. s3 (decimal, modulo 2**64) of the four parts of the SHA-256 digests of fingerprints.
+
+    Sums do not know an order and know how often a fingerprint stands. They are made in every task and added up; states of
+    parts are merged by merge_fingerprints(), so a new file needs to be read only itself. A null fingerprint counts as a
+    value of its own; without rows all is 0."""
+    d = F.coalesce(F.sha2(fp, 256), F.lit("0" * 63 + "1"))
+    lane = lambda i: F.conv(F.substring("__d", 16 * i + 1, 16), 16, 10).cast("decimal(28,0)")
+    sums = [F.coalesce(F.sum(lane(i)), F.lit(0)).alias(s) for i, s in enumerate(LANES)]
+    return _wrapped(df.select(d.alias("__d")).agg(F.count("*").alias("n"), *sums))
+
+
+def _wrapped(df: DataFrame) -> DataFrame:
+    return df.withColumns({s: (F.col(s).cast("decimal(38,0)") % F.lit(str(2**64)).cast("decimal(38,0)")).cast("decimal(20,0)") for s in LANES})
+
+
+def merge_fingerprints(states: DataFrame) -> DataFrame:
+    """The state of all rows of parts, from the parts' states."""
+    sums = [F.coalesce(F.sum(F.col(s).cast("decimal(28,0)")), F.lit(0)).alias(s) for s in LANES]
+    return _wrapped(states.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), *sums))
+
+
+def named_fingerprint(state: DataFrame, length: int = 16) -> DataFrame:
+    """A state's fingerprint: the first hexadecimal digits of SHA-256 of its numbers."""
+    numbers = F.concat_ws(",", *[F.col(c).cast("string") for c in ("n", *LANES)])
+    return state.select(F.substring(F.sha2(numbers, 256), 1, length).alias("fingerprint"))
+
+
 def dataset_fingerprint(df: DataFrame, fp: Column, length: int = 16) -> DataFrame:
-    """One row, one digest whatever the order of rows: SHA-256 of the sorted digests of fingerprints, each followed by
-    NUL. Digests of 4,096 ranges are made first, so that no task holds all fingerprints."""
-    d = df.select(F.sha2(fp, 256).alias("d"))
-    join = lambda c: F.concat(F.array_join(F.sort_array(F.collect_list(c)), "\u0000"), F.lit("\u0000"))
-    parts = d.groupBy(F.substring("d", 1, 3).alias("k")).agg(F.sha2(join("d"), 256).alias("p"))
-    whole = parts.agg(F.sort_array(F.collect_list(F.struct("k", "p"))).alias("all"))
-    text = F.concat(F.array_join(F.transform("all", lambda x: x["p"]), "\u0000"), F.lit("\u0000"))
-    return whole.select(F.substring(F.sha2(text, 256), 1, length).alias("fingerprint"))
+    """One row, one digest whatever the order of rows, see fingerprint_state()."""
+    return named_fingerprint(fingerprint_state(df, fp), length)

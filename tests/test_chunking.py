@@ -102,3 +102,20 @@ def test_split_in_parts_equals_one_fold(spark, monkeypatch, heavy):
     places, have = S.fold_split([sizes[k] for k in order], S.split_targets(len(rows)), [0, 0, 0])
     assert got == {k: S.SPLITS[p] for k, p in zip(order, places, strict=True)} and sum(have) == len(rows)
     assert S.split_groups(df, "k", 42).count() == len(rows)
+
+
+def test_fingerprints_merge(spark):
+    rows = [("a",), ("b",), ("b",), (None,), ("",)]
+    of = lambda r: S.dataset_fingerprint(spark.createDataFrame(r, "t string"), F.col("t")).first()[0]
+    state = lambda r: S.fingerprint_state(spark.createDataFrame(r, "t string"), F.col("t"))
+    whole = of(rows)
+    assert whole == of(rows[::-1]) == of(rows[2:] + rows[:2]) and len(whole) == 16
+    assert len({whole, of(rows + [("b",)]), of(rows[1:]), of(rows[:3] + rows[4:]), of([("a",), ("a",), ("b",), (None,), ("",)]), of([])}) == 6
+    parts = state(rows[:2]).unionByName(state(rows[2:])).unionByName(state([]))
+    assert S.named_fingerprint(S.merge_fingerprints(parts)).first()[0] == whole
+    many = spark.range(20_000).select(F.col("id").cast("string").alias("t"))
+    one = S.fingerprint_state(many, F.col("t")).first()
+    import hashlib
+
+    want = [sum(int(hashlib.sha256(str(i).encode()).hexdigest()[16 * k : 16 * k + 16], 16) for i in range(20_000)) % 2**64 for k in range(4)]
+    assert [int(one[s]) for s in S.LANES] == want and one["n"] == 20_000
