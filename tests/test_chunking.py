@@ -119,3 +119,14 @@ def test_fingerprints_merge(spark):
 
     want = [sum(int(hashlib.sha256(str(i).encode()).hexdigest()[16 * k : 16 * k + 16], 16) for i in range(20_000)) % 2**64 for k in range(4)]
     assert [int(one[s]) for s in S.LANES] == want and one["n"] == 20_000
+
+
+def test_two_scorers_agree(spark):
+    from quillmere.operators import metrics as M
+
+    rows = [(1, "The cat, sat!", ["a cat sat", "dog"]), (2, "", [""]), (3, None, ["x"]), (4, "one two two", ["two two three", "one"]), (5, "the", ["an"]), (6, "Ünï-code  word", ["ünïcode"]), (7, "x", [])]
+    df = spark.createDataFrame(rows, "id int, prediction string, golds array<string>")
+    ours = M.corpus_scores(M.example_scores(df.select("id", "prediction"), df.select("id", "golds"))).first()
+    other = M.plain_scores(df).first()
+    assert abs(ours["exact_match"] - other["exact_match"]) < 1e-9 and abs(ours["f1"] - other["f1"]) < 1e-9
+    assert round(other["exact_match"], 6) == round(300 / 7, 6)
