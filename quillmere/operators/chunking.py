@@ -16,10 +16,11 @@ from .windows import let
 
 TARGET, LEAST, MOST = 1200, 200, 2000
 #: Characters of a paragraph that are looked at together, in pieces of the largest size.
-SLICE = 16
+SLICE = 2
 
 #: White space, blank lines between paragraphs, and after what an over-long paragraph is cut, best first.
 SPACE = r"[\x09-\x0D\x1C-\x20\x85\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
+SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 BLANK_LINE = r"\n[ \t]*\n"
 CUTS = ("[.!?]", "[;:]", ",", "")
 
@@ -27,11 +28,11 @@ SPAN = "struct<s:int,e:int>"
 
 
 def _left(t: Column) -> Column:
-    return F.regexp_replace(t, f"^{SPACE}+", "")
+    return F.ltrim(t, F.lit(SPACES))
 
 
 def _strip(t: Column) -> Column:
-    return F.regexp_replace(_left(t), f"{SPACE}+$", "")
+    return F.trim(t, F.lit(SPACES))
 
 
 def _added(state: Column, start: Column, end: Column, target: int, least: int, most: int) -> tuple[Column, Column]:
@@ -48,7 +49,7 @@ def _added(state: Column, start: Column, end: Column, target: int, least: int, m
 def _cut(window: Column, most: int) -> Column:
     """Where to cut so many characters: after the last white space behind the best sign that is there, or at their end."""
     places = [F.length(F.regexp_extract(window, f"^(?s:.*){sign}{SPACE}+", 0)) for sign in CUTS]
-    return reduce(lambda rest, n: F.when(n > 0, n).otherwise(rest), reversed(places), F.lit(most))
+    return reduce(lambda rest, place: let(place, lambda n: F.when(n > 0, n).otherwise(rest)), reversed(places), F.lit(most))
 
 
 def chunk_spans(text: Column, target: int = TARGET, least: int = LEAST, most: int = MOST) -> Column:
