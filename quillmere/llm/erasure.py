@@ -101,7 +101,7 @@ def deletion_vectors(spark: SparkSession, written: Written, victims: DataFrame,
     """file_no, n, bitmaps (structs of bucket and compressed bits): of each file that holds rows whose key is among the
     victims (one column, key)."""
     rows = spark.read.parquet(*written.files.values()).select(key, _number(F.col("_metadata.file_path")).alias("file_no"), F.col("_metadata.row_index").alias("position"))
-    hits = rows.join(victims.select(key).distinct(), key, "left_semi").withColumn("bucket", F.floor(F.col("position") / BITS))
+    hits = rows.join(victims.select(key), key, "left_semi").withColumn("bucket", F.floor(F.col("position") / BITS))
     # a bitmap is 4 KB, whatever the number of victims of a bucket; buckets are as many as the rows of a file / BITS
     bits = hits.groupBy("file_no", "bucket").agg(F.bitmap_construct_agg((F.col("position") % BITS).cast("long")).alias("bits"), F.count("*").alias("n"))
 
@@ -227,6 +227,7 @@ def erase(spark: SparkSession, clients: DataFrame, clicks: DataFrame, sales: Dat
     have no files. Amounts that are not finite count as 0, like null ones. Column names may be any but those that start with two underscores."""
     ship(spark)
     owners = sales.filter("sale_id is not null").groupBy("sale_id").agg(F.min("client_id").alias("__client"))
+    owners = materialize(owners, "erasure-owners")  # with an aggregate below it the join could not split a hot sale
     with_owner = lines.join(owners.withColumnRenamed("sale_id", "__sale"), F.col("sale_id") == F.col("__sale"), "left").drop("__sale")
     spec = [
         ("clients", clients, F.col("client_id"), [], "balance"), ("clicks", clicks, F.col("client_id"), [], "value"),
@@ -245,7 +246,7 @@ def erase(spark: SparkSession, clients: DataFrame, clicks: DataFrame, sales: Dat
         if now.files:
             now, erased = rewrite(spark, now, deletion_vectors(spark, now, victims, key), f"{scratch_dir(spark)}/erasure-unfinished-{uuid.uuid4().hex}")
         out.append((now, erased, amount))
-    for df in (masters, gone, sold):
+    for df in (masters, gone, sold, owners):
         drop(df)
     return digests(spark, out)
 
