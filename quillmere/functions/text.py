@@ -31,7 +31,7 @@ SYMBOLS = {
 
 
 #: Marks between digits (the last one after them), and how they are read.
-BESIDE_DIGITS = {r"(?<=\d),(?=\d)": "", r"(?<=\d)\.(?=\d)": " point ", r"(?<=\d):(?=\d)": " ratio ", r"(?<=\d)!": " factorial "}
+BESIDE_DIGITS = {r"\.(?<=\d\.)(?=\d)": " point ", r":(?<=\d:)(?=\d)": " ratio ", r"!(?<=\d!)": " factorial "}
 
 
 def strip(t: Column) -> Column:
@@ -81,14 +81,14 @@ def answer_tokens(t: Column) -> Column:
 
 def normalize_question(t: Column) -> Column:
     """normalize_answer, after symbols that carry meaning were put into words. Hyphens and slashes between letters join
-    words and vanish; points, commas, colons and exclamation marks count only next to digits (BESIDE_DIGITS)."""
-    kept = {"-": "\u0001", "/": "\u0002"}  # stand-ins while the symbols are put into words
-    t = reduce(lambda c, kv: F.regexp_replace(c, rf"(?<=\p{{L}}){kv[0]}(?=\p{{L}})", kv[1]), kept.items(), F.lower(t))
+    words and vanish, commas between digits, too; points, colons and exclamation marks count only next to digits. Patterns
+    begin with the mark, as one that begins with look-behind is tried at every place of the text."""
+    t = F.regexp_replace(F.lower(t), r"[-/](?<=\p{L}[-/])(?=\p{L})|,(?<=\d,)(?=\d)", "")
     t = F.regexp_replace(t, "_+", " blank ")
     t = reduce(lambda c, kv: F.regexp_replace(c, kv[0], kv[1]), BESIDE_DIGITS.items(), t)
     for table in (OPERATORS, SYMBOLS):
         t = reduce(lambda c, kv: F.replace(c, F.lit(kv[0]), F.lit(f" {kv[1]} ")), table.items(), t)
-    return normalize_answer(F.translate(t, "\u0001\u0002", "-/"))
+    return normalize_answer(t)
 
 
 def question_key(kind: Column, text: Column, scenario: Column, parts: Column) -> Column:
