@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,10 +14,12 @@ from ..operators import content as C
 from ..operators import metrics as M
 from ..operators import paper as P
 from ..operators import quality as Q
+from ..operators import retrieval as Re
 from ..operators import runs as R
 from ..operators import selection as S
 from ..operators import stats as St
 from ..operators import windows as Wi
+from ..scratch import scratch_dir
 from . import inputs as I
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -597,6 +600,14 @@ def bm25(spark, sf_dir):
     return C.bm25_many(docs(spark, sf_dir), b, 20, "doc_id", "item_id")
 
 
+@query(SQL["bm25"])
+def bm25_index(spark, sf_dir):
+    """The same ranking from an index of all documents, which is written to a new folder and then searched."""
+    path = f"{scratch_dir(spark)}/bm25-{uuid.uuid4().hex}"
+    Re.build_index(docs(spark, sf_dir), path, "doc_id")
+    return Re.search_index(spark, path, I.table(spark, sf_dir, "benchmark").select("item_id", "text"), 20, "item_id", "doc_id")
+
+
 # ---- papers and prompts
 
 PLAN = [(0, "mcq", 12, 2, "easy"), (1, "short_answer", 8, 3, "hard"), (2, "mcq", 6, 4, "medium")]
