@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import json
+import uuid
 import warnings
+from collections.abc import Iterator
 from pathlib import PurePosixPath
 
 from pyspark.sql import DataFrame, SparkSession
@@ -133,8 +136,36 @@ def plan_sources(requests: list[dict], catalogue: dict[str, dict]) -> list[dict]
     return out
 
 
+@contextlib.contextmanager
+def _replacing(spark: SparkSession, path: str) -> Iterator[str]:
+    """A new folder beside path, which takes its place when all in it is written. If that fails the new folder goes and what
+    stood at path stays. Whoever looks between the two renamings finds nothing at path, never a part."""
+    path = path.rstrip("/")
+    cut = path.rfind("/") + 1
+    beside = lambda what: f"{path[:cut]}_{what}-{path[cut:]}-{uuid.uuid4().hex}"
+    new = beside("writing")
+    fs, new_at = _fs(spark, new)
+    _, at = _fs(spark, path)
+    try:
+        yield new
+        _, old_at = _fs(spark, beside("old"))
+        stood = fs.exists(at)
+        if stood and not fs.rename(at, old_at):
+            raise OSError(f"{path} could not be moved away")
+        if not fs.rename(new_at, at):
+            if stood:
+                fs.rename(old_at, at)
+            raise OSError(f"{path} could not be put in place")
+        if stood:
+            fs.delete(old_at, True)
+    finally:
+        fs.delete(new_at, True)
+
+
 def write_prepared(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").partitionBy("split").json(path)
+    """Rows by split; an earlier set at path is replaced when the new one is whole."""
+    with _replacing(df.sparkSession, path) as new:
+        df.write.partitionBy("split").json(new)
 
 
 def read_prepared(spark: SparkSession, path: str, split: str, schema: str) -> tuple[DataFrame, DataFrame]:
@@ -156,15 +187,16 @@ def read_prepared(spark: SparkSession, path: str, split: str, schema: str) -> tu
 
 
 def write_report(root: str, experiment: str, fingerprint: str, report: dict, splits: DataFrame, spark: SparkSession) -> str:
-    """Writes dataset.json and the splits into root/experiment-fingerprint, which it returns."""
+    """Writes the splits and dataset.json into root/experiment-fingerprint, which it returns; both appear there at once."""
     place = f"{root.rstrip('/')}/{experiment}-{fingerprint}"
-    write_prepared(splits, place)
-    fs, at = _fs(spark, f"{place}/dataset.json")
-    out = fs.create(at, True)
-    try:
-        out.write(bytearray(json.dumps({"experiment": experiment, "fingerprint": fingerprint, **report}, sort_keys=True, indent=1).encode()))
-    finally:
-        out.close()
+    with _replacing(spark, place) as new:
+        splits.write.partitionBy("split").json(new)
+        fs, at = _fs(spark, f"{new}/dataset.json")
+        out = fs.create(at, True)
+        try:
+            out.write(bytearray(json.dumps({"experiment": experiment, "fingerprint": fingerprint, **report}, sort_keys=True, indent=1).encode()))
+        finally:
+            out.close()
     return place
 
 
@@ -174,13 +206,16 @@ def _fs(spark: SparkSession, path: str):
 
 
 def discover(spark: SparkSession, root: str) -> list[dict]:
-    """Prepared datasets under root, the newest first: directory, experiment, fingerprint, splits, modified."""
+    """Prepared datasets under root, the newest first: directory, experiment, fingerprint, splits, modified. Folders that are
+    still being written (their names begin with _) are none."""
     fs, at = _fs(spark, root)
     if not fs.exists(at):
         return []
     found = []
     for entry in fs.listStatus(at):
         name = entry.getPath().getName()
+        if name.startswith("_"):
+            continue
         splits = sorted(x.getPath().getName()[6:] for x in fs.listStatus(entry.getPath()) if x.getPath().getName().startswith("split=")) if entry.isDirectory() else []
         if splits:
             experiment, _, fingerprint = name.rpartition("-")
