@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from ..session import ship
+from ..sources.readers import read_markdown, read_text
 from .adapters import ADAPTERS
 from .content import bm25, chunk_documents
 from .selection import split_groups
@@ -21,7 +22,7 @@ CHUNKERS: dict[str, Callable[..., DataFrame]] = {"paragraphs": chunk_documents}
 #: (documents, query, most) -> ranking
 RETRIEVERS: dict[str, Callable[..., DataFrame]] = {"bm25": bm25}
 #: (spark, path) -> documents
-LOADERS: dict[str, Callable[..., DataFrame]] = {}
+LOADERS: dict[str, Callable[..., DataFrame]] = {"text": read_text, "markdown": read_markdown}
 #: (spark, request) -> passages
 CONTENT_SOURCES: dict[str, Callable[..., DataFrame]] = {}
 

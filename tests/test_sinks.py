@@ -5,6 +5,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from quillmere.operators import registry as G
 from quillmere.sources import readers as R
 
 
@@ -41,3 +42,10 @@ def test_a_set_replaces_an_earlier_one_and_may_be_made_from_it(spark, tmp_path):
 def test_folders_in_the_making_are_not_found(spark, tmp_path):
     os.makedirs(f"{tmp_path}/_writing-exp-abc-0/split=train")
     assert R.discover(spark, str(tmp_path)) == []
+
+
+def test_loaders_by_name(spark, tmp_path):
+    (tmp_path / "a.md").write_text("# Head\n\nSome *text*.")
+    (tmp_path / "b.txt").write_text("Plain  ")
+    for name, file in (("markdown", "a.md"), ("text", "b.txt")):
+        assert [r["source_type"] for r in G.find(G.LOADERS, name)(spark, f"{tmp_path}/{file}").collect()] == [name]
