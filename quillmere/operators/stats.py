@@ -20,18 +20,52 @@ def length_summary(df: DataFrame, value: Column, *by: str) -> DataFrame:
     )
 
 
+def _ranked(df: DataFrame, value: str, percents: list[int], by: tuple[str, ...]) -> DataFrame:
+    """Rows to be aggregated by the columns of by: __n, __lo, __hi, __sum of a part of a group's values, and p50-like columns,
+    each of which one row of a group holds.
+
+    A selection in three steps. Equal values become one row with their number. These rows are sorted by ranges, written once,
+    and their numbers summed for each range and group, which tells in what range the wanted rank lies. Only the ranges that
+    hold a wanted rank are then counted through. A group may lie over any number of ranges, so neither a group of all rows nor
+    a column without repeats is held by one task."""
+    keys = [f"__b{i}" for i in range(len(by))]
+    rows = df.select(*[F.col(f"`{c}`").alias(k) for c, k in zip(by, keys, strict=True)], F.col(f"`{value}`").alias("__v"))
+    # a group without values keeps a row, which counts for nothing
+    rows = rows.groupBy(*keys, "__v").agg(F.count("__v").alias("__k"))
+    rows = written(rows.repartitionByRange(*keys, "__v").sortWithinPartitions(*keys, "__v").withColumn("__part", F.spark_partition_id()), "ranked")
+    sums = rows.groupBy(*keys, "__part").agg(
+        F.sum("__k").alias("__n"), F.min("__v").alias("__lo"), F.max("__v").alias("__hi"), F.sum(F.col("__v") * F.col("__k")).alias("__sum"),
+    )
+    group = Window.partitionBy(*keys)
+    upto, whole = F.sum("__n").over(group.orderBy("__part")), F.sum("__n").over(group)
+    places = sums.select(*keys, "__part", (upto - F.col("__n")).alias("__before"), upto.alias("__upto"), whole.alias("__whole"))
+    names = [f"p{p}" for p in percents]
+    at = {n: F.expr(f"greatest(1, (__whole * {p} + 99) div 100)") for n, p in zip(names, percents, strict=True)}
+    here = {n: F.when((F.col("__before") < r) & (r <= F.col("__upto")), r - F.col("__before")) for n, r in at.items()}
+    wanted = places.select(*[F.col(k).alias(f"{k}w") for k in keys], F.col("__part").alias("__partw"), *[c.alias(n) for n, c in here.items()])
+    wanted = wanted.filter(F.coalesce(*names).isNotNull())
+    match = rows["__part"] == F.col("__partw")
+    for k in keys:
+        match &= rows[k].eqNullSafe(F.col(f"{k}w"))
+    run = F.sum("__k").over(Window.partitionBy("__part", *keys).orderBy("__v"))
+    hits = rows.join(wanted, match).withColumn("__run", run)
+    found = {n: F.when((F.col("__run") - F.col("__k") < F.col(n)) & (F.col(n) <= F.col("__run")), F.col("__v")) for n in names}
+    hits = hits.select(*keys, *[c.alias(n) for n, c in found.items()]).filter(F.coalesce(*names).isNotNull())
+    out = sums.drop("__part").unionByName(hits, allowMissingColumns=True)
+    return out.select(*[F.col(k).alias(c) for c, k in zip(by, keys, strict=True)], "__n", "__lo", "__hi", "__sum", *names)
+
+
 def nearest_rank(df: DataFrame, value: str, percents: list[int], *by: str) -> DataFrame:
-    """p50-like columns by the nearest-rank rule: the smallest value with at least p percent of rows at or below it."""
-    at = [F.percentile_disc(F.col(value), p / 100) if hasattr(F, "percentile_disc") else F.expr(f"percentile_disc({p / 100}) WITHIN GROUP (ORDER BY `{value}`)") for p in percents]
-    return df.groupBy(*by).agg(*[c.alias(f"p{p}") for c, p in zip(at, percents, strict=True)])
+    """p50-like columns by the nearest-rank rule: the smallest value with at least p percent of rows at or below it. Null
+    values do not count; a group without values gets nulls. The values must be numbers."""
+    return _ranked(df, value, percents, by).groupBy(*by).agg(*[F.max(f"p{p}").alias(f"p{p}") for p in percents])
 
 
 def token_length_summary(df: DataFrame, value: str, *by: str) -> DataFrame:
-    pct = lambda p: F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY `{value}`)")
-    v = F.col(value)
-    return df.groupBy(*by).agg(
-        F.count(v).alias("n"), F.min(v).alias("min_len"), F.round(F.avg(v), 2).alias("mean_len"), pct(0.5).alias("p50"),
-        pct(0.95).alias("p95"), F.max(v).alias("max_len"), F.sum(v).alias("total"),
+    """n, min_len, mean_len (two decimals), p50 and p95 by the nearest-rank rule, max_len and total of whole numbers."""
+    return _ranked(df, value, [50, 95], by).groupBy(*by).agg(
+        F.coalesce(F.sum("__n"), F.lit(0)).alias("n"), F.min("__lo").alias("min_len"), F.round(F.try_divide(F.sum("__sum"), F.sum("__n")), 2).alias("mean_len"),
+        F.max("p50").alias("p50"), F.max("p95").alias("p95"), F.max("__hi").alias("max_len"), F.sum("__sum").alias("total"),
     )
 
 

@@ -40,13 +40,19 @@ def _delete_all() -> None:
 atexit.register(_delete_all)
 
 
+def place(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, deleted when the driver ends."""
+    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _MADE.append((spark, path))
+    return path
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df written as a Parquet table in the shared folder and read again: what it took is done once, and a lost executor
     costs nothing of it. The table goes when the driver ends, or by drop()."""
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = place(spark, name)
     df.write.parquet(path)
-    _MADE.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -17,6 +17,8 @@ from ..functions.text import clean_text, collapse_inline, document_id
 from ..operators.metrics import example_scores
 from ..operators.quality import check_schema
 from ..operators.selection import select_hash
+from ..scratch import place
+from .lines import read_lines
 
 #: Rows of the published splits.
 SQUAD_SIZES = {"train": 87_599, "validation": 10_570}
@@ -26,17 +28,21 @@ WRAPPERS = ("data", "records", "examples")
 
 def read_records(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
     """.json (a list, or an object with data, records or examples), .jsonl or .ndjson; anything else is refused, and so
-    are malformed lines."""
+    are malformed lines. Of the lines of JSONL at most limit, the first that are not blank, are read: the file is read no
+    further than to the last of them, and types are told from them."""
     kind = PurePosixPath(path).suffix.lower()
     if kind in (".jsonl", ".ndjson"):
-        df = spark.read.option("mode", "FAILFAST").json(path)
-    elif kind == ".json":
-        df = spark.read.option("mode", "FAILFAST").option("multiLine", True).json(path)
-        inner = next((c for c in WRAPPERS if c in df.columns and isinstance(df.schema[c].dataType, T.ArrayType)), None)
-        if inner:
-            df = df.select(F.inline(inner))
-    else:
+        if limit is None:
+            return spark.read.option("mode", "FAILFAST").json(path)
+        first = place(spark, "first")
+        read_lines(spark, path, limit).select("text").write.text(first)
+        return spark.read.option("mode", "FAILFAST").json(first)
+    if kind != ".json":
         raise ValueError(f"{kind or 'no suffix'}: only .json, .jsonl and .ndjson can be read")
+    df = spark.read.option("mode", "FAILFAST").option("multiLine", True).json(path)
+    inner = next((c for c in WRAPPERS if c in df.columns and isinstance(df.schema[c].dataType, T.ArrayType)), None)
+    if inner:
+        df = df.select(F.inline(inner))
     return df if limit is None else df.limit(limit)
 
 
@@ -177,13 +183,12 @@ def read_prepared(spark: SparkSession, path: str, split: str, schema: str) -> tu
     good = rows.filter("p._bad is null").select("p.*").drop("_bad")
     if good.isEmpty():
         raise ValueError(f"split {split} is empty")
-    # only files that hold a bad line are read whole, to number their lines
+    # only files that hold a bad line are read again, in parts, to number their lines
     files = [r["file"] for r in rows.filter("p._bad is not null").select("file").distinct().orderBy("file").limit(5).collect()]
     if not files:
         return good, spark.createDataFrame([], "file string, line int, text string")
-    texts = spark.read.text(files, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\n")).alias("k", "value"))
-    bad = texts.filter("value <> ''").withColumn("p", parsed).filter("p._bad is not null")
-    return good, bad.select("file", (F.col("k") + 1).alias("line"), F.col("value").alias("text")).orderBy("file", "line").limit(5)
+    bad = read_lines(spark, files).withColumnRenamed("text", "value").filter("value <> ''").withColumn("p", parsed).filter("p._bad is not null")
+    return good, bad.select("file", F.col("line").cast("int").alias("line"), F.col("value").alias("text")).orderBy("file", "line").limit(5)
 
 
 def write_report(root: str, experiment: str, fingerprint: str, report: dict, splits: DataFrame, spark: SparkSession) -> str:
