@@ -145,18 +145,32 @@ def _between(bounds: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return out
 
 
+def _sample(rows: DataFrame, tasks: int) -> np.ndarray:
+    """core, context, key of rows drawn by hash: all of them, or about SAMPLE to 2 * SAMPLE, and eight to sixteen a task where
+    that is more."""
+    share = max(1, rows.count() // max(SAMPLE, 8 * tasks))
+    drawn = rows.filter(F.pmod(F.xxhash64("core", "context", "key", "place"), F.lit(share)) == 0).select("core", "context", "key").toArrow()
+    return np.stack([c.to_numpy().astype(np.int64) for c in drawn.columns], 1) if drawn.num_rows else np.zeros((0, 3), np.int64)
+
+
+def _bounds(drawn: np.ndarray, tasks: int) -> np.ndarray:
+    """Different rows of the sample that cut it into as many even parts as there are tasks, or, where it has fewer rows, into
+    as many parts as it allows."""
+    drawn = np.unique(drawn, axis=0)
+    at = np.unique(np.linspace(0, len(drawn), tasks + 1).astype(int)[1:-1])
+    return drawn[at[at < len(drawn)]]
+
+
 def _prune(rows: DataFrame, parse: Callable, sample: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
     """The segments that parse makes of rows -> (key, place) of those whose context stands twice, and (key, place) of one or two places of each context
     that shares its core with another: windows there may repeat though not all do.
 
     The rows are sorted by core, context, key and place, so that all of this shows between neighbours. Partitions are
-    ranges of that order, cut by a sample of at most SAMPLE rows, which decides nothing but their sizes: a core or context
+    ranges of that order, cut by a sample of the rows of sample, which decides nothing but their sizes: a core or context
     with many rows goes over several. Where two partitions meet, the driver looks at two rows."""
     spark = rows.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    drawn = np.array([tuple(r) for r in sample.select("core", "context", "key").limit(SAMPLE).collect()], np.int64).reshape(-1, 3)
-    drawn = drawn[np.lexsort(drawn.T[::-1])]
-    bounds = drawn[np.linspace(0, len(drawn), n + 1).astype(int)[1:-1]] if len(drawn) >= n else np.zeros((0, 3), np.int64)
+    bounds = _bounds(_sample(sample, n), n)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parse(batches):
@@ -353,11 +367,12 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("key", F.xxhash64("text"))
     texts = rows.select("key", "text")
-    drawn = max(1, rows.count() // SAMPLED_TEXTS)
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    drawn = max(1, rows.count() // max(SAMPLED_TEXTS, tasks))
     some = texts.filter(F.pmod(F.xxhash64("key"), F.lit(drawn)) == 0).mapInArrow(_parsed, _SEGMENT)
-    whole, ends = _prune(texts, _parsed, some.filter(F.rand(1) < 0.1), "suffix-1")
+    whole, ends = _prune(texts, _parsed, some, "suffix-1")
     finer = materialize(_finer(rows, ends), "suffix-finer")
-    fine, rest = _prune(finer, iter, finer.filter(F.pmod(F.xxhash64("key", "place"), F.lit(max(1, finer.count() // SAMPLE))) == 0), "suffix-2")
+    fine, rest = _prune(finer, iter, finer, "suffix-2")
     drop(finer)
     listed = materialize(_listed(rows, rest), "suffix-listed")
     ordered = _order(listed)
