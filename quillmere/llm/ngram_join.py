@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -57,7 +58,8 @@ def node_of(s: np.ndarray) -> int:
 
 
 def _profile(docs: DataFrame, n: int) -> DataFrame:
-    """Rows (ref, named, text_key, node, size) for documents, and (slice, counts) for the slots of each partition."""
+    """Rows (ref, named, text_key, node, size) for documents, and (slice, counts) for the slots of each partition, whose
+    number stands in ref."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts = np.zeros(1 << SLOTS_BITS, np.uint32)
@@ -72,23 +74,31 @@ def _profile(docs: DataFrame, n: int) -> DataFrame:
                 counts += np.bincount(np.concatenate(slots), minlength=1 << SLOTS_BITS).astype(np.uint32)
             yield pd.DataFrame({"ref": batch["ref"], "named": batch["named"], "text_key": batch["text_key"], "node": nodes, "size": sizes, "slice": -1, "counts": None})
         parts = [p.tobytes() for p in np.split(counts, SLICES)]
-        yield pd.DataFrame({"ref": 0, "named": False, "text_key": 0, "node": 0, "size": 0, "slice": range(SLICES), "counts": parts})
+        yield pd.DataFrame({"ref": TaskContext.get().partitionId(), "named": False, "text_key": 0, "node": 0, "size": 0, "slice": range(SLICES), "counts": parts})
 
     return docs.mapInPandas(work, "ref long, named boolean, text_key long, node long, size int, slice int, counts binary")
 
 
-def _frequencies(profile: DataFrame) -> np.ndarray:
-    """Counts of all slots: 4 MB whatever the corpus."""
+def _frequencies(profile: DataFrame, fan: int = 64) -> np.ndarray:
+    """Counts of all slots: 4 MB whatever the corpus. They are summed in a tree, so that a task holds fan parts at most,
+    however many partitions the corpus has."""
 
     def add(rows: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros((1 << SLOTS_BITS) // SLICES, np.uint64)
         for c in rows["counts"]:
             total += np.frombuffer(c, np.uint32)
-        return pd.DataFrame({"slice": rows["slice"].iloc[:1], "counts": [np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes()]})
+        return pd.DataFrame({"ref": rows["ref"].iloc[:1], "slice": rows["slice"].iloc[:1], "counts": [np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes()]})
 
-    sums = profile.filter("slice >= 0").select("slice", "counts").groupBy("slice").applyInPandas(add, "slice int, counts binary")
+    rows = profile.filter("slice >= 0").select("ref", "slice", "counts")
+    last = rows.agg(F.max("ref")).first()[0] or 0
+    while True:
+        rows = rows.withColumn("ref", F.floor(F.col("ref") / fan)).groupBy("ref", "slice").applyInPandas(add, "ref long, slice int, counts binary")
+        last //= fan
+        if not last:
+            break
+        rows = materialize(rows, "slot-sums")
     out = np.zeros(1 << SLOTS_BITS, np.uint32)
-    for r in sums.collect():
+    for r in rows.collect():
         out.reshape(SLICES, -1)[r["slice"]] = np.frombuffer(r["counts"], np.uint32)
     return out
 
@@ -260,13 +270,15 @@ def groups(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame
             before = lambda x, i: F.struct(x["pos"], x["token"], F.get("s", i - 1)["token"].alias("b1"), F.get("s", i - 2)["token"].alias("b2"))
             rest = materialize(rest.select("node", "size", "comp", F.inline(F.transform("s", before)).alias("pos", "token", "b1", "b2")), "rest")
             drop(marked)
-            p, q = rest.alias("p"), rest.alias("q")
+            # the smaller set of a link has their first common shingle where first holds, so only such rows ask
+            p, q = rest.filter(first).alias("p"), rest.alias("q")
+            smaller = F.struct("p.size", "p.node") < F.struct("q.size", "q.node")
             asked_before = [F.col(f"p.{x}") == F.col(f"q.{y}") for x in ("b1", "b2") for y in ("b1", "b2")]
             asked_before = F.coalesce(asked_before[0] | asked_before[1] | asked_before[2] | asked_before[3], F.lit(False))
             # what a pair can share from its first common shingle on
             left = F.least(F.col("p.size") - F.col("p.pos"), F.col("q.size") - F.col("q.pos"))
             near = left * (100 + percent) >= percent * (F.col("p.size") + F.col("q.size"))
-            where = (F.col("p.comp") != F.col("q.comp")) & (F.col("p.node") < F.col("q.node")) & _close("p", "q", percent) & near & ~asked_before
+            where = (F.col("p.comp") != F.col("q.comp")) & smaller & _close("p", "q", percent) & near & ~asked_before
         on = F.col("p.token") == F.col("q.token")
         pairs = p.join(q, on & where)
         pairs = pairs.select(F.least("p.node", "q.node").alias("a"), F.greatest("p.node", "q.node").alias("b")).distinct()
