@@ -199,14 +199,15 @@ def fit_flat(
 
 def train(docs: DataFrame, labels: DataFrame, most_rows: int = 10_000) -> Machine:
     """A machine from about most_rows labelled documents outside the held-out part, chosen by hash of doc_id; the bound
-    is a parameter, and so is what is broadcast. A repeated label counts as toxic if any is; null labels and labels of
-    absent documents are left out."""
+    is a parameter, and so is what is broadcast. A repeated label counts as toxic if any is; of rows with one doc_id the least
+    text is taken, so a repeated doc_id is one document; null labels and labels of absent documents are left out."""
     ship(docs.sparkSession)
     known = labels.filter("toxic is not null and doc_id is not null").filter(F.crc32(F.col("doc_id").cast("string")) % 4 != 2)
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     share = max(1, math.ceil(labels.count() * 0.75 / most_rows))
     known = known.filter(F.pmod(F.xxhash64(F.lit("toxic"), F.col("doc_id")), F.lit(share)) == 0)
-    rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("doc_id", "text", F.col("toxic").cast("int").alias("toxic"))
+    rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").groupBy("doc_id")
+    rows = rows.agg(F.min("text").alias("text"), F.max(F.col("toxic").cast("int")).alias("toxic"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
