@@ -29,5 +29,5 @@ def test_stages(spark, tmp_path):
 
 
 def test_names():
-    assert {f"op{n}" for n in range(1, 11)} == {k.split("_")[0] for k in entries.QUERIES}
+    assert {f"op{n}" for n in range(1, 14)} == {k.split("_")[0] for k in entries.QUERIES}
     assert 4 <= len(P.STAGES) <= 5
