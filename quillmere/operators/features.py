@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .windows import align, context_budget, tile_windows, token_offsets
+from .windows import align, context_budget, tiles, token_offsets, token_pieces
 
 #: Marks in a feature: before the question, after it, at the end; as input tokens.
 FIRST, BETWEEN = "[CLS]", "[SEP]"
@@ -28,20 +28,25 @@ def encode_windows(df: DataFrame, max_length: int = 384, doc_stride: int = 128,
     """Rows (id, question, context, ...) -> a row for each window: window, tokens, offsets (structs s, e into the context; null
     outside it), context_mask, sequence_ids (0 question, 1 context, null marks), char_start, char_end; other columns stay. A
     question that leaves no room for context is an error at run time; an empty context has one window without it."""
-    df = df.withColumns({"__q": token_offsets(F.col("question")), "__c": token_offsets(F.col("context"))})
+    given = df.columns
+    df = df.withColumns({"__q": token_offsets(F.col("question")), "__c": token_pieces(F.col("context"))})
     df = df.withColumn("question", prepare_question(F.col("question"), F.col("__q"), max_question))
     df = df.withColumns({"__qt": F.filter(F.split("question", r"(?U)\s+"), lambda t: t != ""), "__n": F.size("__c")})
     df = df.withColumn("__budget", context_budget(max_length, SPECIALS, F.size("__qt")))
-    df = tile_windows(df, "__n", "__budget", doc_stride)
-    df = df.withColumn("__o", F.slice("__c", F.col("first") + 1, F.col("last") - F.col("first")))
-    cut = lambda o: F.substring(F.col("context"), o["s"] + 1, o["e"] - o["s"])
+    count, step = tiles(F.col("__n"), F.col("__budget"), doc_stride)
+    # windows are cut in the row and leave with their own tokens only, so a long context is not copied for each of them
+    mine = lambda w: F.slice("__c", (w * F.col("__step") + 1).cast("int"), F.col("__budget"))
+    df = df.withColumns({"__step": step, "__count": count.cast("int")})
+    each = F.transform(F.sequence(F.lit(0), F.col("__count") - 1), lambda w: F.struct(w.alias("window"), mine(w).alias("o")))
+    df = df.select(*given, "__qt", F.explode(each).alias("__w"))
+    df = df.withColumns({"window": F.col("__w.window"), "__o": F.col("__w.o")})
     nq, nc = F.size("__qt"), F.size("__o")
     repeat = lambda v, n, kind: F.array_repeat(F.lit(v).cast(kind), n)
     pair = "struct<s:int,e:int>"
     mark = F.array(F.lit(BETWEEN))
     df = df.withColumns(
         {
-            "tokens": F.concat(F.array(F.lit(FIRST)), F.col("__qt"), mark, F.transform("__o", cut), mark),
+            "tokens": F.concat(F.array(F.lit(FIRST)), F.col("__qt"), mark, F.transform("__o", lambda o: o["t"]), mark),
             "offsets": F.concat(F.array_repeat(F.lit(None).cast(pair), nq + 2), F.transform("__o", lambda o: F.struct(o["s"].cast("int").alias("s"), o["e"].cast("int").alias("e"))), F.array(F.lit(None).cast(pair))),
             "sequence_ids": F.concat(repeat(None, F.lit(1), "int"), repeat(0, nq, "int"), repeat(None, F.lit(1), "int"), repeat(1, nc, "int"), repeat(None, F.lit(1), "int")),
             "char_start": F.coalesce(F.get("__o", F.lit(0))["s"], F.lit(0)),
@@ -49,7 +54,7 @@ def encode_windows(df: DataFrame, max_length: int = 384, doc_stride: int = 128,
         }
     )
     df = df.withColumn("context_mask", F.transform("sequence_ids", lambda s: F.when(s == 1, 1).otherwise(0)))
-    return df.drop("__q", "__c", "__qt", "__n", "__budget", "__o", "first", "last")
+    return df.drop("__qt", "__w", "__o")
 
 
 def context_range(sequence_ids: Column) -> Column:

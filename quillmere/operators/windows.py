@@ -34,17 +34,36 @@ def token_offsets(text: pa.Array) -> pa.Array:
     return offsets_of(text.to_pylist())
 
 
+PIECES = T.ArrayType(T.StructType([*OFFSETS.elementType.fields, T.StructField("t", T.StringType())]))
+
+
+@F.arrow_udf(PIECES)
+def token_pieces(text: pa.Array) -> pa.Array:
+    """White-space tokens of a text as structs (s, e, t), t the token itself: cutting it out by its place would walk through
+    the text from its start, for each token anew."""
+    texts = text.to_pylist()
+    pairs = offsets_of(texts)
+    words = pa.array([w for t in texts if t is not None for w in WORD.findall(t)], pa.string())
+    flat = pa.StructArray.from_arrays([*pairs.values.flatten(), words], ["s", "e", "t"])
+    return pa.ListArray.from_arrays(pairs.offsets, flat, mask=pairs.is_null())
+
+
 def context_budget(max_length: int, specials: int, question_tokens: Column) -> Column:
     """Tokens left for the context; none left is an error at run time."""
     left = F.lit(max_length - specials) - question_tokens
     return F.when(left > 0, left).otherwise(F.raise_error(F.lit("the question leaves no room for context")).cast("int"))
 
 
+def tiles(n: Column, budget: Column, doc_stride: int) -> tuple[Column, Column]:
+    """How many windows n tokens have, and how many tokens lie between the starts of two."""
+    step = budget - F.least(F.lit(doc_stride), budget - 1)
+    return F.when(n <= budget, 1).otherwise(F.ceil((n - budget) / step) + 1), step
+
+
 def tile_windows(df: DataFrame, n: str, budget: str, doc_stride: int) -> DataFrame:
     """A row for each window of a context of n tokens: window, first, last (exclusive). Neighbours share
     min(doc_stride, budget - 1) tokens; an empty context has one empty window."""
-    step = F.col(budget) - F.least(F.lit(doc_stride), F.col(budget) - 1)
-    count = F.when(F.col(n) <= F.col(budget), 1).otherwise(F.ceil((F.col(n) - F.col(budget)) / step) + 1)
+    count, step = tiles(F.col(n), F.col(budget), doc_stride)
     df = df.withColumn("window", F.explode(F.sequence(F.lit(0), (count - 1).cast("int"))))
     first = F.col("window") * step
     return df.withColumn("first", first.cast("int")).withColumn("last", F.least(F.col("first") + F.col(budget), F.col(n)).cast("int"))
