@@ -65,8 +65,9 @@ def _pairs(docs: DataFrame, id_: str) -> DataFrame:
 
 
 def bigrams(docs: DataFrame, id_: str = "id") -> DataFrame:
-    """id, term: every two neighbouring content words."""
-    return _pairs(docs, id_).select(id_, F.explode("__t").alias("term"))
+    """id, term: every two neighbouring content words. What is exploded is no column, see _top()."""
+    df = docs.select(id_, content_tokens(F.col("text")).alias("__t"))
+    return df.select(id_, F.explode(_neighbours("__t")).alias("term"))
 
 
 def concepts(docs: DataFrame, id_: str = "id", most: int = 3, least: int = 2) -> DataFrame:

@@ -1,7 +1,10 @@
 """Work that must not grow faster than the input, read off plans and long rows."""
 
+import re
+
 from pyspark.sql import functions as F
 
+from quillmere.operators import content as C
 from quillmere.operators import features as Fe
 
 
@@ -25,3 +28,11 @@ def test_windows_of_a_long_context_carry_their_own_tokens_only(spark):
     plan = _plan(df.select("id", "window", F.size("tokens").alias("n")))
     above = plan[: plan.index("Generate explode")]
     assert "substring(" not in above and "context#" not in above and "__c#" not in above
+
+
+def test_neighbours_are_tokenized_once(spark):
+    df = spark.createDataFrame([(1, "red cars meet blue cars"), (2, ""), (3, None), (4, "cars")], "id int, text string")
+    b = C.bigrams(df, "id")
+    assert sorted((r["id"], r["term"]) for r in b.collect()) == [(1, "blue cars"), (1, "cars meet"), (1, "meet blue"), (1, "red cars")]
+    # a filter that repeats the tokenization below the explosion made it run many times a text
+    assert len(re.findall(r"translate\(", _plan(b))) == 1
