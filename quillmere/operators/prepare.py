@@ -52,9 +52,9 @@ def _fingerprint() -> Column:
     return example_fingerprint(F.col("context"), F.col("targets"))
 
 
-def issues_of(df: DataFrame, plan: Plan) -> DataFrame:
+def issues_of(df: DataFrame, plan: Plan, fingerprint: Column | None = None) -> DataFrame:
     """Issues of a dataset under a plan; allow-lists that are empty allow everything."""
-    found = validate_dataset(df, plan.least_chars, plan.most_chars)
+    found = validate_dataset(df, plan.least_chars, plan.most_chars, fingerprint)
     if plan.sources or plan.kinds or plan.levels or plan.grounded:
         given = lambda xs, code, rows: rows if xs else rows.filter(F.col("code") != code)
         more = config_filters(df, plan.sources, plan.kinds, plan.levels, plan.grounded)
@@ -63,16 +63,35 @@ def issues_of(df: DataFrame, plan: Plan) -> DataFrame:
     return found
 
 
+def _repeats(valid: DataFrame) -> DataFrame:
+    """The ids (unique, one of them may be null) of rows (id, __fp) that dedup() by __fp with least id leaves out. A null id is
+    least, so none of those left out is null."""
+    first = valid.groupBy("__fp").agg(F.min(F.struct("id")).alias("__one"), F.count("*").alias("__n")).filter("__n > 1").withColumnRenamed("__fp", "__key")
+    rows = valid.join(first, F.col("__fp").eqNullSafe(F.col("__key")))
+    return rows.filter(~F.col("id").eqNullSafe(F.col("__one.id"))).select("id")
+
+
+def _capped(kept: DataFrame, most: int, seed: int) -> DataFrame:
+    """cap_per_source() of examples with unique ids, told from sources and ids."""
+    chosen = cap_per_source(kept.select("source", "id"), most, seed).select(F.col("id").alias("__id"))
+    return kept.join(chosen, F.col("id").eqNullSafe(F.col("__id")), "left_semi")
+
+
 def prepare(adapted: dict[str, DataFrame], plan: Plan | None = None) -> Prepared:
     """Adapted examples by source -> the prepared set. Each stage that others read twice is written once. Dropped ids are
-    reported with the reason of the first stage that dropped them. Nothing left is an error."""
+    reported with the reason of the first stage that dropped them. Nothing left is an error.
+
+    Fingerprints are made once and written. Which examples repeat or are over a cap is told from ids, fingerprints and sources
+    alone; texts are only looked up by id then, and stay where they are as long as the ids to be left out are few."""
     plan = plan or Plan()
     pooled = written(pool(adapted), "prepare-pooled")
-    unique = written(dedup(pooled, ["id"], ["source", "context"]), "prepare-unique")
-    issues = written(issues_of(unique, plan), "prepare-issues")
-    valid = drop_invalid(unique, issues)
-    kept = written(dedup(valid.withColumn("__fp", _fingerprint()), ["__fp"], ["id"]).drop("__fp") if plan.drop_duplicates else valid, "prepare-kept")
-    capped = kept if plan.per_source is None else written(cap_per_source(kept, plan.per_source, plan.seed), "prepare-capped")
+    unique = written(dedup(pooled, ["id"], ["source", "context"]).withColumn("__fp", _fingerprint()), "prepare-unique")
+    issues = written(issues_of(unique, plan, F.col("__fp")), "prepare-issues")
+    valid = written(drop_invalid(unique.select("id", "__fp"), issues), "prepare-valid")
+    bad = issues.filter("severity = 'error' and example_id is not null").select(F.col("example_id").alias("id")).distinct()
+    out = bad.union(_repeats(valid)) if plan.drop_duplicates else bad
+    kept = written(unique.drop("__fp").join(out, "id", "left_anti"), "prepare-kept")
+    capped = kept if plan.per_source is None else written(_capped(kept, plan.per_source, plan.seed), "prepare-capped")
     last = capped if plan.total is None else written(select_hash(capped, plan.total, plan.seed), "prepare-last")
     frames = dict(zip(STAGES, (pooled, unique, valid, kept, capped, last), strict=True))
     count = lambda k, name: frames[name].agg(F.count("*").alias("n")).select(F.lit(name).alias("stage"), F.lit(k).alias("place"), "n")
@@ -81,10 +100,9 @@ def prepare(adapted: dict[str, DataFrame], plan: Plan | None = None) -> Prepared
         said = ", ".join(f"{r['stage']} {r['n']}" for r in stages.orderBy("place").collect())  # six rows
         raise ValueError(f"nothing is left to prepare: {said}")
     gone = lambda k, ids, reason: ids.select(F.col("id").cast("string").alias("id"), F.lit(reason).alias("reason"), F.lit(k).alias("k"))
-    bad = issues.filter("severity = 'error' and example_id is not null").select(F.col("example_id").alias("id")).distinct()
     reasons = [
         gone(0, pooled.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1"), "duplicate_id"), gone(1, bad, "validation_error"),
-        gone(2, duplicates(valid.withColumn("__fp", _fingerprint()), "__fp"), "duplicate_content") if plan.drop_duplicates else None,
+        gone(2, duplicates(valid, "__fp"), "duplicate_content") if plan.drop_duplicates else None,
         gone(3, kept.join(capped.select("id"), "id", "left_anti"), "per_source_cap") if plan.per_source is not None else None,
         gone(4, capped.join(last.select("id"), "id", "left_anti"), "total_cap") if plan.total is not None else None,
     ]

@@ -113,17 +113,18 @@ def config_filters(df: DataFrame, sources: list[str], kinds: list[str], levels:
     return one.unionByName(two)
 
 
-def duplicate_issues(df: DataFrame) -> DataFrame:
+def duplicate_issues(df: DataFrame, fingerprint: Column | None = None) -> DataFrame:
     """Repeated ids (errors) and repeated contents (warnings), each reported once, on the least id. One pass and one
-    shuffle: an example is counted under its id and under its fingerprint."""
+    shuffle: an example is counted under its id and under its fingerprint (a column of df, where that was made before)."""
+    fingerprint = example_fingerprint(F.col("context"), F.col("targets")) if fingerprint is None else fingerprint
     as_key = lambda kind, c: F.struct(F.lit(kind).alias("kind"), c.cast("string").alias("key"))
-    keys = F.array(as_key("duplicate_id", F.col("id")), as_key("duplicate_content", example_fingerprint(F.col("context"), F.col("targets"))))
+    keys = F.array(as_key("duplicate_id", F.col("id")), as_key("duplicate_content", fingerprint))
     rows = df.select("id", F.explode(keys).alias("k")).groupBy("k.kind", "k.key").agg(F.min("id").alias("example_id"), F.count("*").alias("n")).filter("n > 1")
     severity = F.when(F.col("kind") == "duplicate_id", "error").otherwise("warning")
     return rows.select("example_id", F.expr(NO_TARGET).alias("target_index"), F.col("kind").alias("code"), severity.alias("severity"))
 
 
-def validate_dataset(df: DataFrame, least: int = 64, most: int = 8000) -> DataFrame:
+def validate_dataset(df: DataFrame, least: int = 64, most: int = 8000, fingerprint: Column | None = None) -> DataFrame:
     """example_id, target_index, code, severity: the rules for examples and for targets, read off in one pass, and repeats. A
     dataset without examples has one issue, empty_dataset, on no example."""
     none = F.expr(NO_TARGET)
@@ -133,7 +134,7 @@ def validate_dataset(df: DataFrame, least: int = 64, most: int = 8000) -> DataFr
     rows = df.select(F.col("id").alias("example_id"), F.explode(F.concat(of_example, F.coalesce(of_targets, F.slice(of_example, 1, 0)))).alias("i")).select("example_id", "i.*")
     empty = df.agg(F.count("*").alias("n")).filter("n = 0")
     empty = empty.select(F.lit(None).cast(df.schema["id"].dataType).alias("example_id"), none.alias("target_index"), F.lit("empty_dataset").alias("code"), F.lit("error").alias("severity"))
-    return rows.unionByName(duplicate_issues(df)).unionByName(empty)
+    return rows.unionByName(duplicate_issues(df, fingerprint)).unionByName(empty)
 
 
 def issue_counts(issues: DataFrame) -> DataFrame:

@@ -96,8 +96,9 @@ def audit_dataset(spark, sf_dir):
 
 def adapted(spark, sf_dir) -> dict[str, DataFrame]:
     """Question rows as two sources, the second of which repeats every ninth row of the first."""
-    a = A.adapt("squad", I.squad(spark, sf_dir))
-    return {"first": a, "again": a.filter(F.col("id").cast("long") % 9 == 0)}
+    s = I.squad(spark, sf_dir)
+    # filtered before it is adapted, so that only these rows' texts are looked at
+    return {"first": A.adapt("squad", s), "again": A.adapt("squad", s.filter(F.col("id").cast("long") % 9 == 0))}
 
 
 PLAN = Pr.Plan(seed=7, per_source=800, total=600)

@@ -22,7 +22,7 @@ def squad(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("doc_id").cast("string").alias("id"),
         F.col("source").alias("title"),
         F.col("text").alias("context"),
-        F.array_join(F.slice(F.split("text", r"\s+"), 1, 8), " ").alias("question"),
+        F.array_join(F.slice(F.split("text", r"\s+", 9), 1, 8), " ").alias("question"),
         F.struct(
             F.when(answer != "", F.array(answer)).otherwise(F.array().cast("array<string>")).alias("text"),
             F.when(answer != "", F.array((F.instr(F.col("text"), answer) - 1).cast("int"))).otherwise(F.array().cast("array<int>")).alias("answer_start"),

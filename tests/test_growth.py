@@ -4,8 +4,11 @@ import re
 
 from pyspark.sql import functions as F
 
+from quillmere.operators import adapters as A
 from quillmere.operators import content as C
 from quillmere.operators import features as Fe
+from quillmere.operators import prepare as Pr
+from quillmere.operators import quality as Q
 
 
 def _plan(df) -> str:
@@ -36,3 +39,29 @@ def test_neighbours_are_tokenized_once(spark):
     assert sorted((r["id"], r["term"]) for r in b.collect()) == [(1, "blue cars"), (1, "cars meet"), (1, "meet blue"), (1, "red cars")]
     # a filter that repeats the tokenization below the explosion made it run many times a text
     assert len(re.findall(r"translate\(", _plan(b))) == 1
+
+
+def test_preparation_fingerprints_once(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(Pr, "_fingerprint", lambda f=Pr._fingerprint: made.append(1) or f())
+    monkeypatch.setattr(Q, "example_fingerprint", lambda *a: made.append(1) or F.lit(None).cast("string"))
+    long = lambda w: f"{w} " + "cars drive on roads " * 5
+    rows = [("1", long("red")), ("2", long("RED")), ("3", long("blue")), ("3", long("aqua")), ("4", "short"), ("5", long("green")), ("6", long("the red")), ("7", long("white"))]
+    s = spark.createDataFrame(rows, "id string, context string").select(
+        "id", F.lit("t").alias("title"), "context", F.lit("what drives").alias("question"), F.struct(F.array(F.lit("cars")).alias("text"), F.array(F.lit(0)).alias("answer_start")).alias("answers")
+    )
+    p = Pr.prepare({"one": A.adapt("squad", s)}, Pr.Plan(seed=7, per_source=3, total=2))
+    assert len(made) == 1
+    stages = {r["stage"]: r["n"] for r in p.stages.collect()}
+    assert stages == {"adapted": 8, "unique_ids": 7, "valid": 6, "deduplicated": 4, "capped_per_source": 3, "capped_total": 2}
+    dropped = {r["id"]: r["reason"] for r in p.dropped.collect()}
+    assert {k: v for k, v in dropped.items() if not v.endswith("cap")} == {"3": "duplicate_id", "4": "validation_error", "2": "duplicate_content", "6": "duplicate_content"}
+    assert sorted(v for v in dropped.values() if v.endswith("cap")) in (["per_source_cap", "total_cap"], ["total_cap"])
+    got = p.examples.collect()
+    assert len(got) == 2 and "__fp" not in p.examples.columns and {r["id"] for r in got} <= {"1", "3", "5", "7"}
+    assert all(r["context"] == long("aqua") for r in got if r["id"] == "3")
+
+
+def test_repeats_of_a_null_id_leave_the_null_one(spark):
+    rows = spark.createDataFrame([(None, "x"), ("a", "x"), ("b", "x"), ("c", None), ("d", None), ("e", "y")], "id string, __fp string")
+    assert sorted(r["id"] for r in Pr._repeats(rows).collect()) == ["a", "b", "d"]
