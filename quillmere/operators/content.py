@@ -44,7 +44,7 @@ def _ranked(least: int, most: int) -> Column:
 def _top(df: DataFrame, id_: str, terms: str, most: int, least: int) -> DataFrame:
     """id, term, n, rank of the most frequent terms of an array; counted and ranked inside the row, without a shuffle. The
     array that is exploded must not be a column of its own: a filter on it would be pushed below all it is made of."""
-    df = counted(df.withColumn("__s", F.array_sort(terms)), "__s", "__c")
+    df = counted(df.withColumn("__s", F.sort_array(terms)), "__s", "__c")
     best = df.select(id_, F.posexplode(_ranked(least, most)).alias("r", "x"))
     return best.select(id_, F.col("x.term").alias("term"), (-F.col("x.n")).cast("long").alias("n"), (F.col("r") + 1).alias("rank"))
 
@@ -81,8 +81,8 @@ def label_chunks(chunks: DataFrame, id_: str = "id") -> DataFrame:
     none = F.array().cast("array<string>")
     empty = F.coalesce((F.size("topics") == 0) & (F.size("concepts") == 0), F.lit(False))
     df = chunks.withColumn("__e", empty).withColumn("__t", F.when(F.col("__e"), content_tokens(F.col("text"))))
-    df = counted(df.withColumn("__s", F.array_sort("__t")), "__s", "__c").withColumn("__topics", _ranked(1, 5))
-    df = counted(df.withColumn("__s", F.array_sort(_neighbours("__t"))), "__s", "__c").withColumn("__concepts", _ranked(2, 3))
+    df = counted(df.withColumn("__s", F.sort_array("__t")), "__s", "__c").withColumn("__topics", _ranked(1, 5))
+    df = counted(df.withColumn("__s", F.sort_array(_neighbours("__t"))), "__s", "__c").withColumn("__concepts", _ranked(2, 3))
     words = lambda c: F.coalesce(F.transform(c, lambda x: x["term"]), none)
     labels = {"topics": F.when(F.col("__e"), words("__topics")).otherwise(F.col("topics")), "concepts": F.when(F.col("__e"), words("__concepts")).otherwise(F.col("concepts"))}
     return df.withColumns(labels).select(*chunks.columns)
@@ -99,7 +99,7 @@ def bm25_many(docs: DataFrame, queries: DataFrame, most: int, id_: str = "id", q
     asked = written(asked, "bm25-terms")
     small = asked.count() <= BROADCAST_TERMS
     hint = F.broadcast if small else (lambda x: x)
-    rows = docs.select(id_, F.array_sort(answer_tokens(F.col("text"))).alias("__t"))
+    rows = docs.select(id_, F.sort_array(answer_tokens(F.col("text"))).alias("__t"))
     rows = counted(rows.withColumn("dl", F.size("__t")), "__t", "__c").select(id_, "dl", "__c")
     # every document also keeps a row of the empty term, which is no token, for their number and mean length
     every = F.concat("__c", F.array(F.struct(F.lit(0).alias("n"), F.lit("").alias("term"))))
