@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import answer_tokens, counted
-from ..scratch import written
+from ..scratch import drop, written
 from .content import BROADCAST_TERMS
 from .stats import numbered
 
@@ -32,17 +32,22 @@ def build_index(docs: DataFrame, path: str, id_: str = "id", block: int = BLOCK,
     only these entries are sorted by range of term and block, so that a term of all documents fills many tasks. Documents
     with a null text are not part of the index; empty ones count for the number and mean length; rows with one id, or a null
     one, are documents of their own."""
-    rows = docs.filter(F.col("text").isNotNull()).select(F.col(id_).alias("id"), F.array_sort(answer_tokens(F.col("text"))).alias("__t"))
+    rows = docs.filter(F.col("text").isNotNull()).select(F.col(id_).alias("id"), F.sort_array(answer_tokens(F.col("text"))).alias("__t"))
     rows = counted(rows.withColumn("dl", F.size("__t")), "__t", "terms").select("id", "dl", "terms")
-    # places are given by length, id and what the text counts, hence the same at every run; the written rows serve both passes
-    rows = numbered(rows.withColumn("__h", F.xxhash64("terms")), ["dl", "id", "__h"])
+    # places are given by length, id and what the text counts, hence the same at every run. Sorting by range looks at its rows
+    # twice, so what took work is written before; the numbered rows serve both passes
+    counts = written(rows.withColumn("__h", F.xxhash64("terms")), "index-rows")
+    rows = numbered(counts, ["dl", "id", "__h"])
+    drop(counts)
     whole = written(rows.agg(F.count("*").alias("nd"), F.avg("dl").alias("avg")), "index-whole").withColumns({"k1": F.lit(float(k1)), "b": F.lit(float(b))})
     whole.write.mode("overwrite").parquet(f"{path}/whole")
     placed = rows.select(F.floor(F.col("__n") / block).alias("block"), F.col("__n").alias("place"), "id", "dl", "terms").repartition("block")
     each = placed.select("block", "place", "id", "dl", F.explode("terms").alias("c")).crossJoin(F.broadcast(whole.select("avg")))  # one row
     each = each.select(F.col("c.term").alias("term"), "block", "place", "id", "dl", F.col("c.n").alias("f"), _weight(F.col("c.n"), F.col("dl"), F.col("avg"), k1, b).alias("w"))
     entries = each.groupBy("term", "block").agg(F.count("*").alias("n"), F.max("w").alias("most"), F.collect_list(F.struct("place", "id", "dl", "f")).alias("docs"))
+    entries = written(entries, "index-entries")
     entries.repartitionByRange("term", "block").sortWithinPartitions("term", "block").write.mode("overwrite").parquet(f"{path}/postings")
+    drop(entries)
 
 
 def _asked(queries: DataFrame, query: str) -> DataFrame:

@@ -9,6 +9,7 @@ from quillmere.operators import content as C
 from quillmere.operators import features as Fe
 from quillmere.operators import prepare as Pr
 from quillmere.operators import quality as Q
+from quillmere.operators import retrieval as Re
 
 
 def _plan(df) -> str:
@@ -65,3 +66,16 @@ def test_preparation_fingerprints_once(spark, monkeypatch):
 def test_repeats_of_a_null_id_leave_the_null_one(spark):
     rows = spark.createDataFrame([(None, "x"), ("a", "x"), ("b", "x"), ("c", None), ("d", None), ("e", "y")], "id string, __fp string")
     assert sorted(r["id"] for r in Pr._repeats(rows).collect()) == ["a", "b", "d"]
+
+
+def test_the_index_tokenizes_before_it_sorts_by_range(spark, tmp_path, monkeypatch):
+    plans = []
+    monkeypatch.setattr(Re, "numbered", lambda df, order, f=Re.numbered: plans.append(_plan(df)) or f(df, order))
+    docs = spark.createDataFrame([(i, f"w{i % 7} common words w{i}") for i in range(50)], "id int, text string")
+    Re.build_index(docs, f"file://{tmp_path}/index", block=8)
+    # sorting by range runs what it sorts twice
+    assert len(plans) == 1 and "translate(" not in plans[0]
+    asked = spark.createDataFrame([(1, "w3 common"), (2, "w49")], "query int, text string")
+    got = [tuple(r) for r in Re.search_index(spark, f"file://{tmp_path}/index", asked, 5).select("query", "id", "score", "rank").collect()]
+    want = [tuple(r) for r in C.bm25_many(docs, asked, 5).select("query", "id", "score", "rank").collect()]
+    assert sorted(got) == sorted(want) and len(got) == 6
