@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import gc
 import re
 import tempfile
 import uuid
@@ -61,3 +62,10 @@ def drop(df: DataFrame) -> None:
     for spark, path in [x for x in _MADE if any(x[1] in f for f in df.inputFiles()[:1])]:
         delete(spark, path)
         _MADE.remove((spark, path))
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark's cleaner drop the shuffle files of plans that are no longer reachable; else they stay until the driver
+    happens to collect its garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
