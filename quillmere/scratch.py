@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import atexit
 import contextlib
-import gc
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -64,8 +64,16 @@ def drop(df: DataFrame) -> None:
         _MADE.remove((spark, path))
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark's cleaner drop the shuffle files of plans that are no longer reachable; else they stay until the driver
-    happens to collect its garbage."""
-    gc.collect()
-    spark._jvm.System.gc()
+#: Spark's setting by which the shuffle files of a query go when it ends; else they stay until the driver collects its garbage.
+SHORT = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextlib.contextmanager
+def short_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Within it, shuffle files of a query go as soon as it ends. What is written and read again needs them no longer."""
+    before = spark.conf.get(SHORT, None)
+    spark.conf.set(SHORT, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(SHORT, before) if before is not None else spark.conf.unset(SHORT)

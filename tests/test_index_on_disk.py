@@ -48,3 +48,12 @@ def test_nothing_is_shuffled_for_each_query_and_document(spark, tmp_path):
     by_query = [d for d in dealt if "query#" in d]
     assert by_query and all(re.match(r"query#\d+, \d+$", d) for d in by_query)
     assert rows(R.search_index(spark, f"{tmp_path}/i", asks(spark), 5)) == rows(C.bm25_many(corpus(spark), asks(spark), 5))
+
+
+def test_shuffle_files_go_with_their_query(spark, tmp_path, monkeypatch):
+    before, seen = spark.conf.get(scratch.SHORT), []
+    monkeypatch.setattr(R, "written", lambda df, name, f=R.written: seen.append((name, spark.conf.get(scratch.SHORT))) or f(df, name))
+    R.build_index(corpus(spark), f"{tmp_path}/i", block=64)
+    R.search_index(spark, f"{tmp_path}/i", asks(spark), 5)
+    assert {"index-rows", "index-entries", "index-first", "index-rest"} <= {k for k, _ in seen} and {v for _, v in seen} == {"true"}
+    assert spark.conf.get(scratch.SHORT) == before
